@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from . import language_id
+from . import chat_format, fingerprints, language_id, mixing
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
+    "op2_fingerprints": fingerprints.op2_fingerprints,
+    "op3_chat_format": chat_format.op3_chat_format,
+    "op9_mixing": mixing.op9_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op3_chat_format": chat_format.ORACLE,
+    "op9_mixing": mixing.ORACLE,
+}
