@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import chat_format, fingerprints, language_id, mixing
+from . import chat_format, fingerprints, language_id, mixing, near_dedup
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_fingerprints": fingerprints.op2_fingerprints,
     "op3_chat_format": chat_format.op3_chat_format,
+    "op6_near_dedup": near_dedup.op6_near_dedup,
     "op9_mixing": mixing.op9_mixing,
 }
 
 ORACLE_SQL = {
     "op3_chat_format": chat_format.ORACLE,
+    "op6_near_dedup": near_dedup.ORACLE,
     "op9_mixing": mixing.ORACLE,
 }
