@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from . import chat_format, fingerprints, language_id, mixing, near_dedup
+from . import chat_format, fingerprints, language_id, license_scan, mixing, near_dedup, warc
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_fingerprints": fingerprints.op2_fingerprints,
     "op3_chat_format": chat_format.op3_chat_format,
+    "op5_warc": warc.op5_warc,
     "op6_near_dedup": near_dedup.op6_near_dedup,
+    "op8_license_scan": license_scan.op8_license_scan,
     "op9_mixing": mixing.op9_mixing,
 }
 
 ORACLE_SQL = {
     "op3_chat_format": chat_format.ORACLE,
+    "op5_warc": warc.ORACLE,
     "op6_near_dedup": near_dedup.ORACLE,
+    "op8_license_scan": license_scan.ORACLE,
     "op9_mixing": mixing.ORACLE,
 }
