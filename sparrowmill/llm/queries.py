@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import chat_format, fingerprints, language_id, license_scan, mixing, near_dedup, warc
+from . import chat_format, decontaminate, fingerprints, language_id, license_scan, mixing, near_dedup, quality, warc
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_fingerprints": fingerprints.op2_fingerprints,
     "op3_chat_format": chat_format.op3_chat_format,
+    "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_warc": warc.op5_warc,
     "op6_near_dedup": near_dedup.op6_near_dedup,
     "op8_license_scan": license_scan.op8_license_scan,
     "op9_mixing": mixing.op9_mixing,
+    "op10_quality": quality.op10_quality,
 }
 
 ORACLE_SQL = {
