@@ -33,7 +33,8 @@ DIMENSIONS = 48
 NONZERO = 4
 WINDOW = 2
 HIDDEN = 24
-EPOCHS = 60
+EPOCHS = 20
+REPEATED = 0
 
 _KIND = np.full(256, 2, np.int8)  # 0 space, 1 letter or digit, 2 symbol
 _KIND[:33] = 0
@@ -42,7 +43,7 @@ _KIND[128:] = 1
 
 
 def slots(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Slot and row of each token; case counts."""
+    """Slot and row of each token; case counts. A token equal to the one before it is the token REPEATED instead."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     kind = _KIND[data]
@@ -52,8 +53,10 @@ def slots(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     edges = np.flatnonzero(change)
     solid = kind[edges[:-1]] > 0
     starts, ends = edges[:-1][solid], edges[1:][solid]
-    hashes = wordhash.span_hashes(data, starts, ends, lower=False)
-    return (hashes >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64), np.searchsorted(offsets, starts, side="right") - 1
+    hashes, row = wordhash.span_hashes(data, starts, ends, lower=False), np.searchsorted(offsets, starts, side="right") - 1
+    slot = (hashes >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+    slot[1:][(hashes[1:] == hashes[:-1]) & (row[1:] == row[:-1])] = REPEATED
+    return slot, row
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
