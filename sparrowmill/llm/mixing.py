@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import documents, written
+from .tables import documents, keyed_join, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -109,6 +109,12 @@ def mix(
     )
 
 
+def mixed(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of `df` that the mix takes, with `copies`, how often it takes each; repeated rows of an id count as the mean of theirs, rounded up."""
+    taken = mix(df, id_col, **options).where("copies > 0").groupBy(F.col("id").alias(id_col)).agg(F.ceil(F.avg("copies")).alias("copies"))
+    return keyed_join(df.drop("copies"), written(taken, "mix-taken"), id_col, "inner").select(*df.drop("copies").columns, "copies")
+
+
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
     """The mix of all documents, with production weights."""
     return as_contract(mix(documents(spark, sf_dir)))

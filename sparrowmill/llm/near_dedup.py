@@ -178,6 +178,18 @@ def near_duplicates(
     return found.select("id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), component.isNull()).alias("kept"))
 
 
+def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of `df` without those that have a near-duplicate with a smaller id; repeated rows of an id become one, rows without id stay."""
+    found = written(near_duplicates(df, id_col, text_col, **options).where("id is not null").select(F.col("id").alias(id_col), "kept"), "decided")
+    dropped = written(found.where(~F.col("kept")).select(id_col).distinct(), "dropped")
+    rest = keyed_join(df, dropped, id_col, "left_anti")
+    repeated = written(found.groupBy(id_col).count().where("count > 1").select(id_col), "repeated")
+    if repeated.isEmpty():
+        return rest
+    once = keyed_join(rest, repeated, id_col, "left_semi").dropDuplicates([id_col])
+    return keyed_join(rest, repeated, id_col, "left_anti").unionByName(once)
+
+
 def op6_near_dedup(spark, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents, by shingles of four words."""
     found = near_duplicates(documents(spark, sf_dir), size=4)

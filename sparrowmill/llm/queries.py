@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, fingerprints, language_id, license_scan, mixing, near_dedup, quality, warc
+from . import chat_format, decontaminate, fingerprints, language_id, license_scan, mixing, near_dedup, quality, secret_scan, warc
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_warc": warc.op5_warc,
     "op6_near_dedup": near_dedup.op6_near_dedup,
+    "op7_secret_scan": secret_scan.op7_secret_scan,
     "op8_license_scan": license_scan.op8_license_scan,
     "op9_mixing": mixing.op9_mixing,
     "op10_quality": quality.op10_quality,
