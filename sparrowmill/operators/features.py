@@ -30,9 +30,13 @@ MUTABLE = ("mutable_with_clinical_constraints",)
 TREATMENTS = ("non_actionable_by_default", "non_actionable_or_constrained")
 
 
-def to_long(summary: DataFrame, entity: str, concept: str, stats: Sequence[str], prefix: str, infix: str = "_item_") -> DataFrame:
-    """(entity, feature, value) from one row for each entity and concept; features are named prefix + stat + infix + concept."""
-    pairs = F.array(*[F.struct(F.concat(F.lit(f"{prefix}{s}{infix}"), F.col(concept).cast("string")).alias("feature"), F.col(s).cast("double").alias("value")) for s in stats])
+def to_long(summary: DataFrame, entity: str, concept: str, stats: dict[str, str], infix: str = "_item_") -> DataFrame:
+    """(entity, feature, value) from one row for each entity and concept; a column's features are named by its prefix, infix and concept.
+
+    All columns are written out in one pass: a union of tables with the same partitioning and then a grouping by the same key
+    isn't safe in this Spark version, as adaptive execution may merge the partitions of its sides differently.
+    """
+    pairs = F.array(*[F.struct(F.concat(F.lit(f"{prefix}{infix}"), F.col(concept).cast("string")).alias("feature"), F.col(column).cast("double").alias("value")) for column, prefix in stats.items()])
     return summary.select(entity, F.inline(pairs))
 
 
@@ -117,8 +121,10 @@ def sparse_features(dense: DataFrame, least: float = LEAST_EXPOSED) -> DataFrame
 
 def pruned(long: DataFrame, train: DataFrame, least: float = LEAST_EXPOSED) -> DataFrame:
     """`long` without features that are constant in the training rows, or exposures that are too rare there."""
-    drop = constant_features(train).select("feature").union(sparse_features(train.where(is_exposure(F.col("feature"))), least).select("feature"))
-    return long.join(drop.distinct(), "feature", "left_anti")
+    distinct = F.countDistinct("value") + F.max(F.col("value").isNull().cast("int"))
+    share = F.avg((F.coalesce("value", F.lit(0.0)) != 0).cast("int"))
+    drop = train.groupBy("feature").agg(distinct.alias("_n"), share.alias("_share")).where((F.col("_n") <= 1) | is_exposure(F.col("feature")) & (F.col("_share") < least))
+    return long.join(drop.select("feature"), "feature", "left_anti")
 
 
 def group_and_mutability(feature: Column, static: Sequence[str] = ("age",)) -> tuple[Column, Column]:

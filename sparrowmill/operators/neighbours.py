@@ -85,7 +85,7 @@ def lof(reference: DataFrame, queries: DataFrame, k: int = 35) -> DataFrame:
     of = lambda ids: reference.join(ids.select("id").distinct(), "id")
     first = nearest(reference, queries, k).cache()
     second = nearest(reference, of(first), k, exclude_self=True).cache()
-    third = nearest(reference, of(second).unionByName(of(first)).dropDuplicates(["id"]), k, exclude_self=True)
+    third = nearest(reference, of(second.select("id").union(first.select("id"))), k, exclude_self=True)
     reach = third.groupBy(F.col("query").alias("id")).agg(F.max("distance").alias("k_distance")).cache()
     density = lambda pairs: pairs.join(reach, "id").groupBy("query").agg((1 / (F.avg(F.greatest("distance", "k_distance")) + F.lit(1e-10))).alias("density"))
     of_first = density(second).select(F.col("query").alias("id"), F.col("density").alias("theirs"))

@@ -1,0 +1,286 @@
+"""Queries over counterfactuals: repairs, change records, evaluation, imputation and the searches themselves.
+
+Most work on made-up counterfactuals that SQL can repeat, two for each scored row: rank 1 moves a mutable measurement to its
+median, rank 2 moves another to twice its maximum and sets an exposure to 0.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import scalars
+from ..operators import changes, ensemble, evaluate, events, features, impute, neighbours, search
+from .registry import query
+from .tables import COUNTS, DENSE_SQL, FEATURES, MEANS, THRESHOLD, TOY, dense, table, wide
+
+KEYS = ["row_id", "cf_rank"]
+CUT = 0.55
+
+PAIRS_SQL = f"""{DENSE_SQL},
+stats AS (SELECT feature, quantile_cont(value, 0.5) AS median, max(value) AS most, min(value) AS least FROM dense GROUP BY feature),
+pairs AS (
+  SELECT d.user_id AS row_id, cf_rank, d.feature, d.value AS before,
+    CASE WHEN cf_rank = 1 AND d.feature = 'chart_mean_item_click' THEN median WHEN cf_rank = 2 AND d.feature = 'chart_mean_item_view' THEN 2 * most WHEN cf_rank = 2 AND d.feature = 'input_cnt_item_click' THEN 0.0::DOUBLE ELSE d.value END AS after
+  FROM dense d JOIN stats s ON d.feature = s.feature, (VALUES (1), (2)) v(cf_rank))"""
+#: Whether a pair differs, in SQL.
+CHANGED_SQL = "(CASE WHEN before IS NULL OR after IS NULL THEN (before IS NULL) <> (after IS NULL) ELSE abs(before - after) > 1e-8::DOUBLE + 1e-5::DOUBLE * abs(after) END)"
+SCALES_SQL = f"""{PAIRS_SQL},
+zeros AS (SELECT feature, coalesce(value, 0) AS value FROM dense),
+q AS (SELECT feature, quantile_cont(value, [0.5, 0.25, 0.75, 0.01, 0.99]) AS q FROM zeros GROUP BY feature),
+away AS (SELECT z.feature, quantile_cont(abs(value - q[1]), 0.5) AS away FROM zeros z JOIN q ON z.feature = q.feature GROUP BY z.feature),
+scales AS (SELECT q.feature, q[1] AS median, CASE WHEN q[3] - q[2] = 0 THEN 1.0::DOUBLE ELSE q[3] - q[2] END AS iqr, CASE WHEN away * 1.4826::DOUBLE = 0 THEN 1.0::DOUBLE ELSE away * 1.4826::DOUBLE END AS mad, q[4] AS q01, q[5] AS q99 FROM q JOIN away ON q.feature = away.feature)"""
+RESCORED_SQL = f"""{PAIRS_SQL},
+after AS (SELECT row_id, cf_rank, {", ".join(f"max(after) FILTER (feature = '{f}') AS {f}" for f in FEATURES)} FROM pairs GROUP BY row_id, cf_rank),
+before AS (SELECT row_id, cf_rank, {", ".join(f"max(before) FILTER (feature = '{f}') AS {f}" for f in FEATURES)} FROM pairs GROUP BY row_id, cf_rank),
+a AS (SELECT row_id, cf_rank, {ensemble.margin_sql(TOY)} AS margin FROM after), b AS (SELECT row_id, cf_rank, {ensemble.margin_sql(TOY)} AS margin FROM before),
+rescored AS (
+  SELECT a.row_id, a.cf_rank, round(1 / (1 + exp(-b.margin)), 9) AS proba_factual, round(1 / (1 + exp(-a.margin)), 9) AS proba_counterfactual
+  FROM a JOIN b ON a.row_id = b.row_id AND a.cf_rank = b.cf_rank)"""
+
+
+def pairs(spark, sf_dir):
+    """(row_id, cf_rank, feature, before, after) of the made-up counterfactuals."""
+    rows = dense(spark, sf_dir)
+    stats = rows.groupBy("feature").agg(F.percentile("value", F.lit(0.5)).alias("median"), F.max("value").alias("most"))
+    f, rank = F.col("feature"), F.col("cf_rank")
+    both = rows.join(stats, "feature").withColumn("cf_rank", F.explode(F.array(F.lit(1), F.lit(2))))
+    after = F.when((rank == 1) & (f == "chart_mean_item_click"), F.col("median")).when((rank == 2) & (f == "chart_mean_item_view"), 2 * F.col("most")).when((rank == 2) & (f == "input_cnt_item_click"), F.lit(0.0)).otherwise(F.col("value"))
+    return both.select(F.col("user_id").alias("row_id"), "cf_rank", "feature", F.col("value").alias("before"), after.alias("after"))
+
+
+def _mutable(spark):
+    return spark.createDataFrame([(f,) for f in MEANS], "feature string")
+
+
+def _rescored(spark, sf_dir):
+    """(row_id, cf_rank, proba_factual, proba_counterfactual)."""
+    p = pairs(spark, sf_dir)
+    proba = lambda side, name: ensemble.scored(features.to_wide(p.select(*KEYS, "feature", F.col(side).alias("value")), KEYS, FEATURES), TOY).select(*KEYS, F.round("proba", 9).alias(name))
+    return proba("before", "proba_factual").join(proba("after", "proba_counterfactual"), KEYS)
+
+
+@query(f"WITH {PAIRS_SQL} SELECT row_id, cf_rank, feature, before, CASE WHEN before IS NOT NULL THEN after END AS after, before IS NULL AND after IS NOT NULL AS was_restored FROM pairs")
+def restore_missing(spark, sf_dir):
+    return changes.restored(pairs(spark, sf_dir))
+
+
+@query(f"WITH {PAIRS_SQL} SELECT row_id, cf_rank, feature, before, CASE WHEN feature[:5] = 'chart' AND row_id % 2 = 0 THEN after ELSE before END AS after FROM pairs")
+def freeze_features(spark, sf_dir):
+    """Rows with an even id may change measurements, the others nothing."""
+    p = pairs(spark, sf_dir)
+    allowed = p.where("row_id % 2 = 0 and feature like 'chart%'").select("row_id", "feature")
+    return changes.frozen(p, allowed).select(*KEYS, "feature", "before", "after")
+
+
+@query(f"""WITH {PAIRS_SQL} SELECT row_id, cf_rank, count(*) FILTER ({CHANGED_SQL}) AS n_changed, coalesce(string_agg(feature, ',' ORDER BY feature) FILTER ({CHANGED_SQL}), '') AS changed,
+round(coalesce(sum(abs(after - before)) FILTER ({CHANGED_SQL}), 0), 6) AS total_abs_shift FROM pairs GROUP BY row_id, cf_rank""")
+def changes_payload(spark, sf_dir):
+    found = changes.payload(pairs(spark, sf_dir), KEYS)
+    return found.select(*KEYS, "n_changed", F.array_join("changed", ",").alias("changed"), F.round("total_abs_shift", 6).alias("total_abs_shift"))
+
+
+@query(f"""WITH {PAIRS_SQL} SELECT row_id, cf_rank, CASE WHEN row_id % 5 = 0 THEN 0 ELSE count(*) FILTER ({CHANGED_SQL}) END AS n_changes, coalesce(round(CASE WHEN row_id % 5 <> 0 THEN sum(after) FILTER ({CHANGED_SQL}) END, 6), 0.0::DOUBLE) AS sum_to FROM pairs GROUP BY row_id, cf_rank""")
+def changes_json(spark, sf_dir):
+    """Change records written as JSON and read back, a fifth of them damaged."""
+    text = changes.encoded(changes.payload(pairs(spark, sf_dir), KEYS)).withColumn("changes", F.when(F.col("row_id") % 5 == 0, F.lit("{broken")).otherwise(F.col("changes")))
+    back = changes.decoded(text)
+    total = F.aggregate(F.map_values("changes"), F.lit(0.0), lambda s, c: s + F.coalesce(c["to"], F.lit(0.0)))
+    return back.select(*KEYS, F.size("changes").cast("long").alias("n_changes"), F.round(total, 6).alias("sum_to"))
+
+
+@query(f"WITH {PAIRS_SQL} SELECT row_id, cf_rank, feature, CASE WHEN {CHANGED_SQL} THEN after ELSE before END AS value FROM pairs")
+def rebuilt_matrix(spark, sf_dir):
+    """Counterfactual values again, from factuals and change records alone."""
+    p = pairs(spark, sf_dir)
+    factual = dense(spark, sf_dir).withColumnRenamed("user_id", "row_id")
+    return changes.rebuilt(factual, changes.payload(p, KEYS), KEYS)
+
+
+@query(f"""WITH {RESCORED_SQL}, facts AS (SELECT row_id, cf_rank, bool_or((before IS NULL) <> (after IS NULL)) AS missingness, bool_or({CHANGED_SQL} AND feature[:5] <> 'chart') AS immutable FROM pairs GROUP BY row_id, cf_rank)
+SELECT f.row_id, f.cf_rank, CASE WHEN missingness THEN 'MissingnessChanged' WHEN proba_counterfactual >= {CUT} THEN 'NotFlipped' ELSE 'ImmutableChanged' END AS error_type
+FROM facts f JOIN rescored r ON f.row_id = r.row_id AND f.cf_rank = r.cf_rank WHERE missingness OR proba_counterfactual >= {CUT} OR immutable""")
+def rejected_results(spark, sf_dir):
+    verdicts = _rescored(spark, sf_dir).select(*KEYS, (F.col("proba_counterfactual") >= CUT).cast("int").alias("pred_label"))
+    return changes.rejected(pairs(spark, sf_dir), verdicts, _mutable(spark), KEYS, 0)
+
+
+@query(f"WITH {SCALES_SQL} SELECT * FROM scales")
+def scale_stats(spark, sf_dir):
+    return evaluate.scale_stats(dense(spark, sf_dir))
+
+
+@query(f"""WITH {DENSE_SQL}, q AS (SELECT feature, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr, stddev_samp(value) AS s FROM dense GROUP BY feature)
+SELECT feature, round(CASE WHEN iqr > 0 THEN iqr WHEN s > 0 THEN s ELSE 1 END, 6) AS scale FROM q""")
+def feature_scale(spark, sf_dir):
+    return evaluate.feature_scale(dense(spark, sf_dir)).select("feature", F.round("scale", 6).alias("scale"))
+
+
+@query(f"""WITH {DENSE_SQL} SELECT feature, min(value) AS least, max(value) AS most, CASE WHEN max(value) > min(value) THEN max(value) - min(value) ELSE 1.0::DOUBLE END AS range, bool_and(coalesce(value IN (0, 1), true)) AS is_binary FROM dense GROUP BY feature""")
+def feature_ranges(spark, sf_dir):
+    return evaluate.feature_ranges(dense(spark, sf_dir))
+
+
+@query(f"""WITH {SCALES_SQL} SELECT row_id, cf_rank, round(sum(abs(d / mad)), 6) AS proximity_l1_mad, round(sqrt(sum((d / mad) * (d / mad))), 6) AS proximity_l2_mad, round(sum(abs(d / iqr)), 6) AS proximity_l1_iqr, round(sqrt(sum((d / iqr) * (d / iqr))), 6) AS proximity_l2_iqr
+FROM (SELECT row_id, cf_rank, p.feature, coalesce(after, 0) - coalesce(before, 0) AS d, mad, iqr FROM pairs p JOIN scales s ON p.feature = s.feature) GROUP BY row_id, cf_rank""")
+def proximity(spark, sf_dir):
+    found = evaluate.proximity(pairs(spark, sf_dir), evaluate.scale_stats(dense(spark, sf_dir)), KEYS)
+    return found.select(*KEYS, *[F.round(c, 6).alias(c) for c in found.columns if c not in KEYS])
+
+
+@query(f"WITH {PAIRS_SQL} SELECT row_id, cf_rank, count(*) FILTER ({CHANGED_SQL}) AS n_changed, count(*) FILTER ({CHANGED_SQL})::DOUBLE / count(*) AS share_changed FROM pairs GROUP BY row_id, cf_rank")
+def sparsity(spark, sf_dir):
+    return evaluate.sparsity(pairs(spark, sf_dir), KEYS)
+
+
+@query(f"WITH {PAIRS_SQL} SELECT row_id, cf_rank, count(*) FILTER ({CHANGED_SQL} AND feature[:5] <> 'chart') AS n_violations, count(*) FILTER ({CHANGED_SQL} AND feature[:5] <> 'chart') = 0 AS all_mutable FROM pairs GROUP BY row_id, cf_rank")
+def actionability(spark, sf_dir):
+    return evaluate.actionability(pairs(spark, sf_dir), _mutable(spark), KEYS)
+
+
+PLACES_SQL = """places AS (
+  SELECT feature, arg_max(places, (n, -places)) AS places FROM (
+    SELECT feature, length(rtrim(split_part(printf('%.6f', value), '.', 2), '0')) AS places, count(*) AS n FROM v WHERE value IS NOT NULL GROUP BY ALL) GROUP BY feature)"""
+
+
+@query(f"""WITH v AS (SELECT 'events' AS feature, value FROM events UNION ALL SELECT 'price', l_extendedprice FROM lineitem UNION ALL SELECT 'quantity', l_quantity FROM lineitem UNION ALL SELECT 'discount', l_discount FROM lineitem),
+{PLACES_SQL} SELECT feature, places::INT AS places FROM places""")
+def decimal_precision(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select(F.inline(F.array(*[F.struct(F.lit(name).alias("feature"), F.col(c).alias("value")) for name, c in (("price", "l_extendedprice"), ("quantity", "l_quantity"), ("discount", "l_discount"))])))
+    return evaluate.precision(lines.unionByName(table(spark, sf_dir, "events").select(F.lit("events").alias("feature"), "value")))
+
+
+@query(f"""WITH {PAIRS_SQL}, v AS (SELECT feature, value FROM dense), {PLACES_SQL},
+bounds AS (SELECT s.feature, round_even(least, places::INT) AS low, round_even(most, places::INT) AS high, places FROM stats s JOIN places p ON s.feature = p.feature WHERE s.feature[:5] = 'chart' AND least < most)
+SELECT row_id, cf_rank, count(*) FILTER ({CHANGED_SQL} AND (round_even(after, places::INT) < low OR round_even(after, places::INT) > high)) AS n_outside FROM pairs p LEFT JOIN bounds b ON p.feature = b.feature GROUP BY row_id, cf_rank""")
+def range_violation(spark, sf_dir):
+    rows = dense(spark, sf_dir)
+    ranges = rows.where(F.col("feature").isin(MEANS)).groupBy("feature").agg(F.min("value").alias("low"), F.max("value").alias("high")).where("low < high")
+    return evaluate.range_violations(pairs(spark, sf_dir), evaluate.rounded_bounds(ranges, evaluate.precision(rows)), KEYS)
+
+
+@query(f"WITH {RESCORED_SQL} SELECT *, proba_counterfactual < {CUT} AS valid, round(proba_factual - proba_counterfactual, 9) AS risk_reduction FROM rescored")
+def validity(spark, sf_dir):
+    return evaluate.validity(_rescored(spark, sf_dir), CUT).withColumn("risk_reduction", F.round("risk_reduction", 9))
+
+
+@query(f"""WITH {RESCORED_SQL}, e AS (SELECT *, proba_counterfactual < {CUT} AS valid, round(proba_factual - proba_counterfactual, 9) AS risk_reduction FROM rescored)
+SELECT count(*) AS n_counterfactuals, avg(valid::INT)::DOUBLE AS flip_rate, round(avg(risk_reduction), 9) AS mean_risk_reduction, quantile_cont(risk_reduction, 0.5) AS median_risk_reduction,
+  count(DISTINCT row_id) AS n_rows, (SELECT avg(v::INT)::DOUBLE FROM (SELECT bool_or(valid) AS v FROM e GROUP BY row_id)) AS row_flip_rate FROM e""")
+def eval_summary(spark, sf_dir):
+    return evaluate.summary(validity(spark, sf_dir), ["risk_reduction"]).withColumn("mean_risk_reduction", F.round("mean_risk_reduction", 9))
+
+
+@query(f"""WITH {RESCORED_SQL}, ok AS (SELECT DISTINCT row_id FROM rescored WHERE proba_counterfactual < {CUT}), bad AS (SELECT DISTINCT row_id FROM rescored WHERE proba_counterfactual >= {CUT} AND row_id NOT IN (SELECT row_id FROM ok))
+SELECT (SELECT count(*) FROM wide) AS n_asked, (SELECT count(*) FROM ok) AS n_success, (SELECT count(*) FROM bad) AS n_failed, (SELECT count(*) FROM ok)::DOUBLE / (SELECT count(*) FROM wide) AS success_rate""")
+def run_summary(spark, sf_dir):
+    v = validity(spark, sf_dir)
+    return evaluate.run_summary(v.select("row_id"), v.where("valid"), v.where("not valid"))
+
+
+@query(f"""WITH {PAIRS_SQL} SELECT row_id, cf_rank, round(coalesce(sum(abs(after - before) / CASE WHEN most > least THEN most - least ELSE 1 END), 0), 6) AS distance FROM pairs p JOIN stats s ON p.feature = s.feature GROUP BY row_id, cf_rank""")
+def normalised_l1(spark, sf_dir):
+    return evaluate.normalised_l1(pairs(spark, sf_dir), evaluate.feature_ranges(dense(spark, sf_dir)), KEYS).withColumn("distance", F.round("distance", 6))
+
+
+def _imputed_sql(stat: str) -> str:
+    return f"""WITH {DENSE_SQL}, fills AS (SELECT feature, coalesce({stat}, 0) AS fill FROM dense GROUP BY feature)
+    SELECT user_id, d.feature, coalesce(value, fill) AS value, value IS NULL AS was_missing FROM dense d JOIN fills f ON d.feature = f.feature"""
+
+
+@query(_imputed_sql("sum(value::DECIMAL(28,6))::DOUBLE / count(value)"))
+def mean_impute(spark, sf_dir):
+    rows = dense(spark, sf_dir)
+    return impute.imputed(rows, impute.fill_values(rows, "mean"))
+
+
+@query(_imputed_sql("quantile_cont(value, 0.5)"))
+def median_impute(spark, sf_dir):
+    rows = dense(spark, sf_dir)
+    return impute.imputed(rows, impute.fill_values(rows, "median"))
+
+
+@query(f"""WITH {DENSE_SQL}, fills AS (SELECT feature, quantile_cont(value, 0.5) AS fill FROM dense GROUP BY feature),
+filled AS (SELECT user_id, {", ".join(f"coalesce({f}, (SELECT fill FROM fills WHERE feature = '{f}')) AS {f}" for f in FEATURES)} FROM wide),
+a AS (SELECT user_id, {ensemble.margin_sql(TOY)} AS margin FROM filled), b AS (SELECT user_id, {ensemble.margin_sql(TOY)} AS margin FROM wide),
+s AS (SELECT round(1 / (1 + exp(-b.margin)), 9) AS native, round(1 / (1 + exp(-a.margin)), 9) AS imputed FROM a JOIN b ON a.user_id = b.user_id)
+SELECT count(*) AS n, count(*) FILTER (native >= {THRESHOLD} AND imputed < {THRESHOLD}) AS n_lost, count(*) FILTER (native < {THRESHOLD} AND imputed >= {THRESHOLD}) AS n_gained,
+  avg(((native >= {THRESHOLD}) <> (imputed >= {THRESHOLD}))::INT)::DOUBLE AS flip_rate, round(max(abs(imputed - native)), 9) AS max_gap FROM s""")
+def flip_diagnostics(spark, sf_dir):
+    """How many predictions change when missing values are filled with medians."""
+    filled = features.to_wide(median_impute(spark, sf_dir), "user_id", FEATURES)
+    proba = lambda df, name: ensemble.scored(df, TOY).select("user_id", F.round("proba", 9).alias(name))
+    both = proba(wide(spark, sf_dir), "proba_native").join(proba(filled, "proba_imputed"), "user_id")
+    return evaluate.flips(both, THRESHOLD).withColumn("max_gap", F.round("max_gap", 9))
+
+
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+d AS (SELECT q.vec_id AS query, list_distance(q.v, e.v) AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.v, e.v), e.vec_id) AS place FROM e q JOIN e ON q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query, round(avg(distance), 6) AS knn_distance FROM d WHERE place <= 5 GROUP BY query""")
+def knn_plausibility(spark, sf_dir):
+    """Mean distance of every fiftieth vector to its five nearest among all others."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    found = neighbours.nearest(rows, rows.where("id % 50 = 0"), 5, exclude_self=True)
+    return found.groupBy("query").agg(F.round(F.avg("distance"), 6).alias("knn_distance"))
+
+
+@query(f"""WITH {DENSE_SQL}, f AS (SELECT feature, row_number() OVER () - 1 AS i FROM (VALUES {", ".join(f"('{f}')" for f in FEATURES)}) v(feature)),
+z AS (SELECT user_id, i, coalesce(value, 0) AS value FROM dense d JOIN f ON d.feature = f.feature)
+SELECT a.i::INT AS i, b.i::INT AS j, round(covar_samp(a.value, b.value), 6) AS covariance FROM z a JOIN z b ON a.user_id = b.user_id GROUP BY ALL""")
+def covariance(spark, sf_dir):
+    return neighbours.covariance(_zero_vectors(spark, sf_dir)).select("i", "j", F.round("covariance", 6).alias("covariance"))
+
+
+def _zero_vectors(spark, sf_dir):
+    return wide(spark, sf_dir).select(F.col("user_id").alias("id"), F.array(*[F.coalesce(f, F.lit(0.0)) for f in FEATURES]).alias("vector"))
+
+
+def _vectors(spark, sf_dir):
+    return wide(spark, sf_dir).select(F.col("user_id").alias("id"), F.array(*FEATURES).alias("vector"))
+
+
+@query()
+def lof_score(spark, sf_dir):
+    """Novelty of every fiftieth embedding against the others."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    return neighbours.lof(rows.where("id % 50 <> 0"), rows.where("id % 50 = 0"))
+
+
+@query()
+def mahalanobis(spark, sf_dir):
+    v = _zero_vectors(spark, sf_dir)
+    return neighbours.mahalanobis(v, v)
+
+
+@query()
+def knn_impute(spark, sf_dir):
+    """Missing measurements of every user filled from the five nearest users."""
+    v = _vectors(spark, sf_dir)
+    return neighbours.knn_imputed(v, v, len(FEATURES))
+
+
+def _search_rows(spark, sf_dir):
+    """Predicted positives with their vectors, and the space to search in."""
+    space = search.Space.learn(evaluate.feature_ranges(dense(spark, sf_dir)), FEATURES, set(MEANS))
+    rows = ensemble.scored(wide(spark, sf_dir), TOY).where(F.col("proba") >= CUT)
+    return rows.select(F.col("user_id").alias("row_id"), F.array(*FEATURES).alias("vector"), F.lit(None).cast("array<string>").alias("search")), space
+
+
+@query()
+def beam_search(spark, sf_dir):
+    rows, space = _search_rows(spark, sf_dir)
+    return search.beam(rows, TOY, space, CUT, steps=3, width=10)
+
+
+@query()
+def exact_search(spark, sf_dir):
+    rows, space = _search_rows(spark, sf_dir)
+    return search.exact(rows, TOY, space, CUT, costs=search.Costs(sparsity=0.0, solutions=2))
+
+
+@query()
+def genetic_search(spark, sf_dir):
+    rows, space = _search_rows(spark, sf_dir)
+    return search.genetic(rows, TOY, space, CUT, genes=search.Genes(generations=3, population=32))
+
+
+assert events.SCALE == scalars.PRECISION and len(COUNTS) == len(MEANS)

@@ -24,7 +24,7 @@ def event_window_summary(spark, sf_dir):
 
 @query(f"WITH {SUMMARY_SQL} SELECT user_id, " + ", ".join(f"max({s}) FILTER (event_type = '{t}') AS chart_{s}_item_{t}" for s in STATS for t in TYPES) + " FROM summary GROUP BY user_id")
 def event_window_pivot(spark, sf_dir):
-    long = features.to_long(summaries(spark, sf_dir), "user_id", "event_type", STATS, "chart_")
+    long = features.to_long(summaries(spark, sf_dir), "user_id", "event_type", {s: f"chart_{s}" for s in STATS})
     return features.to_wide(long, "user_id", [f"chart_{s}_item_{t}" for s in STATS for t in TYPES])
 
 

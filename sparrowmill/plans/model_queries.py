@@ -1,0 +1,222 @@
+"""Queries over a model and scored rows: scoring, leaf regions, measures, and which rows are explained."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import scalars
+from ..operators import boosting, cohort, ensemble, features, metrics, selection
+from .registry import query
+from .tables import COUNTS, DENSE_SQL, FEATURES, MEANS, SCORED_SQL, THRESHOLD, TOY, TYPES, WIDE_SQL, dense, scored, table, wide
+
+
+@query(f"WITH {WIDE_SQL}, m AS (SELECT user_id, {ensemble.margin_sql(TOY)} AS margin FROM wide) SELECT user_id, round(margin, 9) AS margin, round(1 / (1 + exp(-margin)), 9) AS proba FROM m")
+def tree_score(spark, sf_dir):
+    return ensemble.scored(wide(spark, sf_dir), TOY).select("user_id", F.round("margin", 9).alias("margin"), F.round("proba", 9).alias("proba"))
+
+
+@query(f"WITH {WIDE_SQL}, m AS (SELECT user_id, {ensemble.margin_sql(TOY)} AS margin FROM wide) SELECT user_id, {len(TOY.by_tree)}::BIGINT AS n_leaves, round(margin, 9) AS margin, round(1 / (1 + exp(-margin)), 9) AS proba FROM m")
+def tree_score_leaf_join(spark, sf_dir):
+    """The same scores, by dividing rows by the conditions of leaves."""
+    found = ensemble.leaf_join_scores(dense(spark, sf_dir), "user_id", TOY)
+    return found.select("user_id", "n_leaves", F.round("margin", 9).alias("margin"), F.round("proba", 9).alias("proba"))
+
+
+@query(f"WITH {WIDE_SQL}, m AS (SELECT user_id, {ensemble.margin_sql(TOY)} AS margin FROM wide) SELECT user_id, round(margin, 9) AS margin FROM m")
+def tree_score_vector(spark, sf_dir):
+    """The same margins over vectors, in vectorised Python, as for ensembles too large for generated code."""
+    vectors = wide(spark, sf_dir).select("user_id", F.array(*FEATURES).alias("vector"))
+    return vectors.select("user_id", F.round(ensemble.vector_margin(TOY, FEATURES)("vector"), 9).alias("margin"))
+
+
+_NODES = ", ".join(
+    f"({n.tree}, {n.node}, {n.left if n.left is not None else 'NULL'}, {n.right if n.right is not None else 'NULL'}, "
+    + (f"'{n.feature}', {n.threshold!r}::DOUBLE, {n.default_left}" if n.feature else "NULL, NULL, NULL")
+    + f", {f'{n.leaf!r}::DOUBLE' if n.leaf is not None else 'NULL'}, {f'{n.gain!r}::DOUBLE' if n.gain is not None else 'NULL'})"
+    for n in TOY.nodes
+)
+NODES_SQL = f"nodes AS (SELECT * FROM (VALUES {_NODES}) n(tree, node, l, r, feature, threshold, default_left, leaf, gain))"
+REGIONS_SQL = f"""{NODES_SQL},
+steps AS (
+  SELECT tree, node AS parent, l AS node, feature, NULL::DOUBLE AS lower, threshold AS upper, default_left AS allow_missing FROM nodes WHERE feature IS NOT NULL
+  UNION ALL SELECT tree, node, r, feature, threshold, NULL, NOT default_left FROM nodes WHERE feature IS NOT NULL),
+paths AS (
+  SELECT tree, node AS leaf, node AS at, leaf AS value, NULL::VARCHAR AS feature, NULL::DOUBLE AS lower, NULL::DOUBLE AS upper, true AS allow_missing FROM nodes WHERE leaf IS NOT NULL
+  UNION ALL SELECT p.tree, p.leaf, s.parent, p.value, s.feature, s.lower, s.upper, s.allow_missing FROM paths p JOIN steps s ON p.tree = s.tree AND p.at = s.node),
+region AS (SELECT tree, leaf, any_value(value) AS value, feature, max(lower) AS lower, min(upper) AS upper, bool_and(allow_missing) AS allow_missing FROM paths WHERE feature IS NOT NULL GROUP BY tree, leaf, feature)"""
+
+
+@query(f"WITH RECURSIVE {REGIONS_SQL} SELECT tree, leaf, value, feature, lower, upper, allow_missing FROM region")
+def leaf_regions(spark, sf_dir):
+    """What each leaf's path asks of each feature."""
+    return ensemble.region_table(spark, TOY)
+
+
+@query(f"""WITH RECURSIVE {REGIONS_SQL}, leaves AS (SELECT DISTINCT tree, leaf, value FROM region),
+own AS (SELECT * FROM leaves QUALIFY row_number() OVER (PARTITION BY tree ORDER BY value, leaf) <= 2) SELECT tree, leaf, value FROM own ORDER BY value, tree, leaf LIMIT 5""")
+def top_facets(spark, sf_dir):
+    """The leaves that lower the margin most: two of each tree, five in all (a top-k report)."""
+    return ensemble.top_facets(ensemble.region_table(spark, TOY), 0, 2, 5)
+
+
+@query(f"""WITH RECURSIVE {REGIONS_SQL}
+SELECT feature, max(lower) AS lower, min(upper) AS upper, bool_and(allow_missing) AS allow_missing, coalesce(max(lower) < min(upper), true) OR bool_and(allow_missing) AS feasible
+FROM region WHERE value < 0 GROUP BY feature""")
+def merged_constraints(spark, sf_dir):
+    """The intersection of the conditions of all leaves with a negative value."""
+    return ensemble.merged(ensemble.region_table(spark, TOY).where("value < 0"), [])
+
+
+@query(f"WITH {NODES_SQL}, g AS (SELECT feature, avg(gain) AS gain FROM nodes WHERE feature IS NOT NULL GROUP BY feature) SELECT feature, gain / sum(gain) OVER () AS importance_gain FROM g")
+def feature_importance(spark, sf_dir):
+    return ensemble.importance(TOY.table(spark))
+
+
+@query(f"""WITH {NODES_SQL}, g AS (SELECT feature, avg(gain) AS gain FROM nodes WHERE feature IS NOT NULL GROUP BY feature),
+s AS (SELECT feature, gain / sum(gain) OVER () AS importance_gain FROM g) SELECT *, row_number() OVER (ORDER BY importance_gain DESC, feature)::INT AS rank FROM s WHERE feature IN ({", ".join(f"'{m}'" for m in MEANS)})""")
+def ranked_features(spark, sf_dir):
+    """Measurements that the model uses, the most important first."""
+    catalogue = spark.createDataFrame([(f,) for f in MEANS], "feature string")
+    return features.ranked(catalogue, ensemble.importance(TOY.table(spark)))
+
+
+@query(f"WITH {SCORED_SQL} SELECT count(*) FILTER (label = 0) AS n_negative, count(*) FILTER (label = 1) AS n_positive, count(*) FILTER (label = 0)::DOUBLE / count(*) FILTER (label = 1) AS weight FROM scored")
+def class_balance(spark, sf_dir):
+    return metrics.class_balance(scored(spark, sf_dir))
+
+
+@query(f"""WITH {SCORED_SQL} SELECT count(*) FILTER (proba < {THRESHOLD} AND label = 0) AS tn, count(*) FILTER (proba >= {THRESHOLD} AND label = 0) AS fp,
+count(*) FILTER (proba < {THRESHOLD} AND label = 1) AS fn, count(*) FILTER (proba >= {THRESHOLD} AND label = 1) AS tp FROM scored""")
+def confusion(spark, sf_dir):
+    return metrics.confusion(scored(spark, sf_dir), THRESHOLD)
+
+
+@query(f"""WITH {SCORED_SQL} SELECT round(sum(CASE WHEN a.proba > b.proba THEN 1.0 WHEN a.proba = b.proba THEN 0.5 ELSE 0.0 END)::DOUBLE / count(*), 9) AS auc
+FROM scored a JOIN scored b ON a.label = 1 AND b.label = 0""")
+def roc_auc(spark, sf_dir):
+    """The share of pairs of a positive and a negative that are in order, ties as half; counted by score, not by pairs."""
+    return metrics.roc_auc(scored(spark, sf_dir)).select(F.round("auc", 9).alias("auc"))
+
+
+@query(f"""WITH {SCORED_SQL}, s AS (SELECT proba, sum(label) AS pos, count(*) AS n FROM scored GROUP BY proba),
+c AS (SELECT pos, sum(pos) OVER w AS hits, sum(n) OVER w AS shown FROM s WINDOW w AS (ORDER BY proba DESC))
+SELECT round(sum(pos * (hits::DOUBLE / shown)) / sum(pos), 9) AS average_precision FROM c""")
+def average_precision(spark, sf_dir):
+    return metrics.average_precision(scored(spark, sf_dir)).select(F.round("average_precision", 9).alias("average_precision"))
+
+
+@query(f"""WITH {SCORED_SQL} SELECT round(avg((proba - label) * (proba - label)), 9) AS brier, round(avg(-(label * ln(proba) + (1 - label) * ln(1 - proba))), 9) AS log_loss,
+avg(label)::DOUBLE AS prevalence, avg(pred_label)::DOUBLE AS predicted_positive_rate, coalesce(2.0::DOUBLE * count(*) FILTER (label = 1 AND pred_label = 1) / (sum(label) + sum(pred_label)), 0.0) AS f1 FROM scored""")
+def brier_logloss(spark, sf_dir):
+    m = metrics.losses(scored(spark, sf_dir), THRESHOLD)
+    return m.withColumns({"brier": F.round("brier", 9), "log_loss": F.round("log_loss", 9)})
+
+
+SWEEP_SQL = f"""{SCORED_SQL}, steps AS (SELECT round(0.05::DOUBLE + 0.005::DOUBLE * k, 3) AS threshold FROM range(181) r(k)),
+swept AS (SELECT threshold, count(*) FILTER (proba >= threshold AND label = 1) AS tp, count(*) FILTER (proba >= threshold AND label = 0) AS fp, count(*) FILTER (proba < threshold AND label = 1) AS fn FROM steps, scored GROUP BY threshold),
+f AS (SELECT *, CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * tp / (2 * tp + fp + fn) END AS f1 FROM swept)"""
+
+
+@query(f"WITH {SWEEP_SQL} SELECT * FROM f")
+def threshold_sweep(spark, sf_dir):
+    return metrics.sweep(scored(spark, sf_dir))
+
+
+@query(f"WITH {SWEEP_SQL} SELECT threshold, f1 FROM f ORDER BY f1 DESC, threshold LIMIT 1")
+def best_threshold(spark, sf_dir):
+    """The threshold with the best F1, the lowest among ties."""
+    return metrics.best_threshold(scored(spark, sf_dir))
+
+
+@query(f"WITH {SCORED_SQL} SELECT row_id, label AS y_true, proba AS pred_proba, pred_label FROM scored")
+def predictions(spark, sf_dir):
+    """Predictions under the names that a table of them may have, without a predicted label."""
+    raw = scored(spark, sf_dir).select(F.col("row_id").alias("row_index"), "label", F.col("proba").alias("y_proba"))
+    return selection.predictions(raw, THRESHOLD)
+
+
+def _predicted(spark, sf_dir):
+    return scored(spark, sf_dir).select("row_id", F.col("label").alias("y_true"), F.col("proba").alias("pred_proba"), "pred_label")
+
+
+@query(f"WITH {SCORED_SQL} SELECT row_id, label AS y_true, proba AS pred_proba, pred_label FROM scored WHERE pred_label = 1 AND proba >= {THRESHOLD} ORDER BY proba DESC, row_id LIMIT 20")
+def select_factuals(spark, sf_dir):
+    """The twenty rows of highest risk (a top-k report)."""
+    return selection.factuals(_predicted(spark, sf_dir), THRESHOLD, 20)
+
+
+@query(f"WITH {SCORED_SQL} SELECT row_id, label AS y_true, proba AS pred_proba, pred_label FROM scored WHERE pred_label = 1 ORDER BY md5('7|' || row_id), row_id LIMIT 20")
+def random_factuals(spark, sf_dir):
+    """Twenty rows by seeded hash order (a sampling operator)."""
+    return selection.factuals(_predicted(spark, sf_dir), THRESHOLD, 20, random=True, seed=7)
+
+
+@query(f"WITH {SCORED_SQL}, ids AS (SELECT * FROM (VALUES (0, 7), (1, 3), (2, 7), (3, 11)) i(position, row_id)) SELECT i.row_id::BIGINT AS row_id, position, label, proba FROM ids i JOIN scored s ON i.row_id = s.row_id")
+def fixed_cohort(spark, sf_dir):
+    """A list of ids with an order and a repeat."""
+    ids = spark.createDataFrame([(0, 7), (1, 3), (2, 7), (3, 11)], "position int, row_id long")
+    return selection.fixed_cohort(scored(spark, sf_dir), ids).select("row_id", "position", "label", "proba")
+
+
+@query(f"WITH {SCORED_SQL} SELECT row_id, proba FROM scored ORDER BY proba DESC, row_id LIMIT 25 OFFSET 10")
+def query_window(spark, sf_dir):
+    """Rows 10 to 34 by risk (offset and limit are the feature)."""
+    return selection.window_of(scored(spark, sf_dir).select("row_id", "proba"), [F.desc("proba"), "row_id"], 10, 25)
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS row_id FROM orders")
+def row_positions(spark, sf_dir):
+    """Positions of all orders by date, counted by range and not in one task."""
+    return selection.numbered(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"]).select("o_orderkey", "row_id")
+
+
+BATCHES_SQL = f"""{SCORED_SQL}, k AS (SELECT row_id, row_number() OVER (ORDER BY md5('5|' || row_id), row_id) - 1 AS k FROM scored WHERE pred_label = 1),
+batches AS (SELECT (k // 8 + 1)::INT AS batch, (k % 8 + 1)::INT AS place, row_id FROM k WHERE k < 24)"""
+
+
+@query(f"WITH {BATCHES_SQL} SELECT * FROM batches")
+def query_batches(spark, sf_dir):
+    """Three disjoint random batches of eight predicted positives (a sampling operator)."""
+    return selection.batches(selection.pool(_predicted(spark, sf_dir), 1), 8, 3, seed=5)
+
+
+@query(f"""WITH {SCORED_SQL}, k AS (SELECT b AS batch, row_id, row_number() OVER (PARTITION BY b ORDER BY md5((5 + b) || '|' || row_id), row_id)::INT AS place FROM scored, (VALUES (1), (2)) v(b) WHERE pred_label = 1)
+SELECT batch, place, row_id FROM k WHERE place <= 10""")
+def overlapping_batches(spark, sf_dir):
+    """Two independent random batches of ten (a sampling operator)."""
+    return selection.batches(selection.pool(_predicted(spark, sf_dir), 1), 10, 2, seed=5, disjoint=False)
+
+
+@query(f"WITH {BATCHES_SQL} SELECT batch, pred_label, label AS y_true, count(*) AS n FROM batches b JOIN scored s ON b.row_id = s.row_id GROUP BY ALL")
+def batch_manifest(spark, sf_dir):
+    predicted = _predicted(spark, sf_dir)
+    return selection.manifest(selection.batches(selection.pool(predicted, 1), 8, 3, seed=5), predicted)
+
+
+@query(f"WITH {DENSE_SQL} SELECT user_id, count(*) FILTER (value IS NULL) AS n_missing, coalesce(list(feature ORDER BY feature) FILTER (value IS NULL AND feature[:5] = 'chart'), []) AS missing FROM dense GROUP BY user_id")
+def missing_features(spark, sf_dir):
+    vectors = wide(spark, sf_dir).select("user_id", F.array(*FEATURES).alias("vector"))
+    return features.missing_features(vectors, "user_id", FEATURES)
+
+
+@query(f"WITH {SCORED_SQL} SELECT row_id, round(ln(proba / (1 - proba)), 6) AS margin FROM scored")
+def logits(spark, sf_dir):
+    return scored(spark, sf_dir).select("row_id", F.round(scalars.logit(F.col("proba")), 6).alias("margin"))
+
+
+def labelled_vectors(spark, sf_dir):
+    """(row_id, split, label, vector) of FEATURES; splits are by subject within labels."""
+    rows = scored(spark, sf_dir)
+    split = cohort.stratified_split(rows, "row_id", "label").select("row_id", "split")
+    return rows.join(split, "row_id").select("row_id", "split", "label", F.array(*FEATURES).alias("vector"))
+
+
+@query()
+def boost_fit(spark, sf_dir):
+    """(tree, node, ...): the trees that boosting fits to the labels, stopped by the validation rows."""
+    rows = labelled_vectors(spark, sf_dir)
+    fitted = boosting.fit(rows.where("split = 'train'"), rows.where("split = 'val'"), FEATURES, boosting.Settings(rounds=8, rate=0.2, depth=3, least_weight=2.0, patience=4))
+    return fitted.ensemble.table(spark)
+
+
+assert len(TYPES) == len(COUNTS)
