@@ -78,11 +78,13 @@ SPELLINGS = {
     "https": "http",
     "whilst": "while",
 }
+#: A line that claims copyright: the word with a sign, a year or a name mark after it. A wrapped "copyright notice" isn't one.
+COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright[ \t]*(?:\(c\)|©|:|by\b|[<\[{(]?(?:year|yyyy|[12][0-9]{3}))|©|\(c\))[^\n]*$"
 
 
 def canonical_lines(text: Column) -> Column:
     """Normal form that still has its line breaks."""
-    out = F.regexp_replace(F.lower(text), r"(?m)^[^\p{L}\p{N}\n]*(?:copyright\b|©|\(c\))[^\n]*$", "")
+    out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "")
     out = F.regexp_replace(out, r"[^\p{L}\p{N}\n]+", " ")
     for old, new in SPELLINGS.items():
         out = F.replace(out, F.lit(old), F.lit(new))
@@ -119,7 +121,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql(text: str) -> str:
-    out = rf"regexp_replace(lower({text}), '(?m)^[^\p{{L}}\p{{N}}\n]*(?:copyright\b|©|\(c\))[^\n]*$', '', 'g')"
+    out = f"regexp_replace(lower({text}), '{COPYRIGHT_LINE}', '', 'g')"
     out = rf"regexp_replace({out}, '[^\p{{L}}\p{{N}}\n]+', ' ', 'g')"
     for old, new in SPELLINGS.items():
         out = f"replace({out}, '{old}', '{new}')"
