@@ -189,7 +189,7 @@ class WarcWriter(DataSourceWriter):
                 if out:
                     out.close()
                 names.append(f"part-{uuid.uuid4().hex}.warc" + ".gz" * self.gzip)
-                out, size = store.open_output_stream(f"{root}/{names[-1]}"), 0
+                out, size = store.open_output_stream(f"{root}/{names[-1]}", compression=None), 0  # members are compressed one by one
             out.write(one)
             size += len(one)
         if out:
