@@ -19,7 +19,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import documents
+from .tables import documents, written
 
 BITS = 64
 RADIUS = 3
@@ -140,3 +140,11 @@ def op2_fingerprints(spark, sf_dir: str) -> DataFrame:
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
     )
+
+
+def fingerprint_neighbours(spark, sf_dir: str) -> DataFrame:
+    """(doc_id, fingerprint, n_near) for every document whose id is divisible by 50: other fingerprints of all documents within RADIUS."""
+    prints = written(fingerprints(documents(spark, sf_dir).select("doc_id", "text"), ["doc_id"]), "fingerprints")
+    asked = prints.where("doc_id % 50 = 0")
+    near = neighbours(asked, prints).groupBy("fingerprint").agg(F.count("*").alias("n_near"))
+    return asked.join(near, "fingerprint", "left").select("doc_id", as_hex("fingerprint").alias("fingerprint"), F.coalesce("n_near", F.lit(0)).alias("n_near"))

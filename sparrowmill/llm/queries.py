@@ -7,6 +7,7 @@ from . import chat_format, decontaminate, fingerprints, language_id, license_sca
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_fingerprints": fingerprints.op2_fingerprints,
+    "fingerprint_neighbours": fingerprints.fingerprint_neighbours,
     "op3_chat_format": chat_format.op3_chat_format,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_warc": warc.op5_warc,
