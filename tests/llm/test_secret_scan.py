@@ -1,0 +1,88 @@
+import hashlib
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from sparrowmill.llm import secret_scan
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    return secret_scan.fit(secret_scan.labelled_findings(spark, 1600))
+
+
+def test_accuracy_on_findings_that_were_held_out(spark, forest):
+    found, labels = [], []
+    for r in secret_scan.labelled_findings(spark, 800, seed=777).collect():
+        text = r.before + r.candidate
+        c = next((c for c in secret_scan.candidates(text, r.path) if c.start <= len(r.before) < c.stop), None)
+        if c is not None:
+            found.append(secret_scan.Candidate(c.rule, 0, 0, r.candidate, r.before[-48:], r.after[:24], r.path))
+            labels.append(r.label)
+    said, labels = forest.score(found) >= secret_scan.CUT, np.array(labels) == 1
+    assert (said == labels).mean() > 0.97
+    assert said[labels].mean() > 0.97
+
+
+def planted(seed):
+    draw = random.Random(seed)
+    some = lambda chars, n: "".join(draw.choice(chars) for _ in range(n))
+    return ["AKIA" + some("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), f'token = "{some("0123456789abcdef", 40)}"', "password=" + some("0123456789abcdef", 18), "ghp_" + some("abcdefghijklmnopqrstuvwxyzABCDEFGH0123456789", 36)]
+
+
+def test_redaction(spark, table, forest):
+    texts = [f"some words here {secret} and after it, é😀 more" for k in range(5) for secret in planted(k)]
+    clean = ["plain words without anything", "see commit 0123456789abcdef0123456789abcdef01234567 in the log", "password: changeme", "uuid 123e4567-e89b-12d3-a456-426614174000", "path/to/some/long/module/name/file2", ""]
+    df = secret_scan.scan(table(texts + clean), forest, path_col="source")
+    got = df.select("doc_id", "text", "findings", secret_scan.redacted(F.col("text"), F.col("findings")).alias("new")).orderBy("doc_id").collect()
+    for r in got:
+        bodies = [r.text[f.start : f.stop] for f in r.findings if f.secret]
+        if r.doc_id < len(texts):
+            value = r.text.split("here ", 1)[1].split(" and after", 1)[0].split("=")[-1].strip(' "')
+            assert bodies == [value]
+            assert value not in r.new and r.new.startswith("some words here ") and r.new.endswith("é😀 more")
+        else:
+            assert not bodies and r.new == r.text
+
+
+def test_candidates_do_not_overlap():
+    text = " ".join(planted(3)) + " " + "x1" * 5000 + " https://a.b/c?token=abcdef1234567890"
+    found = list(secret_scan.candidates(text, ""))
+    assert all(a.stop <= b.start for a, b in zip(found, found[1:], strict=False))
+    assert all(text[c.start : c.stop] == c.text for c in found)
+
+
+def test_forest_separates_by_a_threshold():
+    draw = np.random.default_rng(1)
+    x = draw.normal(size=(300, 4))
+    y = (x[:, 2] > 0.3).astype(float)
+    trees = [secret_scan._tree(x[rows], y[rows], draw) for rows in (draw.integers(0, 300, 300) for _ in range(25))]
+    p = secret_scan.Forest(np.zeros((128, 128)), trees).predict(x)
+    assert ((p >= 0.5) == (y == 1)).mean() > 0.98
+
+
+def test_awkward(spark, awkward, empty, forest):
+    out = secret_scan.scan(awkward, forest, path_col="source")
+    assert out.columns == [*awkward.columns, "findings"]
+    got = out.collect()
+    assert len(got) == awkward.count() and all(not any(f.secret for f in r.findings) for r in got)
+    assert secret_scan.scan(empty, forest).count() == 0
+    again = secret_scan.scan(secret_scan.scan(awkward, forest), forest)
+    assert again.columns == out.columns
+    findings = secret_scan.labelled_findings(spark, 100)
+    assert secret_scan.fit(findings.where("label = 1")).constant == 1.0
+    assert secret_scan.fit(findings.where("label = 0")).constant == 0.0
+    assert secret_scan.fit(findings.limit(0)).constant == 1.0
+
+
+def test_query_keeps_clean_texts(spark):
+    got = secret_scan.op7_secret_scan(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), "doc_id").collect()
+    assert any(r.n_secrets for r in got)
+    for r in got:
+        same = hashlib.sha256((r.text or "").encode()).hexdigest() == r.redacted_sha256
+        assert same == (r.n_secrets == 0)
+        assert (r.n_secrets > 0) == (r.rules != "")
