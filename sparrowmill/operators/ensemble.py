@@ -97,6 +97,18 @@ def scored(df: DataFrame, ensemble: Ensemble) -> DataFrame:
     return df.withColumn("margin", margin(ensemble)).withColumn("proba", scalars.sigmoid(F.col("margin")))
 
 
+def subset_gap(df: DataFrame, ensemble: Ensemble, trees: int) -> DataFrame:
+    """`df` with proba_subset, of the first trees only, proba_full, and the gap between them; 0 where all trees are used."""
+    part = scalars.sigmoid(margin(ensemble.truncated(trees)))
+    return df.withColumns({"proba_subset": part, "proba_full": scalars.sigmoid(margin(ensemble))}).withColumn("gap", F.abs(F.col("proba_full") - F.col("proba_subset")))
+
+
+def rescored(factuals: DataFrame, ensemble: Ensemble, threshold: float) -> DataFrame:
+    """Factuals scored again, with error_type for those that aren't positive any more: a failure, not a silent loss."""
+    again = scored(factuals, ensemble)
+    return again.withColumn("error_type", F.when(F.col("proba") < threshold, F.lit("NotPositive")))
+
+
 def arrays(ensemble: Ensemble, features: Sequence[str]) -> list[tuple[np.ndarray, ...]]:
     """For each tree (feature index or -1, threshold, left, right, default_left, leaf), nodes numbered from 0."""
     where = {f: k for k, f in enumerate(features)}

@@ -157,6 +157,24 @@ def permitted_ranges(catalogue_: DataFrame) -> DataFrame:
     return catalogue_.where(F.col("train_min") < F.col("train_max")).select("feature", F.col("train_min").alias("low"), F.col("train_max").alias("high"))
 
 
+def within_ranges(long: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Values moved into their feature's range (feature, low, high); features without one, and missing values, are unchanged."""
+    both = long.join(ranges.select("feature", "low", "high"), "feature", "left")
+    return both.withColumn("value", scalars.clip(F.col("value"), F.col("low"), F.col("high"))).drop("low", "high")
+
+
+def with_names(catalogue_: DataFrame, new: dict[str, str]) -> DataFrame:
+    """The catalogue under the model's feature names; names without a new one stay."""
+    table = catalogue_.sparkSession.createDataFrame(list(new.items()) or [("", "")], "feature string, _new string")
+    return catalogue_.join(table, "feature", "left").withColumn("feature", F.coalesce("_new", "feature")).drop("_new")
+
+
+def missing_summary(vectors: DataFrame, features: Sequence[str]) -> DataFrame:
+    """One row: rows, rows with a missing value, and mean and median number of missing values."""
+    n = missing_features(vectors.withColumn("_row", F.lit(1)), "_row", features).select("n_missing")
+    return n.agg(F.count("*").alias("n_rows"), F.count_if(F.col("n_missing") > 0).alias("n_with_missing"), F.avg("n_missing").alias("mean_missing"), F.percentile("n_missing", F.lit(0.5)).alias("median_missing"))
+
+
 def matrix(df: DataFrame, reference: Sequence[str], ids: Sequence[str] = ("stay_id", "subject_id", "hadm_id", "split")) -> DataFrame:
     """The reference's columns in its order: absent ones are 0, booleans become 0 and 1; the ids that exist come first."""
     kinds = dict(df.dtypes)

@@ -96,6 +96,29 @@ def rebuilt_matrix(spark, sf_dir):
     return changes.rebuilt(factual, changes.payload(p, KEYS), KEYS)
 
 
+@query(f"""WITH {PAIRS_SQL} SELECT row_id, cf_rank, p.feature, CASE WHEN p.feature[:5] = 'chart' AND after IS NOT NULL THEN least(greatest(after, least), most) ELSE after END AS value FROM pairs p JOIN stats s ON p.feature = s.feature""")
+def range_clip(spark, sf_dir):
+    """Counterfactual measurements moved into the range of the factuals."""
+    rows = dense(spark, sf_dir)
+    ranges = rows.where(F.col("feature").isin(MEANS)).groupBy("feature").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    return features.within_ranges(pairs(spark, sf_dir).select(*KEYS, "feature", F.col("after").alias("value")), ranges).select(*KEYS, "feature", "value")
+
+
+@query(f"""WITH {PAIRS_SQL}, native AS (SELECT row_id, cf_rank, {", ".join(f"max(CASE WHEN before IS NOT NULL THEN after END) FILTER (feature = '{f}') AS {f}" for f in FEATURES)} FROM pairs GROUP BY row_id, cf_rank),
+m AS (SELECT row_id, cf_rank, {ensemble.margin_sql(TOY)} AS margin FROM native) SELECT row_id, cf_rank, round(1 / (1 + exp(-margin)), 9) AS proba FROM m""")
+def native_score(spark, sf_dir):
+    """Counterfactuals scored with the missing values of their factuals."""
+    native = changes.restored(pairs(spark, sf_dir)).select(*KEYS, "feature", F.col("after").alias("value"))
+    return ensemble.scored(features.to_wide(native, KEYS, FEATURES), TOY).select(*KEYS, F.round("proba", 9).alias("proba"))
+
+
+@query(f"WITH {DENSE_SQL} SELECT DISTINCT CASE WHEN feature = 'chart_mean_item_click' THEN 'click_mean' ELSE feature END AS feature FROM dense")
+def named_catalogue(spark, sf_dir):
+    """The features under a model's names, one of them renamed."""
+    catalogue = dense(spark, sf_dir).select("feature").distinct()
+    return features.with_names(catalogue, {"chart_mean_item_click": "click_mean", "absent": "x"})
+
+
 @query(f"""WITH {RESCORED_SQL}, facts AS (SELECT row_id, cf_rank, bool_or((before IS NULL) <> (after IS NULL)) AS missingness, bool_or({CHANGED_SQL} AND feature[:5] <> 'chart') AS immutable FROM pairs GROUP BY row_id, cf_rank)
 SELECT f.row_id, f.cf_rank, CASE WHEN missingness THEN 'MissingnessChanged' WHEN proba_counterfactual >= {CUT} THEN 'NotFlipped' ELSE 'ImmutableChanged' END AS error_type
 FROM facts f JOIN rescored r ON f.row_id = r.row_id AND f.cf_rank = r.cf_rank WHERE missingness OR proba_counterfactual >= {CUT} OR immutable""")

@@ -204,6 +204,32 @@ def logits(spark, sf_dir):
     return scored(spark, sf_dir).select("row_id", F.round(scalars.logit(F.col("proba")), 6).alias("margin"))
 
 
+@query(f"""WITH {SCORED_SQL}, p AS (SELECT row_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('42|' || row_id), row_id) AS k, count(*) OVER (PARTITION BY label) AS n FROM scored)
+SELECT CASE WHEN k <= ceil(n * 0.15) THEN 'test' WHEN k <= ceil(n * 0.15) + ceil(n * 0.15) THEN 'val' ELSE 'train' END AS split, label, count(*) AS n FROM p GROUP BY ALL""")
+def label_counts(spark, sf_dir):
+    """Rows by split and label."""
+    return cohort.stratified_split(scored(spark, sf_dir), "row_id", "label").groupBy("split", "label").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {WIDE_SQL}, m AS (SELECT user_id, {ensemble.margin_sql(TOY)} AS whole, {ensemble.margin_sql(TOY.truncated(2))} AS part FROM wide)
+SELECT user_id, round(1 / (1 + exp(-part)), 9) AS proba_subset, round(1 / (1 + exp(-whole)), 9) AS proba_full, round(abs(1 / (1 + exp(-whole)) - 1 / (1 + exp(-part))), 9) AS gap FROM m""")
+def subset_gap(spark, sf_dir):
+    """How far the first two trees alone are from the whole model."""
+    return ensemble.subset_gap(wide(spark, sf_dir), TOY, 2).select("user_id", *[F.round(c, 9).alias(c) for c in ("proba_subset", "proba_full", "gap")])
+
+
+@query(f"""WITH {WIDE_SQL}, m AS (SELECT user_id, {ensemble.margin_sql(TOY)} AS margin FROM wide)
+SELECT user_id, round(1 / (1 + exp(-margin)), 9) AS proba, CASE WHEN 1 / (1 + exp(-margin)) < 0.55 THEN 'NotPositive' END AS error_type FROM m""")
+def rescored_factuals(spark, sf_dir):
+    return ensemble.rescored(wide(spark, sf_dir), TOY, 0.55).select("user_id", F.round("proba", 9).alias("proba"), "error_type")
+
+
+@query(f"""WITH {DENSE_SQL}, n AS (SELECT count(*) FILTER (value IS NULL) AS n FROM dense GROUP BY user_id)
+SELECT count(*) AS n_rows, count(*) FILTER (n > 0) AS n_with_missing, avg(n)::DOUBLE AS mean_missing, quantile_cont(n, 0.5)::DOUBLE AS median_missing FROM n""")
+def missing_summary(spark, sf_dir):
+    return features.missing_summary(wide(spark, sf_dir).select(F.array(*FEATURES).alias("vector")), FEATURES)
+
+
 def labelled_vectors(spark, sf_dir):
     """(row_id, split, label, vector) of FEATURES; splits are by subject within labels."""
     rows = scored(spark, sf_dir)

@@ -139,6 +139,17 @@ def test_imputed_frames_and_log(spark, tmp_path):
     assert spark.read.json(f"{path}/log").count() == 3
 
 
+def test_batches_on_disk(spark, tmp_path):
+    from sparrowmill.operators import selection
+
+    predicted = spark.createDataFrame([(k, k % 2, 0.9, 1) for k in range(12)], "row_id long, y_true int, pred_proba double, pred_label int")
+    batches = selection.batches(predicted, 4, 2, seed=3)
+    files.write_batches(batches, predicted, f"file://{tmp_path}")
+    back = spark.read.csv(f"file://{tmp_path}/row_ids", header=True, inferSchema=True)
+    assert sorted(map(tuple, back.select("batch", "row_id").collect())) == sorted((r.batch, r.row_id) for r in batches.collect())
+    assert sum(r["n"] for r in files.read_json(spark, f"file://{tmp_path}/manifest.json")) == 8
+
+
 def test_model_json(spark, tmp_path):
     tree = {"left_children": [1, -1, -1], "right_children": [2, -1, -1], "split_indices": [0, 0, 0], "split_conditions": [2.0, 0.0, 0.0], "default_left": [1, 0, 0], "base_weights": [0.0, -1.0, 1.0]}
     learner = {"feature_names": ["a"], "gradient_booster": {"model": {"trees": [tree]}}, "learner_model_param": {"base_score": "[5E-1]"}}
