@@ -16,6 +16,7 @@ from ..functions import names, scalars
 LEVELS = 12
 RARE = "RARE"
 LEAST_EXPOSED = 0.002
+MOST_CONDITIONAL = 60
 # Prefixes of features, their group and mutability.
 PREFIXES = {
     "chart_": ("clinical_measurement", "mutable_with_clinical_constraints"),
@@ -46,9 +47,16 @@ def melted(wide: DataFrame, ids: Sequence[str]) -> DataFrame:
 
 
 def to_wide(long: DataFrame, entity: str | list[str], features: Sequence[str], fill: float | None = None) -> DataFrame:
-    """One column for each of the named features, in their order; naming them spares the pass that looks for them."""
+    """One column for each of the named features, in their order; naming them spares the pass that looks for them.
+
+    Up to MOST_CONDITIONAL features each is a conditional aggregate, one shuffle of an entity's partial row. A pivot, which groups by
+    entity and feature first, takes two, but its buffer is one array, so it holds beyond that. A feature has one row an entity.
+    """
     keys = [entity] if isinstance(entity, str) else entity
-    wide = long.groupBy(*keys).pivot("feature", list(features)).agg(F.first("value"))
+    if len(features) <= MOST_CONDITIONAL:
+        wide = long.groupBy(*keys).agg(*[F.max(F.when(F.col("feature") == f, F.col("value"))).alias(f) for f in features])
+    else:
+        wide = long.groupBy(*keys).pivot("feature", list(features)).agg(F.first("value"))
     return wide.fillna(fill, list(features)) if fill is not None else wide
 
 

@@ -114,6 +114,8 @@ def test_pruning(spark):
 def test_wide_and_vector(spark):
     long = frame(spark, [(1, "a", 1.0), (1, "b", 2.0), (2, "b", 3.0)], "e long, feature string, value double")
     assert [tuple(r) for r in features.to_wide(long, "e", ["b", "a", "z"]).orderBy("e").collect()] == [(1, 2.0, 1.0, None), (2, 3.0, None, None)]
+    many = [f"f{k}" for k in range(features.MOST_CONDITIONAL)] + ["b"]
+    assert [r.b for r in features.to_wide(long, "e", many).orderBy("e").collect()] == [2.0, 3.0]
     assert [r.vector for r in features.to_vector(long, "e", ["a", "b"]).orderBy("e").collect()] == [[1.0, 2.0], [None, 3.0]]
 
 
