@@ -171,26 +171,26 @@ def row_positions(spark, sf_dir):
 
 
 BATCHES_SQL = f"""{SCORED_SQL}, k AS (SELECT row_id, row_number() OVER (ORDER BY md5('5|' || row_id), row_id) - 1 AS k FROM scored WHERE pred_label = 1),
-batches AS (SELECT (k // 8 + 1)::INT AS batch, (k % 8 + 1)::INT AS place, row_id FROM k WHERE k < 24)"""
+batches AS (SELECT (k // 2 + 1)::INT AS batch, (k % 2 + 1)::INT AS place, row_id FROM k WHERE k < 6)"""
 
 
 @query(f"WITH {BATCHES_SQL} SELECT * FROM batches")
 def query_batches(spark, sf_dir):
-    """Three disjoint random batches of eight predicted positives (a sampling operator)."""
-    return selection.batches(selection.pool(_predicted(spark, sf_dir), 1), 8, 3, seed=5)
+    """Three disjoint random batches of two predicted positives (a sampling operator)."""
+    return selection.batches(selection.pool(_predicted(spark, sf_dir), 1), 2, 3, seed=5)
 
 
 @query(f"""WITH {SCORED_SQL}, k AS (SELECT b AS batch, row_id, row_number() OVER (PARTITION BY b ORDER BY md5((5 + b) || '|' || row_id), row_id)::INT AS place FROM scored, (VALUES (1), (2)) v(b) WHERE pred_label = 1)
-SELECT batch, place, row_id FROM k WHERE place <= 10""")
+SELECT batch, place, row_id FROM k WHERE place <= 4""")
 def overlapping_batches(spark, sf_dir):
-    """Two independent random batches of ten (a sampling operator)."""
-    return selection.batches(selection.pool(_predicted(spark, sf_dir), 1), 10, 2, seed=5, disjoint=False)
+    """Two independent random batches of four (a sampling operator)."""
+    return selection.batches(selection.pool(_predicted(spark, sf_dir), 1), 4, 2, seed=5, disjoint=False)
 
 
 @query(f"WITH {BATCHES_SQL} SELECT batch, pred_label, label AS y_true, count(*) AS n FROM batches b JOIN scored s ON b.row_id = s.row_id GROUP BY ALL")
 def batch_manifest(spark, sf_dir):
     predicted = _predicted(spark, sf_dir)
-    return selection.manifest(selection.batches(selection.pool(predicted, 1), 8, 3, seed=5), predicted)
+    return selection.manifest(selection.batches(selection.pool(predicted, 1), 2, 3, seed=5), predicted)
 
 
 @query(f"WITH {DENSE_SQL} SELECT user_id, count(*) FILTER (value IS NULL) AS n_missing, coalesce(list(feature ORDER BY feature) FILTER (value IS NULL AND feature[:5] = 'chart'), []) AS missing FROM dense GROUP BY user_id")
