@@ -47,7 +47,7 @@ def test_query(spark, db, name):
         want = db.sql(queries.ORACLE_SQL[name])
         assert got == rows(want.columns, want.fetchall())
     elif "fingerprint_neighbours" not in name:
-        assert len(got[1]) == db.sql("SELECT count(*) FROM documents").fetchone()[0]
+        assert len(got[1]) == db.sql("SELECT count(*) FROM documents").fetchall()[0][0]
 
 
 def test_ten_operators():
