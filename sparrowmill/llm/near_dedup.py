@@ -6,9 +6,9 @@ range of hashes is cut into BANDS * ROWS bins, a bin keeps its least hash, and a
 hashing (bin, attempt), the optimal densification. Nodes that agree on all ROWS bins of a band share a bucket.
 
 A bucket never gives all pairs: each node is paired with its bucket's hubs only, the least node under each of STARS hash
-orders. Pairs are confirmed on full shingle sets, never on sketches. After the first components, further rounds pair the
-nodes of a bucket with a new hub where they are still in another component than the hub, until QUIET rounds in a row add
-no link. Pairs therefore grow with the number of nodes and not with the square of a bucket.
+orders, which partial aggregates find. Pairs are confirmed on full shingle sets, never on sketches. Nodes that still share a
+bucket with another component after that, those that the hubs were too far from, are compared by exact prefix filtering,
+which loses nothing. Pairs therefore grow with the number of nodes and not with the square of a bucket.
 
 With ROWS 5 and BANDS 32, two sets at the threshold 0.8 miss all buckets with a chance of 3 in a million, more alike ones less.
 
@@ -23,18 +23,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
 from .components import components
-from .tables import documents, keyed_join, written
+from .tables import BROADCAST_DIGESTS, documents, keyed_join, written
 
 ROWS = 5
 BANDS = 32
 STARS = 3
-QUIET = 1
-MOST_ROUNDS = 12
 
 
 def one_permutation(hashes: np.ndarray, rows: np.ndarray, n_rows: int, bins: int) -> np.ndarray:
@@ -109,19 +107,20 @@ def shingle_sets(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFr
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose full sets share at least `percent` of their union."""
+    """Those written pairs (a, b) whose full sets share at least `percent` of their union."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
     small, large = F.least(F.size("of_a"), F.size("of_b")), F.greatest(F.size("of_a"), F.size("of_b"))
-    # a ratio of sizes below the threshold already rules a pair out
-    met = pairs.join(left, "a").join(right, "b").where(small * 100 >= large * percent)
+    # only the sets of these pairs are shuffled; a ratio of sizes below the threshold already rules a pair out
+    right = keyed_join(right, pairs.select("b"), "b", "left_semi", BROADCAST_DIGESTS)
+    met = keyed_join(left, pairs, "a", "inner", BROADCAST_DIGESTS).join(right, "b").where(small * 100 >= large * percent)
     met = met.select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("both"), (F.size("of_a") + F.size("of_b")).alias("sizes"))
     return met.where(F.col("both") * 100 >= (F.col("sizes") - F.col("both")) * percent).select("a", "b")
 
 
 def _hub(order: int) -> Column:
     """The bucket's least node in one of the hash orders."""
-    return F.min(F.struct(F.xxhash64("node", F.lit(order)), "node")).over(Window.partitionBy("bucket"))["node"]
+    return F.min(F.struct(F.xxhash64("node", F.lit(order)), "node"))["node"]
 
 
 def _pairs(starred: DataFrame, hubs: list[str]) -> DataFrame:
@@ -129,50 +128,72 @@ def _pairs(starred: DataFrame, hubs: list[str]) -> DataFrame:
     return linked.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
+def _rest(sets: DataFrame, loose: DataFrame, percent: int) -> DataFrame:
+    """(a, b): all pairs of loose nodes (node, root) in different components that can be alike, by exact prefix filtering.
+
+    Shingles are put in one order for all, rare ones first. Two sets that share `percent` of their union share a shingle within the
+    first size - ceil(size * percent / 100) + 1 of each. What many documents have in common comes last in that order, so it is in
+    few prefixes; shingles whose prefixes lie in one component are left out before the join, and so are pairs whose shared
+    shingle has too little after it. Each pair comes up once, at the first shingle that it shares.
+    """
+    each = keyed_join(sets, loose, "node", "inner", BROADCAST_DIGESTS).select("node", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    at_root = F.xxhash64("root")  # a long, so that these aggregates stay in hash tables
+    common = each.groupBy("shingle").agg(F.count("*").alias("many"), F.min(at_root).alias("low"), F.max(at_root).alias("high")).where("low <> high")
+    common = written(common.select("shingle", F.floor(F.log2("many")).cast("int").alias("level")), "common")
+    ordered = keyed_join(each, common, "shingle", "left").withColumn("at", F.struct(F.coalesce("level", F.lit(0)).alias("level"), F.xxhash64("shingle").alias("order"), "shingle"))
+    length = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100.0)) + 1
+    whole = ordered.groupBy("node", "root", "n").agg(F.array_sort(F.collect_list("at")).alias("all"))
+    # shingles of one component come first; they match no other, so they aren't written, and don't count as shared
+    whole = whole.withColumn("alone", F.size(F.filter("all", lambda s: s["level"] == 0))).withColumn("length", length.cast("int")).where("length > alone")
+    own = F.transform(F.slice("all", F.col("alone") + 1, F.greatest(F.col("length") - F.col("alone"), F.lit(0))), lambda s: s["shingle"])
+    first = whole.select("node", "root", "n", "alone", own.alias("own")).select("*", F.posexplode("own").alias("before", "shingle"))
+    prefixes = written(first.select("node", "root", "n", "own", (F.col("n") - F.col("alone") - F.col("before") - 1).alias("after"), "shingle"), "prefixes")
+    several = prefixes.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle")
+    left = written(keyed_join(prefixes, written(several, "several"), "shingle", "left_semi"), "prefixes")
+    right = left.select("shingle", F.col("node").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("root", "n", "own", "after")])
+    # after the first shingle that two sets share, they can't share more than what is left of either
+    most = 1 + F.least("after", "after_b")
+    alike = (F.least("n", "n_b") * 100 >= F.greatest("n", "n_b") * percent) & (most * (100 + percent) >= (F.col("n") + F.col("n_b")) * percent)
+    once = F.col("shingle") == F.array_intersect("own", "own_b")[0]  # the first shingle that they share: each pair comes once
+    return left.join(right, "shingle").where((F.col("root") != F.col("root_b")) & (F.col("node") < F.col("b")) & alike & once).select(F.col("node").alias("a"), "b")
+
+
 def near_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, stars: int = STARS, quiet: int = QUIET
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, stars: int = STARS
 ) -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row of `df`: component_id is the least id linked with it, directly or not."""
     rows_ = written(sketched(df, id_col, text_col, size, bands, rows), "sketches")
-    nodes = rows_.where("node is not null").groupBy("node").agg(F.min("id").alias("id"))
-    # bands of each set once: a set's rows carry the same bands, so any one will do
-    first = rows_.where("node is not null").groupBy("node").agg(F.min(F.struct("id", "bands"))["bands"].alias("bands"))
-    keyed = first.select("node", F.explode("bands").alias("bucket"))
-    shared = keyed.withColumn("members", F.count("*").over(Window.partitionBy("bucket"))).where("members > 1").drop("members")
+    # a set's rows carry the same bands, so any one of them will do
+    nodes = written(rows_.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("bands").alias("bands")), "nodes")
+    keyed = nodes.select("node", F.explode("bands").alias("bucket"))
+    # hubs are aggregates that combine before the shuffle, and large buckets are split by the join: none of them meets in a task
+    many = written(keyed.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1").select("bucket"), "many")
+    shared = written(keyed_join(keyed, many, "bucket", "inner"), "shared")
     hubs = [f"hub{k}" for k in range(stars)]
-    buckets = written(shared.select("bucket", "node", *[_hub(k).alias(name) for k, name in enumerate(hubs)]), "buckets")
+    stars_of = written(shared.groupBy("bucket").agg(*[_hub(k).alias(name) for k, name in enumerate(hubs)]), "stars")
+    buckets = written(keyed_join(shared, stars_of, "bucket", "inner", BROADCAST_DIGESTS), "buckets")
+    nodes = nodes.select("node", "id")
 
-    involved = written(buckets.select("node").distinct().join(nodes, "node").select("node", F.col("id").alias(id_col)), "involved")
-    texts = keyed_join(df.select(id_col, text_col), involved.select(id_col).distinct(), id_col, "left_semi")
+    met = written(buckets.select("node").distinct(), "met")
+    involved = written(keyed_join(nodes, met, "node", "left_semi", BROADCAST_DIGESTS).select("node", F.col("id").alias(id_col)), "involved")
+    texts = keyed_join(df.select(id_col, text_col), involved.select(id_col), id_col, "left_semi")
     if not involved.where(F.col(id_col).isNull()).isEmpty():
         texts = texts.unionByName(df.select(id_col, text_col).where(F.col(id_col).isNull()))
-    sets = written(shingle_sets(texts, id_col, text_col, size).join(involved.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    sets = written(keyed_join(shingle_sets(texts, id_col, text_col, size), met, "node", "left_semi", BROADCAST_DIGESTS).dropDuplicates(["node"]), "sets")
 
     tried = written(_pairs(buckets, hubs), "pairs")
-    links = written(confirmed(tried, sets, percent), "links")
-    roots = written(components(links), "roots")
-    calm = 0
-    for turn in range(stars, MOST_ROUNDS):
-        if calm >= quiet or buckets.isEmpty():
-            break
-        known = buckets.select("bucket", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        whole = Window.partitionBy("bucket")
-        apart = known.withColumn("mixed", F.min("root").over(whole) != F.max("root").over(whole)).where("mixed")
-        hub = F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "root")).over(whole)
-        fresh = apart.withColumn("at", hub).where("root <> at.root").select("node", F.col("at.node").alias("hub"))
-        fresh = fresh.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        fresh = written(fresh, "pairs")
-        new = written(confirmed(fresh, sets, percent), "links")
-        if new.isEmpty():
-            calm += 1
-        else:
-            calm = 0
-            roots = written(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(new)), "roots")
-        tried = tried.union(fresh)
-
-    named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    of_node = written(named.join(least, "root").select("node", "component_id"), "membership")
+    roots = written(components(confirmed(tried, sets, percent)), "roots")
+    known = written(keyed_join(buckets.select("bucket", "node"), roots, "node", "left", BROADCAST_DIGESTS).withColumn("root", F.coalesce("root", "node")), "known")
+    apart = known.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
+    loose = written(keyed_join(known, written(apart, "apart"), "bucket", "left_semi").select("node", "root").distinct(), "loose")
+    found = written(confirmed(written(_rest(sets, loose, percent), "pairs"), sets, percent), "links")
+    if not found.isEmpty():
+        roots = written(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found)), "roots")
+
+    named = written(keyed_join(nodes, roots, "node", "left", BROADCAST_DIGESTS).withColumn("root", F.coalesce("root", "node")), "named")
+    # a component of one node keeps its own id, so only the others have to be looked up
+    least = written(named.join(roots.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("id").alias("component_id")), "least")
+    of_node = keyed_join(named, least, "root", "left", BROADCAST_DIGESTS).select("node", F.when(F.col("component_id").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
     found = rows_.select("id", "n_shingles", "node").join(of_node, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return found.select("id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), component.isNull()).alias("kept"))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows of 8-byte keys that may be broadcast (16 MB of keys); above it a join shuffles.
 BROADCAST_ROWS = 2_000_000
+#: The same for rows of a few 16-byte digests (tens of MB as a hash table).
+BROADCAST_DIGESTS = 200_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,9 +37,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def keyed_join(left: DataFrame, keys: DataFrame, on: str | list[str], how: str) -> DataFrame:
-    """Join a large table with a narrow written table of keys; the keys are counted, and broadcast only below BROADCAST_ROWS."""
-    if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+def keyed_join(left: DataFrame, keys: DataFrame, on: str | list[str], how: str, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Join a large table with a narrow written table of keys; the keys are counted, and broadcast only if there are at most `most`."""
+    if keys.limit(most + 1).count() <= most:
         keys = F.broadcast(keys)
     return left.join(keys, on, how)
 
