@@ -26,6 +26,8 @@ from . import wordhash
 UNKNOWN = "und"
 #: Documents learned from, for each language: the bound of the training sample.
 SAMPLE_PER_LANGUAGE = 300
+#: How many times that number of ids is ranked, so that the hash range surely holds enough.
+SPARE = 4
 BINS = 1 << 13
 LONGEST = 4
 
@@ -59,7 +61,7 @@ def _ngrams(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
     outside = np.zeros(len(low), bool)
     for n in range(1, LONGEST + 1):
         rolled = rolled * np.uint32(0x01000193)
-        rolled[: len(low) - n + 1] += low[n - 1 :] + np.uint32(1)
+        rolled[: max(len(low) - n + 1, 0)] += low[n - 1 :] + np.uint32(1)
         if n > 1:
             outside[(ends - n + 1)[ends - n + 1 >= starts]] = True
         bins = ((rolled ^ np.uint32(n * 0x9E37)) * np.uint32(2654435761) >> np.uint32(19)).astype(np.int32)
@@ -156,13 +158,20 @@ def _machine(x: np.ndarray, y: np.ndarray, steps: int = 150, penalty: float = 1e
 def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Fit on at most `per_language` documents of each language, those whose hashed ids come first.
 
-    Ranking reads ids and languages only and keeps `per_language` rows for each language in every task before the shuffle,
-    so a language with most of the rows costs no more than another; then just the chosen texts come to the driver.
+    Ids and languages are counted first, with partial sums. Only ids whose hash falls in a share of the hash range that holds
+    SPARE times the wanted number are ranked, so a language with most of the rows costs no more than another, however
+    many tasks read it; then just the chosen texts come to the driver.
     """
     known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & (F.col(lang_col) != UNKNOWN))
-    ranked = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).withColumn(
-        "rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    )
+    ids = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
+    place = F.shiftrightunsigned(F.xxhash64("id"), 11) / F.lit(float(1 << 53))
+    shares = {r["lang"]: SPARE * per_language / r["n"] for r in ids.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
+    share = F.lit(1.0)
+    for lang, part in sorted(shares.items()):
+        if part < 1:
+            share = F.when(F.col("lang") == lang, F.lit(part)).otherwise(share)
+    first = ids.withColumn("place", place).where(F.col("place") <= share)
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place", "id")))
     chosen = ranked.where(F.col("rank") <= per_language).select("id").distinct()
     rows = (
         known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
