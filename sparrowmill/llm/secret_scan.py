@@ -1,7 +1,8 @@
 """Secret scans: pattern candidates, and a random forest that removes false positives.
 
 Candidates are known key formats, values assigned to a name such as `password` or `token`, and long runs of key characters with a
-digit. Each gets features of its length, its character transitions, how much of it dictionary words cover, its path and
+digit. Known formats are looked for in the whole text, also inside longer values and runs; a private key goes from BEGIN to END.
+A quoted value ends at its closing quote; one without quotes ends at white space, a quote, or any of `,;<>(){}[]`. Each gets features of its length, its character transitions, how much of it dictionary words cover, its path and
 its neighbouring words. A random forest trained from labelled findings (candidate, before, after, path, label) keeps true secrets.
 
 The tables here hold no labelled findings, so `labelled_findings` makes a bounded set by rule: keys of the usual
@@ -9,8 +10,9 @@ formats, and what is often taken for one (checksums, commit and object ids, plac
 takes any other table of that form. Texts are scanned whole in one pass without a shuffle; all rows are scanned.
 
 Defined results: null and empty texts have no findings; a null path counts as empty; rows without id are scanned like others;
-repeated rows give repeated results; overlapping candidates count once, the one that begins first; findings of one class
-only, or none, make a forest that gives every candidate their share (1 without findings: everything is kept as a
+repeated rows give repeated results; candidates don't overlap: a known format takes its place first, then assigned values,
+the innermost first, then runs, and of what holds another one the parts around it are candidates of their own, if long enough;
+a private key without END ends with its last line of key characters or headers; findings of one class only, or none, make a forest that gives every candidate their share (1 without findings: everything is kept as a
 secret); an empty table gives an empty result; other columns pass through, a column with the output's name is replaced.
 """
 
@@ -46,8 +48,14 @@ FORMATS = {
     "stripe-key": r"[sr]k_live_[A-Za-z0-9]{16,}",
     "google-api-key": r"AIza[0-9A-Za-z_-]{35}",
     "jwt": r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
-    "private-key": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----",
+    "private-key": (
+        r"-----BEGIN [A-Z0-9 ]{0,20}PRIVATE KEY(?: BLOCK)?-----"
+        r"(?:(?:[^-]++|-(?!----(?:BEGIN|END) ))*+-----END [A-Z0-9 ]{0,20}PRIVATE KEY(?: BLOCK)?-----"
+        r"|(?:[ \t]*+(?:\r?\n|\\r\\n|\\n)[ \t]*+(?:[A-Za-z0-9+/=]++|[A-Za-z-]{1,40}: [^\\\n]*+|)(?=[ \t]*+(?:\r?\n|\\r\\n|\\n|[\"'`]|\Z)))*+)"
+    ),
 }
+# One of these is in every text that holds a format.
+FORMAT_MARKS = ["AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "k_live_", "AIza", "eyJ", "-----BEGIN "]
 # Names that secrets are assigned to.
 NAMES = ["password", "passwd", "pwd", "passphrase", "secret", "token", "api_key", "apikey", "access_key", "private_key", "auth_key", "client_secret", "credential", "credentials"]
 # Neighbouring words that speak for or against a secret.
@@ -68,18 +76,17 @@ DICTIONARY = (
     "thread time title token tool total trace tree true type unit update upload url user util valid value version view wait web when with word work write your"
 ).split()
 
+# One of these is in every name, in lower case.
+NAME_MARKS = ["pass", "pwd", "secret", "token", "key", "credential"]
+
+LEAST_VALUE, LEAST_RUN = 6, 20
 _NAME = "|".join(sorted((n.replace("_", "[_-]?") for n in NAMES), key=len, reverse=True))
-CANDIDATE = re.compile(
-    "|".join(
-        [
-            rf"(?i:{_NAME})[A-Za-z0-9_]{{0,24}}[\"']?[ \t]{{0,4}}(?:=>|:=|=|:)[ \t]{{0,4}}[\"'`]?(?P<assigned>[^\s\"'`,;<>(){{}}\[\]]{{6,}})",
-            *(rf"(?P<f{k}>{pattern})" for k, pattern in enumerate(FORMATS.values())),
-            r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?P<run>[A-Za-z0-9+/_-]{20,})={0,2}",
-        ]
-    )
-)
-_RULES = {"assigned": "assigned-value", "run": "key-like-run"} | {f"f{k}": name for k, name in enumerate(FORMATS)}
-_FORMAT = re.compile("|".join(FORMATS.values()))
+_ASSIGNS = re.compile(rf"(?i:{_NAME})[A-Za-z0-9_]{{0,24}}[\"']?[ \t]{{0,4}}(?:=>|:=|=|:)[ \t]{{0,4}}")
+_QUOTED = re.compile(r"""(?P<t>\"{3}|'{3})(?:\\[\s\S]|(?!(?P=t))[^\\])*+(?P=t)|(?P<q>["'`])(?:\\.|(?!(?P=q))[^\\\r\n])*+(?P=q)""")
+_BARE = re.compile(r"[^\s\"'`,;<>(){}\[\]]+")
+_RUN = re.compile(rf"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])([A-Za-z0-9+/_-]{{{LEAST_RUN},}})")
+_FORMAT = re.compile("|".join(f"(?P<f{k}>{pattern})" for k, pattern in enumerate(FORMATS.values())))
+_RULES = {f"f{k}": name for k, name in enumerate(FORMATS)}
 _WORDS = re.compile("|".join(sorted((w for w in DICTIONARY if len(w) > 2), key=len, reverse=True)))
 _RUNS = re.compile(r"(.)\1{2,}")
 _PARTS = re.compile(r"[a-z0-9]+")
@@ -105,12 +112,61 @@ class Candidate:
     path: str
 
 
+def _assigned(text: str) -> Iterator[tuple[int, int, str]]:
+    """Disjoint parts of assigned values, in order; a value inside another one goes first, and the outer one keeps the rest."""
+    open_ends: list[int] = []
+    at = bare = 0
+    for m in _ASSIGNS.finditer(text):
+        a = m.end()
+        if quoted := _QUOTED.match(text, a):
+            n = len(quoted["t"] or quoted["q"])
+            a, b = a + n, quoted.end() - n
+        else:
+            a += text[a : a + 1] in ("'", '"', "`")
+            if a >= bare:  # a value that begins inside another one without quotes has the same end
+                bare = value.end() if (value := _BARE.match(text, a)) else a
+            b = bare
+        if b - a < LEAST_VALUE:
+            continue
+        while open_ends and open_ends[-1] <= a:
+            end = open_ends.pop()
+            yield at, end, "assigned-value"
+            at = max(at, end)
+        if open_ends:
+            yield at, a, "assigned-value"
+        at = a
+        open_ends.append(b)
+    while open_ends:
+        end = open_ends.pop()
+        yield at, end, "assigned-value"
+        at = max(at, end)
+
+
+def _outside(spans: Iterator[tuple[int, int, str]], taken: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, str]]:
+    """The parts of `spans` that `taken` doesn't cover; both are in order and disjoint."""
+    k = 0
+    for a, b, rule in spans:
+        while k < len(taken) and taken[k][1] <= a:
+            k += 1
+        j = k
+        while j < len(taken) and taken[j][0] < b:
+            yield a, taken[j][0], rule
+            a = taken[j][1]
+            j += 1
+        yield a, b, rule
+
+
 def candidates(text: str, path: str) -> Iterator[Candidate]:
     """All candidates of a text, in order; they don't overlap. Positions are in code points."""
-    for m in CANDIDATE.finditer(text):
-        group = m.lastgroup
-        a, b = m.span(group)
-        yield Candidate(_RULES[group], a, b, text[a:b], text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT // 2], path)
+    taken = [(*m.span(), _RULES[m.lastgroup]) for m in _FORMAT.finditer(text)] if any(mark in text for mark in FORMAT_MARKS) else []
+    folded = text.casefold()
+    if any(mark in folded for mark in NAME_MARKS):
+        taken = sorted(taken + [s for s in _outside(_assigned(text), taken) if s[1] - s[0] >= LEAST_VALUE])
+    runs = _outside(((*m.span(1), "key-like-run") for m in _RUN.finditer(text)), taken)
+    # a part of a run needs what a run needs
+    taken = sorted(taken + [s for s in runs if s[1] - s[0] >= LEAST_RUN and any("0" <= c <= "9" for c in text[s[0] : s[1]])])
+    for a, b, rule in taken:
+        yield Candidate(rule, a, b, text[a:b], text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT // 2], path)
 
 
 def _codes(text: str) -> np.ndarray:
@@ -139,7 +195,7 @@ def _features(c: Candidate, transitions: np.ndarray) -> list[float]:
         len(share) / n,
         sum(len(m.group()) for m in _RUNS.finditer(c.text)) / n,
         float(not low.strip("0123456789abcdef")),
-        float(_FORMAT.match(c.text) is not None),
+        float(_FORMAT.search(c.text) is not None),
         float(c.rule == "assigned-value"),
         float(any(p in HARMLESS_PATHS for p in _PARTS.findall(c.path.lower()))),
         float(any(name in before for name in NAMES)),
@@ -228,9 +284,8 @@ def fit(findings: DataFrame, most: int = MOST_FINDINGS, seed: int = 11) -> Fores
     rows = known.orderBy(F.xxhash64(*known.columns), *known.columns).limit(most).collect()  # bounded by `most`
     found, y = [], np.array([float(r["label"]) for r in rows])
     for r in rows:
-        text = f"{r['before']}{r['candidate']}"
-        m = next((m for m in CANDIDATE.finditer(text) if m.span(m.lastgroup)[0] <= len(r["before"]) < m.span(m.lastgroup)[1]), None)
-        rule = _RULES[m.lastgroup] if m else "key-like-run"
+        text, at = f"{r['before']}{r['candidate']}{r['after']}", len(r["before"])
+        rule = next((c.rule for c in candidates(text, "") if c.start <= at < c.stop), "key-like-run")
         found.append(Candidate(rule, 0, 0, r["candidate"], r["before"][-CONTEXT:], r["after"][: CONTEXT // 2], r["path"]))
     if len(set(y)) < 2:
         return Forest(np.zeros((_ALPHABET, _ALPHABET)), [], float(y.mean()) if len(y) else 1.0)
@@ -266,7 +321,7 @@ def labelled_findings(spark: SparkSession, n: int = 4000, seed: int = 23) -> Dat
         secret = len(rows) % 2 == 0
         before, after, path = prose() + " ", " " + prose(), safe_path()
         if secret:
-            kind = draw.randrange(8)
+            kind = draw.randrange(8) if draw.random() < 0.8 else draw.randrange(8, 12)
             if kind == 0:
                 value = draw.choice(["AKIA", "ASIA"]) + some("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 16)
                 before += assign() if draw.random() < 0.3 else ""
@@ -282,10 +337,24 @@ def labelled_findings(spark: SparkSession, n: int = 4000, seed: int = 23) -> Dat
                 value, before = f"eyJ{some(alnum, 20)}.eyJ{some(alnum, 40)}.{some(alnum + '_-', 40)}", before + draw.choice(["", "Authorization: Bearer ", assign()])
             elif kind == 6:  # a password chosen by a person
                 value, before = draw.choice(DICTIONARY).capitalize() + some("0123456789", draw.randint(2, 4)) + some("!#%&@$", draw.randint(1, 2)) + some(alnum, draw.randint(0, 6)), before + assign()
-            else:
+            elif kind == 7:
                 value, before = some(alnum, draw.randint(20, 48)), before + draw.choice(["key ", "Bearer ", assign()])
+            elif kind == 8:  # a known format inside a longer value or path
+                value = draw.choice(["AKIA" + some("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 16), "ghp_" + some(alnum, 36), f"sk_live_{some(alnum, 24)}", f"AIza{some(alnum + '_-', 35)}"])
+                before += draw.choice(["", "token_url: ", "url = "]) + f"https://{word()}/{word()}" + draw.choice(["?key=", "/", "/files/", "?id=1&k="])
+            elif kind == 9:  # a quoted password with punctuation
+                quote = draw.choice("\"'")
+                value, before, after = some(alnum + ",;(){}[]<>!#%&@$", draw.randint(10, 20)), before + f"{name()} = {quote}", quote + after
+            elif kind == 10:  # a quoted passphrase
+                quote = draw.choice("\"'")
+                value = " ".join(f"{draw.choice(DICTIONARY).capitalize()}{some('0123456789', 2)}" for _ in range(draw.randint(3, 5))) + draw.choice("!#%&@$")
+                before, after = before + f"{name()} = {quote}", quote + after
+            else:
+                kind_of = draw.choice(["", "RSA ", "EC ", "OPENSSH "])
+                body = "\n".join(some(alnum + "+/", 64) for _ in range(draw.randint(2, 25)))
+                value = f"-----BEGIN {kind_of}PRIVATE KEY-----\n{body}\n-----END {kind_of}PRIVATE KEY-----"
         else:
-            kind = draw.randrange(11)
+            kind = draw.choice([*range(10), 12]) if draw.random() < 0.85 else draw.choice([10, 11])
             if kind == 0:
                 value, before = hexa(draw.choice([40, 64, 32])), before + draw.choice(["sha256:", "md5 ", "checksum ", "commit ", "digest sha1 ", "etag ", "integrity sha512-", "object ", "build "])
             elif kind == 1:
@@ -308,6 +377,11 @@ def labelled_findings(spark: SparkSession, n: int = 4000, seed: int = 23) -> Dat
             elif kind == 9:
                 value, before, path = hexa(draw.choice([16, 20, 32])), before + assign(), dull_path()
                 before += "example_" if draw.random() < 0.5 else ""
+            elif kind == 10:  # a message in quotes
+                quote = draw.choice("\"'")
+                value, before, after = prose().capitalize() + " " + prose() + draw.choice(["", ".", "!", ", " + word()]), before + f"{name()} = {quote}", quote + after
+            elif kind == 11:  # an address
+                value, before = f"https://{word()}.{word()}/{word()}/{word()}" + draw.choice(["", "?key=", f"?id={draw.randint(1, 99)}", "/"]), before + name() + draw.choice(["_url: ", "_uri = "])
             else:
                 value, before = draw.choice(DICTIONARY) + draw.choice(DICTIONARY), before + assign()
             path = dull_path() if draw.random() < 0.4 else path
