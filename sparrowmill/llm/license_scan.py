@@ -4,17 +4,24 @@ A text is made canonical (case, copyright lines, punctuation, spelling variants,
 hash-joined with the digests of known licence texts: a document that is a licence as a whole is found however it was
 wrapped, cased or attributed. The same normal form, kept line by line, finds known licence notices that are whole lines.
 
+Two looser forms are looked up where the first isn't known: without lines that end with `all rights reserved` or begin with
+the word copyright and name a holder, and without every line that begins with that word. Both sides are made so. The
+digest given is the first form's. Known are `TEXTS`, the files in `licenses`, and any table of texts given to `scan`.
+
 Defined results: a null text counts as empty; an empty canonical text is no licence; rows without id are scanned like
 any other; repeated rows give repeated results; an empty table gives an empty result. Only the id and text columns are
-read, so others may have any name. The known texts are a fixed table, so its broadcast has a proven bound.
+read, so others may have any name. Of texts known by several names that of the strictest form counts, then the least. The
+known texts of this module are a fixed table, so its broadcast has a proven bound; with a table of texts the digests are counted.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import documents
+from .tables import BROADCAST_DIGESTS, documents, keyed_join, written
 
 # Licence texts, as published, without their titles and copyright lines.
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -81,6 +88,12 @@ SPELLINGS = {
 #: A line that claims copyright: the word with a sign, a year or a name mark after it. A wrapped "copyright notice" isn't one.
 COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright[ \t]*(?:\(c\)|©|:|by\b|[<\[{(]?(?:year|yyyy|[12][0-9]{3}))|©|\(c\))[^\n]*$"
 
+# In lines of normal form: the end of a claim, a copyright line that names a holder (not a wrapped line of the terms), any such line.
+RESERVED_LINE = r"(?m)^[^\n]*\ball rights reserved ?$"
+HOLDER_LINE = r"(?m)^ ?copyright (?!(?:notices?|holders?|owners?|laws?|licenses?|interests?|statements?|disclaimers?|rights?|permission|treaty|protection|and|or|in|on|to|of|is|as|for|that|this|with|resulting) )[^\n]+$"
+ANY_COPYRIGHT_LINE = r"(?m)^ ?copyright\b[^\n]*$"
+END_OF_TERMS = "END OF TERMS AND CONDITIONS"
+
 
 def canonical_lines(text: Column) -> Column:
     """Normal form that still has its line breaks."""
@@ -96,23 +109,50 @@ def canonical(lines: Column) -> Column:
     return F.trim(F.regexp_replace(lines, r"\s+", " "))
 
 
-def known(spark: SparkSession) -> DataFrame:
-    """(license_id, digest) of the known texts, made canonical by the same expressions."""
+def forms(lines: Column) -> list[Column]:
+    """The whole text's normal form and its two looser ones, from `canonical_lines`."""
+    marked = lines.contains("copyright") | lines.contains("all rights reserved")
+    looser = [F.regexp_replace(F.regexp_replace(lines, RESERVED_LINE, ""), pattern, "") for pattern in (HOLDER_LINE, ANY_COPYRIGHT_LINE)]
+    return [canonical(lines), *(canonical(F.when(marked, one).otherwise(lines)) for one in looser)]
+
+
+def known_texts(spark: SparkSession) -> DataFrame:
+    """(license_id, text) of the known texts; those of a file also up to the end of its terms."""
     rows = [(name, text) for name, texts in TEXTS.items() for text in texts]
-    table = spark.createDataFrame(rows, "license_id string, text string")
-    return table.select("license_id", F.sha2(canonical(canonical_lines(F.col("text"))).cast("binary"), 256).alias("digest")).distinct()
+    for path in sorted((Path(__file__).parent / "licenses").glob("*.txt")):
+        text = path.read_text()
+        terms, end, _ = text.partition(END_OF_TERMS)
+        rows += [(path.stem, own) for own in {text, terms, terms + end}]
+    return spark.createDataFrame(rows, "license_id string, text string")
+
+
+def known(texts: DataFrame) -> DataFrame:
+    """(digest, license_id) of each form of a table (license_id, text), made canonical by the same expressions."""
+    lines = texts.where(F.col("license_id").isNotNull() & F.col("text").isNotNull()).select("license_id", canonical_lines(F.col("text")).alias("lines"))
+    named = lines.select("license_id", F.posexplode(F.array(*forms(F.col("lines")))).alias("form", "own")).where("own != ''")
+    best = named.groupBy(F.sha2(F.col("own").cast("binary"), 256).alias("digest")).agg(F.min(F.struct("form", "license_id")).alias("best"))
+    return best.select("digest", F.col("best.license_id").alias("license_id"))
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, digest, license_id, notices): notices lists the licences named by whole lines, sorted."""
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: DataFrame | None = None) -> DataFrame:
+    """(id, digest, license_id, notices): notices lists the licences named by whole lines, sorted; `texts` (license_id, text) are known, too."""
     lines = df.select(F.col(id_col).alias("id"), canonical_lines(F.coalesce(F.col(text_col), F.lit(""))).alias("lines"))
     own = F.transform(F.split("lines", "\n"), lambda line: F.trim(line))
     # the notices' normal forms are constants of the plan
-    named = [(name, canonical(canonical_lines(F.lit(text)))) for name, texts in NOTICES.items() for text in texts]
-    found = lines.select("id", F.sha2(canonical(F.col("lines")).cast("binary"), 256).alias("digest"), F.array_intersect(own, F.array(*[text for _, text in named])).alias("hits"))
+    named = [(name, canonical(canonical_lines(F.lit(text)))) for name, texts_ in NOTICES.items() for text in texts_]
+    digests = [F.sha2(form.cast("binary"), 256).alias(name) for form, name in zip(forms(F.col("lines")), ("digest", "digest1", "digest2"), strict=True)]
+    found = lines.select("id", *digests, F.array_intersect(own, F.array(*[text for _, text in named])).alias("hits"))
     ids = F.array(*[F.when(F.array_contains("hits", text), F.lit(name)) for name, text in named])
-    digests = F.broadcast(known(df.sparkSession))  # a fixed table of a few dozen rows
-    return found.select("id", "digest", F.array_sort(F.array_distinct(F.array_compact(ids))).alias("notices")).join(digests, "digest", "left").select("id", "digest", "license_id", "notices")
+    out = found.select("id", "digest", "digest1", "digest2", F.array_sort(F.array_distinct(F.array_compact(ids))).alias("notices"))
+    keys = known(known_texts(df.sparkSession))
+    if texts is None:
+        keys = F.broadcast(keys)  # a fixed table of a few dozen rows
+    else:
+        keys = written(known(known_texts(df.sparkSession).union(texts.select("license_id", "text"))), "licenses")
+    for k, name in enumerate(("digest", "digest1", "digest2")):
+        one = keys.select(F.col("digest").alias(name), F.col("license_id").alias(f"license{k}"))
+        out = out.join(one, name, "left") if texts is None else keyed_join(out, one, name, "left", BROADCAST_DIGESTS)
+    return out.select("id", "digest", F.coalesce("license0", "license1", "license2").alias("license_id"), "notices")
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

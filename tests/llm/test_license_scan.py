@@ -24,6 +24,31 @@ def test_notices_are_whole_lines(table):
     assert got == {0: ["MIT"], 1: [], 2: ["GPL-3.0", "all-rights-reserved"]}
 
 
+def test_claims_above_a_text_do_not_hide_it(table):
+    bsd, wrapped = license_scan.TEXTS["BSD-3-Clause"][0], MIT.replace("AUTHORS OR COPYRIGHT", "AUTHORS OR\nCOPYRIGHT").replace("above copyright", "above\ncopyright")
+    assert wrapped.count("\n") > MIT.count("\n") + 1
+    texts = [
+        "Copyright Jane Doe\n\n" + MIT, "Copyright The X Authors\n" + MIT, "MIT License\n\nCopyright Jane Doe 2020\n\n" + wrapped, "Copyright (c) 1990, A B\nAll rights reserved.\n\n" + bsd,
+        "Copyright (c) 1990\n  The Regents of X.  All rights reserved.\n\n" + bsd, "Copyright And Sons\n" + MIT, "Copyright Jane Doe\n" + MIT + "\nand more", "Copyright Jane Doe\nAll rights reserved.",
+    ]
+    got = {r.id: r.license_id for r in license_scan.scan(table(texts)).collect()}
+    assert got == {0: "MIT", 1: "MIT", 2: "MIT", 3: "BSD-3-Clause", 4: "BSD-3-Clause", 5: "MIT", 6: None, 7: None}
+
+
+def test_full_texts_are_known(spark, table):
+    own = license_scan.known_texts(spark).collect()
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"} <= {r.license_id for r in own}
+    got = {r.id: r.license_id for r in license_scan.scan(table([r.text.upper().replace("\n", "\r\n") for r in own])).collect()}
+    assert got == {k: r.license_id for k, r in enumerate(own)}
+
+
+def test_a_table_of_texts_adds_to_the_known_ones(spark, table):
+    more = spark.createDataFrame([("Mine", "Copyright Me\nDo what you like with it."), ("Mine-2", "do what you like with IT"), ("Void", "Copyright Me"), ("None", None), (None, "x y")], "license_id string, text string")
+    texts = ["Do what you like with it!", "Copyright (c) 2020 You\ndo what you like\nwith it", "x y", "", "Copyright Me", MIT, "Copyright Jane\nall rights reserved\nDo what you like with it."]
+    got = [(r.id, r.license_id) for r in license_scan.scan(table(texts), texts=more).orderBy("id").collect()]
+    assert got == [(0, "Mine-2"), (1, "Mine-2"), (2, None), (3, None), (4, "Void"), (5, "MIT"), (6, "Mine-2")]
+
+
 def test_awkward(awkward, empty):
     got = license_scan.scan(awkward).collect()
     assert len(got) == awkward.count() and all(r.license_id is None and r.notices == [] for r in got)
