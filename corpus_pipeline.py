@@ -6,7 +6,7 @@ it, read again, to the next stage. All but the last return the columns of `docum
 - language: texts without a letter, or null, have no language and go.
 - near_dedup: of each group of near-duplicates (five words, 0.8) the document with the least id stays. Repeated rows of one id
   count as one document. Rows without id can't be named as a copy and stay.
-- decontaminate: documents that hold a benchmark item go.
+- decontaminate: documents that hold a benchmark item, or are one below four words as a whole, go.
 - secrets: secrets are replaced in the text, and n_chars follows; no document goes.
 - mix: documents in the mix, with the number of copies of each; documents with no copy go.
 """
@@ -31,7 +31,7 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    found = decontaminate.contaminated(docs, items, out="item_ids")
+    found = decontaminate.contaminated(docs, items, out="item_ids", short_items=True)
     return found.where(F.size("item_ids") == 0).select(docs.columns)
 
 

@@ -1,8 +1,10 @@
 """Benchmark decontamination: CGK random-walk embedding, bit-sampling LSH over item-sized windows, exact edit verification.
 
-Texts and items are sequences of words (runs of letters and digits, lower-cased). A passage of a text matches an item of W
-words if it differs by at most floor(edits * W) words inserted, deleted or replaced; items shorter than `exact_below` words must
-match as they are, and items below `least_words` words aren't searched.
+Texts and items are sequences of words, lower-cased: runs of letters, marks and numbers by Unicode class, and in scripts written
+without spaces (`UNSPACED`) each character with its marks. A passage of a text matches an item of W words if it differs by at most
+floor(edits * W) words inserted, deleted or replaced; items shorter than `exact_below` words must match as they are, and an item
+below `least_words` words isn't searched in passages: with `short_items`, as the query and the pipeline have it, it matches a
+text that is the same sequence of words as a whole.
 
 1. Windows: an item is cut into floor(edits * W) + 1 pieces. Of a matching passage at least one piece is untouched, so every
    match holds a piece in full, and an item-sized window is laid around each piece found; this loses nothing.
@@ -15,15 +17,17 @@ match as they are, and items below `least_words` words aren't searched.
 Items are a stated query set: they are sent to the tasks in blocks of at most `block_words` words, and every block is
 searched in all rows. Texts are read in one pass without a shuffle.
 
-Defined results: null and empty texts match nothing; items that are null or too short are never found; equal items are all
+Defined results: null and empty texts match nothing; items that are null or without a word are never found; equal items are all
 reported; rows without id are searched like others; repeated rows give repeated results; without items no row is
 contaminated; an empty table gives an empty result. Other columns are passed through.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,21 +47,62 @@ BITS = 4
 BLOCK_WORDS = 2_000_000
 _SEED = 0x5DEECE66D
 
-_WORD_BYTES = np.zeros(256, bool)
-_WORD_BYTES[48:58] = _WORD_BYTES[65:91] = _WORD_BYTES[97:123] = True
-_WORD_BYTES[128:] = True
+# Ranges of code points of scripts without spaces between words (Thai, Lao, Myanmar, Khmer, Tai, Balinese, Javanese, Han, kana, Bopomofo, Yi).
+UNSPACED = [
+    (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x1B00, 0x1B7F), (0x3005, 0x3007), (0x3021, 0x3029), (0x3031, 0x3035),
+    (0x303B, 0x303B), (0x3040, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0xA4CF), (0xA980, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF),
+    (0xFF66, 0xFF9F), (0x1AFF0, 0x1B16F), (0x20000, 0x3FFFF),
+]
+_NONE, _LETTER, _SINGLE, _SINGLE_MARK = range(4)
+
+
+@cache
+def _kinds() -> np.ndarray:
+    """The kind of each code point."""
+    classes = np.array([ord(unicodedata.category(chr(c))[0]) for c in range(0x110000)], np.uint8)
+    mark = classes == ord("M")
+    out = np.where(mark | (classes == ord("L")) | (classes == ord("N")), _LETTER, _NONE).astype(np.uint8)
+    for a, b in UNSPACED:
+        own = out[a : b + 1]
+        own[own == _LETTER] = _SINGLE
+        own[mark[a : b + 1]] = _SINGLE_MARK
+    return out
+
+
+_ASCII = np.full(256, _LETTER, np.uint8)  # a byte that is no part of a character counts as a letter
+_ASCII[:128] = [_LETTER if chr(c).isalnum() else _NONE for c in range(128)]
+
+
+def _byte_kinds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The kind of each byte's character, and which bytes begin a character that is a word of its own."""
+    kinds, single = _ASCII[data], np.zeros(len(data), bool)
+    at = np.flatnonzero(data >= 0xC0)
+    if len(at):
+        first, n = data[at].astype(np.int64), 2 + (data[at] >= 0xE0).astype(np.int64) + (data[at] >= 0xF0)
+        code = first & np.array([0, 0, 0x1F, 0x0F, 0x07])[n]
+        for k in range(1, 4):
+            code = np.where(n > k, code << 6 | (data[np.minimum(at + k, len(data) - 1)] & 0x3F), code)
+        own = _kinds()[np.minimum(code, 0x10FFFF)]
+        for k in range(4):
+            inside = (n > k) & (at + k < len(data))
+            kinds[at[inside] + k] = own[inside]
+        single[at[own == _SINGLE]] = True
+    return kinds, single
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and row of each word; bytes outside ASCII count as letters."""
+    """Hash and row of each word."""
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    solid = _WORD_BYTES[data]
+    kinds, single = _byte_kinds(data)
+    solid = kinds != _NONE
     row_start, row_end = np.zeros(len(data) + 1, bool), np.zeros(len(data) + 1, bool)
     row_start[offsets[:-1]] = True
     row_end[offsets[1:]] = True
-    starts = np.flatnonzero(solid & (np.concatenate([[True], ~solid[:-1]]) | row_start[:-1]))
-    ends = np.flatnonzero(solid & (np.concatenate([~solid[1:], [True]]) | row_end[1:])) + 1
+    begins = solid & (np.concatenate([[True], ~solid[:-1]]) | row_start[:-1]) | single
+    begins[1:] |= (kinds[1:] == _LETTER) & (kinds[:-1] > _LETTER)
+    starts = np.flatnonzero(begins)
+    ends = np.flatnonzero(solid & (np.concatenate([~solid[1:] | begins[1:], [True]]) | row_end[1:])) + 1
     return wordhash.span_hashes(data, starts, ends), np.searchsorted(offsets, starts, side="right") - 1
 
 
@@ -111,18 +156,25 @@ class Items:
     filters: dict[int, np.ndarray]
     embedded: list[np.ndarray]
     samples: list[np.ndarray]  # for each walk (tables, bits) in [0, 1)
+    short: dict[tuple[int, ...], list[int]]  # words of items below the least: ids
+    least_words: int
 
     @classmethod
-    def build(cls, ids: list[int], texts: list[str], edits: float, least_words: int, exact_below: int, walks: int, tables: int, bits: int) -> Items:
+    def build(cls, ids: list[int], texts: list[str], edits: float, least_words: int, exact_below: int, walks: int, tables: int, bits: int, short_items: bool = False) -> Items:
         data, offsets = wordhash.utf8(pa.array(texts, pa.string()))
         hashes, rows = tokens(data, offsets)
         counts = np.bincount(rows, minlength=len(texts)) if len(texts) else np.zeros(0, np.int64)
         use = np.flatnonzero(counts >= least_words)
         lengths = counts[use]
-        firsts = (np.cumsum(counts) - counts)[use]
+        before = np.cumsum(counts) - counts
+        firsts = before[use]
         words = np.zeros((len(use), int(lengths.max()) if len(use) else 1), np.uint64)
         for k, (first, n) in enumerate(zip(firsts, lengths, strict=True)):
             words[k, :n] = hashes[first : first + n]
+        short: dict[tuple[int, ...], list[int]] = {}
+        for k in np.flatnonzero((counts > 0) & (counts < least_words)) if short_items else ():
+            first = int(before[k])
+            short.setdefault(tuple(hashes[first : first + counts[k]].tolist()), []).append(ids[k])
         allowed = np.where(lengths < exact_below, 0, np.floor(lengths * edits + 1e-9)).astype(np.int64)
         found: dict[int, list[tuple[int, int, int]]] = {}
         for k, (n, more) in enumerate(zip(lengths, allowed, strict=True)):
@@ -137,7 +189,7 @@ class Items:
             filters[length] = np.zeros(1 << 20, bool)
             filters[length][(keys >> np.uint64(44)).astype(np.int64)] = True
         draw = np.random.default_rng(_SEED)
-        return cls(np.array(ids, np.int64)[use], words, lengths, allowed, pieces, filters, [walk(words, lengths, w) for w in range(walks)], [draw.random((tables, bits)) for _ in range(walks)])
+        return cls(np.array(ids, np.int64)[use], words, lengths, allowed, pieces, filters, [walk(words, lengths, w) for w in range(walks)], [draw.random((tables, bits)) for _ in range(walks)], short, least_words)
 
     def windows(self, words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (first word, item) of item-sized windows around pieces; the first word may lie outside the row."""
@@ -178,6 +230,11 @@ class Items:
         out: list[set[int]] = [set() for _ in range(len(offsets) - 1)]
         for i, j in wordhash.chunks(offsets):
             words, rows = tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            if len(words) and self.short:
+                counts = np.bincount(rows, minlength=j - i)
+                for row in np.flatnonzero((counts > 0) & (counts < self.least_words)):
+                    first = int(np.searchsorted(rows, row))
+                    out[i + row].update(self.short.get(tuple(words[first : first + counts[row]].tolist()), []))
             if not len(words) or not len(self.ids):
                 continue
             starts, items = self.windows(words, rows)
@@ -197,7 +254,7 @@ def blocks(items: DataFrame, id_col: str, text_col: str, block_words: int) -> It
     """The query set in blocks of bounded size, streamed to the driver one partition at a time."""
     ids, texts, size = [], [], 0
     for row in items.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, F.lower(text_col)).toLocalIterator():
-        n = row[1].count(" ") + 1
+        n = row[1].count(" ") + 1 + len(row[1].encode()) - len(row[1])  # characters outside ASCII may be words
         if ids and size + n > block_words:
             yield ids, texts
             ids, texts, size = [], [], 0
@@ -221,13 +278,14 @@ def contaminated(
     bits: int = BITS,
     block_words: int = BLOCK_WORDS,
     out: str = "item_ids",
+    short_items: bool = False,
 ) -> DataFrame:
     """All columns of `df` and the sorted ids of the items found in each row's text; a column of that name is replaced."""
     df = df.drop(out)
     schema = StructType([*df.schema.fields, StructField(out, ArrayType(LongType()))])
     names = schema.fieldNames()
     context = df.sparkSession.sparkContext
-    shared = [context.broadcast(Items.build(ids, texts, edits, least_words, exact_below, walks, tables, bits)) for ids, texts in blocks(items, item_id, item_text, block_words)]
+    shared = [context.broadcast(Items.build(ids, texts, edits, least_words, exact_below, walks, tables, bits, short_items)) for ids, texts in blocks(items, item_id, item_text, block_words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,5 +300,5 @@ def contaminated(
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:
     """Benchmark items found in each document."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    found = contaminated(documents(spark, sf_dir).select("doc_id", "text"), items)
+    found = contaminated(documents(spark, sf_dir).select("doc_id", "text"), items, short_items=True)
     return found.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids")

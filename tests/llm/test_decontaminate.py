@@ -107,3 +107,44 @@ def test_awkward(spark, awkward, empty):
 def test_short_texts(text):
     block = decontaminate.Items.build([1], ["a b c d e f g h i j"], 0.2, 4, 8, 2, 4, 2)
     assert block.search(pa.array([text, None])) == [set(), set()]
+
+
+CHINESE = "人工智能的发展正在改变我们的生活方式和工作方式"
+JAPANESE = "東京タワーは日本の首都にある有名な観光名所です"
+THAI = "ประเทศไทยตั้งอยู่ในเอเชียตะวันออกเฉียงใต้"
+
+
+def test_scripts_without_spaces_and_signs_outside_ascii(spark, table):
+    english = "the quick brown fox jumps over the lazy dog today"
+    items = {1: CHINESE, 2: JAPANESE, 3: THAI, 4: english, 5: "东西"}
+    df = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    texts = [
+        f"前文说明。{CHINESE}。后文继续", f"見て、{JAPANESE}！そう", f"ก่อน{THAI}หลัง", CHINESE[:9] + "真" + CHINESE[10:], CHINESE[:10] + "完全不同的另外一段文字内容",
+        "say “the—quick…brown” ‘fox’ jumps—over «the» lazy—dog… today。", "东西！", "东西南北", "x" + CHINESE + "y", JAPANESE.replace("は", "、は「") + "。",
+    ]
+    got = {r.doc_id: r.item_ids for r in decontaminate.contaminated(table(texts), df, short_items=True).collect()}
+    assert got == {0: [1], 1: [2], 2: [3], 3: [1], 4: [], 5: [4], 6: [5], 7: [], 8: [1], 9: [2]}
+
+
+def test_short_items_match_whole_texts(spark, table):
+    df = spark.createDataFrame([(1, "The Cat sat"), (2, "the cat—sat!"), (3, "yes"), (4, "...")], "item_id long, text string")
+    got = {r.doc_id: r.item_ids for r in decontaminate.contaminated(table(["the cat sat.", "the cat sat down", "“Yes”", "yes yes", "...", None, ""]), df, short_items=True).collect()}
+    assert got == {0: [1, 2], 1: [], 2: [3], 3: [], 4: [], 5: [], 6: []}
+
+
+def test_words_are_those_of_a_plain_loop():
+    draw = random.Random(8)
+    chars = "ab7 é߀ßı—’“。、漢字々かなカー한국กี่ขำ\u0301\u0e31😀𠀀-\n"
+    kinds = decontaminate._kinds()
+    rows = ["".join(draw.choice(chars) for _ in range(draw.randrange(30))) for _ in range(300)]
+    counts = []
+    for row in rows:
+        n, last = 0, 0
+        for c in row:
+            kind = kinds[ord(c)]
+            n += bool(kind) and (not last or kind == 2 or (kind == 1 and last > 1))
+            last = kind
+        counts.append(n)
+    data, offsets = decontaminate.wordhash.utf8(pa.array(rows))
+    _, own = decontaminate.tokens(data, offsets)
+    assert np.bincount(own, minlength=len(rows)).tolist() == counts
