@@ -8,7 +8,8 @@ of the features that may change (null: all of `Space.mutable`). Rows are indepen
 - `exact` finds the nearest counterfactual of a row by branch and bound over the cells between the model's thresholds, a small helper
   for each row in grouped pandas; it says whether its answer is proven, or its node budget ran out.
 
-Missing values stay missing in all of them. Rows for which nothing is found are in the result with their reason.
+Missing values stay missing in all of them. Rows for which nothing is found are in the result with their reason, those of
+`genetic` if asked for with `every_row`.
 """
 
 from __future__ import annotations
@@ -162,12 +163,13 @@ def _uniform(*parts: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*parts), 11) / F.lit(float(1 << 53))
 
 
-def genetic(rows: DataFrame, ensemble: Ensemble, space: Space, threshold: float, target: int = 0, genes: Genes = Genes()) -> DataFrame:  # noqa: B008
-    """(row_id, cf_rank, vector, counterfactual, proba_factual, proba, distance, n_changed): up to `total` distinct valid ones a row.
+def genetic(rows: DataFrame, ensemble: Ensemble, space: Space, threshold: float, target: int = 0, genes: Genes = Genes(), every_row: bool = False) -> DataFrame:  # noqa: B008
+    """(row_id, cf_rank, vector, counterfactual, proba_factual, proba, distance, n_changed, status): up to `total` distinct valid ones a row.
 
     Each generation crosses members of the better half and mutates them, a join on row and rank; cost is how far the prediction is
     from flipping, plus weighed proximity and sparsity. At the end those that change the same features as a better one cost
-    the diversity weight more. All draws are hashes of row, member, generation and feature, so reruns agree.
+    the diversity weight more. With `every_row`, a row without any
+    has cf_rank 0 and the status `budget`: the generations ended, nothing is proven; else it isn't in the result. All draws are hashes of row, member, generation and feature, so reruns agree.
     """
     score = lambda v: scalars.sigmoid(vector_margin_column(ensemble, space.features, v))
     least, most, ranges, k = _doubles(space.least), _doubles(space.most), space.ranges(), len(space.features)
@@ -211,7 +213,10 @@ def genetic(rows: DataFrame, ensemble: Ensemble, space: Space, threshold: float,
     alike = Window.partitionBy("row_id", "_changed").orderBy("cost", "member")
     valid = people.where("wrong = 0").withColumn("_changed", changed).withColumn("_cost", F.col("cost") + genes.diversity * (F.row_number().over(alike) - 1))
     rank = F.row_number().over(Window.partitionBy("row_id").orderBy("_cost", "member"))
-    return valid.withColumn("cf_rank", rank).where(F.col("cf_rank") <= genes.total).select("row_id", "cf_rank", F.col("original").alias("vector"), F.col("vector").alias("counterfactual"), "proba_factual", "proba", "distance", "n_changed")
+    found = valid.withColumn("cf_rank", rank).where(F.col("cf_rank") <= genes.total).select("row_id", "cf_rank", F.col("vector").alias("counterfactual"), "proba", "distance", "n_changed")
+    every = start.select("row_id", F.col("original").alias("vector"), "proba_factual").join(found, "row_id", "left" if every_row else "inner")
+    status = F.when(F.col("cf_rank").isNull(), F.lit("budget")).otherwise(F.lit("found")).alias("status")
+    return every.select("row_id", F.coalesce("cf_rank", F.lit(0)).alias("cf_rank"), "vector", "counterfactual", "proba_factual", "proba", "distance", "n_changed", status)
 
 
 @dataclass(frozen=True)

@@ -291,7 +291,7 @@ def _search_rows(spark, sf_dir):
 @query()
 def beam_search(spark, sf_dir):
     rows, space = _search_rows(spark, sf_dir)
-    return search.beam(rows, TOY, space, CUT, steps=3, width=10)
+    return search.beam(rows, TOY, space, CUT)
 
 
 @query()
@@ -303,7 +303,7 @@ def exact_search(spark, sf_dir):
 @query()
 def genetic_search(spark, sf_dir):
     rows, space = _search_rows(spark, sf_dir)
-    return search.genetic(rows, TOY, space, CUT, genes=search.Genes(generations=3, population=32))
+    return search.genetic(rows, TOY, space, CUT, every_row=True)
 
 
 assert events.SCALE == scalars.PRECISION and len(COUNTS) == len(MEANS)

@@ -235,6 +235,16 @@ def test_exact_is_never_farther_than_the_others(spark, explained):
     assert len({(r.row_id, r.cf_rank) for r in genes}) == len(genes)
 
 
+def test_genetic_names_rows_without_a_counterfactual(spark, explained):
+    _, df, keep = explained
+    fixed = df.withColumn("search", F.when(F.col("row_id") == int(keep[0]), F.array().cast("array<string>")).otherwise(F.col("search")))
+    found = search.genetic(fixed, TOY, SPACE, CUT, genes=search.Genes(generations=1, population=8), every_row=True).collect()
+    assert {r.row_id for r in found} == {int(k) for k in keep}
+    none = [r for r in found if r.cf_rank == 0]
+    assert int(keep[0]) in {r.row_id for r in none} and all(r.status == "budget" and r.counterfactual is None for r in none)
+    assert all(r.status == "found" and r.counterfactual for r in found if r.cf_rank)
+
+
 def test_exact_against_a_grid(spark, explained):
     """Every cell of the two free features of a row, tried one by one."""
     x, df, _ = explained
