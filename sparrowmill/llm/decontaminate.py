@@ -2,28 +2,30 @@
 
 Texts and items are sequences of words, lower-cased: runs of letters, marks and numbers by Unicode class, and in scripts written
 without spaces (`UNSPACED`) each character with its marks. A passage of a text matches an item of W words if it differs by at most
-floor(edits * W) words inserted, deleted or replaced; items shorter than `exact_below` words must match as they are, and an item
-below `least_words` words isn't searched in passages: with `short_items`, as the query and the pipeline have it, it matches a
-text that is the same sequence of words as a whole.
-
-1. Windows: an item is cut into floor(edits * W) + 1 pieces. Of a matching passage at least one piece is untouched, so every
-   match holds a piece in full, and an item-sized window is laid around each piece found; this loses nothing.
-2. Each window is embedded by `walks` random walks: at each step the walk emits the word it stands on, and a hashed bit of
-   step and word says whether it moves on. Edit distance becomes Hamming distance between embeddings of window and item.
-3. Bit sampling: each of `tables` tables compares `bits` sampled steps; a window that agrees in a table of a walk is a
-   candidate. `recall` gives the chance for a Hamming share; the defaults pass 99 % at the Hamming shares of allowed edits.
-4. Candidates are confirmed by the exact edit distance between the item and its best place around the window.
-
-Items are a stated query set: they are sent to the tasks in blocks of at most `block_words` words, and every block is
-searched in all rows. Texts are read in one pass without a shuffle.
+floor(edits * W) words inserted, deleted or replaced, so items below 1 / edits words match only as they are. Items of every length are
+searched, also those of one word.
+
+1. Windows are as long as the item; items above SPAN words are searched by even chunks of at most SPAN words, of which
+   at least one has no more than its share of the edits. Lengths fall in classes.
+2. At every place of a text, the window that begins there is embedded by `walks` random walks: at each step a walk emits the word it
+   stands on, and a hashed bit of step and word says whether it moves on. Edit distance becomes Hamming distance.
+3. Bit sampling: each of `tables` tables hashes `bits` sampled steps to a bucket; window and chunk that share a bucket are candidates.
+   A window that isn't aligned with the item's start counts as well, so that at the most edits allowed about 99 % are found (`test_recall`).
+4. Candidates are confirmed by the exact edit distance between the whole item and its best place around the window.
+
+Two tests by bitmaps spare work and lose nothing: each edit breaks at most two pairs of neighbouring words, so a window that holds
+fewer than W - 1 - 2 * edits pairs of items isn't embedded; and buckets without an item aren't sent on. The bitmaps are what is
+broadcast, at most MOST_FILTER_BITS each; items, buckets and candidates are tables that Spark joins. Texts with equal digests are
+searched in every row but verified once, so a passage that many rows copy costs no more.
 
 Defined results: null and empty texts match nothing; items that are null or without a word are never found; equal items are all
 reported; rows without id are searched like others; repeated rows give repeated results; without items no row is
-contaminated; an empty table gives an empty result. Other columns are passed through.
+contaminated; an empty table gives an empty result. Other columns are passed through. Item ids may have any type.
 """
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,20 +33,20 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from . import wordhash
-from .tables import documents
+from .tables import BROADCAST_DIGESTS, documents, keyed_join, small_batches, written
 
 EDITS = 0.2
-LEAST_WORDS = 4
-EXACT_BELOW = 8
+SPAN = 64
 WALKS = 4
-TABLES = 48
-BITS = 4
-BLOCK_WORDS = 2_000_000
+TABLES = 16
+BITS = 3
+#: Bits of a bitmap: FILTER_SHARE for each key, within these bounds.
+FILTER_SHARE, LEAST_FILTER_BITS, MOST_FILTER_BITS = 16, 1 << 16, 1 << 28
 _SEED = 0x5DEECE66D
 
 # Ranges of code points of scripts without spaces between words (Thai, Lao, Myanmar, Khmer, Tai, Balinese, Javanese, Han, kana, Bopomofo, Yi).
@@ -90,8 +92,11 @@ def _byte_kinds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return kinds, single
 
 
-def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and row of each word."""
+_SEPARATORS = np.zeros(256, bool)
+_SEPARATORS[:128] = _ASCII[:128] == _NONE
+
+
+def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     kinds, single = _byte_kinds(data)
@@ -106,30 +111,278 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return wordhash.span_hashes(data, starts, ends), np.searchsorted(offsets, starts, side="right") - 1
 
 
-def _gram(words: np.ndarray, length: int) -> np.ndarray:
-    """Hash of the `length` words from each position on."""
-    out = np.zeros(max(len(words) - length + 1, 0), np.uint64)
-    for k in range(length):
-        out = out * np.uint64(0x9FB21C651E98DF25) + words[k : k + len(out)]
-    return wordhash.mix(out)
-
-
-def walk(words: np.ndarray, lengths: np.ndarray, seed: int) -> np.ndarray:
-    """CGK embeddings (n, 3 * width) of padded word sequences (n, width); 0 after a sequence's end."""
-    n, width = words.shape
-    out = np.zeros((n, 3 * width), np.uint64)
-    at, rows = np.zeros(n, np.int64), np.arange(n)
-    for step in range(3 * width):
-        inside = at < lengths
-        here = np.where(inside, words[rows, np.minimum(at, width - 1)], np.uint64(0))
-        out[:, step] = here
-        at += inside & ((wordhash.mix(here ^ np.uint64((seed * 1_000_003 + step) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) & np.uint64(1)) == 1)
+def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and row of each word of lower-cased texts."""
+    return wordhash.piecewise(data, offsets, _tokens, _SEPARATORS)
+
+
+def texts_of(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, words, row of each word) for ranges of rows, lower-cased here."""
+    data, offsets = wordhash.utf8(pc.utf8_lower(column))
+    for i, j in wordhash.chunks(offsets):
+        words, rows = tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        yield i, words, rows
+
+
+
+def allowed(length, edits: float):
+    return np.floor(np.asarray(length) * edits + 1e-9).astype(np.int64)
+
+
+@dataclass(frozen=True)
+class Window:
+    """A class of chunk lengths `low` to `high`: `steps` of a walk are sampled, `reach` words are looked at, `pairs` of items must be among them."""
+
+    low: int
+    high: int
+    steps: int
+    reach: int
+    pairs: int
+    drift: int
+
+
+@cache
+def windows(edits: float) -> list[Window]:
+    out, low = [], 1
+    while low <= SPAN:
+        high = min(SPAN, max(low, int(low * 1.22)))
+        lengths = np.arange(low, high + 1)
+        most = allowed(lengths, edits)
+        out.append(Window(low, high, low + low // 4, high + int(most[-1]), int((lengths - 1 - 2 * most).min()), int(most[-1]) + 2))
+        low = high + 1
+    return out
+
+
+@cache
+def samples(steps: int, walks: int, tables: int, bits: int) -> np.ndarray:
+    """Sampled steps (walks, tables, bits)."""
+    draw = np.random.default_rng(_SEED)
+    return np.array([[np.sort(draw.permutation(steps)[np.arange(bits) % steps]) for _ in range(tables)] for _ in range(walks)])
+
+
+def moves(words: np.ndarray, walks: int, steps: int) -> np.ndarray:
+    """For each walk and 64 steps, a long for each word: bit k says whether the walk moves on from the word at step k."""
+    seeds = wordhash.mix(np.arange(1, walks * (-(-steps // 64)) + 1, dtype=np.uint64)).reshape(walks, -1, 1)
+    return wordhash.mix(words ^ seeds)
+
+
+def walk(words: np.ndarray, moving: np.ndarray, starts: np.ndarray, ends: np.ndarray, steps: int) -> np.ndarray:
+    """CGK embeddings (steps, n) of the words from each start on, by one walk's `moves`; 0 from its end on."""
+    out, at, last = np.zeros((steps, len(starts)), np.uint64), starts.copy(), len(words) - 1
+    for step in range(steps):
+        inside, here = at < ends, np.minimum(at, last)
+        out[step] = np.where(inside, words[here], np.uint64(0))
+        at += inside & (moving[step // 64][here] >> np.uint64(step % 64) & np.uint64(1) == 1)
     return out
 
 
-def recall(hamming_share: float, walks: int = WALKS, tables: int = TABLES, bits: int = BITS) -> float:
-    """Chance that bit sampling keeps a pair whose embeddings differ in this share of the steps in every walk."""
-    return 1 - (1 - (1 - hamming_share) ** bits) ** (walks * tables)
+def buckets(embedded: np.ndarray, kind: int, table: int, sampled: np.ndarray) -> np.ndarray:
+    """Bucket keys (n, tables) of embeddings by one walk's sampled steps (tables, bits); `table` numbers the first table."""
+    tables, bits = sampled.shape
+    keys = np.full((tables, embedded.shape[1]), kind, np.uint64) + (np.arange(table, table + tables, dtype=np.uint64) << np.uint64(16))[:, None]
+    for k in range(bits):
+        keys = wordhash.mix(keys * np.uint64(0x9FB21C651E98DF25) + embedded[sampled[:, k]])
+    return keys.T
+
+
+def _pairs(words: np.ndarray) -> np.ndarray:
+    """Hashes of neighbouring words."""
+    return wordhash.mix(words[:-1] * np.uint64(0xD6E8FEB86659FD93) + words[1:])
+
+
+class Bitmap:
+    """Which hashes occur, by their highest bits; others may seem to."""
+
+    def __init__(self, bits: int, slots: np.ndarray, values: np.ndarray) -> None:
+        self.shift = np.uint64(64 - bits.bit_length() + 1)
+        self.words = np.zeros(bits >> 6, np.uint64)
+        self.words[slots] = values
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes >> self.shift
+        return self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1) == 1
+
+
+def bitmap(hashes: DataFrame) -> Bitmap:
+    """Bitmap of a column `hash`, put together by Spark; what reaches the driver has the bitmap's size."""
+    n = hashes.count()
+    bits = LEAST_FILTER_BITS
+    while bits < min(FILTER_SHARE * n, MOST_FILTER_BITS):
+        bits *= 2
+    at = F.shiftrightunsigned("hash", 64 - bits.bit_length() + 1)
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+    filled = hashes.groupBy(F.shiftright(at, 6).alias("slot")).agg(F.bit_or(one).alias("bits")).toArrow()
+    return Bitmap(bits, filled["slot"].to_numpy(), filled["bits"].to_numpy().view(np.uint64))
+
+
+
+def item_words(items: DataFrame, item_id: str, item_text: str) -> DataFrame:
+    """(item_id, item, words): the word hashes of each item with a word, and their digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, words, rows in texts_of(batch.column(1)):
+                for row in np.unique(rows):
+                    own = words[rows == row]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i + row, 1), pa.array([hashlib.md5(own.tobytes()).digest()]), pa.array([own.view(np.int64)])], ["item_id", "item", "words"])
+
+    known = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"))
+    return known.mapInArrow(run, f"item_id {known.schema['item_id'].dataType.simpleString()}, item binary, words array<long>")
+
+
+def item_buckets(items: DataFrame, edits: float, walks: int, tables: int, bits: int) -> DataFrame:
+    """(item, n, at, kind, hash) from (item, words): buckets of the chunk at word `at`; with kind -1 the hashes of word pairs, and -2 those of words that are items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = windows(edits)
+        lows = np.array([c.low for c in classes])
+        for batch in batches:
+            for item, words in zip(batch.column(0), batch.column(1), strict=True):
+                own = words.values.to_numpy().view(np.uint64)
+                moving = moves(own, walks, classes[-1].steps)
+                cuts = len(own) * np.arange(-(-len(own) // SPAN) + 1) // -(-len(own) // SPAN)
+                at, kinds, hashes = [np.zeros(len(own) - 1, np.int64)], [np.full(len(own) - 1, -1)], [_pairs(own)]
+                if len(own) == 1:
+                    at, kinds, hashes = [np.zeros(1, np.int64)], [np.full(1, -2)], [wordhash.mix(own)]
+                kind = np.searchsorted(lows, np.diff(cuts), side="right") - 1
+                for k in np.unique(kind):
+                    starts, ends = cuts[:-1][kind == k], cuts[1:][kind == k]
+                    for w, sampled in enumerate(samples(classes[k].steps, walks, tables, bits)):
+                        keys = buckets(walk(own, moving[w], starts, ends, classes[k].steps), int(k), w * tables, sampled)
+                        at.append(np.repeat(starts, tables))
+                        kinds.append(np.full(keys.size, k))
+                        hashes.append(keys.ravel())
+                at = np.concatenate(at)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([item.as_py()] * len(at), pa.binary()), pa.array(np.full(len(at), len(own))), pa.array(at), pa.array(np.concatenate(kinds)), pa.array(np.concatenate(hashes).view(np.int64))],
+                    ["item", "n", "at", "kind", "hash"],
+                )
+
+    return items.select("item", "words").mapInArrow(run, "item binary, n long, at long, kind long, hash long").distinct()
+
+
+
+@dataclass
+class Search:
+    """What every task needs to find the windows that share a bucket with an item; of bounded size."""
+
+    kinds: list[int]
+    words: Bitmap
+    pairs: Bitmap
+    keys: Bitmap
+    edits: float
+    walks: int
+    tables: int
+    bits: int
+
+    def dense(self, words: np.ndarray, ends: np.ndarray, pairs: np.ndarray, kind: int) -> np.ndarray:
+        """The starts of windows of a class that can match, and those next to them."""
+        own = windows(self.edits)[kind]
+        if own.high == 1:
+            return np.flatnonzero(self.words.has(wordhash.mix(words)))
+        at = np.arange(len(words))
+        if own.pairs <= 0:
+            return at
+        fits = pairs[np.minimum(at + own.reach - 1, ends - 1)] - pairs[at] >= own.pairs
+        if own.drift > 2:  # without edits a window must be aligned
+            near = np.concatenate([[0], np.cumsum(fits)])
+            fits = near[np.minimum(at + own.drift, len(words))] > near[np.maximum(at - own.drift, 0)]
+        return np.flatnonzero(fits)
+
+    def found(self, words: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """First words and bucket keys of windows in buckets that hold an item."""
+        if not len(words):
+            return
+        ends = np.searchsorted(rows, rows, side="right")
+        pairs = np.zeros(len(words), np.int64)
+        np.cumsum(self.pairs.has(_pairs(words)) & (rows[1:] == rows[:-1]), out=pairs[1:])
+        dense = {kind: self.dense(words, ends, pairs, kind) for kind in self.kinds}
+        every = np.unique(np.concatenate([np.zeros(0, np.int64), *dense.values()]))
+        if not len(every):
+            return
+        # one walk serves all classes: a shorter class samples its first steps
+        classes = windows(self.edits)
+        steps = max(classes[kind].steps for kind, own in dense.items() if len(own))
+        moving = moves(words, self.walks, steps)
+        for k in range(0, len(every), 4096):
+            starts = every[k : k + 4096]
+            own = {kind: np.searchsorted(starts, at[(at >= starts[0]) & (at <= starts[-1])]) for kind, at in dense.items()}
+            own = {kind: here for kind, here in own.items() if len(here)}
+            for w in range(self.walks):
+                embedded = walk(words, moving[w], starts, ends[starts], steps)
+                for kind, here in own.items():
+                    keys = buckets(embedded[:, here], kind, w * self.tables, samples(classes[kind].steps, self.walks, self.tables, self.bits)[w])
+                    window, table = np.nonzero(self.keys.has(keys))
+                    at, found = starts[here[window]], keys[window, table]
+                    # walks from neighbouring places soon agree: of places in the same region one is enough
+                    order = np.lexsort((at, found))
+                    at, found = at[order], found[order]
+                    same = (found[1:] == found[:-1]) & (rows[at[1:]] == rows[at[:-1]]) & (at[1:] // (classes[kind].drift - 1) == at[:-1] // (classes[kind].drift - 1))
+                    if len(at):
+                        new = np.concatenate([[True], ~same])
+                        yield at[new], found[new]
+
+
+def _key(text: Column) -> Column:
+    return F.unhex(F.md5(text.cast("binary")))
+
+
+def candidates(df: DataFrame, text_col: str, search: Search) -> DataFrame:
+    """(text, at, hash): the digest of each text with a window in an item's bucket, the window's first word and the bucket."""
+    shared = df.sparkSession.sparkContext.broadcast(search)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(0)
+            for i, words, rows in texts_of(column):
+                first = np.searchsorted(rows, rows)
+                for starts, keys in shared.value.found(words, rows):
+                    own, of = np.unique(rows[starts], return_inverse=True)
+                    digests = pa.array([hashlib.md5(column[i + int(r)].as_py().encode()).digest() for r in own], pa.binary())
+                    yield pa.RecordBatch.from_arrays([digests.take(pa.array(of)), pa.array(starts - first[starts]), pa.array(keys.view(np.int64))], ["text", "at", "hash"])
+
+    return df.select(text_col).mapInArrow(run, "text binary, at long, hash long")
+
+
+def _merged(wanted: list[dict], edits: float) -> Iterator[tuple[bytes, int, int]]:
+    """(item, first word, end): the regions around the starts of an item, those that meet as one."""
+    last: tuple[bytes, int, int] | None = None
+    for c in sorted(wanted, key=lambda c: (c["item"], c["start"])):
+        more = int(allowed(c["n"], edits))
+        low, high = max(0, c["start"] - 2 * more - 2), max(0, c["start"] + c["n"] + 3 * more + 3)
+        if last and last[0] == c["item"] and low <= last[2]:
+            last = last[0], last[1], max(high, last[2])
+            continue
+        if last:
+            yield last
+        last = c["item"], low, high
+    if last:
+        yield last
+
+
+def regions(texts: DataFrame, edits: float) -> DataFrame:
+    """(text, item, region) from (text, own, wanted): the words around each candidate start (item, n, start) of a text."""
+
+    def batch_of(text: pa.Scalar, items: list[bytes], parts: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([text.as_py()] * len(items), pa.binary()), pa.array(items, pa.binary()), pa.array(parts, pa.list_(pa.int64()))], ["text", "item", "region"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wanted = batch.column(2)
+            for i, words, rows in texts_of(batch.column(1)):
+                for row in np.unique(rows):
+                    own, k = words[rows == row], int(i + row)
+                    items, parts, size = [], [], 0
+                    for item, low, high in _merged(wanted[k].as_py(), edits):
+                        items.append(item)
+                        parts.append(own[low:high].view(np.int64))
+                        size += len(parts[-1])
+                        if size > 1 << 18:
+                            yield batch_of(batch.column(0)[k], items, parts)
+                            items, parts, size = [], [], 0
+                    yield batch_of(batch.column(0)[k], items, parts)
+
+    return texts.mapInArrow(run, "text binary, item binary, region array<long>")
 
 
 def edit_distance(item: np.ndarray, region: np.ndarray) -> int:
@@ -144,161 +397,44 @@ def edit_distance(item: np.ndarray, region: np.ndarray) -> int:
     return int(before.min())
 
 
-@dataclass
-class Items:
-    """A block of items, with its pieces by length and its embeddings."""
-
-    ids: np.ndarray
-    words: np.ndarray  # padded
-    lengths: np.ndarray
-    allowed: np.ndarray
-    pieces: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # length: sorted hashes, item, offset
-    filters: dict[int, np.ndarray]
-    embedded: list[np.ndarray]
-    samples: list[np.ndarray]  # for each walk (tables, bits) in [0, 1)
-    short: dict[tuple[int, ...], list[int]]  # words of items below the least: ids
-    least_words: int
-
-    @classmethod
-    def build(cls, ids: list[int], texts: list[str], edits: float, least_words: int, exact_below: int, walks: int, tables: int, bits: int, short_items: bool = False) -> Items:
-        data, offsets = wordhash.utf8(pa.array(texts, pa.string()))
-        hashes, rows = tokens(data, offsets)
-        counts = np.bincount(rows, minlength=len(texts)) if len(texts) else np.zeros(0, np.int64)
-        use = np.flatnonzero(counts >= least_words)
-        lengths = counts[use]
-        before = np.cumsum(counts) - counts
-        firsts = before[use]
-        words = np.zeros((len(use), int(lengths.max()) if len(use) else 1), np.uint64)
-        for k, (first, n) in enumerate(zip(firsts, lengths, strict=True)):
-            words[k, :n] = hashes[first : first + n]
-        short: dict[tuple[int, ...], list[int]] = {}
-        for k in np.flatnonzero((counts > 0) & (counts < least_words)) if short_items else ():
-            first = int(before[k])
-            short.setdefault(tuple(hashes[first : first + counts[k]].tolist()), []).append(ids[k])
-        allowed = np.where(lengths < exact_below, 0, np.floor(lengths * edits + 1e-9)).astype(np.int64)
-        found: dict[int, list[tuple[int, int, int]]] = {}
-        for k, (n, more) in enumerate(zip(lengths, allowed, strict=True)):
-            edges = [int(n) * p // (int(more) + 1) for p in range(int(more) + 2)]
-            for a, b in zip(edges, edges[1:], strict=False):
-                found.setdefault(b - a, []).append((int(_gram(words[k, a:b], b - a)[0]), k, a))
-        pieces, filters = {}, {}
-        for length, own in found.items():
-            own.sort()
-            keys = np.array([key for key, _, _ in own], np.uint64)
-            pieces[length] = keys, np.array([k for _, k, _ in own]), np.array([a for _, _, a in own])
-            filters[length] = np.zeros(1 << 20, bool)
-            filters[length][(keys >> np.uint64(44)).astype(np.int64)] = True
-        draw = np.random.default_rng(_SEED)
-        return cls(np.array(ids, np.int64)[use], words, lengths, allowed, pieces, filters, [walk(words, lengths, w) for w in range(walks)], [draw.random((tables, bits)) for _ in range(walks)], short, least_words)
-
-    def windows(self, words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (first word, item) of item-sized windows around pieces; the first word may lie outside the row."""
-        starts, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for length, (keys, item, offset) in self.pieces.items():
-            grams = _gram(words, length)
-            at = np.flatnonzero(self.filters[length][(grams >> np.uint64(44)).astype(np.int64)])
-            at = at[rows[at] == rows[at + length - 1]]
-            low, high = np.searchsorted(keys, grams[at], "left"), np.searchsorted(keys, grams[at], "right")
-            many = high - low
-            place = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            row_first = np.searchsorted(rows, rows[at])
-            starts.append(np.maximum(np.repeat(at, many) - offset[place], np.repeat(row_first, many)))
-            items.append(item[place])
-        both = np.unique(np.stack([np.concatenate(starts), np.concatenate(items)]), axis=1)
-        return both[0], both[1]
-
-    def near(self, words: np.ndarray, rows: np.ndarray, starts: np.ndarray, items: np.ndarray) -> np.ndarray:
-        """Which windows share a bit-sampling bucket with their item."""
-        keep = np.zeros(len(starts), bool)
-        for i in range(0, len(starts), 512):
-            first, item = starts[i : i + 512], items[i : i + 512]
-            width = self.words.shape[1]
-            at = first[:, None] + np.arange(width)
-            inside = (np.arange(width) < self.lengths[item][:, None]) & (at < len(words))
-            at = np.minimum(at, len(words) - 1)
-            inside &= rows[at] == rows[first][:, None]
-            window = np.where(inside, words[at], np.uint64(0))
-            for w, sample in enumerate(self.samples):
-                alike = walk(window, inside.sum(1), w) == self.embedded[w][item]
-                steps = (sample[None] * (3 * self.lengths[item])[:, None, None]).astype(np.int64)
-                keep[i : i + 512] |= np.take_along_axis(alike, steps.reshape(len(item), -1), 1).reshape(steps.shape).all(2).any(1)
-        return keep
-
-    def search(self, column: pa.Array) -> list[set[int]]:
-        """The ids of the items that each text holds."""
-        data, offsets = wordhash.utf8(column)
-        out: list[set[int]] = [set() for _ in range(len(offsets) - 1)]
-        for i, j in wordhash.chunks(offsets):
-            words, rows = tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            if len(words) and self.short:
-                counts = np.bincount(rows, minlength=j - i)
-                for row in np.flatnonzero((counts > 0) & (counts < self.least_words)):
-                    first = int(np.searchsorted(rows, row))
-                    out[i + row].update(self.short.get(tuple(words[first : first + counts[row]].tolist()), []))
-            if not len(words) or not len(self.ids):
-                continue
-            starts, items = self.windows(words, rows)
-            near = self.near(words, rows, starts, items)
-            ends = np.searchsorted(rows, rows, side="right") if near.any() else None
-            for first, item in zip(starts[near], items[near], strict=True):
-                row, more, n = int(rows[first]), int(self.allowed[item]), int(self.lengths[item])
-                if int(self.ids[item]) in out[i + row]:
-                    continue
-                low = max(int(first) - 2 * more, int(np.searchsorted(rows, row)))
-                if edit_distance(self.words[item, :n], words[low : min(int(first) + n + 2 * more, int(ends[first]))]) <= more:
-                    out[i + row].add(int(self.ids[item]))
-        return out
-
-
-def blocks(items: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[tuple[list[int], list[str]]]:
-    """The query set in blocks of bounded size, streamed to the driver one partition at a time."""
-    ids, texts, size = [], [], 0
-    for row in items.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, F.lower(text_col)).toLocalIterator():
-        n = row[1].count(" ") + 1 + len(row[1].encode()) - len(row[1])  # characters outside ASCII may be words
-        if ids and size + n > block_words:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-        ids.append(row[0])
-        texts.append(row[1])
-        size += n
-    yield ids, texts
+def verified(pairs: DataFrame, edits: float) -> DataFrame:
+    """(text, item): those rows (text, item, region, words) whose region holds the item within the edits allowed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items = [w.values.to_numpy() for w in batch.column(3)]
+            keep = [edit_distance(item, region.values.to_numpy()) <= allowed(len(item), edits) for item, region in zip(items, batch.column(2), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["text", "item"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("text", "item", "region", "words").mapInArrow(run, "text binary, item binary").distinct()
 
 
 def contaminated(
-    df: DataFrame,
-    items: DataFrame,
-    text_col: str = "text",
-    item_id: str = "item_id",
-    item_text: str = "text",
-    edits: float = EDITS,
-    least_words: int = LEAST_WORDS,
-    exact_below: int = EXACT_BELOW,
-    walks: int = WALKS,
-    tables: int = TABLES,
-    bits: int = BITS,
-    block_words: int = BLOCK_WORDS,
-    out: str = "item_ids",
-    short_items: bool = False,
+    df: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", edits: float = EDITS, walks: int = WALKS, tables: int = TABLES, bits: int = BITS, out: str = "item_ids"
 ) -> DataFrame:
     """All columns of `df` and the sorted ids of the items found in each row's text; a column of that name is replaced."""
+    small_batches(df.sparkSession)
     df = df.drop(out)
-    schema = StructType([*df.schema.fields, StructField(out, ArrayType(LongType()))])
-    names = schema.fieldNames()
-    context = df.sparkSession.sparkContext
-    shared = [context.broadcast(Items.build(ids, texts, edits, least_words, exact_below, walks, tables, bits, short_items)) for ids, texts in blocks(items, item_id, item_text, block_words)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            *columns, lowered = batch.columns
-            found = [block.value.search(lowered) for block in shared]
-            ids = pa.array([sorted(set().union(*(f[k] for f in found))) for k in range(batch.num_rows)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*columns, ids], names)
-
-    return df.select("*", F.lower(text_col).alias(f"{out} lowered")).mapInArrow(run, schema)
+    named = written(item_words(items, item_id, item_text), "items")
+    known = written(named.groupBy("item").agg(F.first("words").alias("words")), "items-once")
+    lsh = written(item_buckets(known, edits, walks, tables, bits), "item-buckets")
+    kinds = sorted(r["kind"] for r in lsh.select("kind").distinct().collect() if r["kind"] >= 0)  # one row a class of lengths
+    search = Search(kinds, *(bitmap(lsh.where(c).select("hash")) for c in ("kind = -2", "kind = -1", "kind >= 0")), edits, walks, tables, bits)
+    met = keyed_join(candidates(df, text_col, search), lsh.where("kind >= 0").select("hash", "item", "n", F.col("at").alias("offset")), "hash", "inner", BROADCAST_DIGESTS)
+    # starts that differ by no more than the edits allowed share a region
+    step = F.floor(F.col("n") * edits + 1e-9) + 1
+    start = F.floor((F.col("at") - F.col("offset")) / step) * step
+    wanted = written(met.select("text", F.struct("item", "n", start.alias("start")).alias("one")).groupBy("text").agg(F.collect_set("one").alias("wanted")), "windows")
+    texts = keyed_join(df.select(_key(F.col(text_col)).alias("text"), F.col(text_col).alias("own")), wanted.select("text"), "text", "left_semi", BROADCAST_DIGESTS)
+    tried = written(regions(texts.groupBy("text").agg(F.first("own").alias("own")).join(wanted, "text"), edits), "regions").join(known, "item")
+    hits = verified(tried, edits).join(named.select("item", "item_id"), "item").groupBy(F.col("text").alias(f"{out} key")).agg(F.array_sort(F.collect_set("item_id")).alias(out))
+    hits = written(hits, "hits")
+    found = keyed_join(df.withColumn(f"{out} key", _key(F.col(text_col))), hits, f"{out} key", "left", BROADCAST_DIGESTS)
+    return found.select(*df.columns, F.coalesce(out, F.array().cast(hits.schema[out].dataType)).alias(out))
 
 
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:
     """Benchmark items found in each document."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    found = contaminated(documents(spark, sf_dir).select("doc_id", "text"), items, short_items=True)
+    found = contaminated(documents(spark, sf_dir).select("doc_id", "text"), items)
     return found.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids")

@@ -14,6 +14,17 @@ BROADCAST_ROWS = 2_000_000
 BROADCAST_DIGESTS = 200_000
 
 
+#: Rows and bytes of a batch sent to Python, where the session doesn't set them: a worker holds some copies of a batch.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have Spark send small batches to Python from now on, unless the session has settings of its own."""
+    for key, most in BATCHES.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, most)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; where it is unset, on a local master only, a new temporary folder."""
     context = spark.sparkContext

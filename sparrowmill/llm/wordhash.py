@@ -2,17 +2,18 @@
 
 Words are maximal runs of bytes other than 0x20 and 0x09-0x0D (those bytes never occur inside a multi-byte UTF-8
 character, so splitting bytes equals splitting code points). A-Z are lower-cased, nothing else. A word's hash is a
-polynomial over its bytes modulo 2**64, taken from prefix sums, then mixed; no Python loop runs over words.
+polynomial over its bytes modulo 2**64, taken from prefix sums, then mixed; no Python loop runs over words. Bytes are taken in
+pieces of about CHUNK_BYTES, also within a long row, so that working memory is a few MB besides the hashes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 _BASE = 0x9E3779B97F4A7C55 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -31,7 +32,7 @@ def _power(base: int, n: int) -> np.ndarray:
         full = np.full(max(n, CHUNK_BYTES + 1), base, np.uint64)
         full[0] = 1
         have = np.cumprod(full, dtype=np.uint64)
-        if n <= 8 * CHUNK_BYTES:  # powers for one huge text aren't kept
+        if n <= 2 * CHUNK_BYTES:  # powers for one huge word aren't kept
             _powers[base] = have
     return have[:n]
 
@@ -73,6 +74,27 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         i = j
 
 
+def piecewise(data: np.ndarray, offsets: np.ndarray, words: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], separators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`words` (hash and row of each word) over rows that are cut into pieces of about CHUNK_BYTES, behind a separator byte, if they are longer."""
+    if len(data) <= CHUNK_BYTES:
+        return words(data, offsets)
+    edges, rows = [0], []
+    for row, end in enumerate(offsets[1:].tolist()):
+        while end - edges[-1] > CHUNK_BYTES:
+            at, cut = edges[-1] + CHUNK_BYTES // 2, end
+            for a in range(at, end, CHUNK_BYTES):  # the first separator from the middle of a piece on
+                if len(found := np.flatnonzero(separators[data[a : min(a + CHUNK_BYTES, end)]])):
+                    cut = a + int(found[0]) + 1
+                    break
+            edges.append(cut)
+            rows.append(row)
+        edges.append(end)
+        rows.append(row)
+    cuts, of = np.array(edges, np.int64), np.array(rows, np.int64)
+    parts = [words(data[cuts[i] : cuts[j]], cuts[i : j + 1] - cuts[i]) + (i,) for i, j in chunks(cuts)]
+    return np.concatenate([h for h, _, _ in parts]), of[np.concatenate([r + i for _, r, i in parts])]
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of each word in the bytes of some rows (offsets start at 0)."""
     if not len(data):
@@ -105,12 +127,16 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     return mix((sums[ends] - sums[starts]) * _power(_BASE_INVERSE, len(data))[starts] + (ends - starts).astype(np.uint64))
 
 
-def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and row of every word."""
+def _hashed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts, ends, rows = word_spans(data, offsets)
     return span_hashes(data, starts, ends), rows
 
 
+def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and row of every word."""
+    return piecewise(data, offsets, _hashed, _SPACE)
+
+
 def shingles(hashes: np.ndarray, rows: np.ndarray, n_rows: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each row: (hash, row), by row then hash.
 
