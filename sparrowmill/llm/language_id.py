@@ -11,6 +11,8 @@ Repeated rows are predicted one by one, alike. Other columns are passed through
 
 from __future__ import annotations
 
+import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -22,10 +24,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from . import wordhash
+from .tables import documents, small_batches
 
 UNKNOWN = "und"
 #: Documents learned from, for each language: the bound of the training sample.
 SAMPLE_PER_LANGUAGE = 300
+#: The bound of all languages together, and the number of languages that may be learned.
+SAMPLE = 4800
+MOST_LANGUAGES = 64
 #: How many times that number of ids is ranked, so that the hash range surely holds enough.
 SPARE = 4
 BINS = 1 << 13
@@ -84,6 +90,15 @@ def frequencies(column: pa.Array) -> np.ndarray:
     return out / np.maximum(out.sum(1, keepdims=True), 1)
 
 
+def script(text: str) -> str:
+    """The script of most letters of a text, as Unicode names it."""
+    counts: Counter[str] = Counter()
+    for char, n in Counter(text).items():
+        if char.isalpha():
+            counts[unicodedata.name(char, "unnamed").split()[0].lower()] += n
+    return max(sorted(counts), key=counts.get, default="no")
+
+
 @dataclass
 class LanguageModel:
     """Linear machines; `pairs` names the two sides of each: families first, then languages of one family."""
@@ -93,109 +108,146 @@ class LanguageModel:
     weights: np.ndarray  # (machines, BINS + 1), the last weight 0
     bias: np.ndarray
 
-    def margins(self, column: pa.Array) -> np.ndarray:
+    def machines(self) -> dict[str | None, range]:
+        """The machines that separate families (None) and those of each family."""
+        out, at = {}, 0
+        for name, sides in [(None, self.families), *sorted(self.families.items())]:
+            n = len(sides) * (len(sides) - 1) // 2
+            out[name] = range(at, at + n)
+            at += n
+        return out
+
+    def margins(self, column: pa.Array, machines: range | None = None) -> np.ndarray:
+        machines = range(len(self.pairs)) if machines is None else machines
         data, offsets = wordhash.utf8(column)
-        out = np.zeros((len(offsets) - 1, len(self.pairs)))
+        out = np.zeros((len(offsets) - 1, len(machines)))
         for i, j in wordhash.chunks(offsets):
             part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-            if not len(part) or not self.pairs:
+            if not len(part) or not len(machines):
                 continue
             total = np.zeros(j - i)
             for bins in _ngrams(part, at):
                 total += np.diff(np.concatenate([[0], np.cumsum(bins < BINS)])[at])
-                for k in range(len(self.pairs)):
-                    sums = np.zeros(len(part) + 1)
-                    np.cumsum(self.weights[k][bins], dtype=np.float64, out=sums[1:])
+                sums = np.zeros(len(part) + 1)
+                for k, machine in enumerate(machines):
+                    np.cumsum(self.weights[machine][bins], dtype=np.float64, out=sums[1:])
                     out[i:j, k] += np.diff(sums[at])
             out[i:j] /= np.maximum(total, 1)[:, None]
-        return out + self.bias
+        return out + self.bias[machines.start : machines.stop]
 
     def decide(self, margins: np.ndarray, sides: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Winner by votes of the one-versus-one machines (ties: larger mean confidence, then name), and its confidence."""
+        """Winner by votes of the one-versus-one machines (ties: larger mean confidence, then name), and its confidence; margins of all pairs of sides, in order."""
         n = len(margins)
         if len(sides) == 1:
             return np.zeros(n, int), np.ones(n)
         votes, faith = np.zeros((n, len(sides))), np.zeros((n, len(sides)))
-        where = {side: k for k, side in enumerate(sides)}
-        for k, (a, b) in enumerate(self.pairs):
-            if a in where and b in where:
-                p = 1 / (1 + np.exp(-np.clip(2 * margins[:, k], -40, 40)))
-                for side, q in ((a, p), (b, 1 - p)):
-                    votes[:, where[side]] += q > 0.5
-                    faith[:, where[side]] += q / (len(sides) - 1)
+        for k, (a, b) in enumerate(combinations(range(len(sides)), 2)):
+            p = 1 / (1 + np.exp(-np.clip(2 * margins[:, k], -40, 40)))
+            for side, q in ((a, p), (b, 1 - p)):
+                votes[:, side] += q > 0.5
+                faith[:, side] += q / (len(sides) - 1)
         best = np.argmax(votes + faith / 2, axis=1)
         return best, faith[np.arange(n), best]
 
     def predict(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        n = len(column)
-        if not self.families:
-            return np.full(n, UNKNOWN, object), np.zeros(n)
-        margins, names = self.margins(column), sorted(self.families)
-        family, sure = self.decide(margins, names)
+        """Family by the machines of families, then language by those of that family alone."""
+        n, machines = len(column), self.machines()
         lang, score = np.full(n, UNKNOWN, object), np.zeros(n)
+        if not self.families:
+            return lang, score
+        names = sorted(self.families)
+        family, sure = self.decide(self.margins(column, machines[None]), names)
         for k, name in enumerate(names):
             own = np.flatnonzero(family == k)
-            best, inner = self.decide(margins[own], self.families[name])
-            lang[own], score[own] = np.array(self.families[name], object)[best], sure[own] * inner
+            if len(own):
+                best, inner = self.decide(self.margins(column.take(pa.array(own)), machines[name]), self.families[name])
+                lang[own], score[own] = np.array(self.families[name], object)[best], sure[own] * inner
         return lang, score
 
 
-def _machine(x: np.ndarray, y: np.ndarray, steps: int = 150, penalty: float = 1e-3) -> tuple[np.ndarray, float]:
-    """A linear support vector machine with squared hinge loss, by accelerated gradient descent. y: +1 and -1; both sides weigh alike."""
+def _machine(gram: np.ndarray, y: np.ndarray, steps: int = 150, penalty: float = 1e-3) -> tuple[np.ndarray, float]:
+    """A linear support vector machine with squared hinge loss, by accelerated gradient descent. y: +1 and -1; both sides weigh alike.
+
+    The weights are a sum over the examples, so the steps need only the examples' products; returned are each example's share and the bias.
+    """
     share = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1))
-    rate = 0.5 / (float((share[:, None] * x * x).sum()) + 1 + penalty)
-    w = ahead = np.zeros(x.shape[1] + 1)
-    ones = np.ones((len(x), 1), x.dtype)
-    x = np.hstack([x, ones])
+    rate = 0.5 / (float((share * np.diag(gram)).sum()) + 1 + penalty)
+    part = ahead = np.zeros(len(y))
+    bias = ahead_bias = 0.0
     for step in range(steps):
-        gap = np.maximum(0, 1 - y * (x @ ahead))
-        grad = -2 * x.T @ (share * y * gap) + penalty * np.append(ahead[:-1], 0)
-        new = ahead - rate * grad
-        ahead, w = new + step / (step + 3) * (new - w), new
-    return w[:-1], float(w[-1])
+        pull = share * y * np.maximum(0, 1 - y * (gram @ ahead + ahead_bias))
+        new, new_bias = ahead - rate * (penalty * ahead - 2 * pull), ahead_bias + rate * 2 * float(pull.sum())
+        ahead, ahead_bias = new + step / (step + 3) * (new - part), new_bias + step / (step + 3) * (new_bias - bias)
+        part, bias = new, new_bias
+    return part, bias
 
 
-def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Fit on at most `per_language` documents of each language, those whose hashed ids come first.
+def examples(rows: DataFrame) -> DataFrame:
+    """(id, lang, script, bins, shares) from (id, lang, text): the n-gram frequencies above 0."""
 
-    Ids and languages are counted first, with partial sums. Only ids whose hash falls in a share of the hash range that holds
-    SPARE times the wanted number are ranked, so a language with most of the rows costs no more than another, however
-    many tasks read it; then just the chosen texts come to the driver.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 64):
+                part = batch.slice(k, 64)
+                x = frequencies(part.column(2))
+                at = [np.flatnonzero(row).astype(np.int32) for row in x]
+                scripts = [script(text.as_py()) for text in part.column(2)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(scripts), pa.array(at, pa.list_(pa.int32())), pa.array([row[own] for row, own in zip(x, at, strict=True)], pa.list_(pa.float32()))],
+                    ["id", "lang", "script", "bins", "shares"],
+                )
+
+    id_type = rows.schema["id"].dataType.simpleString()
+    return rows.select("id", "lang", "text").mapInArrow(run, f"id {id_type}, lang string, script string, bins array<int>, shares array<float>")
+
+
+def fit(
+    labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, most_languages: int = MOST_LANGUAGES
+) -> LanguageModel:
+    """Fit on at most `per_language` documents of each language and `sample` of all, those whose hashed ids come first.
+
+    Distinct ids of each language are counted first, with partial sums. Only ids whose hash falls in a share of the hash range that
+    holds SPARE times the wanted number are ranked, so a language with most of the rows costs no more than another, however
+    many tasks read it. Tasks turn the chosen whole texts into n-gram frequencies, and these are what the driver gets.
     """
+    small_batches(labelled.sparkSession)
     known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & (F.col(lang_col) != UNKNOWN))
-    ids = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
+    known = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     place = F.shiftrightunsigned(F.xxhash64("id"), 11) / F.lit(float(1 << 53))
-    shares = {r["lang"]: SPARE * per_language / r["n"] for r in ids.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
-    share = F.lit(1.0)
-    for lang, part in sorted(shares.items()):
-        if part < 1:
-            share = F.when(F.col("lang") == lang, F.lit(part)).otherwise(share)
-    first = ids.withColumn("place", place).where(F.col("place") <= share)
-    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place", "id")))
-    chosen = ranked.where(F.col("rank") <= per_language).select("id").distinct()
-    rows = (
-        known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-        .join(F.broadcast(chosen), "id", "left_semi")  # at most per_language rows for each language
-        .where(F.col("text").rlike(r"\p{L}"))
-        .toArrow()
-        .sort_by([("id", "ascending"), ("lang", "ascending"), ("text", "ascending")])
-    )
+    counts = known.groupBy("lang").agg(F.approx_count_distinct("id").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+    per_language = min(per_language, max(sample // max(len(counts), 1), 1))
+    wanted = F.lit(False)
+    for r in counts:
+        wanted = F.when(F.col("lang") == r["lang"], place <= SPARE * per_language / max(r["n"], 1)).otherwise(wanted)
+    ids = known.where(wanted).select("lang", "id", place.alias("place")).distinct()
+    ranked = ids.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place", "id")))
+    chosen = ranked.where(F.col("rank") <= per_language).select("id", "lang")
+    texts = known.join(F.broadcast(chosen), ["id", "lang"], "left_semi")  # at most `sample` ids, or one a language
+    texts = texts.groupBy("id", "lang").agg(F.min("text").alias("text")).where(F.col("text").rlike(r"\p{L}"))
+    rows = examples(texts).toArrow().sort_by([("id", "ascending"), ("lang", "ascending")])
     langs = np.array(rows["lang"].to_pylist(), object)
+    scripts: dict[str, Counter[str]] = {}
+    for lang, one in zip(langs, rows["script"].to_pylist(), strict=True):
+        scripts.setdefault(lang, Counter())[one] += 1
     families: dict[str, list[str]] = {}
-    for lang in sorted(set(langs)):
-        families.setdefault(FAMILY_OF.get(lang.split("-")[0].lower(), f"family of {lang}"), []).append(lang)
+    for lang in sorted(scripts):
+        usual = max(sorted(scripts[lang]), key=scripts[lang].get)
+        families.setdefault(FAMILY_OF.get(lang.split("-")[0].lower(), f"{usual} script"), []).append(lang)
     if not families:
         return LanguageModel({}, [], np.zeros((0, BINS + 1), np.float32), np.zeros(0))
-    x = frequencies(rows["text"].combine_chunks())
-    mean, deviation = x.mean(0), x.std(0) + 1e-4
-    x = ((x - mean) / deviation / np.sqrt(BINS)).astype(np.float64)
+    x = np.zeros((len(langs), BINS), np.float32)
+    for row, bins, shares in zip(x, rows["bins"], rows["shares"], strict=True):
+        row[bins.values.to_numpy()] = shares.values.to_numpy()
+    mean, deviation = x.mean(0, dtype=np.float64), x.std(0, dtype=np.float64) + 1e-4
+    x -= mean.astype(np.float32)
+    x /= (deviation * np.sqrt(BINS)).astype(np.float32)
     family_of = np.array([next(f for f, own in families.items() if lang in own) for lang in langs], object)
     pairs, weights, bias = [], [], []
     for sides, group in [(sorted(families), family_of), *((own, langs) for _, own in sorted(families.items()))]:
         for a, b in combinations(sides, 2):
-            use = (group == a) | (group == b)
-            w, c = _machine(x[use], np.where(group[use] == a, 1.0, -1.0))
-            w = w / deviation / np.sqrt(BINS)
+            use = np.flatnonzero((group == a) | (group == b))
+            part, c = _machine((x[use] @ x[use].T).astype(np.float64), np.where(group[use] == a, 1.0, -1.0))
+            w = part @ x[use] / deviation / np.sqrt(BINS)
             pairs.append((a, b))
             weights.append(np.append(w, 0).astype(np.float32))
             bias.append(c - float(w @ mean))
@@ -204,6 +256,7 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, id_col: st
 
 def identify(df: DataFrame, model: LanguageModel, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """All columns of `df` with the predicted language and its confidence in [0, 1]; columns of these names are replaced."""
+    small_batches(df.sparkSession)
     df = df.drop(lang_out, score_out)
     shared = df.sparkSession.sparkContext.broadcast(model)
     schema = StructType([*df.schema.fields, StructField(lang_out, StringType()), StructField(score_out, DoubleType())])
@@ -222,8 +275,6 @@ def identify(df: DataFrame, model: LanguageModel, text_col: str = "text", lang_o
 
 def op1_language_id(spark, sf_dir: str) -> DataFrame:
     """Every document's language, learned from documents that aren't held out."""
-    from .tables import documents
-
     docs = documents(spark, sf_dir)
     out = held_out("doc_id", 4, 2)
     model = fit(docs.select("doc_id", "text", "lang").where(~out & F.col("doc_id").isNotNull()))

@@ -61,3 +61,55 @@ def test_hot_language_is_sampled_alike(spark):
     df = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat(F.lit("some text "), F.col("id").cast("string")).alias("text"), F.when(F.col("id") % 50 == 0, "fr").otherwise("en").alias("lang"))
     one, many = language_id.fit(df.coalesce(1), 60), language_id.fit(df.repartition(9), 60)
     assert one.pairs == many.pairs and all(np.array_equal(a, b) for a, b in zip(one.weights, many.weights, strict=True))
+
+
+def test_repeated_ids_count_once(spark):
+    """A language whose rows repeat one id keeps its texts, and gets no more of the sample."""
+    rows = spark.range(5000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("der Hund und die Katze").alias("text"), F.lit("de").alias("lang"))
+    rows = rows.union(spark.range(200).select(F.col("id") + 10, F.concat(F.lit("the dog and the cat "), F.col("id").cast("string")), F.lit("en")))
+    model = language_id.fit(rows, 50)
+    assert model.families == {"germanic": ["de", "en"]}
+    assert list(model.predict(pa.array(["der Hund und die Katze", "the dog and the cat"]))[0]) == ["de", "en"]
+
+
+def test_many_unknown_languages_are_bounded(spark):
+    scripts = ["abcdefgh", "абвгдежз", "αβγδεζηθ"]
+    text = lambda k, n: " ".join(scripts[k % 3][(k + i * n) % 8] * (1 + k // 3 % 3) + scripts[k % 3][i % 3] for i in range(20))
+    rows = [(k * 10 + n, text(k, n + 1), f"x{k:02}") for k in range(30) for n in range(5)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_languages=12, sample=36)
+    assert sum(map(len, model.families.values())) == 12 and set(model.families) == {"latin script", "cyrillic script", "greek script"}
+    assert len(model.pairs) == 3 + 3 * 6
+
+
+def test_decide_is_the_plain_vote():
+    """Votes, mean confidences and ties as a loop over single rows has them."""
+    draw = np.random.default_rng(2)
+    model, sides = language_id.LanguageModel({}, [], np.zeros((0, 1)), np.zeros(0)), ["a", "b", "c", "d"]
+    margins = np.round(draw.normal(size=(300, 6)), 1)
+    best, faith = model.decide(margins, sides)
+    pairs = [(a, b) for a in range(4) for b in range(a + 1, 4)]
+    for row, got, sure in zip(margins, best, faith, strict=True):
+        votes, confidence = [0] * 4, [0.0] * 4
+        for (a, b), m in zip(pairs, row, strict=True):
+            p = 1 / (1 + np.exp(-2 * m))
+            votes[a] += p > 0.5
+            votes[b] += 1 - p > 0.5
+            confidence[a] += p / 3
+            confidence[b] += (1 - p) / 3
+        want = max(range(4), key=lambda k: (votes[k] + confidence[k] / 2, -k))
+        assert got == want and sure == pytest.approx(confidence[want])
+
+
+def test_machine_is_gradient_descent_on_weights():
+    """The steps over the examples' products give what the same steps over the weights give."""
+    draw = np.random.default_rng(4)
+    x, y = draw.normal(size=(30, 12)), np.where(draw.random(30) < 0.4, 1.0, -1.0)
+    part, bias = language_id._machine(x @ x.T, y)
+    share = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 0).sum())
+    rate, full = 0.5 / ((share[:, None] * x * x).sum() + 1 + 1e-3), np.hstack([x, np.ones((30, 1))])
+    w = ahead = np.zeros(13)
+    for step in range(150):
+        gap = np.maximum(0, 1 - y * (full @ ahead))
+        new = ahead - rate * (-2 * full.T @ (share * y * gap) + 1e-3 * np.append(ahead[:-1], 0))
+        ahead, w = new + step / (step + 3) * (new - w), new
+    assert part @ x == pytest.approx(w[:-1]) and bias == pytest.approx(w[-1])

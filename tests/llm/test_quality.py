@@ -58,3 +58,34 @@ def test_labels_of_held_out_rows_are_not_read(spark, folder):
     path = folder(documents=docs, labels=other)
     score = lambda d: {r.doc_id: r.score for r in quality.op10_quality(spark, d).collect()}
     assert score(path) == score(SF)
+
+
+def test_sample_is_bounded_by_ids_and_bytes(spark, monkeypatch):
+    """Repeated rows of an id are learned from once, and texts beyond the bytes aren't."""
+    rows = [(1, "bad text " * 5)] * 500 + [(k, f"good words number {k} " * 3) for k in range(2, 60)] + [(60, "long " * 5000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 61)], "doc_id long, quality int")
+    seen = []
+    plain = quality.word_vectors
+    monkeypatch.setattr(quality, "word_vectors", lambda column: seen.append(column) or plain(column))
+    quality.fit(df, labels)
+    quality.fit(df, labels, sample_bytes=2000)
+    assert [len(c) for c in seen][0] == 60 and len(seen[1]) < 40 and sum(len(t.as_py()) for t in seen[1]) <= 2000
+
+
+def test_query_against_single_rows(spark, folder):
+    """Scores of the query equal those of a plain loop over single texts: mean of the token vectors, two layers, temperature."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet").limit(150), spark.read.parquet(f"{SF}/labels.parquet")
+    path = folder(documents=docs, labels=labels)
+    docs, out = spark.read.parquet(f"{path}/documents.parquet"), quality.held_out("doc_id", 3, 1)
+    network = quality.fit(docs.where(~out), labels.where(~out))
+    got = {r.doc_id: r for r in quality.op10_quality(spark, path).collect()}
+    mean, spread, w1, b1, w2, b2 = network.layers
+    for r in docs.select("doc_id", "text").collect():
+        data = (r.text or "").encode()
+        slots, _ = quality.slots(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        x = sum((network.vectors[k].astype(float) for k in slots), np.zeros(quality.DIMENSIONS)) / max(len(slots), 1)
+        hidden = [np.tanh(sum((x[d] - mean[d]) / spread[d] * w1[d, h] for d in range(len(x))) + b1[h]) for h in range(len(b1))]
+        want = 1 / (1 + np.exp(-(sum(h * w for h, w in zip(hidden, w2, strict=True)) + b2) / network.temperature))
+        assert got[r.doc_id].score == pytest.approx(want, abs=1e-6)
+        assert got[r.doc_id].predicted == (got[r.doc_id].score >= 0.5)
