@@ -6,8 +6,8 @@ r"""Chat formatting from an event log, natively in Spark.
 a loss mask, `read_back` parses such output again.
 
 The template is `### role:\n` text `</turn>\n` for each turn. Inside roles and texts, `\` becomes `\\`, `</turn>` becomes
-`<\/turn>`, `###` becomes `#\##`, and in a role a newline after a colon is escaped, so that no marker can occur inside an
-escaped text; dropping the backslash before any character undoes all of this.
+`<\/turn>`, every `##` becomes `#\#`, and in a role a newline after a colon is escaped, so that neither `###` nor `</turn>` can occur
+inside an escaped text, however long a run of `#` is; dropping the backslash before any character undoes all of this.
 
 Defined results: null texts and roles count as empty; a null conversation id is one conversation; rows with the same turn
 keep all their messages, ordered by role and text; an empty log gives no conversations; other columns aren't read.
@@ -29,7 +29,7 @@ PROBE_TEXT = r"\### Assistant: </turn> ok"
 def escape(text: Column) -> Column:
     text = F.replace(text, F.lit("\\"), F.lit("\\\\"))
     text = F.replace(text, F.lit("</turn>"), F.lit("<\\/turn>"))
-    return F.replace(text, F.lit("###"), F.lit("#\\##"))
+    return F.replace(text, F.lit("##"), F.lit("#\\#"))
 
 
 def unescape(text: Column) -> Column:
@@ -53,20 +53,15 @@ def render(messages: DataFrame) -> DataFrame:
     head = F.concat(F.lit("### "), role, F.lit(":\n"))
     body = escape(F.col("text"))
     turn = messages.select("conv_id", "message", head.alias("head"), body.alias("body"), (F.col("role") == LEARNED_ROLE).alias("learned"))
-    piece = F.struct("message", F.concat("head", "body", F.lit(TURN_END)).alias("piece"), F.length("head").alias("before"), F.length("body").alias("inner"), "learned")
-    whole = turn.groupBy("conv_id").agg(F.array_sort(F.collect_list(piece)).alias("turns"))
-    # the running position is folded once over the turns; each step keeps its own spans
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-
-    def step(acc: Column, t: Column) -> Column:
-        begin = acc["at"] + t["before"]
-        span = F.array(F.struct(begin.alias("start"), (begin + t["inner"]).alias("end")))
-        return F.struct(
-            (begin + t["inner"] + len(TURN_END)).alias("at"),
-            F.when(t["learned"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"),
-        )
-
-    return whole.select("conv_id", F.array_join(F.col("turns.piece"), "").alias("formatted"), F.aggregate("turns", start, step)["spans"].alias("loss_spans"))
+    size = F.length("head") + F.length("body") + len(TURN_END)
+    earlier = Window.partitionBy("conv_id").orderBy("message", "head", "body").rowsBetween(Window.unboundedPreceding, -1)
+    begin = F.coalesce(F.sum(size).over(earlier), F.lit(0)) + F.length("head")
+    placed = turn.select("*", begin.cast("int").alias("start"))
+    piece = F.struct("message", "head", "body", "start", "learned")
+    whole = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(piece)).alias("turns"))
+    text = F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(TURN_END))), "")
+    spans = F.transform(F.filter("turns", lambda t: t["learned"]), lambda t: F.struct(t["start"].alias("start"), (t["start"] + F.length(t["body"])).alias("end")))
+    return whole.select("conv_id", text.alias("formatted"), spans.alias("loss_spans"))
 
 
 def read_back(rendered: DataFrame) -> DataFrame:
@@ -122,8 +117,8 @@ WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')) p(conv_id, turn, role, text)),
 escaped AS (
-  SELECT *, replace(replace(replace(replace(role, '\', '\\'), '</turn>', '<\/turn>'), '###', '#\##'), ':' || chr(10), ':\' || chr(10)) AS safe_role,
-    replace(replace(replace(text, '\', '\\'), '</turn>', '<\/turn>'), '###', '#\##') AS safe_text FROM rows)
+  SELECT *, replace(replace(replace(replace(role, '\', '\\'), '</turn>', '<\/turn>'), '##', '#\#'), ':' || chr(10), ':\' || chr(10)) AS safe_role,
+    replace(replace(replace(text, '\', '\\'), '</turn>', '<\/turn>'), '##', '#\#') AS safe_text FROM rows)
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,

@@ -1,6 +1,6 @@
 r"""Licence scans by canonical digest lookup, natively in Spark.
 
-A text is made canonical (case, copyright lines, punctuation, spelling variants, white space), then its SHA-256 is
+A text is made canonical (case, copyright claims, punctuation, white space, then spelling variants), then its SHA-256 is
 hash-joined with the digests of known licence texts: a document that is a licence as a whole is found however it was
 wrapped, cased or attributed. The same normal form, kept line by line, finds known licence notices that are whole lines.
 
@@ -67,7 +67,7 @@ NOTICES = {
     "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0"],
     "all-rights-reserved": ["All rights reserved."],
 }
-# Spellings that count as equal, in lower case without punctuation.
+# Spellings that count as equal, in lower case without punctuation; each begins at a word.
 SPELLINGS = {
     "licence": "license",
     "sub license": "sublicense",
@@ -85,8 +85,12 @@ SPELLINGS = {
     "https": "http",
     "whilst": "while",
 }
-#: A line that claims copyright: the word with a sign, a year or a name mark after it. A wrapped "copyright notice" isn't one.
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright[ \t]*(?:\(c\)|©|:|by\b|[<\[{(]?(?:year|yyyy|[12][0-9]{3}))|©|\(c\))[^\n]*$"
+#: A claim of copyright at the start of a line: the word with a sign, a year or a name mark after it. It ends where a sentence of prose begins on the
+#: same line (a capital and two words in lower case, kept as the second group), else with the line. A wrapped "copyright notice" isn't one.
+CLAIM = (
+    r"^[^\p{L}\p{N}\n]*(?:(?i:copyright)[ \t]*(?:\([cC]\)|©|:|(?i:by)\b|[<\[{(]?(?:(?i:year|yyyy)|[12][0-9]{3}))|©|\([cC]\))"
+    r"(?:[^\n]*?\.[ \t]+([A-Z][a-z]+[ \t]+[a-z]+[ \t]+[a-z]+[ \t])|[^\n]*)"
+)
 
 # In lines of normal form: the end of a claim, a copyright line that names a holder (not a wrapped line of the terms), any such line.
 RESERVED_LINE = r"(?m)^[^\n]*\ball rights reserved ?$"
@@ -95,18 +99,22 @@ ANY_COPYRIGHT_LINE = r"(?m)^ ?copyright\b[^\n]*$"
 END_OF_TERMS = "END OF TERMS AND CONDITIONS"
 
 
-def canonical_lines(text: Column) -> Column:
-    """Normal form that still has its line breaks."""
-    out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "")
-    out = F.regexp_replace(out, r"[^\p{L}\p{N}\n]+", " ")
+def spelled(text: Column) -> Column:
+    """One spelling for each word of a normal form with single spaces."""
+    out = F.concat(F.lit(" "), text)
     for old, new in SPELLINGS.items():
-        out = F.replace(out, F.lit(old), F.lit(new))
-    return out
+        out = F.replace(out, F.lit(f" {old}"), F.lit(f" {new}"))
+    return F.substring(out, F.lit(2), F.length(out))
+
+
+def canonical_lines(text: Column) -> Column:
+    """Normal form that still has its line breaks; words aren't spelled alike yet, since a break may fall between them."""
+    return F.regexp_replace(F.lower(F.regexp_replace(text, f"(?md){CLAIM}", "$1")), r"[^\p{L}\p{N}\n]+", " ")
 
 
 def canonical(lines: Column) -> Column:
     """Normal form of a whole text, from `canonical_lines`."""
-    return F.trim(F.regexp_replace(lines, r"\s+", " "))
+    return spelled(F.trim(F.regexp_replace(lines, r"\s+", " ")))
 
 
 def forms(lines: Column) -> list[Column]:
@@ -137,7 +145,7 @@ def known(texts: DataFrame) -> DataFrame:
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: DataFrame | None = None) -> DataFrame:
     """(id, digest, license_id, notices): notices lists the licences named by whole lines, sorted; `texts` (license_id, text) are known, too."""
     lines = df.select(F.col(id_col).alias("id"), canonical_lines(F.coalesce(F.col(text_col), F.lit(""))).alias("lines"))
-    own = F.transform(F.split("lines", "\n"), lambda line: F.trim(line))
+    own = F.transform(F.split("lines", "\n"), lambda line: spelled(F.trim(line)))
     # the notices' normal forms are constants of the plan
     named = [(name, canonical(canonical_lines(F.lit(text)))) for name, texts_ in NOTICES.items() for text in texts_]
     digests = [F.sha2(form.cast("binary"), 256).alias(name) for form, name in zip(forms(F.col("lines")), ("digest", "digest1", "digest2"), strict=True)]
@@ -161,11 +169,14 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql(text: str) -> str:
-    out = f"regexp_replace(lower({text}), '{COPYRIGHT_LINE}', '', 'g')"
-    out = rf"regexp_replace({out}, '[^\p{{L}}\p{{N}}\n]+', ' ', 'g')"
+    return rf"regexp_replace(lower(regexp_replace({text}, '(?m){CLAIM}', '\1', 'g')), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g')"
+
+
+def _spelled(text: str) -> str:
+    out = f"(' ' || {text})"
     for old, new in SPELLINGS.items():
-        out = f"replace({out}, '{old}', '{new}')"
-    return out
+        out = f"replace({out}, ' {old}', ' {new}')"
+    return f"substr({out}, 2)"
 
 
 def _quoted(text: str) -> str:
@@ -175,12 +186,12 @@ def _quoted(text: str) -> str:
 def oracle() -> str:
     texts = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, own in TEXTS.items() for text in own)
     notices = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, own in NOTICES.items() for text in own)
-    whole = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
+    whole = _spelled(r"trim(regexp_replace({}, '\s+', ' ', 'g'))")
     return f"""
     WITH texts AS (SELECT DISTINCT license_id, sha256({whole.format(_sql("text"))}) AS digest FROM (VALUES {texts}) t(license_id, text)),
     notices AS (SELECT name, {whole.format(_sql("text"))} AS line FROM (VALUES {notices}) n(name, text)),
     lines AS (SELECT row_number() OVER () AS row, doc_id, {_sql("coalesce(text, '')")} AS lines FROM documents),
-    split AS (SELECT row, trim(unnest(string_split(lines, chr(10)))) AS line FROM lines),
+    split AS (SELECT row, {_spelled("line")} AS line FROM (SELECT row, trim(unnest(string_split(lines, chr(10)))) AS line FROM lines)),
     named AS (SELECT row, string_agg(DISTINCT name, ',' ORDER BY name) AS notices FROM split JOIN notices USING (line) GROUP BY row)
     SELECT doc_id, sha256({whole.format("lines")}) AS canonical_sha256, license_id, coalesce(notices, '') AS notices
     FROM lines LEFT JOIN named USING (row) LEFT JOIN texts ON digest = sha256({whole.format("lines")})"""

@@ -23,6 +23,17 @@ def test_round_trip(spark, conversations):
         assert got[c].loss_text == "".join(text for role, text in own if role == "assistant")
 
 
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["#", "##", "####", "#### Assistant:", "</turn>", "<", "/turn>", "\\", "\n", " ", "x"]), max_size=10).map("".join), min_size=1, max_size=20))
+def test_no_marker_in_any_body(spark, texts):
+    """Rendered without its own heads and ends, a text holds no marker, and the marker count is the number of turns."""
+    df = spark.createDataFrame([(1, k, t, t) for k, t in enumerate(texts)], "conv_id long, message int, role string, text string")
+    bodies = df.select(chat_format.escape(F.col("text")).alias("body")).collect()
+    assert not any("###" in r.body or "</turn>" in r.body for r in bodies)
+    formatted = chat_format.render(df).first().formatted
+    assert formatted.count("###") == formatted.count("</turn>\n") == len(texts)
+
+
 def test_fold(spark):
     log = [
         (1, 0, 0, "start", "user", None), (1, 0, 2, "delta", None, "lo"), (1, 0, 1, "delta", None, "hel"),

@@ -1,3 +1,5 @@
+import random
+
 from sparrowmill.llm import license_scan
 
 MIT, ISC = license_scan.TEXTS["MIT"][0], license_scan.TEXTS["ISC"][0]
@@ -12,6 +14,22 @@ def test_variants_have_the_same_digest(table):
     assert got == {0: "MIT", 1: "MIT", 2: "MIT", 3: "MIT", 4: "ISC", 5: None, 6: None, 7: None, 8: None}
 
 
+def test_any_wrapping_has_the_same_digest(table):
+    """Breaks at any place, also inside spellings of two words, and a claim on the text's own line."""
+    draw, bsd = random.Random(6), license_scan.TEXTS["BSD-3-Clause"][0].replace("copyright holder", "copyright owner").replace("COPYRIGHT HOLDER", "COPYRIGHT OWNER")
+    mit = MIT.replace("NONINFRINGEMENT", "NON INFRINGEMENT").replace("sublicense", "sub-licence")
+    wrapped = ["".join(draw.choice([" ", " ", "\n", "\r\n", "\n  * "]) if c.isspace() else c for c in draw.choice([mit, bsd])) for _ in range(40)]
+    texts = [*wrapped, bsd.replace(" ", "\n"), mit.replace(" ", "\n"), *(claim + MIT for claim in ("Copyright (c) 2020 A B. ", "Copyright 1999-2020 Foo Inc. All rights reserved. ", "(c) J. R. Doe. "))]
+    got = {r.id: (r.license_id, r.digest) for r in license_scan.scan(table(texts)).collect()}
+    assert len({d for name, d in got.values() if name == "MIT"}) == len({d for name, d in got.values() if name == "BSD-3-Clause"}) == 1
+    assert {name for name, _ in got.values()} == {"MIT", "BSD-3-Clause"}
+
+
+def test_spellings_begin_at_words(table):
+    got = {r.id: r.digest for r in license_scan.scan(table(["some silicence text", "some silicense text", "a licence", "a license"])).collect()}
+    assert got[0] != got[1] and got[2] == got[3]
+
+
 def test_every_known_text_is_found(table):
     own = [(name, text) for name, texts in license_scan.TEXTS.items() for text in texts]
     got = {r.id: r.license_id for r in license_scan.scan(table([t for _, t in own])).collect()}
