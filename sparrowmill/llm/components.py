@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import BROADCAST_DIGESTS, keyed_join, written
+from .tables import BROADCAST_DIGESTS, discard, keyed_join, written
 
 MOST_ROUNDS = 60
 
@@ -28,7 +28,8 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: a node and its smaller neighbours are linked to the least of those
         low = written(large.groupBy("a").agg(F.min("b").alias("root")), "low")
         rest = keyed_join(large, low, "a", "inner", BROADCAST_DIGESTS).where("b <> root").select(F.col("b").alias("a"), F.col("root").alias("b"))
-        now = written(rest.union(low.select("a", F.col("root").alias("b"))), "edges")
+        before, now = now, written(rest.union(low.select("a", F.col("root").alias("b"))), "edges")
+        discard(before, least, large, low)
         # settled: every node has one edge, to a node that has none but to itself
         ends = F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("ups"), F.lit(0).alias("downs")), F.struct(F.col("b").alias("node"), F.lit(0).alias("ups"), F.lit(1).alias("downs")))
         degrees = now.where("a <> b").select(F.inline(ends)).groupBy("node").agg(F.sum("ups").alias("ups"), F.max("downs").alias("downs"))

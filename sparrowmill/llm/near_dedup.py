@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import wordhash
 from .components import components
-from .tables import BROADCAST_DIGESTS, documents, keyed_join, written
+from .tables import BROADCAST_DIGESTS, discard, documents, keyed_join, small_batches, written
 
 ROWS = 5
 BANDS = 32
@@ -72,8 +72,13 @@ def _nodes(hashes: np.ndarray, cut: np.ndarray) -> list[bytes | None]:
     return [both[k].tobytes() if cut[k + 1] > cut[k] else None for k in range(len(cut) - 1)]
 
 
+def _text_key(text_col: str) -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+
+
 def sketched(df: DataFrame, id_col: str, text_col: str, size: int, bands: int, rows: int) -> DataFrame:
-    """(id, n_shingles, node, bands): node is the digest of the shingle set, bands its bucket keys; both null for an empty set."""
+    """(id, text_key, n_shingles, node, bands): node is the digest of the shingle set, bands its bucket keys; both null for an empty set."""
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,10 +92,10 @@ def sketched(df: DataFrame, id_col: str, text_col: str, size: int, bands: int, r
                 full = counts > 0
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(full * bands)]), pa.int32()), pa.array(keys[full].view(np.int64).ravel()))
                 lists = pa.ListArray.from_buffers(lists.type, j - i, [pa.array(full).buffers()[1], lists.buffers()[1]], children=[lists.values])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(counts, pa.int64()), pa.array(_nodes(hashes, cut), pa.binary()), lists], ["id", "n_shingles", "node", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(counts, pa.int64()), pa.array(_nodes(hashes, cut), pa.binary()), lists], ["id", "text_key", "n_shingles", "node", "bands"])
 
     id_type = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {id_type}, n_shingles long, node binary, bands array<long>")
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), _text_key(text_col).alias("text_key")).mapInArrow(run, f"id {id_type}, text_key binary, n_shingles long, node binary, bands array<long>")
 
 
 def shingle_sets(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -134,34 +139,36 @@ def _rest(sets: DataFrame, loose: DataFrame, percent: int) -> DataFrame:
     Shingles are put in one order for all, rare ones first. Two sets that share `percent` of their union share a shingle within the
     first size - ceil(size * percent / 100) + 1 of each. What many documents have in common comes last in that order, so it is in
     few prefixes; shingles whose prefixes lie in one component are left out before the join, and so are pairs whose shared
-    shingle has too little after it. Each pair comes up once, at the first shingle that it shares.
+    shingle has too little after it. Of a pair, the smaller set has more than half of what the threshold wants after the shingle that
+    they share first: only such `strong` rows are joined with the rest, so documents that have a long boilerplate in
+    common, but not enough of it to be alike, don't meet at all. Rows are of fixed size, whatever a text's length.
     """
     each = keyed_join(sets, loose, "node", "inner", BROADCAST_DIGESTS).select("node", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     at_root = F.xxhash64("root")  # a long, so that these aggregates stay in hash tables
     common = each.groupBy("shingle").agg(F.count("*").alias("many"), F.min(at_root).alias("low"), F.max(at_root).alias("high")).where("low <> high")
     common = written(common.select("shingle", F.floor(F.log2("many")).cast("int").alias("level")), "common")
-    ordered = keyed_join(each, common, "shingle", "left").withColumn("at", F.struct(F.coalesce("level", F.lit(0)).alias("level"), F.xxhash64("shingle").alias("order"), "shingle"))
-    length = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100.0)) + 1
-    whole = ordered.groupBy("node", "root", "n").agg(F.array_sort(F.collect_list("at")).alias("all"))
-    # shingles of one component come first; they match no other, so they aren't written, and don't count as shared
-    whole = whole.withColumn("alone", F.size(F.filter("all", lambda s: s["level"] == 0))).withColumn("length", length.cast("int")).where("length > alone")
-    own = F.transform(F.slice("all", F.col("alone") + 1, F.greatest(F.col("length") - F.col("alone"), F.lit(0))), lambda s: s["shingle"])
-    first = whole.select("node", "root", "n", "alone", own.alias("own")).select("*", F.posexplode("own").alias("before", "shingle"))
-    prefixes = written(first.select("node", "root", "n", "own", (F.col("n") - F.col("alone") - F.col("before") - 1).alias("after"), "shingle"), "prefixes")
-    several = prefixes.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle")
-    left = written(keyed_join(prefixes, written(several, "several"), "shingle", "left_semi"), "prefixes")
-    right = left.select("shingle", F.col("node").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("root", "n", "own", "after")])
-    # after the first shingle that two sets share, they can't share more than what is left of either
-    most = 1 + F.least("after", "after_b")
-    alike = (F.least("n", "n_b") * 100 >= F.greatest("n", "n_b") * percent) & (most * (100 + percent) >= (F.col("n") + F.col("n_b")) * percent)
-    once = F.col("shingle") == F.array_intersect("own", "own_b")[0]  # the first shingle that they share: each pair comes once
-    return left.join(right, "shingle").where((F.col("root") != F.col("root_b")) & (F.col("node") < F.col("b")) & alike & once).select(F.col("node").alias("a"), "b")
-
-
-def near_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, stars: int = STARS
-) -> DataFrame:
-    """(id, n_shingles, component_id, kept) for each row of `df`: component_id is the least id linked with it, directly or not."""
+    # shingles of one component match no other, so they only count: they come first, and don't count as shared
+    met = keyed_join(each, common, "shingle", "inner").withColumn("at", F.struct("level", F.xxhash64("shingle").alias("order"), "shingle"))
+    whole = met.groupBy("node", "root", "n").agg(F.array_sort(F.collect_list("at")).alias("all"))
+    alone = F.col("n") - F.size("all")
+    length = (F.col("n") - F.ceil(F.col("n") * percent / F.lit(100.0)) + 1).cast("int") - alone
+    first = whole.where(length > 0).select("node", "root", "n", F.size("all").alias("shared"), F.posexplode(F.slice("all", F.lit(1), length)).alias("before", "own"))
+    prefixes = written(first.select("node", "root", "n", (F.col("shared") - F.col("before")).alias("left"), F.col("own.shingle").alias("shingle")), "prefixes")
+    several = prefixes.groupBy("shingle").agg(F.min(at_root).alias("low"), F.max(at_root).alias("high")).where("low <> high").select("shingle")
+    some = written(keyed_join(prefixes, written(several, "several"), "shingle", "left_semi"), "prefixes")
+    # from a shared shingle on, two sets can't share more than what is left of either, this shingle included
+    strong = some.where(F.col("left") * (100 + percent) >= 2 * F.col("n") * percent)
+    right = some.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("node", "root", "n", "left")])
+    larger = (F.col("n") < F.col("n_b")) | (F.col("n") == F.col("n_b")) & (F.col("node") < F.col("node_b"))
+    alike = (F.col("n") * 100 >= F.col("n_b") * percent) & (F.least("left", "left_b") * (100 + percent) >= (F.col("n") + F.col("n_b")) * percent)
+    met = strong.join(right, "shingle").where((F.col("root") != F.col("root_b")) & larger & alike)
+    pairs = written(met.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct(), "pairs")
+    discard(prefixes, some, common)
+    return pairs
+
+
+def resolved(df: DataFrame, id_col: str, text_col: str, size: int, percent: int, bands: int, rows: int, stars: int) -> DataFrame:
+    """(id, text_key, n_shingles, node, component_id) for each row; tables on the way are deleted when the next one is written."""
     rows_ = written(sketched(df, id_col, text_col, size, bands, rows), "sketches")
     # a set's rows carry the same bands, so any one of them will do
     nodes = written(rows_.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("bands").alias("bands")), "nodes")
@@ -172,10 +179,11 @@ def near_duplicates(
     hubs = [f"hub{k}" for k in range(stars)]
     stars_of = written(shared.groupBy("bucket").agg(*[_hub(k).alias(name) for k, name in enumerate(hubs)]), "stars")
     buckets = written(keyed_join(shared, stars_of, "bucket", "inner", BROADCAST_DIGESTS), "buckets")
-    nodes = nodes.select("node", "id")
+    discard(many, shared, stars_of)
+    plain = nodes.select("node", "id")
 
     met = written(buckets.select("node").distinct(), "met")
-    involved = written(keyed_join(nodes, met, "node", "left_semi", BROADCAST_DIGESTS).select("node", F.col("id").alias(id_col)), "involved")
+    involved = written(keyed_join(plain, met, "node", "left_semi", BROADCAST_DIGESTS).select("node", F.col("id").alias(id_col)), "involved")
     texts = keyed_join(df.select(id_col, text_col), involved.select(id_col), id_col, "left_semi")
     if not involved.where(F.col(id_col).isNull()).isEmpty():
         texts = texts.unionByName(df.select(id_col, text_col).where(F.col(id_col).isNull()))
@@ -184,31 +192,53 @@ def near_duplicates(
     tried = written(_pairs(buckets, hubs), "pairs")
     roots = written(components(confirmed(tried, sets, percent)), "roots")
     known = written(keyed_join(buckets.select("bucket", "node"), roots, "node", "left", BROADCAST_DIGESTS).withColumn("root", F.coalesce("root", "node")), "known")
-    apart = known.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    loose = written(keyed_join(known, written(apart, "apart"), "bucket", "left_semi").select("node", "root").distinct(), "loose")
-    found = written(confirmed(written(_rest(sets, loose, percent), "pairs"), sets, percent), "links")
+    discard(involved, met, tried, buckets)
+    apart = written(known.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket"), "apart")
+    loose = written(keyed_join(known, apart, "bucket", "left_semi").select("node", "root").distinct(), "loose")
+    discard(known, apart)
+    rest = _rest(sets, loose, percent)
+    found = written(confirmed(rest, sets, percent), "links")
+    discard(loose, rest, sets)
     if not found.isEmpty():
         roots = written(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found)), "roots")
 
-    named = written(keyed_join(nodes, roots, "node", "left", BROADCAST_DIGESTS).withColumn("root", F.coalesce("root", "node")), "named")
+    named = written(keyed_join(plain, roots, "node", "left", BROADCAST_DIGESTS).withColumn("root", F.coalesce("root", "node")), "named")
     # a component of one node keeps its own id, so only the others have to be looked up
     least = written(named.join(roots.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("id").alias("component_id")), "least")
+    discard(nodes)
     of_node = keyed_join(named, least, "root", "left", BROADCAST_DIGESTS).select("node", F.when(F.col("component_id").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
-    found = rows_.select("id", "n_shingles", "node").join(of_node, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return found.select("id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), component.isNull()).alias("kept"))
+    found = rows_.select("id", "text_key", "n_shingles", "node").join(of_node, "node", "left")
+    return found.select("id", "text_key", "n_shingles", "node", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def near_duplicates(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, stars: int = STARS
+) -> DataFrame:
+    """(id, n_shingles, component_id, kept) for each row of `df`: component_id is the least id linked with it, directly or not."""
+    kept = F.coalesce(F.col("component_id") == F.col("id"), F.col("component_id").isNull())
+    return resolved(df, id_col, text_col, size, percent, bands, rows, stars).select("id", "n_shingles", "component_id", kept.alias("kept"))
 
 
-def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of `df` without those that have a near-duplicate with a smaller id; repeated rows of an id become one, rows without id stay."""
-    found = written(near_duplicates(df, id_col, text_col, **options).where("id is not null").select(F.col("id").alias(id_col), "kept"), "decided")
-    dropped = written(found.where(~F.col("kept")).select(id_col).distinct(), "dropped")
-    rest = keyed_join(df, dropped, id_col, "left_anti")
+def deduplicated(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, stars: int = STARS
+) -> DataFrame:
+    """The rows of `df` without those that have a near-duplicate with a smaller id.
+
+    Rows with the same id and set become one; where texts of one id differ, each is judged by its own set. Rows without id stay.
+    """
+    copy = ~F.coalesce(F.col("component_id") == F.col("id"), F.lit(True))
+    found = written(resolved(df, id_col, text_col, size, percent, bands, rows, stars).where("id is not null").select(F.col("id").alias(id_col), "text_key", "node", copy.alias("copy")), "decided")
     repeated = written(found.groupBy(id_col).count().where("count > 1").select(id_col), "repeated")
+    gone = written(keyed_join(found.where("copy").select(id_col), repeated, id_col, "left_anti"), "copies")
     if repeated.isEmpty():
-        return rest
-    once = keyed_join(rest, repeated, id_col, "left_semi").dropDuplicates([id_col])
-    return keyed_join(rest, repeated, id_col, "left_anti").unionByName(once)
+        return keyed_join(df, gone, id_col, "left_anti")
+    # of a repeated id, the rows of one text, the least by its digest, stand for each set
+    of_set = F.coalesce("node", "text_key")
+    stays = keyed_join(found.where("not copy"), repeated, id_col, "left_semi").groupBy(id_col, of_set.alias("set")).agg(F.min("text_key").alias("text_key"))
+    stays = written(stays.select(id_col, "text_key"), "stays")
+    many = keyed_join(df, repeated, id_col, "left_semi").withColumn("text key", _text_key(text_col)).dropDuplicates([id_col, "text key"])
+    once = many.join(stays.withColumnsRenamed({"text_key": "text key"}), [id_col, "text key"], "left_semi").select(df.columns)
+    return keyed_join(keyed_join(df, repeated, id_col, "left_anti"), gone, id_col, "left_anti").unionByName(once)
 
 
 def op6_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -48,6 +48,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of written tables that nothing reads any more; what can't be deleted stays."""
+    for df in tables:
+        session = df.sparkSession
+        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = session._jvm.org.apache.hadoop.fs.Path(file)
+            path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def keyed_join(left: DataFrame, keys: DataFrame, on: str | list[str], how: str, most: int = BROADCAST_ROWS) -> DataFrame:
     """Join a large table with a narrow written table of keys; the keys are counted, and broadcast only if there are at most `most`."""
     if keys.limit(most + 1).count() <= most:

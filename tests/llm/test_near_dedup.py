@@ -105,6 +105,34 @@ def test_only_repeats_of_one_row(spark, table):
     assert {r.component_id for r in copies} == {0} and sum(r.kept for r in copies) == 1
 
 
+def test_repeated_ids_are_judged_by_their_own_text(spark, table):
+    a, b, c = ("one two three four five six seven", "some quite different words stand in here", "again another text with words of its own")
+    rows = [(1, a), (7, a), (7, b), (7, b.upper()), (7, b), (7, ""), (7, None), (8, c), (9, c)]
+    kept = near_dedup.deduplicated(table([t for _, t in rows], [k for k, _ in rows]).repartition(3)).select("doc_id", "text").collect()
+    assert sorted((r.doc_id, (r.text or "").lower()) for r in kept) == [(1, a), (7, ""), (7, b), (8, c)]
+
+
+def test_boilerplate_below_the_threshold_makes_no_pairs(spark):
+    """Sets that share 85 % of their shingles (likeness 0.74) don't meet in the exact pass, however many there are; those alike do."""
+    rows = [(bytes([k]), bytes([k]), [*range(85), *range(1000 * k + 1000, 1000 * k + 1015)]) for k in range(60)]
+    rows += [(bytes([100 + k]), bytes([100 + k]), [*range(5000, 5092), *range(900_000 + 10 * k, 900_008 + 10 * k)]) for k in range(2)]
+    df = spark.createDataFrame(rows, "node binary, root binary, shingles array<long>")
+    got = near_dedup._rest(df.select("node", "shingles"), df.select("node", "root"), 80).collect()
+    assert [(bytes(r.a), bytes(r.b)) for r in got] == [(bytes([100]), bytes([101]))]
+
+
+def test_exact_pass_is_linear_in_a_text(spark, monkeypatch):
+    """Rows of the exact pass have a fixed size: long texts that share most shingles write no arrays."""
+    written = []
+    plain = near_dedup.written
+    monkeypatch.setattr(near_dedup, "written", lambda df, name: written.append((name, df.schema)) or plain(df, name))
+    shared = list(range(20_000))
+    rows = [(bytes([k]), bytes([k]), [*shared, *range(10**6 * (k + 1), 10**6 * (k + 1) + 2000)]) for k in range(5)]
+    df = spark.createDataFrame(rows, "node binary, root binary, shingles array<long>")
+    assert near_dedup._rest(df.select("node", "shingles"), df.select("node", "root"), 80).count() == 10
+    assert not [name for name, schema in written if any(f.dataType.typeName() == "array" for f in schema)]
+
+
 def test_components(spark):
     draw = random.Random(7)
     edges = [(k, k + 1) for k in range(0, 40)] + [(100 + draw.randrange(30), 100 + draw.randrange(30)) for _ in range(25)] + [(200, 200 + k) for k in range(1, 50)] + [(300, 300)]
