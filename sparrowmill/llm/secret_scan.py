@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from .tables import documents
+from .tables import documents, small_batches
 
 #: Findings that a forest is fitted on at most.
 MOST_FINDINGS = 6000
@@ -47,13 +47,15 @@ FORMATS = {
     "slack-token": r"xox[abprs]-[A-Za-z0-9-]{10,}",
     "stripe-key": r"[sr]k_live_[A-Za-z0-9]{16,}",
     "google-api-key": r"AIza[0-9A-Za-z_-]{35}",
-    "jwt": r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
+    "jwt": r"eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+",
     "private-key": (
         r"-----BEGIN [A-Z0-9 ]{0,20}PRIVATE KEY(?: BLOCK)?-----"
         r"(?:(?:[^-]++|-(?!----(?:BEGIN|END) ))*+-----END [A-Z0-9 ]{0,20}PRIVATE KEY(?: BLOCK)?-----"
         r"|(?:[ \t]*+(?:\r?\n|\\r\\n|\\n)[ \t]*+(?:[A-Za-z0-9+/=]++|[A-Za-z-]{1,40}: [^\\\n]*+|)(?=[ \t]*+(?:\r?\n|\\r\\n|\\n|[\"'`]|\Z)))*+)"
     ),
 }
+#: What comes before a format, so that a long run is looked through once: a token begins at the first mark of its run.
+_AHEAD = {"jwt": r"(?<![A-Za-z0-9_-])(?:(?!eyJ)[A-Za-z0-9_-])*+"}
 # One of these is in every text that holds a format.
 FORMAT_MARKS = ["AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "k_live_", "AIza", "eyJ", "-----BEGIN "]
 # Names that secrets are assigned to.
@@ -85,7 +87,7 @@ _ASSIGNS = re.compile(rf"(?i:{_NAME})[A-Za-z0-9_]{{0,24}}[\"']?[ \t]{{0,4}}(?:=>
 _QUOTED = re.compile(r"""(?P<t>\"{3}|'{3})(?:\\[\s\S]|(?!(?P=t))[^\\])*+(?P=t)|(?P<q>["'`])(?:\\.|(?!(?P=q))[^\\\r\n])*+(?P=q)""")
 _BARE = re.compile(r"[^\s\"'`,;<>(){}\[\]]+")
 _RUN = re.compile(rf"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])([A-Za-z0-9+/_-]{{{LEAST_RUN},}})")
-_FORMAT = re.compile("|".join(f"(?P<f{k}>{pattern})" for k, pattern in enumerate(FORMATS.values())))
+_FORMAT = re.compile("|".join(f"{_AHEAD.get(name, '')}(?P<f{k}>{pattern})" for k, (name, pattern) in enumerate(FORMATS.items())))
 _RULES = {f"f{k}": name for k, name in enumerate(FORMATS)}
 _WORDS = re.compile("|".join(sorted((w for w in DICTIONARY if len(w) > 2), key=len, reverse=True)))
 _RUNS = re.compile(r"(.)\1{2,}")
@@ -158,7 +160,7 @@ def _outside(spans: Iterator[tuple[int, int, str]], taken: list[tuple[int, int,
 
 def candidates(text: str, path: str) -> Iterator[Candidate]:
     """All candidates of a text, in order; they don't overlap. Positions are in code points."""
-    taken = [(*m.span(), _RULES[m.lastgroup]) for m in _FORMAT.finditer(text)] if any(mark in text for mark in FORMAT_MARKS) else []
+    taken = [(*m.span(m.lastgroup), _RULES[m.lastgroup]) for m in _FORMAT.finditer(text)] if any(mark in text for mark in FORMAT_MARKS) else []
     folded = text.casefold()
     if any(mark in folded for mark in NAME_MARKS):
         taken = sorted(taken + [s for s in _outside(_assigned(text), taken) if s[1] - s[0] >= LEAST_VALUE])
@@ -394,8 +396,19 @@ FINDING = StructType(
 )
 
 
+def may_hold(text: Column) -> Column:
+    """Whether a text can have a candidate: a format's mark, a part of a name, or a run of key characters. Rows without are never parsed in Python."""
+    low = F.lower(text)
+    signs = [*(text.contains(mark) for mark in FORMAT_MARKS), *(low.contains(mark) for mark in NAME_MARKS), text.contains("ſ"), text.rlike(f"[A-Za-z0-9+/_-]{{{LEAST_RUN}}}")]
+    out = signs[0]
+    for sign in signs[1:]:
+        out = out | sign
+    return F.coalesce(out, F.lit(False))
+
+
 def scan(df: DataFrame, forest: Forest, text_col: str = "text", path_col: str | None = None, out: str = "findings", cut: float = CUT) -> DataFrame:
     """All columns of `df` and its findings, array<struct<rule, start, stop, score, secret>>, positions in code points."""
+    small_batches(df.sparkSession)
     df = df.drop(out)
     shared = df.sparkSession.sparkContext.broadcast(forest)
     schema = StructType([*df.schema.fields, StructField(out, ArrayType(FINDING))])
@@ -405,19 +418,19 @@ def scan(df: DataFrame, forest: Forest, text_col: str = "text", path_col: str |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, paths = batch.column(text_col), batch.column(path_col) if path_col else None
+            *columns, maybe = batch.columns
             found: list[Candidate] = []
-            counts = []
-            for k in range(batch.num_rows):
+            counts = np.zeros(batch.num_rows, np.int64)
+            for k in np.flatnonzero(maybe.to_numpy(zero_copy_only=False)):
                 have = len(found)
-                if text := texts[k].as_py():
-                    found += candidates(text, (paths[k].as_py() if path_col else None) or "")
-                counts.append(len(found) - have)
+                found += candidates(texts[int(k)].as_py(), (paths[int(k)].as_py() if path_col else None) or "")
+                counts[k] = len(found) - have
             scores = shared.value.score(found)
             rows = [{"rule": c.rule, "start": c.start, "stop": c.stop, "score": float(s), "secret": bool(s >= cut)} for c, s in zip(found, scores, strict=True)]
             ends = np.cumsum(counts)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([rows[e - n : e] for e, n in zip(ends, counts, strict=True)], found_type)], names)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([rows[e - n : e] for e, n in zip(ends, counts, strict=True)], found_type)], names)
 
-    return df.mapInArrow(run, schema)
+    return df.select("*", may_hold(F.col(text_col)).alias(f"{out} may be")).mapInArrow(run, schema)
 
 
 def redacted(text: Column, findings: Column) -> Column:
