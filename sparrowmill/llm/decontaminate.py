@@ -13,10 +13,10 @@ searched, also those of one word.
    A window that isn't aligned with the item's start counts as well, so that at the most edits allowed about 99 % are found (`test_recall`).
 4. Candidates are confirmed by the exact edit distance between the whole item and its best place around the window.
 
-Two tests by bitmaps spare work and lose nothing: each edit breaks at most two pairs of neighbouring words, so a window that holds
-fewer than W - 1 - 2 * edits pairs of items isn't embedded; and buckets without an item aren't sent on. The bitmaps are what is
-broadcast, at most MOST_FILTER_BITS each; items, buckets and candidates are tables that Spark joins. Texts with equal digests are
-searched in every row but verified once, so a passage that many rows copy costs no more.
+Two filters spare work and lose nothing: each edit breaks at most two pairs of neighbouring words, so a window that holds fewer
+than W - 1 - 2 * edits pairs of items of its class isn't embedded; and buckets without an item aren't sent on. The filters are what
+is broadcast, at most MOST_SLOTS slots each; items, buckets and candidates are tables that Spark joins. Texts with equal
+digests are searched in every row but verified once, so a passage that many rows copy costs no more.
 
 Defined results: null and empty texts match nothing; items that are null or without a word are never found; equal items are all
 reported; rows without id are searched like others; repeated rows give repeated results; without items no row is
@@ -45,8 +45,8 @@ SPAN = 64
 WALKS = 4
 TABLES = 16
 BITS = 3
-#: Bits of a bitmap: FILTER_SHARE for each key, within these bounds.
-FILTER_SHARE, LEAST_FILTER_BITS, MOST_FILTER_BITS = 16, 1 << 16, 1 << 28
+#: Slots of a filter (two bytes each): at least SLOTS_A_KEY for each key, within these bounds.
+SLOTS_A_KEY, LEAST_SLOTS, MOST_SLOTS = 8, 1 << 14, 1 << 25
 _SEED = 0x5DEECE66D
 
 # Ranges of code points of scripts without spaces between words (Thai, Lao, Myanmar, Khmer, Tai, Balinese, Javanese, Han, kana, Bopomofo, Yi).
@@ -131,14 +131,14 @@ def allowed(length, edits: float):
 
 @dataclass(frozen=True)
 class Window:
-    """A class of chunk lengths `low` to `high`: `steps` of a walk are sampled, `reach` words are looked at, `pairs` of items must be among them."""
+    """A class of chunk lengths `low` to `high`: `steps` of a walk are sampled, `pairs` of items must be among `reach` words, starts up to `near` apart share a region."""
 
     low: int
     high: int
     steps: int
     reach: int
     pairs: int
-    drift: int
+    near: int
 
 
 @cache
@@ -148,7 +148,7 @@ def windows(edits: float) -> list[Window]:
         high = min(SPAN, max(low, int(low * 1.22)))
         lengths = np.arange(low, high + 1)
         most = allowed(lengths, edits)
-        out.append(Window(low, high, low + low // 4, high + int(most[-1]), int((lengths - 1 - 2 * most).min()), int(most[-1]) + 2))
+        out.append(Window(low, high, low + low // 4, high + int(most[-1]), int((lengths - 1 - 2 * most).min()), int(most[-1]) + 1))
         low = high + 1
     return out
 
@@ -190,30 +190,27 @@ def _pairs(words: np.ndarray) -> np.ndarray:
     return wordhash.mix(words[:-1] * np.uint64(0xD6E8FEB86659FD93) + words[1:])
 
 
-class Bitmap:
-    """Which hashes occur, by their highest bits; others may seem to."""
+class Filter:
+    """In which classes hashes occur, by their highest bits; others may seem to."""
 
-    def __init__(self, bits: int, slots: np.ndarray, values: np.ndarray) -> None:
-        self.shift = np.uint64(64 - bits.bit_length() + 1)
-        self.words = np.zeros(bits >> 6, np.uint64)
-        self.words[slots] = values
+    def __init__(self, slots: int, at: np.ndarray, classes: np.ndarray) -> None:
+        self.shift = np.uint64(64 - slots.bit_length() + 1)
+        self.classes = np.zeros(slots, np.uint16)
+        self.classes[at] = classes
 
-    def has(self, hashes: np.ndarray) -> np.ndarray:
-        at = hashes >> self.shift
-        return self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1) == 1
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        """A bit for each class, 0 for hashes that don't occur."""
+        return self.classes[(hashes >> self.shift).astype(np.int64)]
 
 
-def bitmap(hashes: DataFrame) -> Bitmap:
-    """Bitmap of a column `hash`, put together by Spark; what reaches the driver has the bitmap's size."""
-    n = hashes.count()
-    bits = LEAST_FILTER_BITS
-    while bits < min(FILTER_SHARE * n, MOST_FILTER_BITS):
-        bits *= 2
-    at = F.shiftrightunsigned("hash", 64 - bits.bit_length() + 1)
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
-    filled = hashes.groupBy(F.shiftright(at, 6).alias("slot")).agg(F.bit_or(one).alias("bits")).toArrow()
-    return Bitmap(bits, filled["slot"].to_numpy(), filled["bits"].to_numpy().view(np.uint64))
-
+def filter_of(hashes: DataFrame) -> Filter:
+    """Filter of columns `hash` and `class`, put together by Spark; what reaches the driver has the filter's size."""
+    n, slots = hashes.count(), LEAST_SLOTS
+    while slots < min(SLOTS_A_KEY * n, MOST_SLOTS):
+        slots *= 2
+    one = F.call_function("shiftleft", F.lit(1), F.col("class").cast("int"))
+    filled = hashes.groupBy(F.shiftrightunsigned("hash", 64 - slots.bit_length() + 1).alias("at")).agg(F.bit_or(one).alias("classes")).toArrow()
+    return Filter(slots, filled["at"].to_numpy(), filled["classes"].to_numpy())
 
 
 def item_words(items: DataFrame, item_id: str, item_text: str) -> DataFrame:
@@ -231,7 +228,7 @@ def item_words(items: DataFrame, item_id: str, item_text: str) -> DataFrame:
 
 
 def item_buckets(items: DataFrame, edits: float, walks: int, tables: int, bits: int) -> DataFrame:
-    """(item, n, at, kind, hash) from (item, words): buckets of the chunk at word `at`; with kind -1 the hashes of word pairs, and -2 those of words that are items."""
+    """(item, n, at, class, kind, hash) from (item, words): kind `bucket` for those of the chunk at word `at`, `pair` for its pairs of words, or the word itself if it is one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = windows(edits)
@@ -240,87 +237,92 @@ def item_buckets(items: DataFrame, edits: float, walks: int, tables: int, bits:
             for item, words in zip(batch.column(0), batch.column(1), strict=True):
                 own = words.values.to_numpy().view(np.uint64)
                 moving = moves(own, walks, classes[-1].steps)
-                cuts = len(own) * np.arange(-(-len(own) // SPAN) + 1) // -(-len(own) // SPAN)
-                at, kinds, hashes = [np.zeros(len(own) - 1, np.int64)], [np.full(len(own) - 1, -1)], [_pairs(own)]
-                if len(own) == 1:
-                    at, kinds, hashes = [np.zeros(1, np.int64)], [np.full(1, -2)], [wordhash.mix(own)]
-                kind = np.searchsorted(lows, np.diff(cuts), side="right") - 1
-                for k in np.unique(kind):
-                    starts, ends = cuts[:-1][kind == k], cuts[1:][kind == k]
-                    for w, sampled in enumerate(samples(classes[k].steps, walks, tables, bits)):
-                        keys = buckets(walk(own, moving[w], starts, ends, classes[k].steps), int(k), w * tables, sampled)
-                        at.append(np.repeat(starts, tables))
-                        kinds.append(np.full(keys.size, k))
-                        hashes.append(keys.ravel())
-                at = np.concatenate(at)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([item.as_py()] * len(at), pa.binary()), pa.array(np.full(len(at), len(own))), pa.array(at), pa.array(np.concatenate(kinds)), pa.array(np.concatenate(hashes).view(np.int64))],
-                    ["item", "n", "at", "kind", "hash"],
-                )
-
-    return items.select("item", "words").mapInArrow(run, "item binary, n long, at long, kind long, hash long").distinct()
-
+                chunks = -(-len(own) // SPAN)
+                cuts = len(own) * np.arange(chunks + 1) // chunks
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    k = int(np.searchsorted(lows, b - a, side="right")) - 1
+                    pairs = _pairs(own[a:b]) if b - a > 1 else wordhash.mix(own[a:b])
+                    starts, ends = np.array([a]), np.array([b])
+                    keys = [buckets(walk(own, moving[w], starts, ends, classes[k].steps), k, w * tables, s).ravel() for w, s in enumerate(samples(classes[k].steps, walks, tables, bits))]
+                    hashes = np.concatenate([pairs, *keys]).view(np.int64)
+                    n = len(hashes)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([item.as_py()] * n, pa.binary()), pa.array(np.full(n, len(own))), pa.array(np.full(n, a)), pa.array(np.full(n, k)),
+                            pa.array(["pair"] * len(pairs) + ["bucket"] * (n - len(pairs))), pa.array(hashes),
+                        ],
+                        ["item", "n", "at", "class", "kind", "hash"],
+                    )
+
+    return items.select("item", "words").mapInArrow(run, "item binary, n long, at long, class long, kind string, hash long").distinct()
 
 
 @dataclass
 class Search:
     """What every task needs to find the windows that share a bucket with an item; of bounded size."""
 
-    kinds: list[int]
-    words: Bitmap
-    pairs: Bitmap
-    keys: Bitmap
+    classes: list[int]
+    pairs: Filter
+    keys: Filter
     edits: float
     walks: int
     tables: int
     bits: int
 
-    def dense(self, words: np.ndarray, ends: np.ndarray, pairs: np.ndarray, kind: int) -> np.ndarray:
-        """The starts of windows of a class that can match, and those next to them."""
-        own = windows(self.edits)[kind]
+    def dense(self, rows: np.ndarray, pairs: np.ndarray, pair_classes: np.ndarray, k: int) -> np.ndarray:
+        """The starts of a class's windows that hold enough pairs, from the places of pairs; or those of single words."""
+        own = windows(self.edits)[k]
+        if own.pairs <= 0 and own.high > 1:
+            return np.arange(len(rows))
+        at = pairs[pair_classes >> np.uint16(k) & np.uint16(1) == 1]
         if own.high == 1:
-            return np.flatnonzero(self.words.has(wordhash.mix(words)))
-        at = np.arange(len(words))
-        if own.pairs <= 0:
             return at
-        fits = pairs[np.minimum(at + own.reach - 1, ends - 1)] - pairs[at] >= own.pairs
-        if own.drift > 2:  # without edits a window must be aligned
-            near = np.concatenate([[0], np.cumsum(fits)])
-            fits = near[np.minimum(at + own.drift, len(words))] > near[np.maximum(at - own.drift, 0)]
-        return np.flatnonzero(fits)
+        first, last = at[: max(len(at) - own.pairs + 1, 0)], at[own.pairs - 1 :]
+        use = (last - first < own.reach - 1) & (rows[first] == rows[last])
+        first, last = first[use], last[use]
+        low = np.maximum(last - own.reach + 2, np.searchsorted(rows, rows[first]))
+        many = first - low + 1
+        return np.unique(np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
 
     def found(self, words: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """First words and bucket keys of windows in buckets that hold an item."""
-        if not len(words):
+        if not len(words) or not self.classes:
             return
-        ends = np.searchsorted(rows, rows, side="right")
-        pairs = np.zeros(len(words), np.int64)
-        np.cumsum(self.pairs.has(_pairs(words)) & (rows[1:] == rows[:-1]), out=pairs[1:])
-        dense = {kind: self.dense(words, ends, pairs, kind) for kind in self.kinds}
-        every = np.unique(np.concatenate([np.zeros(0, np.int64), *dense.values()]))
+        near = self.pairs.of(_pairs(words))
+        near[rows[1:] != rows[:-1]] = 0
+        pairs, dense = np.flatnonzero(near), {}
+        for k in self.classes:
+            if windows(self.edits)[k].high == 1:
+                single = self.pairs.of(wordhash.mix(words))
+                dense[k] = self.dense(rows, np.flatnonzero(single), single[single > 0], k)
+            else:
+                dense[k] = self.dense(rows, pairs, near[pairs], k)
+        every = np.unique(np.concatenate([*dense.values()]))
         if not len(every):
             return
         # one walk serves all classes: a shorter class samples its first steps
-        classes = windows(self.edits)
-        steps = max(classes[kind].steps for kind, own in dense.items() if len(own))
+        classes, ends = windows(self.edits), np.searchsorted(rows, rows[every], side="right")
+        steps = max(classes[k].steps for k, own in dense.items() if len(own))
         moving = moves(words, self.walks, steps)
-        for k in range(0, len(every), 4096):
-            starts = every[k : k + 4096]
-            own = {kind: np.searchsorted(starts, at[(at >= starts[0]) & (at <= starts[-1])]) for kind, at in dense.items()}
-            own = {kind: here for kind, here in own.items() if len(here)}
+        for i in range(0, len(every), 4096):
+            starts = every[i : i + 4096]
             for w in range(self.walks):
-                embedded = walk(words, moving[w], starts, ends[starts], steps)
-                for kind, here in own.items():
-                    keys = buckets(embedded[:, here], kind, w * self.tables, samples(classes[kind].steps, self.walks, self.tables, self.bits)[w])
-                    window, table = np.nonzero(self.keys.has(keys))
-                    at, found = starts[here[window]], keys[window, table]
+                embedded = walk(words, moving[w], starts, ends[i : i + 4096], steps)
+                for k, own in dense.items():
+                    here = np.searchsorted(starts, own[np.searchsorted(own, starts[0]) : np.searchsorted(own, starts[-1], side="right")])
+                    if not len(here):
+                        continue
+                    keys = buckets(embedded[:, here], k, w * self.tables, samples(classes[k].steps, self.walks, self.tables, self.bits)[w])
+                    window, table = np.nonzero(self.keys.of(keys) >> np.uint16(k) & np.uint16(1))
+                    if not len(window):
+                        continue
                     # walks from neighbouring places soon agree: of places in the same region one is enough
+                    at, found = starts[here[window]], keys[window, table]
                     order = np.lexsort((at, found))
                     at, found = at[order], found[order]
-                    same = (found[1:] == found[:-1]) & (rows[at[1:]] == rows[at[:-1]]) & (at[1:] // (classes[kind].drift - 1) == at[:-1] // (classes[kind].drift - 1))
-                    if len(at):
-                        new = np.concatenate([[True], ~same])
-                        yield at[new], found[new]
+                    same = (found[1:] == found[:-1]) & (rows[at[1:]] == rows[at[:-1]]) & (at[1:] // classes[k].near == at[:-1] // classes[k].near)
+                    new = np.concatenate([[True], ~same])
+                    yield at[new], found[new]
 
 
 def _key(text: Column) -> Column:
@@ -418,9 +420,9 @@ def contaminated(
     named = written(item_words(items, item_id, item_text), "items")
     known = written(named.groupBy("item").agg(F.first("words").alias("words")), "items-once")
     lsh = written(item_buckets(known, edits, walks, tables, bits), "item-buckets")
-    kinds = sorted(r["kind"] for r in lsh.select("kind").distinct().collect() if r["kind"] >= 0)  # one row a class of lengths
-    search = Search(kinds, *(bitmap(lsh.where(c).select("hash")) for c in ("kind = -2", "kind = -1", "kind >= 0")), edits, walks, tables, bits)
-    met = keyed_join(candidates(df, text_col, search), lsh.where("kind >= 0").select("hash", "item", "n", F.col("at").alias("offset")), "hash", "inner", BROADCAST_DIGESTS)
+    classes = sorted(r["class"] for r in lsh.select("class").distinct().collect())  # one row a class of lengths
+    search = Search(classes, *(filter_of(lsh.where(F.col("kind") == kind)) for kind in ("pair", "bucket")), edits, walks, tables, bits)
+    met = keyed_join(candidates(df, text_col, search), lsh.where("kind = 'bucket'").select("hash", "item", "n", F.col("at").alias("offset")), "hash", "inner", BROADCAST_DIGESTS)
     # starts that differ by no more than the edits allowed share a region
     step = F.floor(F.col("n") * edits + 1e-9) + 1
     start = F.floor((F.col("at") - F.col("offset")) / step) * step
