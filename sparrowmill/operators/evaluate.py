@@ -14,6 +14,10 @@ from ..functions import scalars
 from .changes import is_changed
 
 MAD = 1.4826
+#: What a run's summary takes the mean and the median of.
+MEASURES = (
+    "risk_reduction", "proximity_l1_mad", "proximity_l2_mad", "proximity_l1_iqr", "proximity_l2_iqr", "n_changed", "share_changed", "n_violations", "knn_distance", "lof_score", "mahalanobis", "n_outside",
+)
 
 
 def scale_stats(dense: DataFrame) -> DataFrame:
@@ -104,10 +108,12 @@ def validity(scored: DataFrame, threshold: float, target: int = 0) -> DataFrame:
     return scored.withColumn("valid", after < threshold if target == 0 else after >= threshold).withColumn("risk_reduction", F.col("proba_factual") - after)
 
 
-def summary(evaluated: DataFrame, measures: Sequence[str], row: str = "row_id") -> DataFrame:
-    """One row: counterfactuals, rows, share of valid counterfactuals and of rows with a valid one, mean and median of each measure."""
+def summary(evaluated: DataFrame, measures: Sequence[str] = MEASURES, row: str = "row_id") -> DataFrame:
+    """One row: counterfactuals, rows, shares of valid counterfactuals, of rows with a valid one and of those that change what may not change, mean and median of each measure."""
     by_row = evaluated.groupBy(row).agg(F.max("valid").alias("_any"))
     stats = [f(c).alias(f"{name}_{c}") for c in measures for name, f in (("mean", F.avg), ("median", lambda c: F.percentile(c, F.lit(0.5))))]
+    if "n_violations" in measures:
+        stats.append(F.avg((F.col("n_violations") > 0).cast("double")).alias("violation_rate"))
     whole = evaluated.agg(F.count("*").alias("n_counterfactuals"), F.avg(F.col("valid").cast("double")).alias("flip_rate"), *stats)
     n_rows, flipped = by_row.agg(F.count("*")).scalar(), by_row.agg(F.avg(F.col("_any").cast("double"))).scalar()
     return whole.select(whole["*"], n_rows.alias("n_rows"), flipped.alias("row_flip_rate"))

@@ -72,9 +72,11 @@ def plausibility(reference: DataFrame, queries: DataFrame, k: int = 5) -> DataFr
     return nearest(reference, queries, k).groupBy("query").agg(F.avg("distance").alias("knn_distance"))
 
 
-def lof(reference: DataFrame, queries: DataFrame, k: int = 35) -> DataFrame:
+def lof(reference: DataFrame, queries: DataFrame, k: int = 35, exclude_self: bool = False) -> DataFrame:
     """(query, lof_score): novelty of each query against the reference, -1 for as dense as its neighbours, lower for more outlying.
 
+    With `exclude_self` queries are rows of the reference, and aren't neighbours of themselves.
+
     Only the neighbours of queries, and their neighbours, are searched: three searches of stated sets instead of one of all pairs.
     With fewer than three rows of reference there is no score.
     """
@@ -83,7 +85,7 @@ def lof(reference: DataFrame, queries: DataFrame, k: int = 35) -> DataFrame:
         return queries.select(F.col("id").cast("long").alias("query"), F.lit(None).cast("double").alias("lof_score"))
     k = min(k, max(2, n - 1))
     of = lambda ids: reference.join(ids.select("id").distinct(), "id")
-    first = nearest(reference, queries, k).cache()
+    first = nearest(reference, queries, k, exclude_self).cache()
     second = nearest(reference, of(first), k, exclude_self=True).cache()
     third = nearest(reference, of(second.select("id").union(first.select("id"))), k, exclude_self=True)
     reach = third.groupBy(F.col("query").alias("id")).agg(F.max("distance").alias("k_distance")).cache()

@@ -6,7 +6,7 @@ of the features that may change (null: all of `Space.mutable`). Rows are indepen
 - `beam` and `genetic` are loops of Spark steps over tables of candidates: candidates of all rows are expanded, scored and ranked
   together, and each step's survivors are checkpointed.
 - `exact` finds the nearest counterfactual of a row by branch and bound over the cells between the model's thresholds, a small helper
-  for each row in grouped pandas; it says whether its answer is proven, or its node budget ran out.
+  for each row in pandas tasks. It ends with a proven answer, unless a node budget is asked for and runs out.
 
 Missing values stay missing in all of them. Rows for which nothing is found are in the result with their reason, those of
 `genetic` if asked for with `every_row`.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..sources.staging import cut
-from .ensemble import Ensemble, Node, regions, vector_margin_column
+from .ensemble import Ensemble, Node, leaf_join_scores, regions, vector_margin_column
 
 INFINITY = float("inf")
 
@@ -225,7 +225,7 @@ class Costs:
     sparsity: float = 0.1
     solutions: int = 1
     least_changed: int = 0
-    nodes: int = 20_000
+    nodes: int | None = None
     slack: float = 1e-5
 
 
@@ -268,7 +268,7 @@ def _solve(x: dict[str, float | None], free: list[str], cells: dict[str, list[tu
     while queue and len(found) < costs.solutions:
         cost, _, chosen = heapq.heappop(queue)  # the cheapest open node first, so what completes first is best
         visited += 1
-        if visited > costs.nodes:
+        if costs.nodes is not None and visited > costs.nodes:
             return found, False
         box = fixed | {f: point(cells[f][c][1]) for f, c in zip(free, chosen, strict=False)}
         if base + sum(_least_leaf(own, 0, box) for own in trees) > limit:
@@ -323,3 +323,18 @@ def exact(rows: DataFrame, ensemble: Ensemble, space: Space, threshold: float, t
 
     spread = rows.select("row_id", "vector", "search").repartition(F.col("row_id"))  # rows differ in effort, not in size
     return spread.mapInPandas(run, schema)
+
+
+def audited(found: DataFrame, ensemble: Ensemble, features: Sequence[str], tolerance: float = 1e-8) -> DataFrame:
+    """(row_id, cf_rank, n_leaves, leaf_margin, margin, error_type) of solutions (row_id, cf_rank, counterfactual).
+
+    Each solution is divided by the conditions of all leaves: it has to lie in one leaf of each tree, and these leaves' sum with the
+    base margin has to be the model's margin; `SelectedLeafAudit` says that it isn't so, null that it is.
+    """
+    keyed = found.withColumn("_key", F.struct("row_id", "cf_rank"))
+    names = F.array(*[F.lit(f) for f in features])
+    long = keyed.select("_key", F.inline(F.arrays_zip(names.alias("feature"), F.col("counterfactual").alias("value"))))
+    leaves = leaf_join_scores(long, "_key", ensemble).select("_key", "n_leaves", F.col("margin").alias("leaf_margin"))
+    both = keyed.withColumn("margin", vector_margin_column(ensemble, list(features), "counterfactual")).join(leaves, "_key", "left")
+    right = (F.col("n_leaves") == len(ensemble.by_tree)) & (F.abs(F.col("leaf_margin") - F.col("margin")) <= tolerance)
+    return both.select("row_id", "cf_rank", "n_leaves", "leaf_margin", "margin", F.when(~F.coalesce(right, F.lit(False)), F.lit("SelectedLeafAudit")).alias("error_type"))

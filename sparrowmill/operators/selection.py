@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import cut
 from .cohort import hash_order
 
 # Column names that predictions come under, the first that exists counts.
@@ -17,11 +18,12 @@ PER_RANGE = 100_000
 def numbered(df: DataFrame, order: list[str], out: str = "row_id") -> DataFrame:
     """`df` with a position from 0 in the given order, which has to be a total one.
 
-    Rows are sorted in ranges by Spark and counted by partition, so no task sees all rows.
+    Rows are sorted in ranges by Spark and counted by partition, so no task sees all rows. The ranges are checkpointed, so that rows and
+    counts are of the same ranges whatever adaptive execution does.
     """
     ranges = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
     inside = Window.partitionBy("_part").orderBy(*order)
-    placed = ranges.withColumn("_place", F.row_number().over(inside))
+    placed = cut(ranges.withColumn("_place", F.row_number().over(inside)))
     counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(F.lit(0)).orderBy("_part")  # one row a partition
     counts = counts.select("_part", (F.sum("_n").over(before) - F.col("_n")).alias("_before"))

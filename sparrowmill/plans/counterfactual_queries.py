@@ -186,6 +186,31 @@ def validity(spark, sf_dir):
     return evaluate.validity(_rescored(spark, sf_dir), CUT).withColumn("risk_reduction", F.round("risk_reduction", 9))
 
 
+_MEASURED_SQL = f"""{SCALES_SQL.replace(PAIRS_SQL, RESCORED_SQL)},
+near AS (SELECT row_id, cf_rank, round(sum(abs(d / mad)), 6) AS proximity_l1_mad, round(sqrt(sum((d / mad) * (d / mad))), 6) AS proximity_l2_mad, round(sum(abs(d / iqr)), 6) AS proximity_l1_iqr, round(sqrt(sum((d / iqr) * (d / iqr))), 6) AS proximity_l2_iqr
+  FROM (SELECT row_id, cf_rank, p.feature, coalesce(after, 0) - coalesce(before, 0) AS d, mad, iqr FROM pairs p JOIN scales s ON p.feature = s.feature) GROUP BY row_id, cf_rank),
+counted AS (SELECT row_id, cf_rank, count(*) FILTER ({CHANGED_SQL}) AS n_changed, count(*) FILTER ({CHANGED_SQL})::DOUBLE / count(*) AS share_changed, count(*) FILTER ({CHANGED_SQL} AND feature[:5] <> 'chart') AS n_violations FROM pairs GROUP BY row_id, cf_rank),
+measured AS (SELECT * FROM near JOIN counted USING (row_id, cf_rank))"""
+_MEASURES = ["proximity_l1_mad", "proximity_l2_mad", "proximity_l1_iqr", "proximity_l2_iqr", "n_changed", "share_changed", "n_violations"]
+
+
+@query(f"""WITH {_MEASURED_SQL} SELECT count(*) AS n_counterfactuals, {", ".join(f"round(avg({m}), 5) AS mean_{m}, round(quantile_cont({m}, 0.5), 5) AS median_{m}" for m in _MEASURES)}, avg((n_violations > 0)::INT)::DOUBLE AS violation_rate FROM measured""")
+def eval_measures(spark, sf_dir):
+    """Means and medians of the measures of distance, sparsity and actionability."""
+    p = pairs(spark, sf_dir)
+    found = proximity(spark, sf_dir).join(evaluate.sparsity(p, KEYS), KEYS).join(evaluate.actionability(p, _mutable(spark), KEYS), KEYS).withColumn("valid", F.lit(True))
+    out = evaluate.summary(found, _MEASURES)
+    return out.select("n_counterfactuals", *[F.round(f"{s}_{m}", 5).alias(f"{s}_{m}") for m in _MEASURES for s in ("mean", "median")], "violation_rate")
+
+
+@query(f"""WITH {RESCORED_SQL} SELECT row_id, cf_rank, {len(TOY.by_tree)}::BIGINT AS n_leaves, round(margin, 9) AS leaf_margin, round(margin, 9) AS margin, NULL::VARCHAR AS error_type FROM a""")
+def solution_audit(spark, sf_dir):
+    """Changed rows divided by the conditions of all leaves: one leaf of each tree, and their sum is the margin."""
+    vectors = pairs(spark, sf_dir).groupBy(*KEYS).agg(F.map_from_entries(F.collect_list(F.struct("feature", "after"))).alias("m")).select(*KEYS, F.array(*[F.col("m")[f] for f in FEATURES]).alias("counterfactual"))
+    found = search.audited(vectors, TOY, FEATURES)
+    return found.select(*KEYS, "n_leaves", F.round("leaf_margin", 9).alias("leaf_margin"), F.round("margin", 9).alias("margin"), "error_type")
+
+
 @query(f"""WITH {RESCORED_SQL}, e AS (SELECT *, proba_counterfactual < {CUT} AS valid, round(proba_factual - proba_counterfactual, 9) AS risk_reduction FROM rescored)
 SELECT count(*) AS n_counterfactuals, avg(valid::INT)::DOUBLE AS flip_rate, round(avg(risk_reduction), 9) AS mean_risk_reduction, quantile_cont(risk_reduction, 0.5) AS median_risk_reduction,
   count(DISTINCT row_id) AS n_rows, (SELECT avg(v::INT)::DOUBLE FROM (SELECT bool_or(valid) AS v FROM e GROUP BY row_id)) AS row_flip_rate FROM e""")
@@ -261,24 +286,54 @@ def _vectors(spark, sf_dir):
     return wide(spark, sf_dir).select(F.col("user_id").alias("id"), F.array(*FEATURES).alias("vector"))
 
 
-@query()
+@query("""WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
+d AS (SELECT a.id AS q, b.id AS i, list_distance(a.v, b.v) AS d FROM e a JOIN e b ON a.id <> b.id),
+near AS (SELECT q, i, d FROM d QUALIFY row_number() OVER (PARTITION BY q ORDER BY d, i) <= 35),
+far AS (SELECT q, max(d) AS far FROM near GROUP BY q),
+density AS (SELECT n.q, 1 / (avg(greatest(n.d, f.far)) + 1e-10::DOUBLE) AS density FROM near n JOIN far f ON n.i = f.q GROUP BY n.q)
+SELECT n.q AS query, round(-avg(t.density) / any_value(o.density), 6) AS lof_score FROM near n JOIN density t ON n.i = t.q JOIN density o ON n.q = o.q WHERE n.q % 50 = 0 GROUP BY n.q""")
 def lof_score(spark, sf_dir):
-    """Novelty of every fiftieth embedding against the others."""
+    """Local outlier factor of every fiftieth embedding among all of them."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
-    return neighbours.lof(rows.where("id % 50 <> 0"), rows.where("id % 50 = 0"))
+    return neighbours.lof(rows, rows.where("id % 50 = 0"), exclude_self=True).select("query", F.round("lof_score", 6).alias("lof_score"))
 
 
-@query()
-def mahalanobis(spark, sf_dir):
-    v = _zero_vectors(spark, sf_dir)
-    return neighbours.mahalanobis(v, v)
+_N = len(FEATURES)
+_INDEX_SQL = f"names AS (SELECT feature, row_number() OVER () - 1 AS j FROM (VALUES {', '.join(f"('{f}')" for f in FEATURES)}) v(feature))"
 
 
-@query()
+@query(f"""WITH RECURSIVE {DENSE_SQL}, {_INDEX_SQL}, z AS (SELECT user_id, j, coalesce(value, 0) AS value FROM dense d JOIN names n ON d.feature = n.feature),
+cells AS (SELECT a.j AS i, b.j AS j, covar_samp(a.value, b.value) + CASE WHEN a.j = b.j THEN 1e-6::DOUBLE ELSE 0 END AS c FROM z a JOIN z b ON a.user_id = b.user_id GROUP BY a.j, b.j),
+lines AS (SELECT i, list(c ORDER BY j) || [CASE WHEN i = k THEN 1.0::DOUBLE ELSE 0 END for k in range({_N})] AS line FROM cells GROUP BY i),
+steps AS (
+  SELECT 0 AS k, list(line ORDER BY i) AS m FROM lines
+  UNION ALL SELECT k + 1, list_transform(m, lambda line, i: CASE WHEN i = k + 1 THEN list_transform(line, lambda x: x / m[k + 1][k + 1]) ELSE list_transform(line, lambda x, j: x - line[k + 1] * m[k + 1][j] / m[k + 1][k + 1]) END)
+  FROM steps WHERE k < {_N}),
+inverse AS (SELECT list_transform(m, lambda line: line[{_N + 1}:]) AS m FROM steps WHERE k = {_N}),
+vectors AS (SELECT user_id, list(value ORDER BY j) AS v FROM z GROUP BY user_id)
+SELECT user_id AS query, round(sqrt(greatest(list_dot_product(v, list_transform(m, lambda line: list_dot_product(line, v))), 0)), 4) AS distance FROM vectors, inverse""")
+def mahalanobis(spark, sf_dir):
+    v = _zero_vectors(spark, sf_dir)
+    return neighbours.mahalanobis(v, v).select("query", F.round("distance", 4).alias("distance"))
+
+
+@query(f"""WITH {DENSE_SQL}, {_INDEX_SQL}, x AS (SELECT user_id AS id, j, value FROM dense d JOIN names n ON d.feature = n.feature),
+medians AS (SELECT j, coalesce(quantile_cont(value, 0.5), 0) AS m FROM x GROUP BY j),
+spreads AS (SELECT x.j, any_value(m) AS m, avg(coalesce(value, m)) AS mean, CASE WHEN stddev_pop(coalesce(value, m)) = 0 THEN 1 ELSE stddev_pop(coalesce(value, m)) END AS s FROM x JOIN medians d ON x.j = d.j GROUP BY x.j),
+z AS (SELECT id, x.j, value, (value - mean) / s AS z FROM x JOIN spreads p ON x.j = p.j),
+asked AS (SELECT DISTINCT id FROM x WHERE value IS NULL AND id % 50 = 0),
+apart AS (SELECT a.id, b.id AS donor, sqrt(sum((b.z - a.z) * (b.z - a.z)) * {_N} / count(*)) AS d FROM z a JOIN z b ON a.j = b.j WHERE a.id IN (SELECT id FROM asked) AND a.z IS NOT NULL AND b.z IS NOT NULL GROUP BY a.id, b.id),
+given AS (
+  SELECT x.id, x.j, y.value FROM x JOIN apart p ON x.id = p.id JOIN x y ON y.id = p.donor AND y.j = x.j AND y.value IS NOT NULL WHERE x.value IS NULL
+  QUALIFY row_number() OVER (PARTITION BY x.id, x.j ORDER BY round(d, 9), p.donor) <= 5),
+new AS (SELECT id, j, avg(value) AS value FROM given GROUP BY id, j)
+SELECT x.id, names.feature, round(coalesce(x.value, new.value, medians.m), 6) AS value FROM x JOIN names ON x.j = names.j JOIN medians ON x.j = medians.j LEFT JOIN new ON x.id = new.id AND x.j = new.j WHERE x.id IN (SELECT id FROM asked)""")
 def knn_impute(spark, sf_dir):
-    """Missing measurements of every user filled from the five nearest users."""
+    """Missing measurements of every fiftieth user filled from the five nearest of all users."""
     v = _vectors(spark, sf_dir)
-    return neighbours.knn_imputed(v, v, len(FEATURES))
+    found = neighbours.knn_imputed(v, v.where("id % 50 = 0"), len(FEATURES))
+    names = F.array(*[F.lit(f) for f in FEATURES])
+    return found.select("id", F.inline(F.arrays_zip(names.alias("feature"), F.transform("vector", lambda x: F.round(x, 6)).alias("value"))))
 
 
 def _search_rows(spark, sf_dir):
@@ -294,10 +349,30 @@ def beam_search(spark, sf_dir):
     return search.beam(rows, TOY, space, CUT)
 
 
-@query()
+def _exact_sql() -> str:
+    """Every combination of cells between thresholds, the cheapest two of each row that flip it."""
+    cuts = sorted({(n.feature, n.threshold) for n in TOY.nodes if n.feature in MEANS})
+    joins = " ".join(f"JOIN options o{k} ON o{k}.user_id = w.user_id AND o{k}.feature = '{f}'" for k, f in enumerate(MEANS))
+    return f"""WITH {DENSE_SQL}, ranges AS (SELECT feature, min(value) AS least, max(value) AS most FROM dense GROUP BY feature),
+    cuts AS (SELECT * FROM (VALUES {", ".join(f"('{f}', {t!r}::DOUBLE)" for f, t in cuts)}) c(feature, cut)),
+    edges AS (SELECT feature, least AS low FROM ranges UNION SELECT c.feature, cut FROM cuts c JOIN ranges r ON c.feature = r.feature WHERE least < cut AND cut <= most),
+    cells AS (SELECT e.feature, low, coalesce(lead(low) OVER (PARTITION BY e.feature ORDER BY low) - 1e-9::DOUBLE, most) AS high, most - least AS width FROM edges e JOIN ranges r ON e.feature = r.feature),
+    options AS (
+      SELECT user_id, d.feature, least(greatest(value, low), high) AS v, abs(least(greatest(value, low), high) - value) / width AS cost FROM dense d JOIN cells c ON d.feature = c.feature WHERE value IS NOT NULL AND width > 0
+      UNION ALL SELECT user_id, d.feature, value, 0 FROM dense d JOIN ranges r ON d.feature = r.feature WHERE value IS NULL OR NOT least < most),
+    now AS (SELECT user_id, {ensemble.margin_sql(TOY)} AS margin FROM wide), asked AS (SELECT user_id FROM now WHERE 1 / (1 + exp(-margin)) >= {CUT}),
+    tried AS (SELECT w.user_id, {", ".join(f"o{k}.v AS {f}" for k, f in enumerate(MEANS))}, {", ".join(COUNTS)}, {" + ".join(f"o{k}.cost" for k in range(len(MEANS)))} AS cost FROM wide w JOIN asked USING (user_id) {joins}),
+    priced AS (SELECT user_id, cost, {ensemble.margin_sql(TOY)} AS margin FROM tried),
+    best AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY cost) AS k, cost FROM priced WHERE margin <= ln({CUT} / (1 - {CUT})) - 1e-5::DOUBLE)
+    SELECT a.user_id AS row_id, coalesce(k, 0)::INT AS cf_rank, round(cost, 6) AS cost, true AS proven, CASE WHEN k IS NULL THEN 'infeasible' ELSE 'optimal' END AS status FROM asked a LEFT JOIN (SELECT * FROM best WHERE k <= 2) b ON a.user_id = b.user_id"""
+
+
+@query(_exact_sql())
 def exact_search(spark, sf_dir):
+    """The two cheapest counterfactuals of each predicted positive, proven."""
     rows, space = _search_rows(spark, sf_dir)
-    return search.exact(rows, TOY, space, CUT, costs=search.Costs(sparsity=0.0, solutions=2))
+    found = search.exact(rows, TOY, space, CUT, costs=search.Costs(sparsity=0.0, solutions=2))
+    return found.select("row_id", "cf_rank", F.round("cost", 6).alias("cost"), "proven", "status")
 
 
 @query()

@@ -1,7 +1,7 @@
-"""Whole jobs: raw events to feature tables, feature tables to a model, a model to evaluated counterfactuals; and a stage runner.
+"""Whole jobs: raw events to feature tables, and feature tables to a model; and a stage runner.
 
-The feature job scans each event table once: events are cut to the cohort's windows, persisted, and selection, bounds and aggregates
-all branch from that.
+The feature job scans each event table once: events are cut to the cohort's windows, checkpointed, and selection, bounds and aggregates
+all branch from that. Tables that several steps read are checkpointed, so plans stay small and nothing stays in executors' memory.
 """
 
 from __future__ import annotations
@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import boosting, changes, cohort, ensemble, evaluate, events, features, metrics, neighbours, search, selection
+from ..operators import boosting, cohort, ensemble, events, features, metrics
 from ..sources import files
+from ..sources.staging import cut
 
 
 @dataclass(frozen=True)
@@ -56,25 +57,25 @@ def build_features(tables: Mapping[str, DataFrame], config: FeatureConfig = Feat
     """
     who = cohort.build(tables["stays"], tables["admissions"], tables["patients"], tables.get("transfers"), config.hours)
     split = cohort.stratified_split(who, "subject_id", "hospital_mortality", config.test, config.val, config.seed).select("subject_id", "split")
-    who = who.join(split, "subject_id").persist()
+    who = cut(who.join(split, "subject_id"))
     train = who.where("split = 'train'")
     n_train = train.count()
     longs: list[DataFrame] = []
     for name in ("chart", "lab"):
         if name in tables:
-            inside = events.in_window(tables[name], who, "stay_id", "time", keep=("split",)).persist()
+            inside = cut(events.in_window(tables[name], who, "stay_id", "time", keep=("split",)))
             learned = inside.where("split = 'train' and value is not null")
             wanted = events.prevalence(learned, "stay_id", "itemid", config.share, n_train, config.most).select("itemid")
             chosen = inside.join(wanted, "itemid", "left_semi")
             clipped = events.clipped(chosen, events.quantile_bounds(learned.join(wanted, "itemid", "left_semi"), "itemid", "value", config.low, config.high), "itemid", "value")
             longs.append(features.to_long(events.summary(clipped, ["stay_id", "itemid"], "time", "value", ["tie"]), "stay_id", "itemid", {c: f"{name}_{p}" for c, p in MEASURES.items()}))
     if "output" in tables:
-        inside = events.in_window(tables["output"], who, "stay_id", "time", keep=("split",))
+        inside = cut(events.in_window(tables["output"], who, "stay_id", "time", keep=("split",)))
         wanted = events.prevalence(inside.where("split = 'train' and value is not null"), "stay_id", "itemid", config.share, n_train, config.most)
         sums = events.exposure(inside.join(wanted.select("itemid"), "itemid", "left_semi"), ["stay_id", "itemid"], "value")
         longs.append(features.to_long(sums, "stay_id", "itemid", {"cnt": "output_cnt", "sum": "output_sum", "mean": "output_mean", "max": "output_max"}))
     if "input" in tables:
-        inside = events.overlapping(tables["input"], who, "stay_id", "start", "stop")
+        inside = cut(events.overlapping(tables["input"], who, "stay_id", "start", "stop"))
         wanted = events.prevalence(inside.join(train.select("stay_id"), "stay_id", "left_semi"), "stay_id", "itemid", config.share, n_train, config.most)
         sums = events.exposure(inside.join(wanted.select("itemid"), "itemid", "left_semi"), ["stay_id", "itemid"], "value", "rate" if "rate" in inside.columns else None)
         longs.append(features.to_long(sums, "stay_id", "itemid", {"cnt": "input_cnt", "sum": "input_sum", "mean": "input_mean"} | ({"sum_second": "input_sum_rate"} if "rate" in inside.columns else {})))
@@ -83,19 +84,19 @@ def build_features(tables: Mapping[str, DataFrame], config: FeatureConfig = Feat
         key = F.col("itemid").cast("string")
         if config.procedure_categories and "items" in tables:
             inside, key = events.with_category(inside, tables["items"], "itemid"), F.col("category")
-        inside = inside.withColumn("key", key)
+        inside = cut(inside.withColumn("key", key))
         wanted = events.prevalence(inside.join(train.select("stay_id"), "stay_id", "left_semi"), "stay_id", "key", config.share, n_train, config.most)
         sums = events.exposure(inside.join(wanted.select("key"), "key", "left_semi"), ["stay_id", "key"], "minutes")
         longs.append(features.to_long(sums, "stay_id", "key", {"cnt": "proc_cnt", "sum": "proc_sum", "mean": "proc_mean", "max": "proc_max"}, "_"))
     if "drugs" in tables:
-        inside = events.overlapping(tables["drugs"], who, "stay_id", "start", "stop").withColumn("key", scalars.item_key(F.col("drug"), F.col("code")))
+        inside = cut(events.overlapping(tables["drugs"], who, "stay_id", "start", "stop").withColumn("key", scalars.item_key(F.col("drug"), F.col("code"))))
         wanted = events.prevalence(inside.join(train.select("stay_id"), "stay_id", "left_semi"), "stay_id", "key", config.share, n_train, config.most)
         counts = events.rare_bucket(inside, wanted, "key", config.rare).groupBy("stay_id", F.regexp_replace("key", "[ /]", "_").alias("key")).agg(F.count("*").alias("cnt"))
         longs.append(features.to_long(counts, "stay_id", "key", {"cnt": "drug_cnt"}, "_"))
     static = [c for c in STATIC if c in who.columns]
     encoded = who
     for column in static:
-        encoded = features.frequency_encoded(encoded, train, column, config.least_level, config.levels, f"_freq_{column}")
+        encoded = cut(features.frequency_encoded(encoded, train, column, config.least_level, config.levels, f"_freq_{column}"))
     numbers = {"age": F.col("age").cast("double")} | ({"n_transfers_before_icu": F.col("n_transfers_before_icu").cast("double")} if "n_transfers_before_icu" in who.columns else {})
     numbers |= {c: F.col(f"_freq_{c}") for c in static}
     longs.append(encoded.select("stay_id", F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), v.alias("value")) for f, v in numbers.items()]))))
@@ -103,14 +104,14 @@ def build_features(tables: Mapping[str, DataFrame], config: FeatureConfig = Feat
     for more in longs[1:]:
         long = long.unionByName(more)
     # sources repartitioned by hand: a union of grouped tables isn't to be grouped again as it stands
-    long = long.repartition("stay_id", "feature").persist()
-    dense = features.densified(long, who, long.select("feature").distinct(), "stay_id").join(who.select("stay_id", "split"), "stay_id").persist()
-    dense = features.pruned(dense, dense.where("split = 'train'"), config.least_exposed)
+    long = cut(long.repartition("stay_id", "feature"))
+    dense = cut(features.densified(long, who, long.select("feature").distinct(), "stay_id").join(who.select("stay_id", "split"), "stay_id"))
+    dense = cut(features.pruned(dense, dense.where("split = 'train'"), config.least_exposed))
     return {"cohort": who, "long": dense, "catalogue": features.catalogue(dense.where("split = 'train'"), ("age", *static))}
 
 
-def write_features(made: Mapping[str, DataFrame], folder: str, label: str = "hospital_mortality") -> list[str]:
-    """X, y and meta of each split as wide tables, the cohort and the catalogue; returns the features in their order."""
+def write_features(made: Mapping[str, DataFrame], folder: str, label: str = "hospital_mortality", config: FeatureConfig = FeatureConfig()) -> list[str]:  # noqa: B008
+    """X, y and meta of each split as wide tables, the cohort, the catalogue and the specifications; returns the features in their order."""
     spark = made["long"].sparkSession
     names = [r["feature"] for r in made["catalogue"].select("feature").orderBy("feature").collect()]  # one row a feature
     who = made["cohort"]
@@ -121,83 +122,30 @@ def write_features(made: Mapping[str, DataFrame], folder: str, label: str = "hos
         files.write_table(own.select("stay_id", "subject_id", "hadm_id", "split", "intime", "feature_end", "hospital_mortality", "icu_mortality"), folder, f"meta_{split}")
     files.write_table(who, folder, "cohort")
     files.write_table(made["catalogue"].coalesce(1), folder, "counterfactual_feature_metadata", "csv")
-    files.write_json(spark, {"features": names}, f"{folder}/feature_spec.json")
+    files.write_json(spark, {"features": names, "label": label, "ids": ["stay_id", "subject_id", "hadm_id"]}, f"{folder}/feature_spec.json")
+    groups = made["catalogue"].groupBy("group").agg(F.sort_array(F.collect_list("feature")).alias("features")).collect()  # one row a group
+    files.write_json(spark, {"hours": config.hours, "clipped_to": [config.low, config.high], "zero_filled": list(features.EXPOSURES), "groups": {r["group"]: r["features"] for r in groups}}, f"{folder}/preprocessing_spec.json")
+    files.write_json(spark, dataclasses.asdict(config), f"{folder}/config_used.json")
     return names
 
 
 def train_model(spark: SparkSession, data: str, model: str, settings: boosting.Settings = boosting.Settings()) -> dict:  # noqa: B008
     """Fit to the training split, choose the threshold on validation rows, measure all splits, and write model and predictions."""
-    splits = {s: files.read_split(spark, data, s) for s in files.SPLITS}
-    names = [c for c in splits["train"].columns if c not in ("stay_id", "subject_id", "hadm_id", "split", "label")]
+    raw = {s: files.read_split(spark, data, s) for s in files.SPLITS}
+    ids = ("stay_id", "subject_id", "hadm_id", "split", "label")
+    _, new = features.renamed_safely(raw["train"].drop(*ids))
+    splits = {s: df.withColumnsRenamed(new) for s, df in raw.items()}
+    names = list(new.values())
     vectors = {s: features.matrix(df, [*names, "label"], ("stay_id",)).select(F.col("stay_id").alias("row_id"), F.col("label").cast("int").alias("label"), F.array(*[f"`{c}`" for c in names]).alias("vector")) for s, df in splits.items()}
     fitted = boosting.fit(vectors["train"], vectors["val"], names, settings)
     margin = ensemble.vector_margin_column(fitted.ensemble, names)
-    scored = {s: df.select("row_id", "label", scalars.sigmoid(margin).alias("proba")).persist() for s, df in vectors.items()}
+    scored = {s: cut(df.select("row_id", "label", scalars.sigmoid(margin).alias("proba"))) for s, df in vectors.items()}
     best = metrics.best_threshold(scored["val"]).first()
     report: dict = {"threshold_selection": {"best_threshold": best["threshold"], "best_f1": best["f1"]}, "losses": fitted.losses}
     for s, df in scored.items():
         report[s] = metrics.roc_auc(df).first().asDict() | metrics.average_precision(df).first().asDict() | metrics.losses(df, best["threshold"]).first().asDict() | metrics.confusion(df, best["threshold"]).first().asDict()
         files.write_table(metrics.predicted(df, best["threshold"]).select(F.col("row_id").alias("stay_id"), "row_id", "label", F.col("proba").alias("pred_proba"), "pred_label"), model, f"predictions_{s}")
-    files.save_model(spark, fitted.ensemble, report, {c: c for c in names}, model)
-    return report
-
-
-def explain(spark: SparkSession, data: str, model: str, out: str, method: str = "beam", most: int = 50, split: str = "test", target: int = 0, **options) -> dict:
-    """Search counterfactuals for the riskiest rows of a split, evaluate them against the training rows, and write it all."""
-    tree, threshold = files.load_model(spark, model)
-    names = files.read_json(spark, f"{data}/feature_spec.json")["features"]
-    vectors = lambda s: features.matrix(files.read_split(spark, data, s), names, ("stay_id",)).select(F.col("stay_id").alias("row_id"), F.array(*[f"`{c}`" for c in names]).alias("vector"))
-    train = vectors("train").persist()
-    pairs_of = lambda df, v: df.select("row_id", F.inline(F.arrays_zip(F.array(*[F.lit(f) for f in names]).alias("feature"), F.col(v).alias("value"))))
-    dense = pairs_of(train, "vector").persist()
-    catalogue = spark.read.csv(f"{data}/counterfactual_feature_metadata.csv", header=True, inferSchema=True)
-    mutable = catalogue.where(features.is_mutable(F.col("mutability"), F.col("feature")))
-    space = search.Space.learn(evaluate.feature_ranges(dense), names, {r["feature"] for r in mutable.select("feature").collect()})
-    predicted = selection.predictions(files.read_table(spark, model, f"predictions_{split}"), threshold)
-    asked = selection.factuals(predicted, threshold, most).select("row_id")
-    rows = vectors(split).join(asked, "row_id").withColumn("search", F.lit(None).cast("array<string>")).persist()
-    if method == "beam":
-        found = search.beam(rows, tree, space, threshold, target, **options).where("found").withColumn("cf_rank", F.lit(1))
-    elif method == "genetic":
-        found = search.genetic(rows, tree, space, threshold, target, search.Genes(**options))
-    elif method == "exact":
-        found = search.exact(rows, tree, space, threshold, target, costs=search.Costs(**options)).where("cf_rank > 0")
-    else:
-        raise ValueError(f"unknown search method: {method}")
-    keys = ["row_id", "cf_rank"]
-    margin = ensemble.vector_margin_column(tree, names, "counterfactual")
-    found = found.select(*keys, "counterfactual").withColumn("proba_counterfactual", scalars.sigmoid(margin)).persist()
-    before = rows.select("row_id", "vector", scalars.sigmoid(ensemble.vector_margin_column(tree, names)).alias("proba_factual"))
-    both = found.join(before, "row_id")
-    zipped = F.arrays_zip(F.array(*[F.lit(f) for f in names]).alias("feature"), F.col("vector").alias("before"), F.col("counterfactual").alias("after"))
-    pairs = changes.restored(both.select(*keys, F.inline(zipped))).drop("was_restored").persist()
-    stats = evaluate.scale_stats(dense)
-    ranges = features.permitted_ranges(mutable)
-    measured = evaluate.validity(both.select(*keys, "proba_factual", "proba_counterfactual"), threshold, target)
-    for part in (
-        evaluate.proximity(pairs, stats, keys),
-        evaluate.sparsity(pairs, keys),
-        evaluate.actionability(pairs, mutable, keys),
-        evaluate.range_violations(pairs, evaluate.rounded_bounds(ranges, evaluate.precision(dense)), keys),
-        changes.encoded(changes.payload(pairs, keys)).drop("n_changed"),
-    ):
-        measured = measured.join(part, keys)
-    centre = stats.select("feature", "median", "iqr")
-    scaled = lambda df, ids: df.join(centre, "feature").withColumn("value", (F.coalesce("value", F.lit(0.0)) - F.col("median")) / F.col("iqr")).transform(lambda d: features.to_vector(d, ids, names)).withColumnRenamed(ids, "id")
-    reference = scaled(dense, "row_id").persist()
-    queries = scaled(pairs.select((F.col("row_id") * 1000 + F.col("cf_rank")).alias("row_id"), "feature", F.col("after").alias("value")), "row_id").persist()
-    near = neighbours.plausibility(reference, queries).join(neighbours.lof(reference, queries), "query", "left").join(neighbours.mahalanobis(reference, queries).withColumnRenamed("distance", "mahalanobis"), "query", "left")
-    near = near.select(F.floor(F.col("query") / 1000).alias("row_id"), (F.col("query") % 1000).cast("int").alias("cf_rank"), "knn_distance", "lof_score", "mahalanobis")
-    measured = measured.join(near, keys, "left").persist()
-    files.write_table(rows.select("row_id", "vector"), out, "selected_factuals")
-    files.write_table(measured, out, "counterfactuals")
-    failed = rows.select("row_id").join(found.select("row_id").distinct(), "row_id", "left_anti").withColumn("error_type", F.lit("NoCounterfactual"))
-    files.write_table(failed, out, "failed_queries")
-    if measured.isEmpty():
-        report = {"n_counterfactuals": 0, "n_failed": failed.count()}
-    else:
-        report = evaluate.summary(measured, ["risk_reduction", "proximity_l1_iqr", "n_changed", "knn_distance"]).first().asDict() | evaluate.run_summary(rows, measured.where("valid"), failed).first().asDict()
-    files.write_json(spark, report, f"{out}/summary.json")
+    files.save_model(spark, fitted.ensemble, report, new, model)
     return report
 
 

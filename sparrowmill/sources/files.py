@@ -105,10 +105,14 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_query_ids(spark: SparkSession, path: str) -> DataFrame:
-    """(row_id, position): the column row_id, else the first one, in the order of the file; rows without an id are dropped."""
+    """(row_id, position): the column row_id, else the first one; rows without an id are dropped.
+
+    The order is that of the files by name, of their blocks and of their lines, whatever tasks read them.
+    """
     raw = spark.read.csv(path, header=True)
     name = "row_id" if "row_id" in raw.columns else raw.columns[0]
-    ids = raw.select(F.col(f"`{name}`").try_cast("double").cast("long").alias("row_id"), F.monotonically_increasing_id().alias("position"))
+    at = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))
+    ids = raw.select(F.col(f"`{name}`").try_cast("double").cast("long").alias("row_id"), at.alias("position"))
     return ids.where("row_id is not null")
 
 

@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparrowmill.operators import boosting
-from sparrowmill.plans import pipelines
+from sparrowmill.operators import boosting, ensemble, evaluate, search
+from sparrowmill.plans import explanations, pipelines, run
+from sparrowmill.plans.tables import FEATURES, TOY
 from sparrowmill.sources import files
 from sparrowmill.streaming import summaries
 
@@ -56,7 +57,7 @@ def raw(spark):
 @pytest.fixture(scope="module")
 def folders(tmp_path_factory):
     top = tmp_path_factory.mktemp("job")
-    return {name: f"file://{top}/{name}" for name in ("data", "model", "out")}
+    return {name: f"file://{top}/{name}" for name in ("data", "model", "out")} | {"path": top}
 
 
 def test_features_model_counterfactuals(spark, raw, folders):
@@ -64,7 +65,7 @@ def test_features_model_counterfactuals(spark, raw, folders):
     made = pipelines.build_features(raw, config)
     who = made["cohort"].collect()
     assert len(who) == 239 and all(r.age >= 18 for r in who)  # the child isn't in the cohort
-    names = pipelines.write_features(made, folders["data"])
+    names = pipelines.write_features(made, folders["data"], config=config)
     assert {"chart_mean_item_1", "chart_first_item_2", "drug_cnt_ASPIRIN", "n_transfers_before_icu", "proc_cnt_DIALYSIS"} <= set(names)
     x = files.read_split(spark, folders["data"], "train")
     assert x.agg(F.max("chart_max_item_1")).first()[0] < 900
@@ -77,15 +78,77 @@ def test_features_model_counterfactuals(spark, raw, folders):
     scored = files.read_predictions(spark, f"{folders['model']}/predictions_test")
     assert set(scored.columns) == {"stay_id", "row_id", "label", "pred_proba", "pred_label"}
 
-    for method, options in (("exact", {}), ("beam", {"steps": 2, "width": 5})):
-        summary = pipelines.explain(spark, folders["data"], folders["model"], f"{folders['out']}/{method}", method, most=6, **options)
-        cfs = files.read_table(spark, f"{folders['out']}/{method}", "counterfactuals").collect()
+    runs = {"exact": ("exact", "median", {}), "beam": ("beam", None, {"steps": 2, "width": 5}), "genetic": ("genetic", "knn", {"generations": 2, "population": 16})}
+    for name, (method, fill, options) in runs.items():
+        out = f"{folders['out']}/{name}"
+        config = explanations.ExplainConfig(method, fill, most=6, vary=3 if method == "beam" else 0, cache=f"{folders['out']}/cache" if fill == "knn" else None, options=options)
+        summary = explanations.explain(spark, folders["data"], folders["model"], out, config)
+        cfs = files.read_table(spark, out, "counterfactuals").collect()
         assert len(cfs) == summary["n_counterfactuals"]
-        assert all(r.valid and r.all_mutable and r.n_outside == 0 and r.n_changed == len(json.loads(r.changed)) for r in cfs)
-        failed = files.read_table(spark, f"{folders['out']}/{method}", "failed_queries").count()
-        assert len({r.row_id for r in cfs}) + failed == files.read_table(spark, f"{folders['out']}/{method}", "selected_factuals").count()
+        assert all(r.valid and r.all_mutable and r.n_changed == len(json.loads(r.changed)) for r in cfs)
+        failed = files.read_table(spark, out, "failed_queries").collect()
+        factuals = {r.row_id: r for r in files.read_table(spark, out, "selected_factuals").collect()}
+        assert {r.row_id for r in cfs} | {r.row_id for r in failed} == set(factuals) and len({r.row_id for r in cfs}) + len(failed) == len(factuals) == summary["n_asked"] == 6
+        assert sum(summary["failures"].values()) == len(failed) and all(r.error_type and r.n_missing == len(r.missing) for r in failed)
+        assert spark.read.json(f"{out}/attempts").count() >= len(factuals) - summary["failures"].get("NoMutableObservedFeatures", 0)
+        assert files.read_json(spark, f"{out}/run_config.json")["method"] == method
+        names = files.read_json(spark, f"{folders['data']}/feature_spec.json")["features"]
+        for r in cfs:
+            own = factuals[r.row_id]
+            changed = set(json.loads(r.changed))
+            assert changed <= set(own.search) and all((a is None) == (b is None) for a, b in zip(own.vector, r.counterfactual, strict=True))
+            assert not changed & {f for f, v in zip(names, own.vector, strict=True) if v is None}
+            assert method != "beam" or len(own.search) <= 3
+        if fill:
+            assert all(v is not None for r in factuals.values() for v in r.filled)
+        if cfs:
+            assert {f"{s}_{m}" for s in ("mean", "median") for m in evaluate.MEASURES} <= set(summary)
+    (tmp := folders["path"] / "ids.csv").write_text("row_id\n" + "\n".join(str(k) for k in [*factuals][:3]) + "\n")
+    again = explanations.ExplainConfig("genetic", "knn", most=2, offset=1, ids=f"file://{tmp}", cache=f"{folders['out']}/cache", options={"generations": 1, "population": 16})
+    assert explanations.explain(spark, folders["data"], folders["model"], f"{folders['out']}/ids", again)["n_asked"] == 2
+    assert {r.row_id for r in files.read_table(spark, f"{folders['out']}/ids", "selected_factuals").collect()} == set([*factuals][1:3])
     with pytest.raises(ValueError, match="unknown search"):
-        pipelines.explain(spark, folders["data"], folders["model"], folders["out"], "guess")
+        explanations.explain(spark, folders["data"], folders["model"], folders["out"], explanations.ExplainConfig("guess"))
+    assert files.read_json(spark, f"{folders['data']}/config_used.json")["share"] == 0.05 and set(files.read_json(spark, f"{folders['data']}/preprocessing_spec.json")) == {"hours", "clipped_to", "zero_filled", "groups"}
+
+
+def test_rows_without_a_feature_to_change_fail_with_a_reason(spark):
+    made = explanations.Artefacts(TOY, 0.5, FEATURES, {}, None, {})
+    rows = spark.createDataFrame([(1, [1.0] * 10), (2, [None] * 5 + [1.0] * 5), (3, [None, 2.0, None, None, None] + [1.0] * 5)], "row_id long, vector array<double>")
+    mutable = spark.createDataFrame([(f,) for f in FEATURES[:5]], "feature string")
+    got = {r.row_id: r.search for r in explanations.searchable(made, rows, mutable, 2).collect()}
+    assert len(got[1]) == 2 and got[2] == [] and got[3] == [FEATURES[1]]
+
+
+def test_audit_finds_a_margin_that_is_not_the_leaves(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, 1, [30.0] * 10), (2, 1, [None] * 10)], "row_id long, cf_rank int, counterfactual array<double>")
+    assert all(r.error_type is None and r.n_leaves == 3 for r in search.audited(rows, TOY, FEATURES).collect())
+    other = ensemble.Ensemble(TOY.nodes, TOY.base_margin + 1e-6)
+    monkeypatch.setattr(search, "leaf_join_scores", lambda long, key, _: ensemble.leaf_join_scores(long, key, other))
+    assert {r.error_type for r in search.audited(rows, TOY, FEATURES).collect()} == {"SelectedLeafAudit"}
+
+
+def test_the_stages_of_a_run(spark, raw, tmp_path, capsys):
+    """Raw files to counterfactuals by the command line, in one session."""
+    top = f"file://{tmp_path}"
+    old = {new: name for name, new in run.NEW_NAMES.items()}
+    for role, (stem, columns) in run.RAW.items():
+        if role == "lab":
+            continue
+        df = raw[role].drop("tie") if role != "drugs" else raw[role].join(raw["stays"].select("stay_id", "hadm_id"), "stay_id").drop("stay_id")
+        back = {c: next((o for o, n in run.NEW_NAMES.items() if n == c and o in columns), c) for c in df.columns}
+        assert set(back.values()) <= set(columns) and old
+        df.withColumnsRenamed(back).coalesce(1).write.csv(f"{top}/raw/{stem}.csv", header=True)
+    arguments = [x for name in ("raw", "data", "model", "query-ids", "results") for x in (f"--{name}", f"{top}/{name}")]
+    settings = ["preprocess.share=0.05", "train.rounds=4", "train.depth=2", "train.rate=0.4", "train.least_weight=2.0", "query_ids.size=3", "query_ids.true_only=false", "cf.most=3", 'ocean.options={"solutions": 1}']
+    wanted = ["--stages", "preprocess,train,query_ids,ocean", *[x for s in settings for x in ("--set", s)]]
+    assert run.main([*arguments, *wanted, "--dry-run"], spark) == 0 and capsys.readouterr().out.count("planned") == 4
+    assert run.main([*arguments, *wanted], spark) == 0
+    assert files.read_json(spark, f"{top}/results/ocean/summary.json")["n_asked"] == 3
+    assert spark.read.csv(f"{top}/query-ids/row_ids", header=True).count() == 3
+    assert run.main(["--list"], spark) == 0 and "preprocess (core)" in capsys.readouterr().out
+    with pytest.raises(ValueError, match="stage.option"):
+        run.parsed(["nothing"])
 
 
 def test_stages():
