@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from . import quantiles
 from .cohort import later
 
 SCALE = 6
@@ -59,15 +60,15 @@ def clipped(events: DataFrame, bounds: DataFrame, concept: str, value: str, low:
 def quantile_bounds(events: DataFrame, concept: str, value: str, low: float = 0.01, high: float = 0.99, approximate: int | None = None) -> DataFrame:
     """(concept, low, high): quantiles of each concept, exact by linear interpolation.
 
-    The exact form keeps a count for each distinct value of a concept in a task. For concepts with very many distinct values,
-    `approximate` gives the accuracy of a mergeable sketch instead, whose size doesn't grow with the data.
+    The exact form selects ranks by counted ranges of values. `approximate` gives the accuracy of a mergeable sketch instead, in
+    one pass, whose size doesn't grow with the data.
     """
     v = scalars.number(F.col(value))
     if approximate:
         q = F.percentile_approx(v, [low, high], approximate)
         return events.groupBy(concept).agg(q.alias("_q")).select(concept, F.col("_q")[0].alias("low"), F.col("_q")[1].alias("high"))
-    q = F.percentile(v, F.array(F.lit(low), F.lit(high)))
-    return events.groupBy(concept).agg(q.alias("_q")).select(concept, F.col("_q")[0].alias("low"), F.col("_q")[1].alias("high"))
+    found = quantiles.exact(events.select(concept, v.alias("_value")), concept, "_value", [low, high], "_q")
+    return found.select(concept, F.col("_q")[0].alias("low"), F.col("_q")[1].alias("high"))
 
 
 def within(bounds: DataFrame, hard: DataFrame, concept: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names, scalars
+from . import quantiles
 
 LEVELS = 12
 RARE = "RARE"
@@ -150,9 +151,9 @@ def catalogue(dense: DataFrame, static: Sequence[str] = ("age",)) -> DataFrame:
     stats = dense.groupBy("feature").agg(
         F.min("value").alias("train_min"),
         F.max("value").alias("train_max"),
-        F.percentile("value", F.lit(0.5)).alias("train_median"),
         F.avg(F.col("value").isNull().cast("int")).alias("train_missing_rate"),
     )
+    stats = stats.join(quantiles.exact(dense, "feature", "value", [0.5]).select("feature", F.col("q")[0].alias("train_median")), "feature")
     return stats.select("feature", group.alias("group"), mutability.alias("mutability"), "train_min", "train_max", "train_median", "train_missing_rate")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import quantiles
 from .events import exact_sum
 
 
@@ -12,8 +13,9 @@ def fill_values(train: DataFrame, how: str = "median") -> DataFrame:
     """(feature, fill): the mean or the median of the values there are, 0 without any."""
     if how not in ("mean", "median"):
         raise ValueError(f"missing values are filled by mean or median, not {how}")
-    v = F.try_divide(exact_sum(F.col("value")), F.count("value")) if how == "mean" else F.percentile("value", F.lit(0.5))
-    return train.groupBy("feature").agg(F.coalesce(v, F.lit(0.0)).alias("fill"))
+    if how == "median":
+        return quantiles.exact(train, "feature", "value", [0.5]).select("feature", F.coalesce(F.col("q")[0], F.lit(0.0)).alias("fill"))
+    return train.groupBy("feature").agg(F.coalesce(F.try_divide(exact_sum(F.col("value")), F.count("value")), F.lit(0.0)).alias("fill"))
 
 
 def imputed(dense: DataFrame, fills: DataFrame) -> DataFrame:

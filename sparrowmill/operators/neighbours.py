@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import quantiles
+
 BLOCK_ROWS = 4096
 
 
@@ -142,7 +144,7 @@ def knn_imputed(train: DataFrame, queries: DataFrame, features: int, k: int = 5)
     where no row has the coordinate. Queries are a stated set and go out in blocks; every task keeps k donors a coordinate.
     """
     stats_of = train.select(F.posexplode("vector").alias("j", "x"))
-    median = {r["j"]: r["m"] for r in stats_of.groupBy("j").agg(F.percentile("x", F.lit(0.5)).alias("m")).collect()}  # one row a coordinate
+    median = {r["j"]: r["m"][0] if r["m"] else None for r in quantiles.exact(stats_of, "j", "x", [0.5], "m").collect()}  # one row a coordinate
     fill = np.array([median.get(j) if median.get(j) is not None else 0.0 for j in range(features)])
     filled = stats_of.withColumn("x", F.coalesce("x", F.array(*[F.lit(float(m)) for m in fill])[F.col("j")]))
     stats = {r["j"]: (r["m"], r["s"]) for r in filled.groupBy("j").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).collect()}

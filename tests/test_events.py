@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparrowmill.operators import cohort, events, features
+from sparrowmill.operators import cohort, events, features, quantiles
 
 T = dt.datetime(2020, 1, 1)
 H = dt.timedelta(hours=1)
@@ -122,3 +122,18 @@ def test_wide_and_vector(spark):
 def test_matrix(spark):
     df = frame(spark, [(1, True, 2)], "stay_id long, b boolean, c int")
     assert features.matrix(df, ["c", "b", "z"]).first().asDict() == {"stay_id": 1, "c": 2.0, "b": 1.0, "z": 0.0}
+
+
+def test_quantiles_are_those_of_all_values(spark):
+    """Hot keys, ties, few ranges, missing values, null keys: rank selection equals the plain quantiles."""
+    import numpy as np
+
+    draw = np.random.default_rng(1)
+    groups = {"hot": draw.normal(size=3000), "ties": draw.integers(0, 3, 500).astype(float), "one": np.array([7.0]), "two": np.array([1.0, 4.0]), None: draw.random(40)}
+    rows = [(k, float(v)) for k, own in groups.items() for v in own] + [("none", None), ("two", None)]
+    shares = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
+    for ranges in (2, 128):
+        got = {r.c: r.q for r in quantiles.exact(frame(spark, rows, "c string, v double").repartition(5), "c", "v", shares, ranges=ranges).collect()}
+        assert got.pop("none") is None and set(got) == set(groups)
+        for k, own in groups.items():
+            assert got[k] == pytest.approx(np.quantile(own, shares)), k
