@@ -108,10 +108,15 @@ def edited(df: DataFrame) -> DataFrame:
     rows = df.select("doc_id", order.alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     starts = F.array(*[F.lit(b).cast("long") for b in bounds or [0]])
     last = max(len(bounds) - 1, 0)
-    own = F.size(F.filter(starts, lambda b: b <= F.col("key"))) - 1
+    # the range of a key by two short searches, among every `step`th start and then between two of these
+    step = max(1, int(len(bounds) ** 0.5))
+    upto = lambda part: F.size(F.filter(part, lambda b: b <= F.col("key")))
+    rows = rows.withColumn("coarse", (upto(F.array(*[F.lit(b).cast("long") for b in (bounds or [0])[::step]])) - 1) * step)
+    rows = rows.withColumn("own", F.col("coarse") + upto(F.slice(starts, F.col("coarse") + 1, F.lit(step))) - 1)
+    own = F.col("own")
     before = F.when(own == 0, F.struct(F.lit(last).alias("range"), F.lit(2).alias("part"))).otherwise(F.struct((own - 1).alias("range"), F.lit(1).alias("part")))
     at = F.struct(own.alias("range"), F.lit(0).alias("part"))
-    placed = rows.select("*", F.inline(F.when(F.array_contains(starts, F.col("key")), F.array(at, before)).otherwise(F.array(at))))
+    placed = rows.select("*", F.inline(F.when(F.get(starts, own) == F.col("key"), F.array(at, before)).otherwise(F.array(at))))
 
     follows = Window.partitionBy("range").orderBy("part", "key", "text")
     n = F.length("text")

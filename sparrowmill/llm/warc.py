@@ -3,7 +3,9 @@
 Reading plans partitions from the files that a committed write names, whole files together up to `partition_bytes`. Headers
 are parsed first. Filters that Spark pushes down (equality and IN on warc_type, record_id, target_uri, refers_to and
 payload_digest) are decided on the headers alone, and the block of an unwanted record is skipped by seeking, or read past in
-gzip archives, without decoding. A schema without `payload` skips every payload; with it, each payload's digest is verified.
+gzip archives, without decoding. A schema without `payload` skips every payload; with it, each payload's digest is verified. A damaged
+record (a payload that its digest denies, no or a wrong Content-Length, no record where one should begin) ends the job with its file's name; with the
+option `mode` = `permissive` its payload is null instead, and reading goes on at the next line that begins a record.
 
 Writing puts one archive (or more, rolled at `file_bytes`) in the folder for each task attempt, under a name of its own, and
 the commit lists the files of successful attempts in a manifest. Files of lost or repeated attempts are in no manifest, so
@@ -31,12 +33,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from .tables import keyed_join, new_path, written
+from .tables import BROADCAST_DIGESTS, keyed_join, new_path, written
 
 SCHEMA = "record_id string, warc_type string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary"
 FILE_BYTES = 256 << 20
 PARTITION_BYTES = 64 << 20
 DATE = "1970-01-01T00:00:00Z"
+_LINE = 1 << 16  # what is looked at of a line where a record should begin
 _HEADERS = {"record_id": "warc-record-id", "warc_type": "warc-type", "target_uri": "warc-target-uri", "refers_to": "warc-refers-to", "payload_digest": "warc-payload-digest"}
 
 
@@ -61,11 +64,11 @@ def record(record_id: str, warc_type: str, target_uri: str | None, refers_to: st
     return ("WARC/1.1\r\n" + "\r\n".join(lines) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
 
 
-def _headers(stream: io.BufferedIOBase) -> dict[str, str] | None:
-    """The next record's headers by lower-case name; None at the end."""
-    line = stream.readline()
-    while line in (b"\r\n", b"\n"):
-        line = stream.readline()
+def _headers(stream: io.BufferedIOBase, permissive: bool = False) -> dict[str, str] | None:
+    """The next record's headers by lower-case name; None at the end. If `permissive`, lines before it are passed over."""
+    line = stream.readline(_LINE)
+    while line in (b"\r\n", b"\n") or permissive and line and not line.startswith(b"WARC/1."):
+        line = stream.readline(_LINE)
     if not line:
         return None
     if not line.startswith(b"WARC/"):
@@ -91,10 +94,17 @@ def _value(headers: dict[str, str], column: str) -> str | None:
     return value.removeprefix("sha1:") if column == "payload_digest" else value
 
 
-def records(stream: io.BufferedIOBase, columns: list[str], wanted: list[tuple[str, frozenset]] = (), seekable: bool = True) -> Iterator[tuple]:
+def records(stream: io.BufferedIOBase, columns: list[str], wanted: list[tuple[str, frozenset]] = (), seekable: bool = True, permissive: bool = False) -> Iterator[tuple]:
     """The wanted columns of each record whose headers meet all conditions."""
-    while (headers := _headers(stream)) is not None:
-        left = int(headers["content-length"])
+    while (headers := _headers(stream, permissive)) is not None:
+        stated = headers.get("content-length", "")
+        if not stated.isdecimal():
+            if not permissive:
+                raise ValueError(f"{_value(headers, 'record_id')} has no Content-Length")
+            if all(_value(headers, column) in values for column, values in wanted):
+                yield tuple(None if c in ("payload", "payload_bytes") else _value(headers, c) for c in columns)
+            continue
+        left = int(stated)
         if all(_value(headers, column) in values for column, values in wanted):
             http = headers.get("content-type", "").startswith("application/http")
             payload, length, full = None, left, headers.get("warc-type") != "revisit"
@@ -113,7 +123,9 @@ def records(stream: io.BufferedIOBase, columns: list[str], wanted: list[tuple[st
                 left = 0
                 stated = _value(headers, "payload_digest")
                 if stated and stated != digest(payload):
-                    raise ValueError(f"payload digest of {_value(headers, 'record_id')} differs")
+                    if not permissive:
+                        raise ValueError(f"payload digest of {_value(headers, 'record_id')} differs")
+                    payload = None
             yield tuple(payload if c == "payload" else length if c == "payload_bytes" else _value(headers, c) for c in columns)
         if seekable:
             stream.seek(left, io.SEEK_CUR)
@@ -128,8 +140,8 @@ class Files(InputPartition):
 
 
 class WarcReader(DataSourceReader):
-    def __init__(self, path: str, schema: StructType, partition_bytes: int) -> None:
-        self.path, self.columns, self.partition_bytes = path, schema.fieldNames(), partition_bytes
+    def __init__(self, path: str, schema: StructType, partition_bytes: int, permissive: bool = False) -> None:
+        self.path, self.columns, self.partition_bytes, self.permissive = path, schema.fieldNames(), partition_bytes, permissive
         self.wanted: list[tuple[str, frozenset]] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -162,10 +174,12 @@ class WarcReader(DataSourceReader):
         store, _ = fs.FileSystem.from_uri(self.path)
         for path in partition.paths:
             with store.open_input_file(path) as raw:
-                if path.endswith(".gz"):
-                    yield from records(gzip.GzipFile(fileobj=raw), self.columns, self.wanted, seekable=False)
-                else:
-                    yield from records(io.BufferedReader(raw, 1 << 16), self.columns, self.wanted)
+                packed = path.endswith(".gz")
+                stream = gzip.GzipFile(fileobj=raw) if packed else io.BufferedReader(raw, 1 << 16)
+                try:
+                    yield from records(stream, self.columns, self.wanted, not packed, self.permissive)
+                except ValueError as error:
+                    raise ValueError(f"{path}: {error}") from error
 
 
 @dataclass
@@ -223,7 +237,7 @@ class WarcSource(DataSource):
         return SCHEMA
 
     def reader(self, schema: StructType) -> WarcReader:
-        return WarcReader(self.options["path"], schema, int(self.options.get("partition_bytes", PARTITION_BYTES)))
+        return WarcReader(self.options["path"], schema, int(self.options.get("partition_bytes", PARTITION_BYTES)), self.options.get("mode", "failfast") == "permissive")
 
     def writer(self, schema: StructType, overwrite: bool) -> WarcWriter:
         return WarcWriter(self.options["path"], schema.fieldNames(), overwrite, self.options.get("compression", "none"), int(self.options.get("file_bytes", FILE_BYTES)))
@@ -242,7 +256,7 @@ def archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str =
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("key", F.unhex(F.sha2("payload", 256)))
     copies = written(rows.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first"), "warc-copies")
     # only digests that occur twice are looked up; many rows of one digest are a skewed join at most
-    found = keyed_join(rows, copies, "key", "left")
+    found = keyed_join(rows, copies, "key", "left", BROADCAST_DIGESTS)
     name = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")))
     again = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     found.select(

@@ -80,3 +80,16 @@ def test_empty_and_hot(spark, tmp_path, folder):
     warc.archive(same, f"file://{tmp_path}/hot")
     kinds = {r.warc_type: r["count"] for r in warc.read(spark, f"file://{tmp_path}/hot", "warc_type string").groupBy("warc_type").count().collect()}
     assert kinds == {"response": 1, "revisit": 1999}
+
+
+def test_damaged_records(spark, tmp_path):
+    """They end the job with the file's name, or in permissive mode have no payload, and the records after them are read."""
+    good = [warc.record(f"urn:{k}", "response", None, None, f"text {k}".encode()) for k in range(4)]
+    damaged = good[0] + good[1].replace(b"text 1", b"text X") + good[2].replace(b"Content-Length: ", b"Content-Size: ") + b"\r\nsome noise\r\n" + good[3]
+    (tmp_path / "a.warc").write_bytes(damaged)
+    warc.register(spark)
+    load = lambda mode: spark.read.format("sparrowmill_warc").option("mode", mode).load(f"file://{tmp_path}").select("record_id", "payload").collect()
+    got = {r.record_id: bytes(r.payload) if r.payload is not None else None for r in load("permissive")}
+    assert got == {"urn:0": b"text 0", "urn:1": None, "urn:2": None, "urn:3": b"text 3"}
+    with pytest.raises(Exception, match="a.warc"):
+        load("failfast")
