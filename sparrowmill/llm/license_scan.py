@@ -117,11 +117,13 @@ def canonical(lines: Column) -> Column:
     return spelled(F.trim(F.regexp_replace(lines, r"\s+", " ")))
 
 
-def forms(lines: Column) -> list[Column]:
-    """The whole text's normal form and its two looser ones, from `canonical_lines`."""
-    marked = lines.contains("copyright") | lines.contains("all rights reserved")
-    looser = [F.regexp_replace(F.regexp_replace(lines, RESERVED_LINE, ""), pattern, "") for pattern in (HOLDER_LINE, ANY_COPYRIGHT_LINE)]
-    return [canonical(lines), *(canonical(F.when(marked, one).otherwise(lines)) for one in looser)]
+def digests(df: DataFrame) -> DataFrame:
+    """`df` (with `lines`, from `canonical_lines`) and the digests of the whole text's normal form and its two looser ones."""
+    of = lambda lines: F.sha2(canonical(lines).cast("binary"), 256)
+    marked = F.col("lines").contains("copyright") | F.col("lines").contains("all rights reserved")
+    looser = [F.regexp_replace(F.regexp_replace("lines", RESERVED_LINE, ""), pattern, "") for pattern in (HOLDER_LINE, ANY_COPYRIGHT_LINE)]
+    # most texts have nothing to leave out, and their looser forms aren't made
+    return df.withColumn("digest", of(F.col("lines"))).withColumns({f"digest{k}": F.when(marked, of(form)).otherwise(F.col("digest")) for k, form in enumerate(looser, 1)})
 
 
 def known_texts(spark: SparkSession) -> DataFrame:
@@ -137,19 +139,19 @@ def known_texts(spark: SparkSession) -> DataFrame:
 def known(texts: DataFrame) -> DataFrame:
     """(digest, license_id) of each form of a table (license_id, text), made canonical by the same expressions."""
     lines = texts.where(F.col("license_id").isNotNull() & F.col("text").isNotNull()).select("license_id", canonical_lines(F.col("text")).alias("lines"))
-    named = lines.select("license_id", F.posexplode(F.array(*forms(F.col("lines")))).alias("form", "own")).where("own != ''")
-    best = named.groupBy(F.sha2(F.col("own").cast("binary"), 256).alias("digest")).agg(F.min(F.struct("form", "license_id")).alias("best"))
+    named = digests(lines).select("license_id", F.posexplode(F.array("digest", "digest1", "digest2")).alias("form", "own")).where(F.col("own") != F.sha2(F.lit("").cast("binary"), 256))
+    best = named.groupBy(F.col("own").alias("digest")).agg(F.min(F.struct("form", "license_id")).alias("best"))
     return best.select("digest", F.col("best.license_id").alias("license_id"))
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: DataFrame | None = None) -> DataFrame:
     """(id, digest, license_id, notices): notices lists the licences named by whole lines, sorted; `texts` (license_id, text) are known, too."""
     lines = df.select(F.col(id_col).alias("id"), canonical_lines(F.coalesce(F.col(text_col), F.lit(""))).alias("lines"))
-    own = F.transform(F.split("lines", "\n"), lambda line: spelled(F.trim(line)))
+    # spelled once for all lines: each begins with a space
+    own = F.transform(F.split(spelled(F.replace("lines", F.lit("\n"), F.lit("\n "))), "\n"), lambda line: F.trim(line))
     # the notices' normal forms are constants of the plan
     named = [(name, canonical(canonical_lines(F.lit(text)))) for name, texts_ in NOTICES.items() for text in texts_]
-    digests = [F.sha2(form.cast("binary"), 256).alias(name) for form, name in zip(forms(F.col("lines")), ("digest", "digest1", "digest2"), strict=True)]
-    found = lines.select("id", *digests, F.array_intersect(own, F.array(*[text for _, text in named])).alias("hits"))
+    found = digests(lines).select("id", "digest", "digest1", "digest2", F.array_intersect(own, F.array(*[text for _, text in named])).alias("hits"))
     ids = F.array(*[F.when(F.array_contains("hits", text), F.lit(name)) for name, text in named])
     out = found.select("id", "digest", "digest1", "digest2", F.array_sort(F.array_distinct(F.array_compact(ids))).alias("notices"))
     keys = known(known_texts(df.sparkSession))
