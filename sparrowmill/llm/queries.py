@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, fingerprints, language_id, license_scan, mixing, near_dedup, quality, secret_scan, warc
+from . import chat_format, decontaminate, fingerprints, language_id, license_scan, lm_scoring, mixing, near_dedup, quality, secret_scan, warc
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_license_scan": license_scan.op8_license_scan,
     "op9_mixing": mixing.op9_mixing,
     "op10_quality": quality.op10_quality,
+    "op11_lm_scoring": lm_scoring.op11_lm_scoring,
 }
 
 ORACLE_SQL = {
@@ -24,4 +25,5 @@ ORACLE_SQL = {
     "op6_near_dedup": near_dedup.ORACLE,
     "op8_license_scan": license_scan.ORACLE,
     "op9_mixing": mixing.ORACLE,
+    "op11_lm_scoring": lm_scoring.ORACLE,
 }

@@ -74,10 +74,8 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         i = j
 
 
-def piecewise(data: np.ndarray, offsets: np.ndarray, words: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], separators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """`words` (hash and row of each word) over rows that are cut into pieces of about CHUNK_BYTES, behind a separator byte, if they are longer."""
-    if len(data) <= CHUNK_BYTES:
-        return words(data, offsets)
+def _cuts(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of pieces of about CHUNK_BYTES, cut behind separator bytes only, and the row of each piece."""
     edges, rows = [0], []
     for row, end in enumerate(offsets[1:].tolist()):
         while end - edges[-1] > CHUNK_BYTES:
@@ -90,17 +88,31 @@ def piecewise(data: np.ndarray, offsets: np.ndarray, words: Callable[[np.ndarray
             rows.append(row)
         edges.append(end)
         rows.append(row)
-    cuts, of = np.array(edges, np.int64), np.array(rows, np.int64)
+    return np.array(edges, np.int64), np.array(rows, np.int64)
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _SPACE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(bytes, offsets, row of each offset) in portions of about CHUNK_BYTES; longer rows are cut behind separator bytes."""
+    cuts, of = _cuts(data, offsets, separators)
+    for i, j in chunks(cuts):
+        yield data[cuts[i] : cuts[j]], cuts[i : j + 1] - cuts[i], of[i:j]
+
+
+def piecewise(data: np.ndarray, offsets: np.ndarray, words: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], separators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`words` (hash and row of each word) over rows that are cut into pieces of about CHUNK_BYTES, behind a separator byte, if they are longer."""
+    if len(data) <= CHUNK_BYTES:
+        return words(data, offsets)
+    cuts, of = _cuts(data, offsets, separators)
     parts = [words(data[cuts[i] : cuts[j]], cuts[i : j + 1] - cuts[i]) + (i,) for i, j in chunks(cuts)]
     return np.concatenate([h for h, _, _ in parts]), of[np.concatenate([r + i for _, r, i in parts])]
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of each word in the bytes of some rows (offsets start at 0)."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, solid: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of each word in the bytes of some rows (offsets start at 0); `solid` marks the bytes of words."""
     if not len(data):
         z = np.zeros(0, np.int64)
         return z, z, z
-    solid = ~_SPACE[data]
+    solid = ~_SPACE[data] if solid is None else solid
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets[:-1]] = True
     before = np.empty_like(solid)
