@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, fingerprints, language_id, license_scan, lm_scoring, mixing, near_dedup, quality, secret_scan, warc
+from . import chat_format, decontaminate, fingerprints, language_id, lexical_search, license_scan, lm_scoring, mixing, near_dedup, quality, secret_scan, spelling, warc
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -17,6 +17,8 @@ QUERIES = {
     "op9_mixing": mixing.op9_mixing,
     "op10_quality": quality.op10_quality,
     "op11_lm_scoring": lm_scoring.op11_lm_scoring,
+    "op12_spelling": spelling.op12_spelling,
+    "op13_lexical_search": lexical_search.op13_lexical_search,
 }
 
 ORACLE_SQL = {
@@ -26,4 +28,6 @@ ORACLE_SQL = {
     "op8_license_scan": license_scan.ORACLE,
     "op9_mixing": mixing.ORACLE,
     "op11_lm_scoring": lm_scoring.ORACLE,
+    "op12_spelling": spelling.ORACLE,
+    "op13_lexical_search": lexical_search.ORACLE,
 }

@@ -16,6 +16,9 @@ COLUMNS = {
     "op6_near_dedup": ["doc_id", "n_shingles", "component_id", "kept"],
     "op9_mixing": ["doc_id", "size", "source_size", "target", "taken"],
     "op10_quality": ["doc_id", "held_out", "score", "predicted"],
+    "op11_lm_scoring": ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+    "op12_spelling": ["word", "form", "root", "n", "n_near", "form_n"],
+    "op13_lexical_search": ["item_id", "rank", "doc_id", "score"],
 }
 
 
@@ -50,6 +53,6 @@ def test_query(spark, db, name):
         assert len(got[1]) == db.sql("SELECT count(*) FROM documents").fetchall()[0][0]
 
 
-def test_ten_operators():
+def test_thirteen_operators():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op"))
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
