@@ -1,8 +1,13 @@
 """Gradient-boosted trees for a label of 0 or 1, by histograms that Spark sums, with missing values routed by the data.
 
-Values are cut into bins once, at quantiles. For each level of a tree the tasks add up gradients and curvatures by node, feature and
-bin, and only those sums are shuffled; the driver picks each node's best split from one row a node, feature and bin, which doesn't
-grow with the rows. Rows never move: a task finds a row's margin and node by walking the trees, which are small.
+Values are cut into bins once, at quantiles, and written as a binned matrix in blocks of rows, each with its rows' margins. A round costs the
+same however many came before: a task starts from the margins in its blocks and walks only the trees grown since these were written,
+at most CARRY, which then are written with the next version of the matrix. Rows aren't shuffled after that.
+
+For each level of a tree the tasks add up gradients and curvatures by node, feature and bin, and only those sums are shuffled; the
+driver picks each node's best split from one row a node, feature and bin, which doesn't grow with the rows. Of two sibling nodes
+only the lighter one is summed, the other is their parent less that one. The validation loss of a round comes with the next
+round's first level.
 
 Each split tries missing values on both sides. Rows and features are sampled by seeded hashes. Boosting stops when the validation
 loss hasn't improved for `patience` rounds, and the ensemble is cut back to its best round.
@@ -14,11 +19,16 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ensemble import Ensemble, Node, arrays, margins
+from ..sources.staging import discard, written
+from .ensemble import Ensemble, Node
+
+#: Rows of a block, and trees after which margins are written.
+BLOCK, CARRY = 8192, 24
 
 
 @dataclass(frozen=True)
@@ -43,8 +53,37 @@ class Fitted:
     losses: list[tuple[int, float]]
 
 
-def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
-    return np.array([np.array(v, dtype=float) for v in vectors]).reshape(len(vectors), width)
+@dataclass
+class Split:
+    """An inner node of a growing tree: values in bins up to `bin` go left, missing ones where `default_left` says."""
+
+    left: int
+    right: int
+    feature: int
+    bin: int
+    default_left: bool
+    gain: float
+
+
+@dataclass
+class Tree:
+    splits: dict[int, Split]
+    values: dict[int, float]
+
+    def nodes_of(self, bins: np.ndarray, missing: int) -> np.ndarray:
+        at = np.zeros(len(bins), np.int64)
+        for node, s in sorted(self.splits.items()):
+            own = np.flatnonzero(at == node)
+            value = bins[own, s.feature]
+            left = np.where(value == missing, s.default_left, value <= s.bin)
+            at[own] = np.where(left, s.left, s.right)
+        return at
+
+    def margins(self, bins: np.ndarray, missing: int) -> np.ndarray:
+        table = np.zeros(max(self.values) + 1)
+        for node, value in self.values.items():
+            table[node] = value
+        return table[self.nodes_of(bins, missing)]
 
 
 def cut_points(train: DataFrame, features: int, bins: int) -> list[np.ndarray]:
@@ -55,142 +94,195 @@ def cut_points(train: DataFrame, features: int, bins: int) -> list[np.ndarray]:
     return [np.nextafter(cuts.get(j, np.zeros(0)), np.inf) for j in range(features)]
 
 
-def _thresholded(g: np.ndarray, l1: float) -> np.ndarray:
-    return np.sign(g) * np.maximum(np.abs(g) - l1, 0)
+BLOCKS = "training boolean, ids binary, labels binary, bins binary, margins binary"
 
 
-def _gain(g: np.ndarray, h: np.ndarray, s: Settings) -> np.ndarray:
-    return _thresholded(g, s.l1) ** 2 / (h + s.l2)
+def binned(rows: DataFrame, cuts: list[np.ndarray], missing: int, block: int = BLOCK) -> DataFrame:
+    """(training, ids, labels, bins, margins): a row for each block of rows (row_id, label, vector, training), its matrices as bytes."""
+    width = len(cuts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flags = batch.column("training").to_numpy(zero_copy_only=False)
+            for training in (True, False):
+                own = batch.filter(pa.array(flags == training))
+                for part in (own.slice(a, block) for a in range(0, len(own), block)):
+                    x = pc.cast(part.column("vector").flatten(), pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False).reshape(len(part), width)
+                    bins = np.stack([np.where(np.isnan(x[:, j]), missing, np.searchsorted(cuts[j], x[:, j], side="right")) for j in range(width)], 1).astype(np.uint16)
+                    matrices = (part.column("row_id").to_numpy().astype(np.int64), part.column("label").to_numpy().astype(np.float64), bins, np.zeros(len(part)))
+                    yield pa.RecordBatch.from_arrays([pa.array([training]), *[pa.array([m.tobytes()], pa.binary()) for m in matrices]], ["training", "ids", "labels", "bins", "margins"])
+
+    chosen = rows.select(F.col("row_id").cast("long").alias("row_id"), F.col("label").cast("double").alias("label"), F.col("vector").cast("array<double>").alias("vector"), "training")
+    return chosen.mapInArrow(run, BLOCKS)
 
 
-def _weighted(y: np.ndarray, weight: float) -> np.ndarray:
-    return np.where(y > 0.5, weight, 1.0)
+def _blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[bool, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for training, ids, labels, bins, margins in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            yield training, np.frombuffer(ids, np.int64), np.frombuffer(labels), np.frombuffer(bins, np.uint16).reshape(-1, width), np.frombuffer(margins)
+
+
+def _carried(blocks: DataFrame, trees: list[Tree], width: int, missing: int) -> DataFrame:
+    """The matrix with the margins that some more trees give."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            margins = [m + sum(t.margins(bins, missing) for t in trees) for _, _, _, bins, m in _blocks([batch], width)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([m.tobytes() for m in margins], pa.binary())], batch.schema.names)
+
+    return blocks.mapInArrow(run, BLOCKS)
 
 
-def _hash_share(ids: np.ndarray, seed: int) -> np.ndarray:
+def hash_share(ids: np.ndarray, seed: int) -> np.ndarray:
+    """A number in [0, 1) for each id and seed."""
     x = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return (x ^ (x >> np.uint64(31))) / 2.0**64
 
 
-def _histograms(train: DataFrame, shared, cuts: list[np.ndarray], s: Settings, seed: int, weight: float) -> dict[tuple[int, int], np.ndarray]:
-    """For each open node and feature, sums (bins + 1, 2) of gradient and curvature; the last bin has missing values."""
-    width = len(cuts)
+def gradients(labels: np.ndarray, margins: np.ndarray, weight: float) -> tuple[np.ndarray, np.ndarray]:
+    p = 1 / (1 + np.exp(-margins))
+    w = np.where(labels > 0.5, weight, 1.0)
+    return (p - labels) * w, np.maximum(p * (1 - p), 1e-16) * w
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trees, base, tree, open_nodes = shared.value
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            batch = batch[_hash_share(batch["row_id"].to_numpy(), seed) < s.rows]
-            if not len(batch):
+
+def loss_sums(labels: np.ndarray, margins: np.ndarray, weight: float) -> tuple[float, float]:
+    """Sums of the weighted loss and of the weights."""
+    w = np.where(labels > 0.5, weight, 1.0)
+    return float((np.logaddexp(0, np.where(labels > 0.5, -margins, margins)) * w).sum()), float(w.sum())
+
+
+def _summed(blocks: DataFrame, trees: list[Tree], tree: Tree, asked: list[int], width: int, s: Settings, seed: int, weight: float, with_loss: bool) -> tuple[dict[int, np.ndarray], float]:
+    """Sums (width, bins + 1, 2) of gradient and curvature for each asked node of a growing tree; and the validation loss of `trees`."""
+    size = width * (s.bins + 1)
+    place = {node: k for k, node in enumerate(asked)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, loss = np.zeros((len(asked) * size, 2)), np.zeros(2)
+        where = np.full(max([0, *asked, *tree.values, *tree.splits]) + 1, -1)
+        for node, k in place.items():
+            where[node] = k
+        columns = np.arange(width) * (s.bins + 1)
+        for training, ids, labels, bins, margins in _blocks(batches, width):
+            margins = margins + sum(t.margins(bins, s.bins) for t in trees)
+            if not training:
+                loss += loss_sums(labels, margins, weight) if with_loss else 0
                 continue
-            x, y = _matrix(batch["vector"], width), batch["label"].to_numpy(float)
-            p = 1 / (1 + np.exp(-margins(x, trees, base)))
-            w = _weighted(y, weight)
-            g, h = (p - y) * w, np.maximum(p * (1 - p), 1e-16) * w
-            at = _walk(x, tree)
-            binned = np.stack([np.where(np.isnan(x[:, j]), s.bins, np.searchsorted(cuts[j], x[:, j], side="right")) for j in range(width)], 1)
-            for node in open_nodes:
-                own = at == node
-                if own.any():
-                    out = sums.setdefault(node, np.zeros((width, s.bins + 1, 2)))
-                    for j in range(width):
-                        out[j, :, 0] += np.bincount(binned[own, j], g[own], s.bins + 1)
-                        out[j, :, 1] += np.bincount(binned[own, j], h[own], s.bins + 1)
-        rows = [(node, j, out[j].ravel().tolist()) for node, out in sums.items() for j in range(width)]
-        yield pd.DataFrame(rows, columns=["node", "j", "sums"])
-
-    parts = train.select("row_id", "label", "vector").mapInPandas(run, "node int, j int, sums array<double>")
-    cells = parts.select("node", "j", F.posexplode("sums").alias("k", "x")).groupBy("node", "j", "k").agg(F.sum("x").alias("x"))
-    whole = cells.groupBy("node", "j").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("cells")).select("node", "j", F.col("cells.x").alias("x"))
-    return {(r["node"], r["j"]): np.array(r["x"]).reshape(s.bins + 1, 2) for r in whole.collect()}  # one row a node and feature
-
-
-def _walk(x: np.ndarray, tree: dict[int, Node]) -> np.ndarray:
-    """The node of an unfinished tree that each row has come to; features are indexes in text."""
-    at = np.zeros(len(x), np.int64)
-    for node in sorted(tree):
-        n = tree[node]
-        if n.feature is not None:
-            here = at == node
-            value = x[:, int(n.feature)]
-            left = np.where(np.isnan(value), n.default_left, value < n.threshold)
-            at = np.where(here, np.where(left, n.left, n.right), at)
-    return at
-
-
-def _best_split(sums: np.ndarray, cuts: np.ndarray, s: Settings) -> tuple[float, float, bool, float, float]:
-    """(gain, threshold, default_left, left and right weight) of one node and feature."""
-    g, h = sums[:, 0].sum(), sums[:, 1].sum()
-    best = (0.0, 0.0, True, 0.0, 0.0)
-    below = np.cumsum(sums[: len(cuts)], axis=0)
-    for default_left in (True, False):
-        left = below + (sums[-1] if default_left else 0)
-        gl, hl = left[:, 0], left[:, 1]
-        gr, hr = g - gl, h - hl
-        gain = _gain(gl, hl, s) + _gain(gr, hr, s) - _gain(np.array([g]), np.array([h]), s)
-        gain[(hl < s.least_weight) | (hr < s.least_weight)] = 0
-        if len(gain) and gain.max() > best[0] + 1e-12:
-            k = int(np.argmax(gain))
-            best = (float(gain[k]), float(cuts[k]), default_left, -float(_thresholded(gl[k], s.l1) / (hl[k] + s.l2)), -float(_thresholded(gr[k], s.l1) / (hr[k] + s.l2)))
+            at = where[tree.nodes_of(bins, s.bins)]
+            own = np.flatnonzero((hash_share(ids, seed) < s.rows) & (at >= 0))
+            g, h = gradients(labels[own], margins[own], weight)
+            cell = (at[own, None] * size + columns + bins[own]).ravel()
+            for k, x in enumerate((g, h)):
+                sums[:, k] += np.bincount(cell, np.repeat(x, width), len(sums))
+        some = np.flatnonzero(sums[:, 1])
+        cells = np.append(some, -1).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(cells), *[pa.array(np.append(sums[some, k], loss[k])) for k in range(2)]], ["cell", "g", "h"])
+
+    found = blocks.mapInArrow(run, "cell int, g double, h double").groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow()  # one row a node, feature and bin
+    cells, values = found["cell"].to_numpy(), np.stack([found["g"].to_numpy(), found["h"].to_numpy()], 1)
+    out = np.zeros((len(asked) * size, 2))
+    out[cells[cells >= 0]] = values[cells >= 0]
+    loss = values[cells < 0].sum(0)
+    return {node: out[k * size : (k + 1) * size].reshape(width, s.bins + 1, 2) for node, k in place.items()}, float(loss[0] / loss[1]) if loss[1] else 0.0
+
+
+def _thresholded(g: np.ndarray, l1: float) -> np.ndarray:
+    return np.sign(g) * np.maximum(np.abs(g) - l1, 0)
+
+
+def _gain(g: np.ndarray, h: np.ndarray, s: Settings) -> np.ndarray:
+    return _thresholded(g, s.l1) ** 2 / (h + s.l2)
+
+
+def leaf_value(g: float, h: float, s: Settings) -> float:
+    return -float(_thresholded(np.float64(g), s.l1) / (h + s.l2)) * s.rate
+
+
+def best_split(sums: np.ndarray, n_cuts: Sequence[int], chosen: Sequence[int], s: Settings) -> tuple[float, int, int, bool, tuple[float, float], tuple[float, float]] | None:
+    """(gain, feature, bin, default_left, left sums, right sums) of one node; of equal gains the first feature, left default and lowest bin."""
+    best = None
+    for j in chosen:
+        g, h = sums[j, :, 0].sum(), sums[j, :, 1].sum()
+        below = np.cumsum(sums[j, : n_cuts[j]], axis=0)
+        for default_left in (True, False):
+            left = below + (sums[j, -1] if default_left else 0)
+            gl, hl = left[:, 0], left[:, 1]
+            gr, hr = g - gl, h - hl
+            gain = _gain(gl, hl, s) + _gain(gr, hr, s) - _gain(np.array([g]), np.array([h]), s)
+            gain[(hl < s.least_weight) | (hr < s.least_weight)] = 0
+            if len(gain) and gain.max() > (best[0] if best else 0.0) + 1e-12:
+                k = int(np.argmax(gain))
+                best = (float(gain[k]), int(j), k, default_left, (float(gl[k]), float(hl[k])), (float(gr[k]), float(hr[k])))
     return best
 
 
-def _loss(rows: DataFrame, ensemble: Ensemble, features: Sequence[str], weight: float) -> float:
-    shared = rows.sparkSession.sparkContext.broadcast((arrays(ensemble, features), ensemble.base_margin))
-    width = len(features)
+def grown(sums_of, n_cuts: Sequence[int], chosen: Sequence[int], s: Settings) -> Tree:
+    """A tree grown level by level; `sums_of(tree, nodes)` gives histograms, asked for the lighter of two siblings only."""
+    tree, sums, open_ = Tree({}, {0: 0.0}), sums_of(Tree({}, {0: 0.0}), [0]), [0]
+    for level in range(s.depth):
+        pairs = []
+        for node in open_:
+            found = best_split(sums[node], n_cuts, chosen, s)
+            if found is None:
+                continue
+            gain, j, k, default_left, left, right = found
+            a, b = len(tree.splits) + len(tree.values), len(tree.splits) + len(tree.values) + 1
+            del tree.values[node]
+            tree.splits[node] = Split(a, b, j, k, default_left, gain)
+            tree.values[a], tree.values[b] = leaf_value(*left, s), leaf_value(*right, s)
+            pairs.append((node, a, b) if left[1] <= right[1] else (node, b, a))
+        if not pairs or level == s.depth - 1:
+            break
+        lighter = sums_of(tree, [light for _, light, _ in pairs])
+        parents, sums, open_ = sums, {}, []
+        for node, light, heavy in pairs:
+            sums[light], sums[heavy] = lighter[light], parents[node] - lighter[light]
+            open_ += sorted((light, heavy))
+    return tree
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trees, base = shared.value
-        for batch in batches:
-            y = batch["label"].to_numpy(float)
-            m = margins(_matrix(batch["vector"], width), trees, base)
-            w = _weighted(y, weight)
-            yield pd.DataFrame({"loss": [float((np.logaddexp(0, np.where(y > 0.5, -m, m)) * w).sum())], "n": [float(w.sum())]})
 
-    total = rows.select("label", "vector").mapInPandas(run, "loss double, n double").agg(F.sum("loss").alias("loss"), F.sum("n").alias("n")).first()
-    return total["loss"] / total["n"] if total["n"] else 0.0
+def _nodes(tree: Tree, number: int, features: Sequence[str], cuts: list[np.ndarray]) -> list[Node]:
+    inner = [Node(number, node, x.left, x.right, features[x.feature], float(cuts[x.feature][x.bin]), x.default_left, None, x.gain) for node, x in tree.splits.items()]
+    return inner + [Node(number, node, None, None, None, None, None, value) for node, value in tree.values.items()]
 
 
-def fit(train: DataFrame, val: DataFrame, features: Sequence[str], settings: Settings = Settings()) -> Fitted:  # noqa: B008
+def fit(train: DataFrame, val: DataFrame, features: Sequence[str], settings: Settings = Settings(), carry: int = CARRY) -> Fitted:  # noqa: B008
     """Fit to (row_id, label, vector); `val` has the same columns. Without rows of both classes the ensemble has no trees."""
-    s, spark = settings, train.sparkSession
-    train, val = train.persist(), val.persist()
+    s, width = settings, len(features)
     counts = train.agg(F.count_if(F.col("label") == 0).alias("n"), F.count_if(F.col("label") == 1).alias("p")).first()
     if not counts["n"] or not counts["p"]:
         return Fitted(Ensemble([]), [])
     weight = s.positive_weight if s.positive_weight is not None else counts["n"] / counts["p"]
-    cuts = cut_points(train, len(features), s.bins)
+    cuts = cut_points(train, width, s.bins)
+    columns = lambda df, training: df.select("row_id", "label", "vector", F.lit(training).alias("training"))
+    blocks = written(binned(columns(train, True).unionByName(columns(val, False)), cuts, s.bins), "binned")
     draw = np.random.default_rng(s.seed)
-    ensemble, losses, best = Ensemble([]), [], (np.inf, 0)
-    for round_ in range(s.rounds):
-        chosen = np.sort(draw.permutation(len(features))[: max(1, int(len(features) * s.columns))])
-        scored = spark.sparkContext.broadcast((arrays(ensemble, features), ensemble.base_margin))
-        tree: dict[int, Node] = {0: Node(round_, 0, None, None, None, None, None, 0.0)}
-        open_nodes = [0]
-        for _ in range(s.depth):
-            shared = spark.sparkContext.broadcast((*scored.value, tree, open_nodes))
-            sums = _histograms(train, shared, cuts, s, s.seed + round_, weight)
-            shared.unpersist()
-            grown = []
-            for node in open_nodes:
-                tried = [(_best_split(sums[node, j], cuts[j], s), j) for j in chosen if (node, j) in sums]
-                (gain, threshold, default_left, left, right), j = max(tried, key=lambda t: (t[0][0], -t[1]), default=((0.0, 0.0, True, 0.0, 0.0), 0))
-                if gain <= 0:
-                    continue
-                a, b = len(tree), len(tree) + 1
-                tree[node] = Node(round_, node, a, b, str(j), threshold, default_left, None, gain)
-                tree[a], tree[b] = (Node(round_, k, None, None, None, None, None, s.rate * v) for k, v in ((a, left), (b, right)))
-                grown += [a, b]
-            open_nodes = grown
-            if not grown:
+    trees: list[Tree] = []
+    losses: list[tuple[int, float]] = []
+    best, since = (np.inf, -1), 0
+    for round_ in range(s.rounds + 1):
+        own = trees[since:]
+        lost = None
+
+        def sums_of(tree: Tree, nodes: list[int], blocks=blocks, own=own, round_=round_) -> dict[int, np.ndarray]:
+            nonlocal lost
+            sums, loss = _summed(blocks, own, tree, nodes, width, s, s.seed + round_, weight, nodes == [0])
+            lost = loss if nodes == [0] else lost
+            return sums
+
+        chosen = np.sort(draw.permutation(width)[: max(1, int(width * s.columns))])
+        root = sums_of(Tree({}, {0: 0.0}), [0])
+        if round_:
+            losses.append((round_ - 1, lost))
+            if lost < best[0] - 1e-12:
+                best = (lost, round_ - 1)
+            if round_ == s.rounds or round_ - 1 - best[1] >= s.patience or not trees[-1].splits:
                 break
-        named = [n if n.feature is None else Node(n.tree, n.node, n.left, n.right, features[int(n.feature)], n.threshold, n.default_left, None, n.gain) for n in tree.values()]
-        ensemble = Ensemble([*ensemble.nodes, *named])
-        losses.append((round_, _loss(val, ensemble, features, weight)))
-        if losses[-1][1] < best[0] - 1e-12:
-            best = (losses[-1][1], round_)
-        if len(tree) == 1 or round_ - best[1] >= s.patience:
-            break
-    return Fitted(ensemble.truncated(best[1] + 1), losses)
+        trees.append(grown(lambda tree, nodes, root=root, more=sums_of: {0: root[0]} if nodes == [0] else more(tree, nodes), [len(c) for c in cuts], chosen, s))
+        if len(trees) - since >= carry:
+            newer = written(_carried(blocks, trees[since:], width, s.bins), "binned")
+            discard(blocks)
+            blocks, since = newer, len(trees)
+    discard(blocks)
+    return Fitted(Ensemble([n for k, t in enumerate(trees) for n in _nodes(t, k, features, cuts)]).truncated(best[1] + 1), losses)

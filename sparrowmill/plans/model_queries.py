@@ -241,7 +241,7 @@ def labelled_vectors(spark, sf_dir):
 def boost_fit(spark, sf_dir):
     """(tree, node, ...): the trees that boosting fits to the labels, stopped by the validation rows."""
     rows = labelled_vectors(spark, sf_dir)
-    fitted = boosting.fit(rows.where("split = 'train'"), rows.where("split = 'val'"), FEATURES, boosting.Settings(rounds=8, rate=0.2, depth=3, least_weight=2.0, patience=4))
+    fitted = boosting.fit(rows.where("split = 'train'"), rows.where("split = 'val'"), FEATURES)
     return fitted.ensemble.table(spark)
 
 

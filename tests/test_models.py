@@ -132,6 +132,76 @@ def test_boosting_learns_and_stops(spark):
     assert none.ensemble.nodes == []
 
 
+def plain_boosting(x, y, held, s, cuts):
+    """The same trees in plain arrays: every round starts from all earlier trees, every node is summed, rows by rows."""
+    width = x.shape[1]
+    draw, trees, losses = np.random.default_rng(s.seed), [], []
+    weight = (y[~held] == 0).sum() / (y[~held] == 1).sum()
+
+    def leaf(tree, row):
+        at = tree
+        while isinstance(at, tuple):
+            j, t, missing_left, left, right = at
+            at = left if (missing_left if np.isnan(row[j]) else row[j] < t) else right
+        return at
+
+    def grow(rows, g, h, chosen, depth):
+        value = boosting.leaf_value(g[rows].sum(), h[rows].sum(), s)
+        best = (1e-12, None)
+        for j in chosen if depth else []:
+            for missing_left in (True, False):
+                for t in cuts[j]:
+                    left = np.where(np.isnan(x[rows, j]), missing_left, x[rows, j] < t)
+                    a, b = rows[left], rows[~left]
+                    if h[a].sum() < s.least_weight or h[b].sum() < s.least_weight:
+                        continue
+                    gain = sum(k * boosting._gain(g[i].sum(), h[i].sum(), s) for k, i in ((1, a), (1, b), (-1, rows)))
+                    if gain > best[0] + 1e-12:
+                        best = (gain, (j, t, missing_left, a, b))
+        if best[1] is None:
+            return value
+        j, t, missing_left, a, b = best[1]
+        return j, t, missing_left, grow(a, g, h, chosen, depth - 1), grow(b, g, h, chosen, depth - 1)
+
+    for round_ in range(s.rounds):
+        chosen = np.sort(draw.permutation(width)[: max(1, int(width * s.columns))])
+        margin = np.array([sum(leaf(t, row) for t in trees) for row in x], float)
+        g, h = boosting.gradients(y.astype(float), margin, weight)
+        rows = np.flatnonzero(~held & (boosting.hash_share(np.arange(len(x)), s.seed + round_) < s.rows))
+        tree = grow(rows, g, h, chosen, s.depth)
+        trees.append(tree if isinstance(tree, tuple) else 0.0)
+        loss, weights = boosting.loss_sums(y[held].astype(float), np.array([sum(leaf(t, row) for t in trees) for row in x[held]], float), weight)
+        losses.append(loss / weights)
+    return losses
+
+
+@pytest.mark.parametrize("carry", [1, 3, 100])
+def test_boosting_against_plain_arrays(spark, carry):
+    """Losses of each round equal those of a plain fit, however often margins are written."""
+    draw = np.random.default_rng(9)
+    x = np.round(draw.normal(size=(300, 3)), 1)
+    y = (x[:, 0] * x[:, 1] + 0.4 * draw.normal(size=300) > 0.2).astype(int)
+    x[draw.random(x.shape) < 0.1] = np.nan
+    s = boosting.Settings(rounds=8, rate=0.3, depth=3, least_weight=2.0, columns=0.7, bins=8, patience=50)
+    df = frame(spark, x).join(spark.createDataFrame([(k, int(v)) for k, v in enumerate(y)], "row_id long, label int"), "row_id")
+    fitted = boosting.fit(df.where("row_id < 200"), df.where("row_id >= 200"), list("abc"), s, carry=carry)
+    want = plain_boosting(x, y, np.arange(300) >= 200, s, boosting.cut_points(df.where("row_id < 200"), 3, s.bins))
+    assert [v for _, v in fitted.losses] == pytest.approx(want, rel=1e-9)
+    assert len(fitted.ensemble.by_tree) == int(np.argmin(want)) + 1
+
+
+def test_a_round_costs_the_same_late(spark, monkeypatch):
+    """Tasks never walk more trees than are carried, and only the lighter of two siblings is summed."""
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(400, 3))
+    y = (x[:, 0] > 0.1).astype(int)
+    seen, plain = [], boosting._summed
+    monkeypatch.setattr(boosting, "_summed", lambda blocks, trees, tree, asked, *a: seen.append((len(trees), len(asked), len(tree.values))) or plain(blocks, trees, tree, asked, *a))
+    df = frame(spark, x).join(spark.createDataFrame([(k, int(v)) for k, v in enumerate(y)], "row_id long, label int"), "row_id")
+    boosting.fit(df.where("row_id < 300"), df.where("row_id >= 300"), list("abc"), boosting.Settings(rounds=14, rate=0.1, depth=3, least_weight=1.0), carry=4)
+    assert max(t for t, _, _ in seen) == 3 and all(2 * asked <= max(values, 2) for _, asked, values in seen)
+
+
 def test_neighbours_against_brute_force(spark):
     draw = np.random.default_rng(4)
     x, q = draw.normal(size=(200, 3)), draw.normal(size=(9, 3))
