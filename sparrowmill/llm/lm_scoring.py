@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,12 +39,12 @@ ORDER = 2
 WEIGHT = 16.0
 ADD = 0.1
 #: Bytes of text in a block, and of text for which there is one shard of n-grams.
-BLOCK_BYTES, SHARD_BYTES = 24 << 20, 8 << 20
+BLOCK_BYTES, SHARD_BYTES = 10 << 20, 8 << 20
 #: Tokens whose distinct hashes are found together when words are counted.
 COUNTED = 4_000_000
 
 START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
-_STEP, _LEVEL = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9FB21C651E98DF25)
+_STEP, _LEVEL = np.uint64(0xD6E8FEB86659FD93), 0x9FB21C651E98DF25
 
 
 def tokens(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +67,7 @@ def grams(stream: np.ndarray, starts: np.ndarray, order: int) -> Iterator[tuple[
     key = stream
     for n in range(1, order + 1):
         if n > 1:
-            key = np.concatenate([np.zeros(1, np.uint64), wordhash.mix(key[:-1] * _STEP + stream[1:] + np.uint64(n) * _LEVEL)])
+            key = np.concatenate([np.zeros(1, np.uint64), wordhash.mix(key[:-1] * _STEP + stream[1:] + np.uint64(n * _LEVEL % (1 << 64)))])
         yield key, np.flatnonzero(room >= max(n - 1, 1))
 
 
@@ -80,22 +81,42 @@ def _lists(values: np.ndarray, cut: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(values))
 
 
+#: Counts from here on are sent as longs of their own, the others, nearly all, as bytes.
+LARGE = 127
+
+
+def _packed(counts: np.ndarray, cut: np.ndarray) -> dict[str, pa.ListArray]:
+    """Lists of counts, as bytes and, in the same order, longs for those that are LARGE."""
+    large = counts >= LARGE
+    return {"counts": _lists(np.minimum(counts, LARGE).astype(np.int8), cut), "large": _lists(counts[large], np.concatenate([[0], np.cumsum(large)])[cut])}
+
+
+def _flat(table: pa.Table, name: str) -> np.ndarray:
+    return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in table[name].chunks])
+
+
+def _unpacked(table: pa.Table) -> np.ndarray:
+    counts = _flat(table, "counts").astype(np.int64)
+    counts[counts == LARGE] = _flat(table, "large")
+    return counts
+
+
 def _asked(keys: np.ndarray, counts: np.ndarray, block: int, n_shards: int) -> pa.Table:
     """(shard, block, keys, counts): what a block asks each shard that has a key of it."""
     cut = _shards(keys, n_shards)
     some = np.flatnonzero(np.diff(cut))
     edges = np.append(cut[some], len(keys))
-    return pa.table({"shard": some.astype(np.int32), "block": np.full(len(some), block, np.int32), "keys": _lists(keys.view(np.int64), edges), "counts": _lists(counts.astype(np.int64), edges)})
+    return pa.table({"shard": some.astype(np.int32), "block": np.full(len(some), block, np.int32), "keys": _lists(keys.view(np.int64), edges), **_packed(counts.astype(np.int64), edges)})
 
 
-ASKED = "shard int, block int, keys array<long>, counts array<long>"
+ASKED = "shard int, block int, keys array<long>, counts array<tinyint>, large array<long>"
+ANSWERED = "block int, shard int, counts array<tinyint>, large array<long>"
 
 
 def _sums(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys of a shard, their total counts, and the place of every entry's key."""
-    flat = lambda name: table[name].combine_chunks().flatten() if isinstance(table[name].combine_chunks(), pa.ListArray) else pa.concat_arrays([c.flatten() for c in table[name].chunks])
-    keys, place = np.unique(flat("keys").to_numpy(zero_copy_only=False).view(np.uint64), return_inverse=True)
-    return keys, np.bincount(place, flat("counts").to_numpy(zero_copy_only=False), len(keys)).astype(np.int64), place
+    keys, place = np.unique(_flat(table, "keys").view(np.uint64), return_inverse=True)
+    return keys, np.bincount(place, _unpacked(table), len(keys)).astype(np.int64), place
 
 
 def totals(df: DataFrame, text_col: str, n_shards: int) -> tuple[int, int]:
@@ -217,14 +238,14 @@ def scored(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
 
     def answer(table: pa.Table) -> pa.Table:
         _, sums, place = _sums(table)
-        lengths = pa.compute.list_value_length(table["keys"]).to_numpy()
-        return pa.table({"block": table["block"], "shard": table["shard"], "totals": _lists(sums[place], np.concatenate([[0], np.cumsum(lengths)]))})
+        cut = np.concatenate([[0], np.cumsum(pc.list_value_length(table["keys"]).to_numpy())])
+        return pa.table({"block": table["block"], "shard": table["shard"], **_packed(sums[place], cut)})
 
     def score(texts: pa.Table, told: pa.Table) -> pa.Table:
         stream, starts = tokens(texts["text"])
         told = told.sort_by("shard")
         keys = np.unique(np.concatenate([key[at] for key, at in grams(stream, starts, order)]))
-        sums = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in told["totals"].chunks])
+        sums = _unpacked(told)
         automaton = Automaton(stream, starts, lambda asked: _looked_up(keys, sums, asked), order, weight, n_tokens, n_distinct)
         at = starts[:-1] + 1  # behind the start mark
         add = lambda x: np.add.reduceat(np.append(x, 0), np.stack([at, starts[1:]], 1).ravel())[::2]
@@ -233,7 +254,7 @@ def scored(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
         return pa.table(columns | {"base_score": add(automaton.base), "score": np.array(score)})
 
     asked = blocks.groupBy("block").applyInArrow(ask, ASKED)
-    told = asked.groupBy("shard").applyInArrow(answer, "block int, shard int, totals array<long>")
+    told = asked.groupBy("shard").applyInArrow(answer, ANSWERED)
     schema = f"id {id_type}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, schema)
 
