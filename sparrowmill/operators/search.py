@@ -5,8 +5,9 @@ of the features that may change (null: all of `Space.mutable`). Rows are indepen
 
 - `beam` and `genetic` are loops of Spark steps over tables of candidates: candidates of all rows are expanded, scored and ranked
   together, and each step's survivors are checkpointed.
-- `exact` finds the nearest counterfactual of a row by branch and bound over the cells between the model's thresholds, a small helper
-  for each row in pandas tasks. It ends with a proven answer, unless a node budget is asked for and runs out.
+- `exact` finds the nearest counterfactuals of a row by branch and bound over boxes of cells between the model's thresholds, a small helper
+  for each row in pandas tasks. It ends with a proven answer or one within the gap that is asked for, or with the gap that was
+  left when its time or nodes ran out.
 
 Missing values stay missing in all of them. Rows for which nothing is found are in the result with their reason, those of
 `genetic` if asked for with `every_row`.
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import time
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -26,9 +28,11 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..sources.staging import cut
-from .ensemble import Ensemble, Node, leaf_join_scores, regions, vector_margin_column
+from .ensemble import Ensemble, Region, leaf_join_scores, regions, vector_margin_column
 
 INFINITY = float("inf")
+#: Of so many open boxes, one is followed down to a solution.
+DIVE = 32
 
 
 @dataclass
@@ -163,12 +167,35 @@ def _uniform(*parts: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*parts), 11) / F.lit(float(1 << 53))
 
 
+def alikeness(x: np.ndarray, ranges: np.ndarray) -> np.ndarray:
+    """1 / (1 + distance) for all pairs of rows; distance is the sum of shifts over ranges, missing values add nothing."""
+    return 1 / (1 + (np.nan_to_num(np.abs(x[:, None] - x[None])) / ranges).sum(2))
+
+
+def diverse(x: np.ndarray, cost: np.ndarray, ranges: np.ndarray, total: int, weight: float) -> list[int]:
+    """Rows chosen one by one, each the best for the sum of -cost plus weight times the log determinant of the chosen rows' alikeness.
+
+    That is the greedy choice in a determinantal point process. What a row adds to the log determinant is the log of what the chosen rows
+    leave over of it, kept up to date by one Cholesky column a step; ties go to the earlier row, rows equal to a chosen one come last.
+    """
+    kernel = alikeness(x, ranges)
+    left, columns, out = np.ones(len(x)), np.zeros((len(x), 0)), []
+    for _ in range(min(total, len(x))):
+        score = -cost + weight * np.log(np.maximum(left, 1e-12))
+        score[out] = -np.inf
+        best = int(np.argmax(score))
+        column = (kernel[:, best] - columns @ columns[best]) / math.sqrt(max(left[best], 1e-12))
+        columns, left = np.hstack([columns, column[:, None]]), left - column**2
+        out.append(best)
+    return out
+
+
 def genetic(rows: DataFrame, ensemble: Ensemble, space: Space, threshold: float, target: int = 0, genes: Genes = Genes(), every_row: bool = False) -> DataFrame:  # noqa: B008
     """(row_id, cf_rank, vector, counterfactual, proba_factual, proba, distance, n_changed, status): up to `total` distinct valid ones a row.
 
     Each generation crosses members of the better half and mutates them, a join on row and rank; cost is how far the prediction is
-    from flipping, plus weighed proximity and sparsity. At the end those that change the same features as a better one cost
-    the diversity weight more. With `every_row`, a row without any
+    from flipping, plus weighed proximity and sparsity. Of the last generation's valid members a set is chosen in which each is near and the set is
+    diverse, see `diverse`. With `every_row`, a row without any
     has cf_rank 0 and the status `budget`: the generations ended, nothing is proven; else it isn't in the result. All draws are hashes of row, member, generation and feature, so reruns agree.
     """
     score = lambda v: scalars.sigmoid(vector_margin_column(ensemble, space.features, v))
@@ -209,11 +236,17 @@ def genetic(rows: DataFrame, ensemble: Ensemble, space: Space, threshold: float,
         crossed = F.transform(places, lambda j: F.when(changeable(j) & (coin(j, 2) < genes.mutate), drawn(generation, j)).when(changeable(j) & (coin(j, 3) < genes.mutate), F.col("original")[j]).when(coin(j, 4) < 0.5, F.col("of_a")[j]).otherwise(F.col("of_b")[j]))  # noqa: B023
         children = costed(children.withColumn("vector", crossed).drop("a", "b", "of_a", "of_b"))
         people = cut(parents.drop("rank").unionByName(children).repartition("row_id").dropDuplicates(["row_id", "vector"]))
-    changed = F.zip_with("original", "vector", lambda a, b: ~scalars.close(a, b))
-    alike = Window.partitionBy("row_id", "_changed").orderBy("cost", "member")
-    valid = people.where("wrong = 0").withColumn("_changed", changed).withColumn("_cost", F.col("cost") + genes.diversity * (F.row_number().over(alike) - 1))
-    rank = F.row_number().over(Window.partitionBy("row_id").orderBy("_cost", "member"))
-    found = valid.withColumn("cf_rank", rank).where(F.col("cf_rank") <= genes.total).select("row_id", "cf_rank", F.col("vector").alias("counterfactual"), "proba", "distance", "n_changed")
+    chosen = people.where("wrong = 0").select("row_id", "member", F.col("vector").alias("counterfactual"), "proba", "distance", "n_changed", "cost")
+
+    def set_of(pdf: pd.DataFrame) -> pd.DataFrame:  # at most a population
+        pdf = pdf.sort_values(["cost", "member"]).reset_index(drop=True)
+        x = np.array([np.array(v, dtype=float) for v in pdf["counterfactual"]]).reshape(len(pdf), k)
+        own = pdf.iloc[diverse(x, pdf["cost"].to_numpy(), np.array(ranges), genes.total, genes.diversity)].copy()
+        own["cf_rank"] = np.arange(1, len(own) + 1, dtype=np.int32)
+        return own[["row_id", "cf_rank", "counterfactual", "proba", "distance", "n_changed"]]
+
+    row_type = start.schema["row_id"].dataType.simpleString()
+    found = chosen.groupBy("row_id").applyInPandas(set_of, f"row_id {row_type}, cf_rank int, counterfactual array<double>, proba double, distance double, n_changed int")
     every = start.select("row_id", F.col("original").alias("vector"), "proba_factual").join(found, "row_id", "left" if every_row else "inner")
     status = F.when(F.col("cf_rank").isNull(), F.lit("budget")).otherwise(F.lit("found")).alias("status")
     return every.select("row_id", F.coalesce("cf_rank", F.lit(0)).alias("cf_rank"), "vector", "counterfactual", "proba_factual", "proba", "distance", "n_changed", status)
@@ -221,105 +254,274 @@ def genetic(rows: DataFrame, ensemble: Ensemble, space: Space, threshold: float,
 
 @dataclass(frozen=True)
 class Costs:
+    """Weights and limits of the exact search.
+
+    `gap` ends the search for a solution once its cost is within that share of the bound; `seconds` and `nodes` end it for the row, with the
+    gap reported. Solutions after the first lie at least `apart` (shifts over scale, added up) from all earlier ones.
+    """
+
     proximity: float = 1.0
-    sparsity: float = 0.1
+    sparsity: float = 0.05
     solutions: int = 1
     least_changed: int = 0
+    gap: float = 0.02
+    seconds: float | None = 180.0
     nodes: int | None = None
+    apart: float = 1e-3
     slack: float = 1e-5
 
 
-def _least_leaf(own: dict[int, Node], at: int, box: dict[str, tuple[float, float] | None]) -> float:
-    """The least leaf that a row of the box reaches; a box of None is a missing value."""
-    node = own[at]
-    if node.feature is None:
-        return node.leaf
-    side = box.get(node.feature, (-math.inf, math.inf))
-    if side is None:
-        return _least_leaf(own, node.left if node.default_left else node.right, box)
-    left = _least_leaf(own, node.left, box) if side[0] < node.threshold else math.inf
-    right = _least_leaf(own, node.right, box) if side[1] >= node.threshold else math.inf
-    return min(left, right)
-
-
 def _cells(value: float, cuts: list[float], low: float, high: float, scale: float, costs: Costs) -> list[tuple[float, float, int]]:
-    """(cost, value, changed) of the nearest value of each cell between cuts within [low, high], the cheapest first."""
+    """(value, cost, changed) of the nearest value of each cell between cuts within [low, high], by value."""
     edges = [low, *[c for c in cuts if low < c <= high]]
     out = []
     for k, a in enumerate(edges):
         b = float(np.nextafter(edges[k + 1], -math.inf)) if k + 1 < len(edges) else high
         v = min(max(value, a), b)
         changed = int(abs(v - value) > scalars.SOLVER_TOLERANCE)
-        out.append((costs.proximity * abs(v - value) / scale + costs.sparsity * changed, v if changed else value, changed))
+        out.append((v if changed else value, costs.proximity * abs(v - value) / scale + costs.sparsity * changed, changed))
     if not low <= value <= high:
-        out.append((0.0, value, 0))  # staying outside the learned range is allowed
+        out.append((value, 0.0, 0))  # staying outside the learned range is allowed
     return sorted(out)
 
 
-def _solve(x: dict[str, float | None], free: list[str], cells: dict[str, list[tuple[float, float, int]]], ensemble: Ensemble, limit: float, sign: int, costs: Costs) -> tuple[list[tuple[float, dict[str, float]]], bool]:
-    """The cheapest assignments of cells whose margin, times sign, is at most the limit; and whether they are proven."""
-    trees = [({k: n if n.leaf is None else Node(n.tree, n.node, None, None, None, None, None, sign * n.leaf) for k, n in own.items()}) for own in ensemble.by_tree.values()]
-    base = sign * ensemble.base_margin
-    point = lambda v: None if v is None else (v, v)
-    fixed = {f: point(v) for f, v in x.items() if f not in cells}
-    queue: list[tuple[float, int, tuple[int, ...]]] = [(0.0, 0, ())]
-    found: list[tuple[float, dict[str, float]]] = []
-    visited = 0
-    while queue and len(found) < costs.solutions:
-        cost, _, chosen = heapq.heappop(queue)  # the cheapest open node first, so what completes first is best
-        visited += 1
-        if costs.nodes is not None and visited > costs.nodes:
-            return found, False
-        box = fixed | {f: point(cells[f][c][1]) for f, c in zip(free, chosen, strict=False)}
-        if base + sum(_least_leaf(own, 0, box) for own in trees) > limit:
+class _Boxes:
+    """A row's cells by feature, and what boxes of them, ranges of cells of each feature, can reach in the trees.
+
+    A leaf is kept as the range of cells of each feature that it takes in, so bounds over all leaves are a few array steps.
+    """
+
+    def __init__(self, x: dict[str, float | None], free: list[str], cells: dict[str, list[tuple[float, float, int]]], leaves: list[Region], scale: dict[str, float], sign: int):
+        self.values = [np.array([v for v, _, _ in cells[f]]) for f in free]
+        self.changed = [np.array([c for _, _, c in cells[f]]) for f in free]
+        self.scale = np.array([scale[f] for f in free])
+        width = max((len(v) for v in self.values), default=1)
+        # of each feature, the least cost and its cell for every range of cells
+        self.cheapest = np.full((len(free), width, width), np.inf)
+        self.cell = np.zeros((len(free), width, width), np.int64)
+        for j, f in enumerate(free):
+            cost = np.array([c for _, c, _ in cells[f]])
+            for a in range(len(cost)):
+                self.cheapest[j, a, a:len(cost)] = np.minimum.accumulate(cost[a:])
+                at = np.arange(a, len(cost))
+                self.cell[j, a, a:len(cost)] = np.maximum.accumulate(np.where(cost[a:] <= np.minimum.accumulate(cost[a:]), at, a))
+        self.own = np.arange(len(free))
+        low, high, tree, leaf = [], [], [], []
+        for r in leaves:
+            fixed = all((m if x[f] is None else a <= x[f] < b) for f, (a, b, m) in r.bounds.items() if f not in cells)
+            ends = [(np.searchsorted(v, a), np.searchsorted(v, b) - 1) for f, v in zip(free, self.values, strict=True) for a, b, _ in [r.bounds.get(f, (-math.inf, math.inf, True))]]
+            if fixed and all(a <= b for a, b in ends):
+                low.append([a for a, _ in ends])
+                high.append([b for _, b in ends])
+                tree.append(r.tree)
+                leaf.append(sign * r.value)
+        order = np.lexsort((leaf, tree))
+        self.low, self.high = (np.array(e, np.int64).reshape(len(leaf), len(free))[order] for e in (low, high))
+        self.leaf, self.tree = np.array(leaf, float)[order], np.array(tree)[order]
+        self.first = np.flatnonzero(np.concatenate([[True], self.tree[1:] != self.tree[:-1]])) if len(order) else np.zeros(0, np.int64)
+
+    def whole(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.zeros(len(self.own), np.int64), np.array([len(v) - 1 for v in self.values], np.int64)
+
+    def look(self, low: np.ndarray, high: np.ndarray, most: float) -> tuple[float, np.ndarray, float, np.ndarray, np.ndarray]:
+        """(bound, cells, margin, leaf and target by tree) of a box: its cheapest cells, their margin, and a bound of the cost of a margin of at most `most`.
+
+        A point of the box that costs C more than the cheapest has, in each tree, a leaf that is entered for C at most. So the
+        least C at which the best leaves entered for it add up to `most` is a bound; infinite if none does.
+        """
+        cells = self.cell[self.own, low, high]
+        cost = float(self.cheapest[self.own, low, high].sum())
+        a, b = np.maximum(self.low, low), np.minimum(self.high, high)
+        open_ = (a <= b).all(1)
+        enter = np.full(len(self.leaf), np.inf)
+        enter[open_] = np.maximum(self.cheapest[self.own, a[open_], b[open_]].sum(1) - cost, 0.0)
+        inside = open_ & ((self.low <= cells) & (cells <= self.high)).all(1)
+        here = np.flatnonzero(inside)  # one leaf of each tree
+        margin = float(self.leaf[here].sum())
+        targets = np.minimum.reduceat(np.where(open_, self.leaf, np.inf), self.first) if len(self.first) else np.zeros(0)
+        if margin <= most:
+            return cost, cells, margin, here, targets
+        if targets.sum() > most:
+            return math.inf, cells, margin, here, targets
+        now = self.leaf[here][np.searchsorted(self.first, np.arange(len(self.leaf)), side="right") - 1]
+        better = np.flatnonzero(open_ & (self.leaf < now))
+        better = better[np.lexsort((self.leaf[better], enter[better], self.tree[better]))]
+        # of each tree, by cost of entry: how much each leaf is better than the best before it
+        tree, value = self.tree[better], self.leaf[better]
+        start = np.concatenate([[True], tree[1:] != tree[:-1]])
+        group = np.cumsum(start) - 1
+        shift = group * (4 * np.abs(self.leaf).max() + 1)  # one running minimum for all trees
+        best = np.minimum.accumulate(value - shift) + shift
+        before = np.where(start, now[better], np.concatenate([[0.0], best[:-1]]))
+        gain = np.maximum(before - best, 0.0)
+        order = np.argsort(enter[better], kind="stable")
+        reached = int(np.searchsorted(np.cumsum(gain[order]), margin - most - 1e-12))
+        return cost + (float(enter[better][order[reached]]) if reached < len(order) else 0.0), cells, margin, here, targets
+
+    def split(self, low: np.ndarray, high: np.ndarray, cells: np.ndarray, here: np.ndarray, targets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Two boxes: in the tree with the most to gain, at the side of the best leaf that lies furthest away."""
+        lost = self.leaf[here] - targets
+        t = int(np.argmax(lost))
+        end = self.first[t + 1] if t + 1 < len(self.first) else len(self.leaf)
+        rows = np.arange(self.first[t], end)
+        a, b = np.maximum(self.low[rows], low), np.minimum(self.high[rows], high)
+        row = rows[np.flatnonzero((a <= b).all(1) & (self.leaf[rows] == targets[t]))[0]]
+        a, b = np.maximum(self.low[row], low), np.minimum(self.high[row], high)
+        far = np.where((a <= cells) & (cells <= b), -1.0, self.cheapest[self.own, a, b] - self.cheapest[self.own, low, high])
+        j = int(np.argmax(far))
+        at = a[j] if cells[j] < a[j] else b[j] + 1
+        return [part for part in (_with(low, high, j, low[j], at - 1), _with(low, high, j, at, high[j])) if part]
+
+    def around(self, low: np.ndarray, high: np.ndarray, cells: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Boxes that cover the box but for the point: each moves one feature off the point's cell and holds those before it."""
+        out, a, b = [], low, high
+        for j, at in enumerate(cells):
+            out += [part for part in (_with(a, b, j, a[j], at - 1), _with(a, b, j, at + 1, b[j])) if part]
+            a, b = _with(a, b, j, at, at)
+        return out
+
+    def room(self, low: np.ndarray, high: np.ndarray, point: np.ndarray) -> float:
+        """The greatest distance of the box's points from a point of values."""
+        ends = [max(abs(v[a] - p), abs(v[b] - p)) for v, a, b, p in zip(self.values, low, high, point, strict=True)]
+        return float((np.array(ends) / self.scale).sum())
+
+    def point(self, cells: np.ndarray) -> np.ndarray:
+        return np.array([v[k] for v, k in zip(self.values, cells, strict=True)])
+
+    def n_changed(self, cells: np.ndarray) -> int:
+        return int(sum(c[k] for c, k in zip(self.changed, cells, strict=True)))
+
+    def most_changed(self, low: np.ndarray, high: np.ndarray) -> int:
+        return int(sum(c[a : b + 1].max() for c, a, b in zip(self.changed, low, high, strict=True)))
+
+
+def _with(low: np.ndarray, high: np.ndarray, j: int, a: int, b: int) -> tuple[np.ndarray, np.ndarray] | None:
+    if a > b:
+        return None
+    low, high = low.copy(), high.copy()
+    low[j], high[j] = a, b
+    return low, high
+
+
+@dataclass
+class _Solution:
+    cost: float
+    cells: np.ndarray
+    gap: float
+    status: str
+
+
+def _solve(boxes: _Boxes, most: float, costs: Costs) -> tuple[list[_Solution], str]:
+    """The cheapest cells whose leaves add up to at most `most`, and why there aren't more: `infeasible`, `time` or `budget`.
+
+    The open box with the least bound is looked at first; its cheapest cells, and a dive from it towards the best leaves, give
+    solutions, of which the cheapest closes the gap from above.
+    """
+    found: list[_Solution] = []
+    until = None if costs.seconds is None else time.monotonic() + costs.seconds
+
+    def fits(cells: np.ndarray) -> bool:
+        point = boxes.point(cells)
+        far = all((cells != s.cells).any() and float((np.abs(point - boxes.point(s.cells)) / boxes.scale).sum()) >= costs.apart for s in found)
+        return far and boxes.n_changed(cells) >= costs.least_changed
+
+    best: tuple[float, np.ndarray] | None = None
+    queue: list[tuple[float, int, np.ndarray, np.ndarray]] = []
+    made = visited = 0
+
+    def keep(cells: np.ndarray) -> None:
+        nonlocal best
+        cost = boxes.look(cells, cells, most)[0]
+        if fits(cells) and (best is None or cost < best[0]):
+            best = (cost, cells)
+
+    def looked(low: np.ndarray, high: np.ndarray) -> tuple | None:
+        """(bound, low, high, ...) of a box that can hold a solution; its cheapest cells are kept if they are one."""
+        bound, cells, margin, here, targets = boxes.look(low, high, most)
+        if math.isinf(bound) or boxes.most_changed(low, high) < costs.least_changed or any(boxes.room(low, high, boxes.point(s.cells)) < costs.apart for s in found):
+            return None
+        if margin <= most:
+            keep(cells)
+        return bound, low, high, cells, margin, here, targets
+
+    def add(box: tuple | None, least: float) -> None:
+        nonlocal made
+        if box:
+            made += 1
+            heapq.heappush(queue, (max(box[0], least), made, *box[1:3]))
+
+    add(looked(*boxes.whole()), 0.0)
+    ended = "infeasible"
+    while len(found) < costs.solutions:
+        if best is not None and (not queue or best[0] - queue[0][0] <= costs.gap * abs(best[0]) + 1e-12):
+            gap = max(0.0, (best[0] - queue[0][0]) / best[0]) if queue and best[0] else 0.0
+            found.append(_Solution(*best, gap, "optimal" if gap <= 1e-12 else "gap"))
+            best = None
             continue
-        if len(chosen) == len(free):
-            if sum(cells[f][c][2] for f, c in zip(free, chosen, strict=True)) >= costs.least_changed:
-                found.append((cost, {f: cells[f][c][1] for f, c in zip(free, chosen, strict=True)}))
+        if not queue:
+            break
+        late = until is not None and time.monotonic() > until
+        if late or costs.nodes is not None and visited >= costs.nodes:
+            ended = "time" if late else "budget"
+            if best is not None:
+                found.append(_Solution(*best, max(0.0, (best[0] - queue[0][0]) / best[0]) if best[0] else 0.0, ended))
+            break
+        least, _, low, high = heapq.heappop(queue)
+        visited += 1
+        box = looked(low, high)
+        if box is None:  # too near to a solution found since
             continue
-        for c, (more, _, _) in enumerate(cells[free[len(chosen)]]):
-            heapq.heappush(queue, (cost + more, -len(chosen) - 1, (*chosen, c)))
-    return found, True
+        *_, cells, margin, here, targets = box
+        parts = [looked(*part) for part in (boxes.around(low, high, cells) if margin <= most else boxes.split(low, high, cells, here, targets))]
+        for part in parts:
+            add(part, least)
+        dive = parts[-1] if margin > most and visited % DIVE == 1 else None
+        while dive and dive[4] > most:
+            dive = looked(*boxes.split(*dive[1:4], *dive[5:])[-1])
+    return found, ended
 
 
 def exact(rows: DataFrame, ensemble: Ensemble, space: Space, threshold: float, target: int = 0, scale: dict[str, float] | None = None, costs: Costs = Costs()) -> DataFrame:  # noqa: B008
-    """(row_id, cf_rank, counterfactual, cost, proven, status): the cheapest counterfactuals, by weighed shifts over scale plus changes.
+    """(row_id, cf_rank, counterfactual, cost, proven, gap, status): the cheapest counterfactuals, by weighed shifts over scale plus changes.
 
-    A row without one has cf_rank 0 and says why: `infeasible`, or `budget` where the node budget ran out first.
+    `optimal` is proven; `gap` is within the gap asked for; `time` and `budget` ran out, with the gap that was left. A row without a
+    solution has cf_rank 0 and says why: `infeasible`, `time` or `budget`.
     """
     scale = scale or dict(zip(space.features, space.ranges(), strict=True))
     sign = 1 if target == 0 else -1
-    edge = math.log(threshold / (1 - threshold)) * sign - costs.slack
+    edge = math.log(threshold / (1 - threshold)) * sign - costs.slack - sign * ensemble.base_margin
     cuts: dict[str, list[float]] = {}
     for n in ensemble.nodes:
         if n.feature is not None:
             cuts.setdefault(n.feature, []).append(n.threshold)
     cuts = {f: sorted(set(c)) for f, c in cuts.items()}
-    features, bounds = space.features, dict(zip(space.features, zip(space.least, space.most, strict=True), strict=True))
+    features, bounds, leaves = space.features, dict(zip(space.features, zip(space.least, space.most, strict=True), strict=True)), list(regions(ensemble))
     binary, mutable = space.binary, space.mutable
 
     def one(pdf: pd.DataFrame) -> Iterator[tuple]:
         for row in pdf.itertuples(index=False):
             x = {f: None if v is None or np.isnan(v) else float(v) for f, v in zip(features, np.array(row.vector, dtype=float), strict=True)}
             allowed = mutable if row.search is None else mutable & set(row.search)
-            free, cells = [], {}
+            cells = {}
             for f in features:
                 low, high = bounds[f]
                 if f in allowed and f in cuts and x[f] is not None and low is not None and low < high:
                     own = _cells(x[f], cuts[f], low, high, scale[f], costs)
-                    cells[f] = [c for c in own if f not in binary or c[1] in (0.0, 1.0)] or [(0.0, x[f], 0)]
-                    free.append(f)
-            found, proven = _solve(x, free, cells, ensemble, edge, sign, costs)
-            for k, (cost, values) in enumerate(found, 1):
-                yield row.row_id, k, [values.get(f, x[f]) for f in features], cost, proven, "optimal" if proven else "budget"
+                    cells[f] = [c for c in own if f not in binary or c[0] in (0.0, 1.0)] or [(x[f], 0.0, 0)]
+            free = list(cells)
+            boxes = _Boxes(x, free, cells, leaves, scale, sign)
+            found, ended = _solve(boxes, edge, costs)
+            for k, s in enumerate(found, 1):
+                values = dict(zip(free, boxes.point(s.cells).tolist(), strict=True))
+                yield row.row_id, k, [values.get(f, x[f]) for f in features], s.cost, s.status == "optimal", s.gap, s.status
             if not found:
-                yield row.row_id, 0, None, None, proven, "infeasible" if proven else "budget"
+                yield row.row_id, 0, None, None, ended == "infeasible", None, ended
 
-    schema = "row_id long, cf_rank int, counterfactual array<double>, cost double, proven boolean, status string"
+    schema = "row_id long, cf_rank int, counterfactual array<double>, cost double, proven boolean, gap double, status string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame(list(one(batch)), columns=["row_id", "cf_rank", "counterfactual", "cost", "proven", "status"])
+            yield pd.DataFrame(list(one(batch)), columns=["row_id", "cf_rank", "counterfactual", "cost", "proven", "gap", "status"])
 
     spread = rows.select("row_id", "vector", "search").repartition(F.col("row_id"))  # rows differ in effort, not in size
     return spread.mapInPandas(run, schema)

@@ -286,7 +286,7 @@ def check(x, row_id, cf, target=0, flipped=True):
 def test_exact_is_never_farther_than_the_others(spark, explained):
     x, df, keep = explained
     beam = {r.row_id: r for r in search.beam(df, TOY, SPACE, CUT, steps=3, width=30).collect()}
-    exact = {r.row_id: r for r in search.exact(df, TOY, SPACE, CUT, costs=search.Costs(sparsity=0.0)).collect()}
+    exact = {r.row_id: r for r in search.exact(df, TOY, SPACE, CUT, costs=search.Costs(sparsity=0.0, gap=0.0)).collect()}
     genes = search.genetic(df, TOY, SPACE, CUT, genes=search.Genes(generations=2, population=24)).collect()
     assert set(beam) == set(exact) == {int(k) for k in keep}
     assert all(r.proven for r in exact.values())
@@ -319,7 +319,7 @@ def test_exact_against_a_grid(spark, explained):
     """Every cell of the two free features of a row, tried one by one."""
     x, df, _ = explained
     trees = ensemble.arrays(TOY, FEATURES)
-    for r in search.exact(df.where("row_id % 3 = 0"), TOY, SPACE, CUT, costs=search.Costs(sparsity=0.0)).collect():
+    for r in search.exact(df.where("row_id % 3 = 0"), TOY, SPACE, CUT, costs=search.Costs(sparsity=0.0, gap=0.0)).collect():
         before, best = x[r.row_id], math.inf
         grid = lambda v: [v] if math.isnan(v) else sorted({v, *(t for t in EDGES), *(float(np.nextafter(t, -1)) for t in EDGES)})
         for a in grid(before[0]):
