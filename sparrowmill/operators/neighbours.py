@@ -1,7 +1,10 @@
-"""Nearest neighbours of a stated query set among all rows of a table, and what follows from them.
+"""Exact nearest neighbours of every row of a table among all rows of another, and what follows from them.
 
-Queries are a stated set: they are sent to the tasks in blocks of bounded size, each task keeps the k best of its rows for each query,
-and only those are shuffled. Rows of the table are never paired with each other, and no task sees all of them.
+The join goes by pivots. PIVOTS rows are drawn by hash; rows lie in the cell of their nearest pivot. From each cell's least distances to its
+pivot follows, by the triangle inequality, how far the k-th neighbour of any query of a cell can be at most; a row is sent only to cells that it
+can matter in. A cell's queries are cut in blocks; a task holds one block and lets its rows pass by, so no task holds all of a cell. Equal
+vectors count as one: of rows with equal vectors only the first k + 1 by id can be among the neighbours, and equal queries are asked once.
+Only numbers by pivot reach the driver.
 
 Defined results: ties in distance go to the smaller id; queries and rows without a vector, or with a missing coordinate, are left out of
 `nearest`; with fewer than k rows there are fewer neighbours.
@@ -9,64 +12,155 @@ Defined results: ties in distance go to the smaller id; queries and rows without
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import discard, written
 from . import quantiles
 
-BLOCK_ROWS = 4096
+#: Pivots at most, and queries that a task holds at once.
+PIVOTS, BLOCK_ROWS = 512, 2048
 
 
-def _blocks(queries: DataFrame, columns: list[str], size: int) -> Iterator[pd.DataFrame]:
-    rows: list = []
-    for row in queries.select(*columns).toLocalIterator():
-        rows.append(tuple(row))
-        if len(rows) == size:
-            yield pd.DataFrame(rows, columns=columns)
-            rows = []
-    if rows:
-        yield pd.DataFrame(rows, columns=columns)
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """A column of lists as rows of doubles; null is NaN."""
+    return column.flatten().cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False).reshape(len(column), width)
 
 
-def nearest(table: DataFrame, queries: DataFrame, k: int, exclude_self: bool = False, block: int = BLOCK_ROWS, id_col: str = "id", vector: str = "vector") -> DataFrame:
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel(), from_pandas=True))
+
+
+def _apart(x: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Euclidean distances (rows of x, points), summed in the order of coordinates."""
+    return np.stack([np.sqrt(((x - p) ** 2).sum(1)) for p in points], 1) if len(points) else np.zeros((len(x), 0))
+
+
+def streamed(asked: DataFrame, rows: DataFrame, width: int, schema: str, start: Callable, take: Callable, finish: Callable) -> DataFrame:
+    """For each `group` of `asked` (group, id, vector), its rows of the table `rows` passed by in batches.
+
+    `start(ids, vectors)` makes a state, `take(state, ids, vectors)` adds a batch of rows to it, `finish(state)` gives a record batch.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, state, held = None, None, []
+        for batch in batches:
+            groups, kinds, ids = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            x = _matrix(batch.column(3), width)
+            edges = np.flatnonzero((groups[1:] != groups[:-1]) | (kinds[1:] != kinds[:-1])) + 1
+            for a, b in zip([0, *edges], [*edges, len(groups)], strict=True):
+                if a == b:
+                    continue
+                if groups[a] != group:
+                    if state is not None:
+                        yield finish(state)
+                    group, state, held = groups[a], None, []
+                if kinds[a] == 0:
+                    held.append((ids[a:b], x[a:b]))
+                    continue
+                if state is None and held:
+                    state = start(np.concatenate([i for i, _ in held]), np.concatenate([v for _, v in held]))
+                if state is not None:
+                    take(state, ids[a:b], x[a:b])
+        if state is not None:
+            yield finish(state)
+
+    both = asked.select("group", F.lit(0).alias("kind"), "id", "vector").unionByName(rows.select("group", F.lit(1).alias("kind"), "id", "vector"))
+    return both.repartition("group").sortWithinPartitions("group", "kind").mapInArrow(run, schema)
+
+
+def _mapped(df: DataFrame, pivots: np.ndarray, schema: str, run: Callable[[np.ndarray, np.ndarray, np.ndarray], Iterator[tuple]]) -> DataFrame:
+    """`run(ids, vectors, distances to pivots)` for each batch of (id, vector)."""
+    shared = df.sparkSession.sparkContext.broadcast(pivots)
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(at, 2048) for at in range(0, len(batch), 2048)):
+                x = _matrix(part.column(1), shared.value.shape[1])
+                yield from run(part.column(0).to_numpy(), x, _apart(x, shared.value))
+
+    return df.mapInArrow(mapped, schema)
+
+
+def nearest(table: DataFrame, queries: DataFrame, k: int, exclude_self: bool = False, block: int = BLOCK_ROWS, id_col: str = "id", vector: str = "vector", pivots: int = PIVOTS) -> DataFrame:
     """(query, id, distance, place): the k nearest rows by Euclidean distance of each query; both tables are (id, vector)."""
     whole = F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull())
-    rows = table.where(whole).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
-    asked = queries.where(whole).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
-    spark = table.sparkSession
-    schema = "query long, id long, distance double"
-    found = None
-    for part in _blocks(asked, ["id", "vector"], block):
-        ids, points = part["id"].to_numpy(np.int64), np.array(part["vector"].tolist(), float)
-        shared = spark.sparkContext.broadcast((ids, points))
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            query_ids, q = shared.value
-            best_d, best_i = np.full((len(q), 0), 0.0), np.zeros((len(q), 0), np.int64)
-            for batch in batches:
-                for at in range(0, len(batch), 1024):
-                    own = batch.iloc[at : at + 1024]
-                    x, i = np.array(own["vector"].tolist(), float), own["id"].to_numpy(np.int64)
-                    d = np.array([np.sqrt(((x - one) ** 2).sum(1)) for one in q])
-                    i = np.broadcast_to(i, d.shape)
-                    if exclude_self:
-                        d = np.where(i == query_ids[:, None], np.inf, d)
-                    d, i = np.hstack([best_d, d]), np.hstack([best_i, i])
-                    order = np.lexsort((i, d), axis=1)[:, :k]
-                    best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
-            here = np.isfinite(best_d)
-            yield pd.DataFrame({"query": np.broadcast_to(query_ids[:, None], best_d.shape)[here], "id": best_i[here], "distance": best_d[here]})
-
-        one = rows.mapInPandas(run, schema)
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        found = spark.createDataFrame([], schema)
-    place = F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))
-    return found.withColumn("place", place).where(F.col("place") <= k)
+    plain = lambda df: df.where(whole).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
+    first = F.row_number().over(Window.partitionBy("vector").orderBy("id"))
+    rows = written(plain(table).withColumn("first", first).where(F.col("first") <= k + 1).drop("first"), "rows")
+    asked = plain(queries)
+    alike = written(asked.groupBy("vector").agg(F.min("id").alias("rep")), "asked")
+    once = alike.select(F.col("rep").alias("id"), "vector")
+    n = rows.count()
+    drawn = rows.select("vector").distinct().select("vector", F.xxhash64("vector").alias("place")).orderBy("place", "vector").limit(min(pivots, int(n**0.5) + 1)).collect()  # at most `pivots`
+    if not drawn:
+        discard(rows, alike)
+        return table.sparkSession.createDataFrame([], "query long, id long, distance double, place int")
+    points = np.array([r["vector"] for r in drawn], float)
+    width, far = points.shape[1], _apart(points, points)
+
+    def least(ids: np.ndarray, x: np.ndarray, d: np.ndarray) -> Iterator[pa.RecordBatch]:
+        cell, near = d.argmin(1), d.min(1)
+        order = np.lexsort((near, cell))
+        place = np.arange(len(order)) - np.searchsorted(cell[order], cell[order])
+        own = order[place <= k]
+        yield pa.RecordBatch.from_arrays([pa.array(cell[own].astype(np.int32)), pa.array(near[own])], ["cell", "distance"])
+
+    # how far the (k + 1)-th neighbour of any query of a cell can be at most
+    place = F.row_number().over(Window.partitionBy("cell").orderBy("distance"))
+    held = _mapped(rows, points, "cell int, distance double", least).withColumn("place", place).where(F.col("place") <= k + 1).toArrow()  # at most k + 1 a pivot
+    cells, distances = held["cell"].to_numpy(), held["distance"].to_numpy()
+
+    def celled(ids: np.ndarray, x: np.ndarray, d: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array(ids), _lists(x), pa.array(d.argmin(1).astype(np.int32)), pa.array(d.min(1))], ["id", "vector", "cell", "distance"])
+
+    placed = written(_mapped(once, points, "id long, vector array<double>, cell int, distance double", celled), "placed")
+    sizes = {r["cell"]: (r["n"], r["most"]) for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("distance").alias("most")).collect()}  # a row a pivot
+    blocks, base, reach = np.zeros(len(points), np.int64), np.zeros(len(points), np.int64), np.full(len(points), -1.0)
+    for c, (size, most) in sizes.items():
+        bounds = most + far[c, cells] + distances
+        limit = float(np.partition(bounds, k)[k]) if len(bounds) > k else np.inf
+        reach[c], blocks[c] = (most + limit) * (1 + 1e-9) + 1e-12, -(-size // block)
+    base[1:] = np.cumsum(blocks)[:-1]
+
+    def sent(ids: np.ndarray, x: np.ndarray, d: np.ndarray) -> Iterator[pa.RecordBatch]:
+        at, cell = np.nonzero(d <= reach)
+        times = blocks[cell]
+        group = np.repeat(base[cell], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        at = np.repeat(at, times)
+        for a in range(0, len(at), 4096):
+            own = at[a : a + 4096]
+            yield pa.RecordBatch.from_arrays([pa.array(group[a : a + 4096]), pa.array(ids[own]), _lists(x[own])], ["group", "id", "vector"])
+
+    per = lambda values: F.array(*[F.lit(int(v)) for v in values])[F.col("cell")]
+    grouped = placed.select((per(base) + F.pmod(F.xxhash64("id"), F.greatest(per(blocks), F.lit(1)))).cast("long").alias("group"), "id", "vector")
+    passed = _mapped(rows, points, "group long, id long, vector array<double>", sent)
+
+    def start(ids: np.ndarray, x: np.ndarray) -> dict:
+        return {"ids": ids, "x": x, "d": np.zeros((len(ids), 0)), "i": np.zeros((len(ids), 0), np.int64)}
+
+    def take(state: dict, ids: np.ndarray, x: np.ndarray) -> None:
+        d, i = np.hstack([state["d"], _apart(x, state["x"]).T]), np.hstack([state["i"], np.broadcast_to(ids, (len(state["ids"]), len(ids)))])
+        order = np.lexsort((i, d), axis=1)[:, : k + 1]
+        state["d"], state["i"] = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
+
+    def finish(state: dict) -> pa.RecordBatch:
+        times = state["d"].shape[1]
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(state["ids"], times)), pa.array(state["i"].ravel()), pa.array(state["d"].ravel())], ["rep", "id", "distance"])
+
+    found = written(streamed(grouped, passed, width, "rep long, id long, distance double", start, take, finish), "nearest")
+    discard(placed)
+    pairs = asked.join(alike, "vector").select(F.col("id").alias("query"), "rep").join(found, "rep")
+    pairs = pairs.where(F.col("query") != F.col("id")) if exclude_self else pairs
+    order = F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))
+    out = written(pairs.select("query", "id", "distance", order.alias("place")).where(F.col("place") <= k), "neighbours")
+    discard(rows, alike, found)
+    return out
 
 
 def plausibility(reference: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
@@ -79,20 +173,24 @@ def lof(reference: DataFrame, queries: DataFrame, k: int = 35, exclude_self: boo
 
     With `exclude_self` queries are rows of the reference, and aren't neighbours of themselves.
 
-    Only the neighbours of queries, and their neighbours, are searched: three searches of stated sets instead of one of all pairs.
-    With fewer than three rows of reference there is no score.
+    Neighbours are those of an exact join by pivots. Where queries are rows of the reference one join serves for all; else the neighbours
+    of queries, and their neighbours, are searched as well. With fewer than three rows of reference there is no score.
     """
     n = reference.where(F.col("vector").isNotNull()).count()
     if n < 3:
         return queries.select(F.col("id").cast("long").alias("query"), F.lit(None).cast("double").alias("lof_score"))
     k = min(k, max(2, n - 1))
-    of = lambda ids: reference.join(ids.select("id").distinct(), "id")
-    first = nearest(reference, queries, k, exclude_self).cache()
-    second = nearest(reference, of(first), k, exclude_self=True).cache()
-    third = nearest(reference, of(second.select("id").union(first.select("id"))), k, exclude_self=True)
-    reach = third.groupBy(F.col("query").alias("id")).agg(F.max("distance").alias("k_distance")).cache()
+    if exclude_self:
+        every = nearest(reference, reference, k, exclude_self=True)
+        first = every.join(queries.select(F.col("id").cast("long").alias("query")).distinct(), "query", "left_semi")
+    else:
+        of = lambda ids: reference.join(ids.select("id").distinct(), "id", "left_semi")
+        first = nearest(reference, queries, k)
+        near = nearest(reference, of(first), k, exclude_self=True)
+        every = nearest(reference, of(near.select("id").union(first.select("id"))), k, exclude_self=True)
+    reach = written(every.groupBy(F.col("query").alias("id")).agg(F.max("distance").alias("k_distance")), "reach")
     density = lambda pairs: pairs.join(reach, "id").groupBy("query").agg((1 / (F.avg(F.greatest("distance", "k_distance")) + F.lit(1e-10))).alias("density"))
-    of_first = density(second).select(F.col("query").alias("id"), F.col("density").alias("theirs"))
+    of_first = density(every if exclude_self else near).select(F.col("query").alias("id"), F.col("density").alias("theirs"))
     out = first.select("query", "id").join(of_first, "id").groupBy("query").agg(F.avg("theirs").alias("theirs")).join(density(first), "query")
     return out.select("query", (-F.col("theirs") / F.col("density")).alias("lof_score"))
 
@@ -136,12 +234,13 @@ def mahalanobis(reference: DataFrame, queries: DataFrame, ridge: float = 1e-6) -
     return queries.select(F.col("id").alias("query"), F.sqrt(F.greatest(form, F.lit(0.0))).alias("distance"))
 
 
-def knn_imputed(train: DataFrame, queries: DataFrame, features: int, k: int = 5) -> DataFrame:
+def knn_imputed(train: DataFrame, queries: DataFrame, features: int, k: int = 5, block: int = BLOCK_ROWS) -> DataFrame:
     """(id, vector): missing coordinates filled with the mean of the k nearest training rows that have them.
 
     Coordinates are standardised by the mean and the population deviation of the median-filled training rows. Distance is over the
     coordinates that both have, scaled up to all; rows that share none can't be donors. Without any donor the median fills, and 0
-    where no row has the coordinate. Queries are a stated set and go out in blocks; every task keeps k donors a coordinate.
+    where no row has the coordinate. Queries with equal vectors are asked once. Queries lie in groups by the mask of what they miss, a mask with
+    very many of them in several; a task holds one group, lets all donors pass by, and keeps the k best for each query and coordinate.
     """
     stats_of = train.select(F.posexplode("vector").alias("j", "x"))
     median = {r["j"]: r["m"][0] if r["m"] else None for r in quantiles.exact(stats_of, "j", "x", [0.5], "m").collect()}  # one row a coordinate
@@ -152,38 +251,42 @@ def knn_imputed(train: DataFrame, queries: DataFrame, features: int, k: int = 5)
     spread = np.array([stats.get(j, (0.0, 1.0))[1] or 1.0 for j in range(features)])
     rows = train.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
     asked = queries.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
-    spark = train.sparkSession
-    found = None
-    for part in _blocks(asked.where(F.exists("vector", lambda x: x.isNull())), ["id", "vector"], BLOCK_ROWS):
-        shared = spark.sparkContext.broadcast((part["id"].to_numpy(np.int64), (np.array([np.array(v, dtype=float) for v in part["vector"]]) - mean) / spread))
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, q = shared.value
-            best: dict[tuple[int, int], list[tuple[float, int, float]]] = {}
-            for batch in batches:
-                raw = np.array([np.array(v, dtype=float) for v in batch["vector"]]).reshape(len(batch), -1)
-                x, donors = (raw - mean) / spread, batch["id"].to_numpy(np.int64)
-                for k_, one in enumerate(q):
-                    gap = x - one
-                    both = ~np.isnan(gap)
-                    shared_n = both.sum(1)
-                    d = np.sqrt(np.where(both, gap, 0.0) ** 2 @ np.ones(features) * features / np.maximum(shared_n, 1))
-                    d[shared_n == 0] = np.inf
-                    for j in np.flatnonzero(np.isnan(one)):
-                        can = np.flatnonzero(~np.isnan(raw[:, j]) & np.isfinite(d))
-                        near = can[np.lexsort((donors[can], d[can]))[:k]]
-                        own = best.get((k_, int(j)), []) + [(float(d[r]), int(donors[r]), float(raw[r, j])) for r in near]
-                        best[k_, int(j)] = sorted(own)[:k]
-            out = [(int(ids[k_]), j, *one) for (k_, j), own in best.items() for one in own]
-            yield pd.DataFrame(out, columns=["id", "j", "distance", "donor", "value"])
-
-        one = rows.mapInPandas(run, "id long, j int, distance double, donor long, value double")
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        return asked
-    place = F.row_number().over(Window.partitionBy("id", "j").orderBy("distance", "donor"))
-    donors = found.withColumn("place", place).where(F.col("place") <= k).groupBy("id", "j").agg(F.avg("value").alias("value"))
-    by_place = donors.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("j", "value"))).alias("_new"))
+    asked = written(asked, "asked")
+    lacking = asked.where(F.exists("vector", lambda x: x.isNull()))
+    once = written(lacking.groupBy("vector").agg(F.min("id").alias("id")).withColumn("mask", F.xxhash64(F.transform("vector", lambda x: x.isNull()))), "masked")
+    sizes = once.groupBy("mask").agg(F.count("*").alias("size"))
+    n_groups = once.count() // block + 1
+    salt = lambda size: F.pmod(F.xxhash64("vector"), F.floor(size / block) + 1)
+    # small masks share a group, those that fill some have their own
+    group = F.when(F.col("size") >= block, F.xxhash64("mask", salt(F.col("size")))).otherwise(F.pmod("mask", F.lit(n_groups)))
+    grouped = written(once.join(sizes, "mask").select(group.alias("group"), "id", "vector"), "grouped")
+    listed = grouped.agg(F.collect_set("group").alias("groups"))  # a number for each `block` queries
+    passed = rows.select("id", "vector", F.explode(listed.select("groups").scalar()).alias("group"))
+
+    def start(ids: np.ndarray, raw: np.ndarray) -> dict:
+        return {"ids": ids, "q": (raw - mean) / spread, "best": {}}
+
+    def take(state: dict, donors: np.ndarray, raw: np.ndarray) -> None:
+        x, best = (raw - mean) / spread, state["best"]
+        for at, one in enumerate(state["q"]):
+            gap = x - one
+            both = ~np.isnan(gap)
+            shared = both.sum(1)
+            d = np.sqrt(np.where(both, gap, 0.0) ** 2 @ np.ones(features) * features / np.maximum(shared, 1))
+            d[shared == 0] = np.inf
+            for j in np.flatnonzero(np.isnan(one)):
+                can = np.flatnonzero(~np.isnan(raw[:, j]) & np.isfinite(d))
+                near = can[np.lexsort((donors[can], d[can]))[:k]]
+                own = best.get((at, int(j)), []) + [(float(d[r]), int(donors[r]), float(raw[r, j])) for r in near]
+                best[at, int(j)] = sorted(own)[:k]
+
+    def finish(state: dict) -> pa.RecordBatch:
+        out = [(int(state["ids"][at]), j, sum(v for _, _, v in own) / len(own)) for (at, j), own in state["best"].items() if own]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ([], [], []), (pa.int64(), pa.int32(), pa.float64()), strict=True)], ["rep", "j", "value"])
+
+    found = streamed(grouped, passed, features, "rep long, j int, value double", start, take, finish)
+    by_place = written(found.groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct("j", "value"))).alias("_new")), "donated")
+    of_vector = once.select(F.col("id").alias("rep"), "vector").join(by_place, "rep").select("vector", "_new")
     medians = F.array(*[F.lit(float(m)) for m in fill])
     new = F.transform("vector", lambda x, j: F.coalesce(x, F.col("_new")[j], medians[j]))
-    return asked.join(by_place, "id", "left").select("id", new.alias("vector"))
+    return lacking.join(of_vector, "vector", "left").unionByName(asked.where(~F.exists("vector", lambda x: x.isNull())).withColumn("_new", F.lit(None).cast("map<int,double>"))).select("id", new.alias("vector"))

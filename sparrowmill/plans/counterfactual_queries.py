@@ -291,11 +291,11 @@ d AS (SELECT a.id AS q, b.id AS i, list_distance(a.v, b.v) AS d FROM e a JOIN e
 near AS (SELECT q, i, d FROM d QUALIFY row_number() OVER (PARTITION BY q ORDER BY d, i) <= 35),
 far AS (SELECT q, max(d) AS far FROM near GROUP BY q),
 density AS (SELECT n.q, 1 / (avg(greatest(n.d, f.far)) + 1e-10::DOUBLE) AS density FROM near n JOIN far f ON n.i = f.q GROUP BY n.q)
-SELECT n.q AS query, round(-avg(t.density) / any_value(o.density), 6) AS lof_score FROM near n JOIN density t ON n.i = t.q JOIN density o ON n.q = o.q WHERE n.q % 50 = 0 GROUP BY n.q""")
+SELECT n.q AS query, round(-avg(t.density) / any_value(o.density), 6) AS lof_score FROM near n JOIN density t ON n.i = t.q JOIN density o ON n.q = o.q GROUP BY n.q""")
 def lof_score(spark, sf_dir):
-    """Local outlier factor of every fiftieth embedding among all of them."""
+    """Local outlier factor of every embedding among all of them."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
-    return neighbours.lof(rows, rows.where("id % 50 = 0"), exclude_self=True).select("query", F.round("lof_score", 6).alias("lof_score"))
+    return neighbours.lof(rows, rows, exclude_self=True).select("query", F.round("lof_score", 6).alias("lof_score"))
 
 
 _N = len(FEATURES)
@@ -321,7 +321,7 @@ def mahalanobis(spark, sf_dir):
 medians AS (SELECT j, coalesce(quantile_cont(value, 0.5), 0) AS m FROM x GROUP BY j),
 spreads AS (SELECT x.j, any_value(m) AS m, avg(coalesce(value, m)) AS mean, CASE WHEN stddev_pop(coalesce(value, m)) = 0 THEN 1 ELSE stddev_pop(coalesce(value, m)) END AS s FROM x JOIN medians d ON x.j = d.j GROUP BY x.j),
 z AS (SELECT id, x.j, value, (value - mean) / s AS z FROM x JOIN spreads p ON x.j = p.j),
-asked AS (SELECT DISTINCT id FROM x WHERE value IS NULL AND id % 50 = 0),
+asked AS (SELECT DISTINCT id FROM x WHERE value IS NULL),
 apart AS (SELECT a.id, b.id AS donor, sqrt(sum((b.z - a.z) * (b.z - a.z)) * {_N} / count(*)) AS d FROM z a JOIN z b ON a.j = b.j WHERE a.id IN (SELECT id FROM asked) AND a.z IS NOT NULL AND b.z IS NOT NULL GROUP BY a.id, b.id),
 given AS (
   SELECT x.id, x.j, y.value FROM x JOIN apart p ON x.id = p.id JOIN x y ON y.id = p.donor AND y.j = x.j AND y.value IS NOT NULL WHERE x.value IS NULL
@@ -329,9 +329,9 @@ given AS (
 new AS (SELECT id, j, avg(value) AS value FROM given GROUP BY id, j)
 SELECT x.id, names.feature, round(coalesce(x.value, new.value, medians.m), 6) AS value FROM x JOIN names ON x.j = names.j JOIN medians ON x.j = medians.j LEFT JOIN new ON x.id = new.id AND x.j = new.j WHERE x.id IN (SELECT id FROM asked)""")
 def knn_impute(spark, sf_dir):
-    """Missing measurements of every fiftieth user filled from the five nearest of all users."""
+    """Missing measurements of every user who lacks some, filled from the five nearest of all users."""
     v = _vectors(spark, sf_dir)
-    found = neighbours.knn_imputed(v, v.where("id % 50 = 0"), len(FEATURES))
+    found = neighbours.knn_imputed(v, v.where(F.exists("vector", lambda x: x.isNull())), len(FEATURES))
     names = F.array(*[F.lit(f) for f in FEATURES])
     return found.select("id", F.inline(F.arrays_zip(names.alias("feature"), F.transform("vector", lambda x: F.round(x, 6)).alias("value"))))
 

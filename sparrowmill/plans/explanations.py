@@ -145,7 +145,7 @@ def searched(made: Artefacts, rows: DataFrame, space: search.Space, config: Expl
         rank, reason = F.col("cf_rank"), F.lit("EmptyCounterfactuals")
     else:
         found = search.exact(rows, made.ensemble, space, made.threshold, config.target, costs=search.Costs(**options))
-        rank, reason = F.col("cf_rank"), F.when(F.col("status") == "budget", "SearchBudget").otherwise("Infeasible")
+        rank, reason = F.col("cf_rank"), F.when(F.col("status").isin("budget", "time"), "SearchBudget").otherwise("Infeasible")
     return found.select("row_id", rank.alias("cf_rank"), "counterfactual", F.when(rank == 0, reason).alias("error_type"))
 
 

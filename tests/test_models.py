@@ -230,13 +230,44 @@ def test_neighbours_against_brute_force(spark):
     assert neighbours.lof(ref.where("id < 2"), asked).first().lof_score is None
 
 
-def test_knn_imputation_against_brute_force(spark):
+@pytest.mark.parametrize(("pivots", "block"), [(1, 7), (6, 3), (40, 2048)])
+def test_joins_by_pivots_against_brute_force(spark, pivots, block):
+    """All rows as queries, a third of them equal, ties, and rows that lack a coordinate."""
+    draw = np.random.default_rng(pivots)
+    x = np.round(np.vstack([draw.normal(size=(60, 2)), draw.normal(size=(30, 2)) * 0.1 + 4, np.tile([0.5, -0.5], (40, 1)), draw.integers(0, 3, (30, 2))]), 2)
+    x[7, 1] = np.nan
+    df = frame(spark, x).select(F.col("row_id").alias("id"), "vector").repartition(6)
+    d = np.sqrt(((x[None] - x[:, None]) ** 2).sum(2))
+    for exclude in (True, False):
+        got = sorted((r.query, r.place, r.id) for r in neighbours.nearest(df, df, 5, exclude_self=exclude, block=block, pivots=pivots).collect())
+        want = [(a, k + 1, b) for a in range(len(x)) if a != 7 for k, b in enumerate(sorted((b for b in range(len(x)) if b != 7 and not (exclude and a == b)), key=lambda b: (d[a, b], b))[:5])]
+        assert got == want
+
+
+def test_pivots_spare_rows(spark):
+    """Of clusters far apart, rows are sent to the cells of their own cluster only."""
+    x = np.vstack([np.random.default_rng(k).normal(size=(50, 2)) + 1000 * k for k in range(8)])
+    df = frame(spark, x).select(F.col("row_id").alias("id"), "vector")
+    sent, plain = [], neighbours.streamed
+    try:
+        neighbours.streamed = lambda asked, rows, *a: sent.append((asked.select("group").distinct().count(), rows.count())) or plain(asked, rows, *a)
+        assert neighbours.nearest(df, df, 3, exclude_self=True, pivots=64).count() == 1200
+    finally:
+        neighbours.streamed = plain
+    (groups, rows), = sent
+    assert groups > 8 and rows < 400 * groups / 4
+
+
+@pytest.mark.parametrize("block", [2, 9, 2048])
+def test_knn_imputation_against_brute_force(spark, block):
     draw = np.random.default_rng(6)
     x = draw.normal(size=(60, 4)) * [1, 10, 5, 1]
     x[draw.random(x.shape) < 0.25] = np.nan
     x[:, 3] = np.nan
+    x[40:] = x[:20]  # equal queries are asked once
     df = frame(spark, x).select(F.col("row_id").alias("id"), "vector")
-    got = {r.id: r.vector for r in neighbours.knn_imputed(df, df, 4, 3).collect()}
+    got = {r.id: r.vector for r in neighbours.knn_imputed(df, df, 4, 3, block=block).collect()}
+    assert len(got) == 60
     fill = np.array([np.nanmedian(c) if not np.isnan(c).all() else 0.0 for c in x.T])
     whole = np.where(np.isnan(x), fill, x)
     z = (x - whole.mean(0)) / np.where(whole.std(0) == 0, 1, whole.std(0))
