@@ -81,18 +81,24 @@ def read_back(rendered: DataFrame) -> DataFrame:
 
 
 def as_events(conversations: DataFrame) -> DataFrame:
-    """A log for a table (conv_id, turn, role, text): each row starts a message and streams its text in two deltas."""
+    """A log for a table (conv_id, turn, role, text): each row starts a message and streams its text in two deltas.
+
+    Of three messages of a conversation one is streamed as it is, one is a draft (its text backwards) that is dropped and generated again,
+    and one gets its text by an edit of its first half.
+    """
     text = F.coalesce("text", F.lit(""))
     order = Window.partitionBy("conv_id").orderBy("turn", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
     rows = conversations.select("conv_id", F.row_number().over(order).alias("message"), "role", text.alias("text"))
     half = F.floor(F.length("text") / 2).cast("int")
     event = lambda seq, kind, role, text: F.struct(F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
     none = F.lit(None).cast("string")
-    log = F.array(
-        event(0, "start", F.col("role"), F.lit("")),
-        event(1, "delta", none, F.substring(F.col("text"), F.lit(1), half)),
-        event(2, "delta", none, F.substring(F.col("text"), half + 1, F.length("text"))),
-    )
+    first, rest = F.substring(F.col("text"), F.lit(1), half), F.substring(F.col("text"), half + 1, F.length("text"))
+    opened = event(0, "start", F.col("role"), F.lit(""))
+    streamed = F.array(opened, event(1, "delta", none, first), event(2, "delta", none, rest))
+    again = F.array(opened, event(1, "delta", none, F.reverse("text")), event(2, "regenerate", none, none), event(3, "delta", none, first), event(4, "delta", none, rest))
+    edited = F.array(opened, event(1, "delta", none, first), event(2, "edit", none, F.col("text")))
+    kind = F.col("message") % 3
+    log = F.when(kind == 1, streamed).when(kind == 2, again).otherwise(edited)
     return rows.select("conv_id", "message", F.inline(log))
 
 

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .tables import BROADCAST_DIGESTS, documents, keyed_join, small_batches, written
+from .tables import BROADCAST_DIGESTS, discard, documents, keyed_join, small_batches, written
 
 EDITS = 0.2
 SPAN = 64
@@ -46,7 +46,9 @@ WALKS = 4
 TABLES = 16
 BITS = 3
 #: Slots of a filter (two bytes each): at least SLOTS_A_KEY for each key, within these bounds.
-SLOTS_A_KEY, LEAST_SLOTS, MOST_SLOTS = 8, 1 << 14, 1 << 25
+SLOTS_A_KEY, LEAST_SLOTS, MOST_SLOTS = 8, 1 << 14, 1 << 24
+#: Slots that are put together in one row of bytes.
+BLOCK_SLOTS = 1 << 12
 _SEED = 0x5DEECE66D
 
 # Ranges of code points of scripts without spaces between words (Thai, Lao, Myanmar, Khmer, Tai, Balinese, Javanese, Han, kana, Bopomofo, Yi).
@@ -193,10 +195,9 @@ def _pairs(words: np.ndarray) -> np.ndarray:
 class Filter:
     """In which classes hashes occur, by their highest bits; others may seem to."""
 
-    def __init__(self, slots: int, at: np.ndarray, classes: np.ndarray) -> None:
-        self.shift = np.uint64(64 - slots.bit_length() + 1)
-        self.classes = np.zeros(slots, np.uint16)
-        self.classes[at] = classes
+    def __init__(self, classes: np.ndarray) -> None:
+        self.shift = np.uint64(64 - len(classes).bit_length() + 1)
+        self.classes = classes
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
         """A bit for each class, 0 for hashes that don't occur."""
@@ -204,13 +205,24 @@ class Filter:
 
 
 def filter_of(hashes: DataFrame) -> Filter:
-    """Filter of columns `hash` and `class`, put together by Spark; what reaches the driver has the filter's size."""
+    """Filter of columns `hash` and `class`, put together by Spark in blocks of bytes; the driver gets two bytes a slot."""
     n, slots = hashes.count(), LEAST_SLOTS
     while slots < min(SLOTS_A_KEY * n, MOST_SLOTS):
         slots *= 2
     one = F.call_function("shiftleft", F.lit(1), F.col("class").cast("int"))
-    filled = hashes.groupBy(F.shiftrightunsigned("hash", 64 - slots.bit_length() + 1).alias("at")).agg(F.bit_or(one).alias("classes")).toArrow()
-    return Filter(slots, filled["at"].to_numpy(), filled["classes"].to_numpy())
+    filled = hashes.groupBy(F.shiftrightunsigned("hash", 64 - slots.bit_length() + 1).alias("at")).agg(F.bit_or(one).alias("classes"))
+
+    def block(table: pa.Table) -> pa.Table:  # at most BLOCK_SLOTS rows
+        own = np.zeros(BLOCK_SLOTS, np.uint16)
+        at = table["at"].to_numpy()
+        own[at % BLOCK_SLOTS] = table["classes"].to_numpy()
+        return pa.table({"block": [int(at[0]) // BLOCK_SLOTS], "classes": pa.array([own.tobytes()], pa.binary())})
+
+    blocks = filled.withColumn("block", F.floor(F.col("at") / BLOCK_SLOTS)).groupBy("block").applyInArrow(block, "block long, classes binary").toArrow()
+    own = np.zeros((slots // BLOCK_SLOTS, BLOCK_SLOTS), np.uint16)
+    for k, part in zip(blocks["block"].to_pylist(), blocks["classes"].to_pylist(), strict=True):
+        own[k] = np.frombuffer(part, np.uint16)
+    return Filter(own.ravel())
 
 
 def item_words(items: DataFrame, item_id: str, item_text: str) -> DataFrame:
@@ -428,9 +440,10 @@ def contaminated(
     start = F.floor((F.col("at") - F.col("offset")) / step) * step
     wanted = written(met.select("text", F.struct("item", "n", start.alias("start")).alias("one")).groupBy("text").agg(F.collect_set("one").alias("wanted")), "windows")
     texts = keyed_join(df.select(_key(F.col(text_col)).alias("text"), F.col(text_col).alias("own")), wanted.select("text"), "text", "left_semi", BROADCAST_DIGESTS)
-    tried = written(regions(texts.groupBy("text").agg(F.first("own").alias("own")).join(wanted, "text"), edits), "regions").join(known, "item")
-    hits = verified(tried, edits).join(named.select("item", "item_id"), "item").groupBy(F.col("text").alias(f"{out} key")).agg(F.array_sort(F.collect_set("item_id")).alias(out))
+    parts = written(regions(texts.groupBy("text").agg(F.first("own").alias("own")).join(wanted, "text"), edits), "regions")
+    hits = verified(parts.join(known, "item"), edits).join(named.select("item", "item_id"), "item").groupBy(F.col("text").alias(f"{out} key")).agg(F.array_sort(F.collect_set("item_id")).alias(out))
     hits = written(hits, "hits")
+    discard(named, known, lsh, wanted, parts)
     found = keyed_join(df.withColumn(f"{out} key", _key(F.col(text_col))), hits, f"{out} key", "left", BROADCAST_DIGESTS)
     return found.select(*df.columns, F.coalesce(out, F.array().cast(hits.schema[out].dataType)).alias(out))
 

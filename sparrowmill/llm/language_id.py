@@ -24,14 +24,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from . import wordhash
-from .tables import documents, small_batches
+from .tables import discard, documents, keyed_join, small_batches, written
 
 UNKNOWN = "und"
 #: Documents learned from, for each language: the bound of the training sample.
 SAMPLE_PER_LANGUAGE = 300
-#: The bound of all languages together, and the number of languages that may be learned.
+#: The bound of all languages together, shared evenly by them; with more languages than that, one document each.
 SAMPLE = 4800
-MOST_LANGUAGES = 64
 #: How many times that number of ids is ranked, so that the hash range surely holds enough.
 SPARE = 4
 BINS = 1 << 13
@@ -201,9 +200,7 @@ def examples(rows: DataFrame) -> DataFrame:
     return rows.select("id", "lang", "text").mapInArrow(run, f"id {id_type}, lang string, script string, bins array<int>, shares array<float>")
 
 
-def fit(
-    labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, most_languages: int = MOST_LANGUAGES
-) -> LanguageModel:
+def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> LanguageModel:
     """Fit on at most `per_language` documents of each language and `sample` of all, those whose hashed ids come first.
 
     Distinct ids of each language are counted first, with partial sums. Only ids whose hash falls in a share of the hash range that
@@ -214,17 +211,16 @@ def fit(
     known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & (F.col(lang_col) != UNKNOWN))
     known = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     place = F.shiftrightunsigned(F.xxhash64("id"), 11) / F.lit(float(1 << 53))
-    counts = known.groupBy("lang").agg(F.approx_count_distinct("id").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
-    per_language = min(per_language, max(sample // max(len(counts), 1), 1))
-    wanted = F.lit(False)
-    for r in counts:
-        wanted = F.when(F.col("lang") == r["lang"], place <= SPARE * per_language / max(r["n"], 1)).otherwise(wanted)
-    ids = known.where(wanted).select("lang", "id", place.alias("place")).distinct()
+    counts = written(known.groupBy("lang").agg(F.approx_count_distinct("id").alias("n")), "languages")  # one row a language
+    per_language = min(per_language, max(sample // max(counts.count(), 1), 1))
+    wanted = keyed_join(known, counts, "lang", "inner").where(place <= SPARE * per_language / F.greatest("n", F.lit(1)))
+    ids = wanted.select("lang", "id", place.alias("place")).distinct()
     ranked = ids.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place", "id")))
     chosen = ranked.where(F.col("rank") <= per_language).select("id", "lang")
     texts = known.join(F.broadcast(chosen), ["id", "lang"], "left_semi")  # at most `sample` ids, or one a language
     texts = texts.groupBy("id", "lang").agg(F.min("text").alias("text")).where(F.col("text").rlike(r"\p{L}"))
     rows = examples(texts).toArrow().sort_by([("id", "ascending"), ("lang", "ascending")])
+    discard(counts)
     langs = np.array(rows["lang"].to_pylist(), object)
     scripts: dict[str, Counter[str]] = {}
     for lang, one in zip(langs, rows["script"].to_pylist(), strict=True):

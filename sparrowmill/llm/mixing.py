@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import documents, keyed_join, written
+from .tables import discard, documents, keyed_join, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -123,8 +123,10 @@ def mix(
     some = F.coalesce(F.sum(F.when(F.col("extra"), F.col("size"))), F.lit(0))
     gap = of(placed.groupBy("source").agg(some.alias("some")), rest).select("source", (F.col("rest") - F.col("some")).alias("gap"))
     miss = F.abs(F.col("gap") - F.col("size"))
-    open_ = of(placed.where(~F.col("extra") & F.col("rank").isNotNull() & (F.col("size") > 0)), written(gap, "mix-gaps")).where(miss < F.col("gap"))
+    gaps = written(gap, "mix-gaps")
+    open_ = of(placed.where(~F.col("extra") & F.col("rank").isNotNull() & (F.col("size") > 0)), gaps).where(miss < F.col("gap"))
     last = written(open_.groupBy("source").agg(F.min(F.struct(miss.alias("miss"), "rank", "id", "size", "row"))["row"].alias("last")), "mix-last")
+    discard(sized, sums, plan, ranked, rest, cut, edge, gaps)
     copies = F.col("whole") + (F.col("extra") | F.coalesce(F.col("row") == F.col("last"), F.lit(False))).cast("long")
     return of(placed, last).select("id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 

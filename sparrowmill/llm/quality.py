@@ -5,8 +5,8 @@ neighbours within WINDOW words over the learned texts, scaled to length 1. Words
 fixed size. Tokens are runs of letters and digits, and runs of symbols. A document is the mean of its tokens' vectors. The
 network has one hidden layer; a temperature fitted on rows that the weights never saw calibrates its probability.
 
-Learning takes at most SAMPLE labelled documents, those whose hashed ids come first, while their texts fit in SAMPLE_BYTES; a text above a
-sixteenth of that isn't learned from. Scoring reads every whole text once.
+Learning takes at most SAMPLE labelled documents, those whose hashed ids come first, each that still fits in SAMPLE_BYTES of text together and
+has at most SAMPLE_TEXT_BYTES itself. Scoring reads every whole text once.
 
 Defined results: null and empty texts pool to the zero vector and are scored like others; rows without id are scored but
 never learned from; labels that disagree for one id count by their mean, and of rows with the same id the least text is learned from; null labels are skipped; with one class only, or
@@ -26,10 +26,12 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import wordhash
 from .language_id import held_out
-from .tables import documents, small_batches, written
+from .tables import discard, documents, small_batches, written
 
 SAMPLE = 4000
 SAMPLE_BYTES = 64 << 20
+#: Bytes of a text that is learned from; the driver holds a few dozen bytes for each of them.
+SAMPLE_TEXT_BYTES = 8 << 20
 SLOTS = 1 << 14
 DIMENSIONS = 48
 NONZERO = 4
@@ -144,16 +146,21 @@ def _temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(grid[int(np.argmin(loss))])
 
 
-def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Network:
-    """Fit on at most `sample` labelled documents, of at most `sample_bytes` together."""
+def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, text_bytes: int = SAMPLE_TEXT_BYTES) -> Network:
+    """Fit on at most `sample` labelled documents, of at most `sample_bytes` together and `text_bytes` each."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.avg(F.col(label_col).cast("double")).alias("label"))
     chosen = known.select("*", F.xxhash64("id").alias("place")).orderBy("place", "id").limit(sample)  # a bounded table: `sample` rows
     texts = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    met = texts.join(F.broadcast(chosen), "id").groupBy("place", "id", "label").agg(F.min("text").alias("text")).where(F.octet_length("text") <= sample_bytes // 16)
+    met = texts.join(F.broadcast(chosen), "id").groupBy("place", "id", "label").agg(F.min("text").alias("text")).where(F.octet_length("text") <= text_bytes)
     met = written(met, "quality-sample")
-    sizes = met.select("place", F.octet_length("text").alias("bytes")).toArrow().sort_by("place")  # `sample` rows
-    fits = sizes["place"].to_numpy()[np.cumsum(sizes["bytes"].to_numpy()) <= sample_bytes]
-    rows = met.where(F.col("place") <= (int(fits[-1]) if len(fits) else 0)).toArrow().sort_by([("place", "ascending"), ("id", "ascending")])
+    sizes = met.select("place", "id", F.octet_length("text").alias("bytes")).toArrow().sort_by([("place", "ascending"), ("id", "ascending")])  # `sample` rows
+    left, fits = sample_bytes, []
+    for place, size in zip(sizes["place"].to_pylist(), sizes["bytes"].to_pylist(), strict=True):
+        if size <= left:
+            left -= size
+            fits.append(place)
+    rows = met.where(F.col("place").isin(fits)).toArrow().sort_by([("place", "ascending"), ("id", "ascending")])
+    discard(met)
     y = (rows["label"].to_numpy() >= 0.5).astype(float) if rows.num_rows else np.zeros(0)
     if len(set(y)) < 2:
         return Network(np.zeros((SLOTS, 0), np.float32), None, constant=float(y.mean()) if len(y) else 0.5)

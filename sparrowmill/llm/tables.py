@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
+
+from ..sources.staging import discard, new_path, shared_folder, written
+
+__all__ = ["BROADCAST_DIGESTS", "BROADCAST_ROWS", "discard", "documents", "keyed_join", "new_path", "shared_folder", "small_batches", "written"]
 
 #: Rows of 8-byte keys that may be broadcast (16 MB of keys); above it a join shuffles.
 BROADCAST_ROWS = 2_000_000
 #: The same for rows of a few 16-byte digests (tens of MB as a hash table).
 BROADCAST_DIGESTS = 200_000
+#: Bytes of texts and array elements among them, which rows don't bound.
+BROADCAST_BYTES = 16 << 20
 
 
 #: Rows and bytes of a batch sent to Python, where the session doesn't set them: a worker holds some copies of a batch.
@@ -25,43 +29,17 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, most)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset, on a local master only, a new temporary folder."""
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not folder:
-        if not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is unset: intermediate tables need a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="sparrowmill-")
-        context.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/sparrowmill/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` written once as Parquet in the shared folder and read back: cuts lineage and survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete the files of written tables that nothing reads any more; what can't be deleted stays."""
-    for df in tables:
-        session = df.sparkSession
-        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = session._jvm.org.apache.hadoop.fs.Path(file)
-            path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
-
+def keyed_join(left: DataFrame, keys: DataFrame, on: str | list[str], how: str, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Join a large table with a narrow written table of keys, broadcast only if it is small.
 
-def keyed_join(left: DataFrame, keys: DataFrame, on: str | list[str], how: str, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Join a large table with a narrow written table of keys; the keys are counted, and broadcast only if there are at most `most`."""
-    if keys.limit(most + 1).count() <= most:
-        keys = F.broadcast(keys)
-    return left.join(keys, on, how)
+    It has at most `most` rows, which partial sums or the files' footers count, and its texts and arrays have `most_bytes` at most.
+    """
+    sizes = [F.octet_length(f.name) if isinstance(f.dataType, StringType) else 16 * F.size(f.name) for f in keys.schema.fields if isinstance(f.dataType, (ArrayType, StringType))]
+    if sizes:
+        rows, size = keys.agg(F.count("*"), F.coalesce(F.sum(sum((F.coalesce(s, F.lit(0)).cast("long") for s in sizes), F.lit(0))), F.lit(0))).first()
+    else:
+        rows, size = keys.count(), 0
+    return left.join(F.broadcast(keys) if rows <= most and size <= most_bytes else keys, on, how)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

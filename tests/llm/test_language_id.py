@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -72,13 +73,53 @@ def test_repeated_ids_count_once(spark):
     assert list(model.predict(pa.array(["der Hund und die Katze", "the dog and the cat"]))[0]) == ["de", "en"]
 
 
-def test_many_unknown_languages_are_bounded(spark):
-    scripts = ["abcdefgh", "абвгдежз", "αβγδεζηθ"]
-    text = lambda k, n: " ".join(scripts[k % 3][(k + i * n) % 8] * (1 + k // 3 % 3) + scripts[k % 3][i % 3] for i in range(20))
-    rows = [(k * 10 + n, text(k, n + 1), f"x{k:02}") for k in range(30) for n in range(5)]
-    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_languages=12, sample=36)
-    assert sum(map(len, model.families.values())) == 12 and set(model.families) == {"latin script", "cyrillic script", "greek script"}
-    assert len(model.pairs) == 3 + 3 * 6
+def test_eighty_languages_are_all_learned(spark):
+    """The sample bounds documents, not languages: each of 81 is learned from a few documents, and predicted."""
+    scripts = ["abcdefghijklmnop", "абвгдежзиклмнопр", "αβγδεζηθικλμνξοπ"]
+    draw = random.Random(5)
+    words = [["".join(draw.choice(scripts[k % 3]) for _ in range(6)) for _ in range(5)] for k in range(81)]
+    text = lambda k, n: " ".join(words[k][(i + n) % 5] for i in range(20))
+    rows = [(k * 10 + n, text(k, n), f"x{k:02}") for k in range(81) for n in range(5)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=243)
+    assert {f: len(own) for f, own in model.families.items()} == {"latin script": 27, "cyrillic script": 27, "greek script": 27}
+    assert len(model.pairs) == 3 + 3 * 27 * 26 // 2
+    got = model.predict(pa.array([t for _, t, _ in rows]))[0]
+    assert np.mean([a == b for a, (_, _, b) in zip(got, rows, strict=True)]) > 0.97
+
+
+def test_query_against_single_texts(spark, folder):
+    """The query's rows from a plain loop: n-grams of one text, one machine after the other, votes counted one by one."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(120)
+    docs = docs.unionByName(spark.createDataFrame([(10**6, None, "en", None, 0), (10**6 + 1, "?! 12", None, None, 5), (10**6 + 2, "Ünïcode 漢字 words", "en", None, 16)], docs.schema))
+    path = folder(documents=docs)
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    model = language_id.fit(docs.where(~language_id.held_out("doc_id", 4, 2)))
+    got = {r.doc_id: r for r in language_id.op1_language_id(spark, path).collect()}
+    machine = dict(zip(model.pairs, zip(model.weights[:, :-1].astype(float), model.bias, strict=True), strict=True))
+
+    def vote(x, sides):
+        votes, faith = dict.fromkeys(sides, 0), dict.fromkeys(sides, 0.0)
+        for i, a in enumerate(sides):
+            for b in sides[i + 1 :]:
+                w, c = machine[a, b]
+                p = 1 / (1 + np.exp(-2 * (x @ w + c)))
+                votes[a if p > 0.5 else b] += 1
+                faith[a] += p / (len(sides) - 1)
+                faith[b] += (1 - p) / (len(sides) - 1)
+        best = max(sides, key=lambda s: votes[s] + faith[s] / 2)
+        return best, faith[best] if len(sides) > 1 else 1.0
+
+    rows = docs.select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        want = ("und", 0.0)
+        if r.text and any(c.isalpha() for c in r.text):
+            x = language_id.frequencies(pa.array([r.text]))[0].astype(float)
+            family, sure = vote(x, sorted(model.families))
+            lang, inner = vote(x, model.families[family])
+            want = (lang, sure * inner)
+        assert got[r.doc_id].lang_pred == want[0] and got[r.doc_id].score == pytest.approx(want[1], abs=1e-4)
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
 
 
 def test_decide_is_the_plain_vote():
