@@ -9,6 +9,9 @@ it, read again, to the next stage. All but the last return the columns of `docum
 - decontaminate: documents that hold a benchmark item go.
 - secrets: secrets are replaced in the text, and n_chars follows; no document goes.
 - mix: documents in the mix, with the number of copies of each; documents with no copy go.
+
+Rows without id or source take part like others (a null source is one source, last in order). Texts are read whole, whatever their length; a
+stage holds one text at a time. Columns that a stage adds on the way replace none of the table's, and extra columns pass through.
 """
 
 from __future__ import annotations
@@ -60,8 +63,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole table `documents`."""
-    docs = tables.documents(spark, sf_dir)
+    """All stages over the whole table `documents`; a stage's table is deleted when the next one's is written."""
+    docs, before = tables.documents(spark, sf_dir), None
     for name, stage in STAGES:
         docs = tables.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            tables.discard(before)
+        before = docs
     return docs
