@@ -71,12 +71,12 @@ class Ensemble:
         return Ensemble([n for n in self.nodes if n.tree < trees], self.base_margin)
 
 
-def tree_sql(ensemble: Ensemble, tree: int) -> str:
-    """The tree as nested CASE; the text is SQL for Spark and other engines alike."""
+def tree_sql(ensemble: Ensemble, tree: int, numbers: bool = False) -> str:
+    """The tree as nested CASE, giving the leaf's value, or its number; the text is SQL for Spark and other engines alike."""
 
     def text(node: Node) -> str:
         if node.feature is None:
-            return f"CAST({node.leaf!r} AS DOUBLE)"
+            return str(node.node) if numbers else f"CAST({node.leaf!r} AS DOUBLE)"
         test = f"{node.feature} < CAST({node.threshold!r} AS DOUBLE)" + (f" OR {node.feature} IS NULL" if node.default_left else "")
         own = ensemble.by_tree[tree]
         return f"CASE WHEN {test} THEN {text(own[node.left])} ELSE {text(own[node.right])} END"
@@ -231,10 +231,47 @@ def leaf_join_scores(long: DataFrame, entity: str, ensemble: Ensemble) -> DataFr
     return sums.select(entity, "n_leaves", (F.col("_sum") + ensemble.base_margin).alias("margin")).withColumn("proba", scalars.sigmoid(F.col("margin")))
 
 
+def leaves_reached(df: DataFrame, ensemble: Ensemble, keep: Sequence[str]) -> DataFrame:
+    """(keep, tree, leaf): the leaf of each tree that each row of a table with a column for each feature comes to; no shuffle."""
+    own = [F.struct(F.lit(t).alias("tree"), F.expr(tree_sql(ensemble, t, numbers=True)).cast("int").alias("leaf")) for t in ensemble.by_tree]
+    return df.select(*keep, F.inline(F.array(*own)))
+
+
+def leaf_support(df: DataFrame, ensemble: Ensemble, label: str = "label") -> DataFrame:
+    """(tree, leaf, n_rows, n_positive): the rows and positive labels of each leaf that any row comes to; a row a leaf is shuffled."""
+    return leaves_reached(df, ensemble, [label]).groupBy("tree", "leaf").agg(F.count("*").alias("n_rows"), F.sum(F.col(label).cast("long")).alias("n_positive"))
+
+
+def observed_gains(support: DataFrame, ensemble: Ensemble) -> DataFrame:
+    """The node table with each split's gain as the rows show it: how much of the labels' square error it takes away, 0 without rows on both sides.
+
+    Rows of a node are those of its leaves; leaf and ancestor pairs are a bounded table of the model.
+    """
+    spark = support.sparkSession
+    above, children = [], []
+    for tree, own in ensemble.by_tree.items():
+        todo = [(0, ())]
+        while todo:
+            at, path = todo.pop()
+            node = own[at]
+            if node.feature is None:
+                above += [(tree, at, up) for up in (*path, at)]
+            else:
+                children.append((tree, at, node.left, node.right))
+                todo += [(node.left, (*path, at)), (node.right, (*path, at))]
+    pairs = spark.createDataFrame(above, "tree int, leaf int, node int")
+    held = support.join(F.broadcast(pairs), ["tree", "leaf"]).groupBy("tree", "node").agg(F.sum("n_rows").alias("n"), F.sum("n_positive").alias("p"))
+    side = lambda name: held.select("tree", F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("p").alias(f"p_{name}"))
+    inner = spark.createDataFrame(children, "tree int, node int, left int, right int").join(side("left"), ["tree", "left"], "left").join(side("right"), ["tree", "right"], "left")
+    gap = F.col("p_left") / F.col("n_left") - F.col("p_right") / F.col("n_right")
+    gains = inner.select("tree", "node", F.coalesce(F.col("n_left") * F.col("n_right") / (F.col("n_left") + F.col("n_right")) * gap * gap, F.lit(0.0)).alias("gain"))
+    return ensemble.table(spark).drop("gain").join(gains, ["tree", "node"], "left")
+
+
 def top_facets(table: DataFrame, target: int, per_tree: int, total: int) -> DataFrame:
-    """(tree, leaf, value): the leaves that push most towards the target label, some of each tree, then some of all."""
+    """(tree, leaf, value, ...): the leaves that push most towards the target label, some of each tree, then some of all; counts of rows are kept."""
     towards = F.desc("value") if target == 1 else F.asc("value")
-    leaves = table.select("tree", "leaf", "value").distinct()
+    leaves = table.select("tree", "leaf", "value", *[c for c in ("n_rows", "n_positive") if c in table.columns]).distinct()
     own = F.row_number().over(Window.partitionBy("tree").orderBy(towards, "leaf"))
     return leaves.withColumn("_place", own).where(F.col("_place") <= per_tree).drop("_place").orderBy(towards, "tree", "leaf").limit(total)
 

@@ -93,11 +93,6 @@ def filled(feature: Column, value: Column) -> Column:
     return F.when(value.isNull() & is_exposure(feature), F.lit(0.0)).otherwise(value)
 
 
-def static_columns(df: DataFrame, wanted: Sequence[str], leaks: Sequence[str] = ()) -> DataFrame:
-    """The wanted columns that exist and don't tell the outcome."""
-    return df.select(*[c for c in wanted if c in df.columns and c not in leaks])
-
-
 def levels(train: DataFrame, column: str, least: int = 1, most: int = LEVELS) -> DataFrame:
     """(level, n): at most `most` levels with `least` rows or more, the frequent ones first, then UNKNOWN and RARE."""
     counts = train.select(F.coalesce(F.col(column).cast("string"), F.lit(scalars.UNKNOWN)).alias("level")).groupBy("level").agg(F.count("*").alias("n"))
@@ -117,10 +112,15 @@ def frequency_encoded(df: DataFrame, train: DataFrame, column: str, least: int =
     return bucketed(df).join(shares, "_level", "left").withColumn(out, F.coalesce("_share", F.lit(0.0))).drop("_level", "_share")
 
 
+def _few_values() -> Column:
+    """The number of distinct values, missing counting as one, if that is 0 or 1; else 2. From partial minima and maxima, without a shuffle of values."""
+    missing = F.max(F.col("value").isNull().cast("int"))
+    return F.when(F.min("value") != F.max("value"), F.lit(2)).otherwise(F.max("value").isNotNull().cast("int") + missing).cast("long")
+
+
 def constant_features(dense: DataFrame) -> DataFrame:
     """(feature, n_distinct): features with one value at most, missing counting as a value."""
-    found = dense.groupBy("feature").agg((F.countDistinct("value") + F.max(F.col("value").isNull().cast("int"))).cast("long").alias("n_distinct"))
-    return found.where("n_distinct <= 1")
+    return dense.groupBy("feature").agg(_few_values().alias("n_distinct")).where("n_distinct <= 1")
 
 
 def sparse_features(dense: DataFrame, least: float = LEAST_EXPOSED) -> DataFrame:
@@ -130,9 +130,8 @@ def sparse_features(dense: DataFrame, least: float = LEAST_EXPOSED) -> DataFrame
 
 def pruned(long: DataFrame, train: DataFrame, least: float = LEAST_EXPOSED) -> DataFrame:
     """`long` without features that are constant in the training rows, or exposures that are too rare there."""
-    distinct = F.countDistinct("value") + F.max(F.col("value").isNull().cast("int"))
     share = F.avg((F.coalesce("value", F.lit(0.0)) != 0).cast("int"))
-    drop = train.groupBy("feature").agg(distinct.alias("_n"), share.alias("_share")).where((F.col("_n") <= 1) | is_exposure(F.col("feature")) & (F.col("_share") < least))
+    drop = train.groupBy("feature").agg(_few_values().alias("_n"), share.alias("_share")).where((F.col("_n") <= 1) | is_exposure(F.col("feature")) & (F.col("_share") < least))
     return long.join(drop.select("feature"), "feature", "left_anti")
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import changes, ensemble, evaluate, events, features, impute, neighbours, search
+from ..operators import changes, ensemble, evaluate, events, features, impute, neighbours, quantiles, search
 from .registry import query
 from .tables import COUNTS, DENSE_SQL, FEATURES, MEANS, THRESHOLD, TOY, dense, table, wide
 
@@ -41,7 +41,7 @@ rescored AS (
 def pairs(spark, sf_dir):
     """(row_id, cf_rank, feature, before, after) of the made-up counterfactuals."""
     rows = dense(spark, sf_dir)
-    stats = rows.groupBy("feature").agg(F.percentile("value", F.lit(0.5)).alias("median"), F.max("value").alias("most"))
+    stats = quantiles.exact(rows, "feature", "value", [0.5, 1.0]).select("feature", F.col("q")[0].alias("median"), F.col("q")[1].alias("most"))
     f, rank = F.col("feature"), F.col("cf_rank")
     both = rows.join(stats, "feature").withColumn("cf_rank", F.explode(F.array(F.lit(1), F.lit(2))))
     after = F.when((rank == 1) & (f == "chart_mean_item_click"), F.col("median")).when((rank == 2) & (f == "chart_mean_item_view"), 2 * F.col("most")).when((rank == 2) & (f == "input_cnt_item_click"), F.lit(0.0)).otherwise(F.col("value"))

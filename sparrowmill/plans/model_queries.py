@@ -46,38 +46,62 @@ paths AS (
 region AS (SELECT tree, leaf, any_value(value) AS value, feature, max(lower) AS lower, min(upper) AS upper, bool_and(allow_missing) AS allow_missing FROM paths WHERE feature IS NOT NULL GROUP BY tree, leaf, feature)"""
 
 
-@query(f"WITH RECURSIVE {REGIONS_SQL} SELECT tree, leaf, value, feature, lower, upper, allow_missing FROM region")
+_LEAVES = " UNION ALL ".join(f"SELECT row_id, label, {t} AS tree, {ensemble.tree_sql(TOY, t, numbers=True)} AS leaf FROM scored" for t in TOY.by_tree)
+SUPPORT_SQL = f"""{SCORED_SQL}, reached AS ({_LEAVES}), support AS (SELECT tree, leaf, count(*) AS n_rows, sum(label)::BIGINT AS n_positive FROM reached GROUP BY tree, leaf), {REGIONS_SQL}"""
+GAINS_SQL = f"""{SUPPORT_SQL},
+held AS (SELECT p.tree, p.up AS node, sum(n_rows)::DOUBLE AS n, sum(n_positive)::DOUBLE AS p FROM (SELECT DISTINCT q.tree, q.leaf, q.at AS up FROM paths q) p JOIN support s ON p.tree = s.tree AND p.leaf = s.leaf GROUP BY p.tree, p.up),
+gains AS (
+  SELECT feature, coalesce(a.n * b.n / (a.n + b.n) * power(a.p / a.n - b.p / b.n, 2), 0) AS gain FROM nodes d
+  LEFT JOIN held a ON d.tree = a.tree AND d.l = a.node LEFT JOIN held b ON d.tree = b.tree AND d.r = b.node WHERE feature IS NOT NULL),
+g AS (SELECT feature, avg(gain) AS gain FROM gains GROUP BY feature),
+importance AS (SELECT feature, gain / sum(gain) OVER () AS importance_gain FROM g)"""
+
+
+def _supported(spark, sf_dir):
+    """What each leaf's path asks of each feature, with the leaf's rows and positive labels; leaves without rows have 0."""
+    support = ensemble.leaf_support(scored(spark, sf_dir), TOY)
+    return ensemble.region_table(spark, TOY).join(support, ["tree", "leaf"], "left").fillna(0, ["n_rows", "n_positive"])
+
+
+@query(f"""WITH RECURSIVE {SUPPORT_SQL}
+SELECT r.tree, r.leaf, value, feature, lower, upper, allow_missing, coalesce(n_rows, 0) AS n_rows, coalesce(n_positive, 0) AS n_positive FROM region r LEFT JOIN support s ON r.tree = s.tree AND r.leaf = s.leaf""")
 def leaf_regions(spark, sf_dir):
-    """What each leaf's path asks of each feature."""
-    return ensemble.region_table(spark, TOY)
+    """What each leaf's path asks of each feature, and how many rows and positive labels it holds."""
+    return _supported(spark, sf_dir)
 
 
-@query(f"""WITH RECURSIVE {REGIONS_SQL}, leaves AS (SELECT DISTINCT tree, leaf, value FROM region),
-own AS (SELECT * FROM leaves QUALIFY row_number() OVER (PARTITION BY tree ORDER BY value, leaf) <= 2) SELECT tree, leaf, value FROM own ORDER BY value, tree, leaf LIMIT 5""")
+@query(f"""WITH RECURSIVE {SUPPORT_SQL}, leaves AS (SELECT DISTINCT r.tree, r.leaf, value, n_rows, n_positive FROM region r JOIN support s ON r.tree = s.tree AND r.leaf = s.leaf),
+own AS (SELECT * FROM leaves QUALIFY row_number() OVER (PARTITION BY tree ORDER BY value, leaf) <= 2) SELECT tree, leaf, value, n_rows, n_positive FROM own ORDER BY value, tree, leaf LIMIT 5""")
 def top_facets(spark, sf_dir):
-    """The leaves that lower the margin most: two of each tree, five in all (a top-k report)."""
-    return ensemble.top_facets(ensemble.region_table(spark, TOY), 0, 2, 5)
+    """Of the leaves that any row comes to, those that lower the margin most: two of each tree, five in all (a top-k report)."""
+    return ensemble.top_facets(_supported(spark, sf_dir).where("n_rows > 0"), 0, 2, 5)
 
 
-@query(f"""WITH RECURSIVE {REGIONS_SQL}
-SELECT feature, max(lower) AS lower, min(upper) AS upper, bool_and(allow_missing) AS allow_missing, coalesce(max(lower) < min(upper), true) OR bool_and(allow_missing) AS feasible
-FROM region WHERE value < 0 GROUP BY feature""")
+@query(f"""WITH RECURSIVE {SUPPORT_SQL}
+SELECT c.row_id, feature, max(lower) AS lower, min(upper) AS upper, bool_and(allow_missing) AS allow_missing, coalesce(max(lower) < min(upper), true) OR bool_and(allow_missing) AS feasible
+FROM reached c JOIN region r ON c.tree = r.tree AND c.leaf = r.leaf GROUP BY c.row_id, feature""")
 def merged_constraints(spark, sf_dir):
-    """The intersection of the conditions of all leaves with a negative value."""
-    return ensemble.merged(ensemble.region_table(spark, TOY).where("value < 0"), [])
+    """For each row the intersection of the conditions of its leaves: how far each feature may move before a tree says something else."""
+    reached = ensemble.leaves_reached(scored(spark, sf_dir), TOY, ["row_id"])
+    return ensemble.merged(reached.join(ensemble.region_table(spark, TOY), ["tree", "leaf"]), ["row_id"])
+
+
+def _importance(spark, sf_dir):
+    return ensemble.importance(ensemble.observed_gains(ensemble.leaf_support(scored(spark, sf_dir), TOY), TOY))
 
 
-@query(f"WITH {NODES_SQL}, g AS (SELECT feature, avg(gain) AS gain FROM nodes WHERE feature IS NOT NULL GROUP BY feature) SELECT feature, gain / sum(gain) OVER () AS importance_gain FROM g")
+@query(f"WITH RECURSIVE {GAINS_SQL} SELECT feature, round(importance_gain, 9) AS importance_gain FROM importance")
 def feature_importance(spark, sf_dir):
-    return ensemble.importance(TOY.table(spark))
+    """Shares of the mean gain of each feature's splits, gains as the labelled rows show them."""
+    return _importance(spark, sf_dir).withColumn("importance_gain", F.round("importance_gain", 9))
 
 
-@query(f"""WITH {NODES_SQL}, g AS (SELECT feature, avg(gain) AS gain FROM nodes WHERE feature IS NOT NULL GROUP BY feature),
-s AS (SELECT feature, gain / sum(gain) OVER () AS importance_gain FROM g) SELECT *, row_number() OVER (ORDER BY importance_gain DESC, feature)::INT AS rank FROM s WHERE feature IN ({", ".join(f"'{m}'" for m in MEANS)})""")
+@query(f"""WITH RECURSIVE {GAINS_SQL}, s AS (SELECT feature, round(importance_gain, 9) AS importance_gain FROM importance WHERE feature IN ({", ".join(f"'{m}'" for m in MEANS)}))
+SELECT *, row_number() OVER (ORDER BY importance_gain DESC, feature)::INT AS rank FROM s""")
 def ranked_features(spark, sf_dir):
-    """Measurements that the model uses, the most important first."""
-    catalogue = spark.createDataFrame([(f,) for f in MEANS], "feature string")
-    return features.ranked(catalogue, ensemble.importance(TOY.table(spark)))
+    """Measurements that the model uses, the most important by the rows first."""
+    catalogue = dense(spark, sf_dir).where(F.col("feature").startswith("chart_")).select("feature").distinct()
+    return features.ranked(catalogue, _importance(spark, sf_dir).withColumn("importance_gain", F.round("importance_gain", 9)))
 
 
 @query(f"WITH {SCORED_SQL} SELECT count(*) FILTER (label = 0) AS n_negative, count(*) FILTER (label = 1) AS n_positive, count(*) FILTER (label = 0)::DOUBLE / count(*) FILTER (label = 1) AS weight FROM scored")

@@ -7,6 +7,7 @@ all branch from that. Tables that several steps read are checkpointed, so plans
 from __future__ import annotations
 
 import dataclasses
+import re
 import time
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
@@ -14,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import names as naming
 from ..functions import scalars
 from ..operators import boosting, cohort, ensemble, events, features, metrics
 from ..sources import files
@@ -91,8 +93,11 @@ def build_features(tables: Mapping[str, DataFrame], config: FeatureConfig = Feat
     if "drugs" in tables:
         inside = cut(events.overlapping(tables["drugs"], who, "stay_id", "start", "stop").withColumn("key", scalars.item_key(F.col("drug"), F.col("code"))))
         wanted = events.prevalence(inside.join(train.select("stay_id"), "stay_id", "left_semi"), "stay_id", "key", config.share, n_train, config.most)
-        counts = events.rare_bucket(inside, wanted, "key", config.rare).groupBy("stay_id", F.regexp_replace("key", "[ /]", "_").alias("key")).agg(F.count("*").alias("cnt"))
-        longs.append(features.to_long(counts, "stay_id", "key", {"cnt": "drug_cnt"}, "_"))
+        counts = cut(events.rare_bucket(inside, wanted, "key", config.rare).groupBy("stay_id", "key").agg(F.count("*").alias("cnt")))
+        # drugs whose names become the same stay apart; one row a key
+        named = naming.safe_names(sorted((r["key"] for r in counts.select("key").distinct().collect()), key=lambda k: (k != config.rare, k)), lambda k: re.sub("[ /]", "_", k))
+        named = spark.createDataFrame(list(named.items()), "key string, name string")
+        longs.append(features.to_long(counts.join(named, "key"), "stay_id", "name", {"cnt": "drug_cnt"}, "_"))
     static = [c for c in STATIC if c in who.columns]
     encoded = who
     for column in static:
