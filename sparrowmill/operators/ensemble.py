@@ -7,7 +7,7 @@ is the base margin plus one leaf of each tree. A model is a bounded table (trees
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 
 NODE_SCHEMA = "tree int, node int, left int, right int, feature string, threshold double, default_left boolean, leaf double, gain double"
-#: Ensembles of more nodes are scored over vectors: generated code has a limit.
+#: Ensembles of more nodes are scored by CASEs in chunks of CHUNK trees, so that no generated method or expression tree is deep.
 MOST_CASE_NODES = 400
+CHUNK = 25
 
 
 @dataclass(frozen=True)
@@ -71,13 +72,14 @@ class Ensemble:
         return Ensemble([n for n in self.nodes if n.tree < trees], self.base_margin)
 
 
-def tree_sql(ensemble: Ensemble, tree: int, numbers: bool = False) -> str:
-    """The tree as nested CASE, giving the leaf's value, or its number; the text is SQL for Spark and other engines alike."""
+def tree_sql(ensemble: Ensemble, tree: int, numbers: bool = False, column: Callable[[str], str] = str) -> str:
+    """The tree as nested CASE, giving the leaf's value, or its number; the text is SQL for Spark and other engines alike. `column` gives a feature's SQL."""
 
     def text(node: Node) -> str:
         if node.feature is None:
             return str(node.node) if numbers else f"CAST({node.leaf!r} AS DOUBLE)"
-        test = f"{node.feature} < CAST({node.threshold!r} AS DOUBLE)" + (f" OR {node.feature} IS NULL" if node.default_left else "")
+        name = column(node.feature)
+        test = f"{name} < CAST({node.threshold!r} AS DOUBLE)" + (f" OR {name} IS NULL" if node.default_left else "")
         own = ensemble.by_tree[tree]
         return f"CASE WHEN {test} THEN {text(own[node.left])} ELSE {text(own[node.right])} END"
 
@@ -89,7 +91,14 @@ def margin_sql(ensemble: Ensemble) -> str:
 
 
 def margin(ensemble: Ensemble) -> Column:
-    return F.expr(margin_sql(ensemble))
+    return F.expr(margin_sql(ensemble)) if len(ensemble.nodes) <= MOST_CASE_NODES else chunked_margin(ensemble)
+
+
+def chunked_margin(ensemble: Ensemble, column: Callable[[str], str] = str) -> Column:
+    """The margin of an ensemble of any size: generated code for chunks of trees, whose sums are added up. Planning grows with the nodes, rows don't leave the JVM."""
+    own = [f"({tree_sql(ensemble, t, column=column)})" for t in ensemble.by_tree]
+    sums = [" + ".join(own[k : k + CHUNK]) for k in range(0, len(own), CHUNK)]
+    return F.aggregate(F.expr(f"array({', '.join(sums)})"), F.lit(float(ensemble.base_margin)), lambda total, part: total + part)
 
 
 def scored(df: DataFrame, ensemble: Ensemble) -> DataFrame:
@@ -154,11 +163,14 @@ def vector_margin(ensemble: Ensemble, features: Sequence[str]):
 
 
 def vector_margin_column(ensemble: Ensemble, features: Sequence[str], vector: str | Column = "vector") -> Column:
-    """The margin of a vector column: generated code for small ensembles, vectorised Python beyond MOST_CASE_NODES nodes."""
-    vector = F.col(vector) if isinstance(vector, str) else vector
-    if len(ensemble.nodes) > MOST_CASE_NODES:
-        return vector_margin(ensemble, features)(vector)
+    """The margin of a vector: generated code for small ensembles and for vectors of a named column.
+
+    A large ensemble over an expression, as in the loops of searches, which plan anew in each step, is scored in vectorised Python.
+    """
     where = {f: k for k, f in enumerate(features)}
+    if len(ensemble.nodes) > MOST_CASE_NODES:
+        return chunked_margin(ensemble, lambda f: f"`{vector}`[{where[f]}]") if isinstance(vector, str) else vector_margin(ensemble, features)(vector)
+    vector = F.col(vector) if isinstance(vector, str) else vector
 
     def value(own: dict[int, Node], node: Node) -> Column:
         if node.feature is None:

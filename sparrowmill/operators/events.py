@@ -7,11 +7,13 @@ events at the same time, the one with the least tie key is both the first and th
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from . import quantiles
+from . import quantiles, sampling
 from .cohort import later
 
 SCALE = 6
@@ -31,12 +33,6 @@ def in_window(events: DataFrame, cohort: DataFrame, on: str | list[str], time: s
     return events.join(bounds, on).where((F.col(time) >= F.col("_start")) & (F.col(time) <= F.col("_stop"))).drop("_start", "_stop")
 
 
-def in_own_window(events: DataFrame, entity: str, time: str, hours: int = 48) -> DataFrame:
-    """Events within `hours` of their entity's first event: the same rows as a join with `windows`, with one shuffle and one scan."""
-    first = F.min(time).over(Window.partitionBy(entity))
-    return events.where(F.col(time).isNotNull()).withColumn("_first", first).where(F.col(time) <= later(F.col("_first"), hours)).drop("_first")
-
-
 def whole_interval(df: DataFrame, start: str, stop: str) -> DataFrame:
     """Each end stands in for the other where one is missing."""
     return df.withColumns({start: F.coalesce(start, stop), stop: F.coalesce(stop, start)})
@@ -57,13 +53,16 @@ def clipped(events: DataFrame, bounds: DataFrame, concept: str, value: str, low:
     ).drop("_low", "_high")
 
 
-def quantile_bounds(events: DataFrame, concept: str, value: str, low: float = 0.01, high: float = 0.99, approximate: int | None = None) -> DataFrame:
+def quantile_bounds(events: DataFrame, concept: str, value: str, low: float = 0.01, high: float = 0.99, approximate: int | None = None, sample: int | None = None, ids: Sequence[str] = (), seed: int = 0) -> DataFrame:
     """(concept, low, high): quantiles of each concept, exact by linear interpolation.
 
     The exact form selects ranks by counted ranges of values. `approximate` gives the accuracy of a mergeable sketch instead, in
-    one pass, whose size doesn't grow with the data.
+    one pass, whose size doesn't grow with the data. With `sample`, concepts of more values than that have the quantiles of a uniform
+    sample of so many, drawn by the hash of `ids`.
     """
     v = scalars.number(F.col(value))
+    if sample:
+        events = sampling.bottom_k(events.where(v.isNotNull()), concept, ids, sample, seed)
     if approximate:
         q = F.percentile_approx(v, [low, high], approximate)
         return events.groupBy(concept).agg(q.alias("_q")).select(concept, F.col("_q")[0].alias("low"), F.col("_q")[1].alias("high"))

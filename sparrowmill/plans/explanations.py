@@ -9,6 +9,7 @@ row asked for is in `counterfactuals`, or in `failed_queries` with a typed reaso
 from __future__ import annotations
 
 import dataclasses
+import json
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
@@ -27,7 +28,7 @@ FILLS = (None, "mean", "median", "knn")
 
 @dataclass(frozen=True)
 class ExplainConfig:
-    """`most` rows from `offset` on, of the riskiest or of those in the file `ids`; `vary`: features that a row may change at most (0: all); `cache`: a folder for filled vectors."""
+    """`most` rows from `offset` on, of the riskiest or of those in the file `ids`; `vary`: features that a row may change at most (0: all); `cache`: a folder for filled vectors; `batch`: rows that are searched and logged together; `resume`: go on from the batches that an earlier run has logged."""
 
     method: str = "beam"
     fill: str | None = None
@@ -42,6 +43,8 @@ class ExplainConfig:
     treatments: bool = False
     neighbours: int = 5
     cache: str | None = None
+    batch: int = 1000
+    resume: bool = False
     options: Mapping[str, object] = field(default_factory=dict)
 
 
@@ -149,6 +152,29 @@ def searched(made: Artefacts, rows: DataFrame, space: search.Space, config: Expl
     return found.select("row_id", rank.alias("cf_rank"), "counterfactual", F.when(rank == 0, reason).alias("error_type"))
 
 
+def attempted(made: Artefacts, rows: DataFrame, space: search.Space, config: ExplainConfig, out: str) -> DataFrame:
+    """What `searched` says, batch by batch: rows are dealt to batches by hash, and each batch's attempts are committed to the log before the next one is searched.
+
+    With `resume`, batches that an earlier run of the same search over as many rows has committed are read back and not searched again.
+    """
+    spark, path = rows.sparkSession, f"{out}/attempts"
+    n = rows.count()
+    batches = n // config.batch + 1
+    settings = {k: v for k, v in dataclasses.asdict(config).items() if k not in ("resume", "cache")}
+    facts = json.loads(json.dumps(settings | {"rows": n, "batches": batches, "threshold": made.threshold, "features": made.names}))
+    done = files.committed_batches(spark, path) if config.resume and files.read_json(spark, f"{out}/attempts.json") == facts else set()
+    if not done:
+        files.remove(spark, path)
+        files.write_json(spark, facts, f"{out}/attempts.json")
+    for k in range(batches):
+        if k not in done:
+            own = cut(rows.where(F.pmod(F.xxhash64("row_id"), F.lit(batches)) == k))
+            found = searched(made, own, space, config)
+            files.log_attempts(found.select("row_id", "cf_rank", "counterfactual", F.coalesce("error_type", F.lit("found")).alias("status")), f"{path}/batch={k}", restart=True)
+    logged = spark.read.schema("row_id long, cf_rank int, counterfactual array<double>, status string").json([f"{path}/batch={k}" for k in range(batches)])
+    return logged.select("row_id", "cf_rank", "counterfactual", F.when(F.col("status") != "found", F.col("status")).alias("error_type"))
+
+
 def explain(spark: SparkSession, data: str, model: str, out: str, config: ExplainConfig = ExplainConfig()) -> dict:  # noqa: B008
     """Search counterfactuals, evaluate them against the training rows, and write them, what failed, a log of attempts, the summary and the config."""
     if config.method not in METHODS or config.fill not in FILLS:
@@ -166,8 +192,7 @@ def explain(spark: SparkSession, data: str, model: str, out: str, config: Explai
     rows = cut(complete.join(allowed, "row_id"))
 
     idle = rows.where(F.size("search") == 0).select("row_id", F.lit("NoMutableObservedFeatures").alias("error_type"))
-    attempts = cut(searched(made, rows.where(F.size("search") > 0), space, config))
-    files.log_attempts(attempts.select("row_id", "cf_rank", F.coalesce("error_type", F.lit("found")).alias("status")), f"{out}/attempts", restart=True)
+    attempts = cut(attempted(made, rows.where(F.size("search") > 0), space, config, out))
     hits = attempts.where("cf_rank > 0")
     # what was missing is missing again, and the model sees it so
     before = native.select("row_id", F.col("vector").alias("native"), made.proba().alias("proba_factual"))

@@ -43,6 +43,16 @@ def clip_bounds(spark, sf_dir):
     return a.select(F.lit("events").alias("source"), F.col("event_type").alias("concept"), "low", "high").unionByName(b.select(F.lit("lineitem").alias("source"), F.col("l_returnflag").alias("concept"), "low", "high"))
 
 
+SAMPLE = 150
+
+
+@query(f"""WITH drawn AS (SELECT event_type, value FROM events WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY md5('3|' || event_id), event_id) <= {SAMPLE})
+SELECT event_type, quantile_cont(value, 0.01) AS low, quantile_cont(value, 0.99) AS high FROM drawn GROUP BY event_type""")
+def sampled_bounds(spark, sf_dir):
+    """Quantiles of a uniform sample of SAMPLE values of each type (a sampling operator)."""
+    return events.quantile_bounds(table(spark, sf_dir, "events"), "event_type", "value", sample=SAMPLE, ids=["event_id"], seed=3)
+
+
 @query(f"""WITH {WINDOWED_SQL}, bounds AS (SELECT event_type, quantile_cont(value, 0.05) AS low, quantile_cont(value, 0.95) AS high FROM windowed GROUP BY event_type),
 clipped AS (SELECT user_id, w.event_type, ts, event_id, least(greatest(value, low), high) AS value FROM windowed w JOIN bounds b ON w.event_type = b.event_type)
 SELECT user_id, event_type, count(*) AS n, arg_min(value, (ts, event_id)) AS first, arg_min(value, (-epoch_us(ts), event_id)) AS last, min(value) AS min, max(value) AS max,

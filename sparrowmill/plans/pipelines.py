@@ -96,7 +96,7 @@ def build_features(tables: Mapping[str, DataFrame], config: FeatureConfig = Feat
         counts = cut(events.rare_bucket(inside, wanted, "key", config.rare).groupBy("stay_id", "key").agg(F.count("*").alias("cnt")))
         # drugs whose names become the same stay apart; one row a key
         named = naming.safe_names(sorted((r["key"] for r in counts.select("key").distinct().collect()), key=lambda k: (k != config.rare, k)), lambda k: re.sub("[ /]", "_", k))
-        named = spark.createDataFrame(list(named.items()), "key string, name string")
+        named = counts.sparkSession.createDataFrame(list(named.items()), "key string, name string")
         longs.append(features.to_long(counts.join(named, "key"), "stay_id", "name", {"cnt": "drug_cnt"}, "_"))
     static = [c for c in STATIC if c in who.columns]
     encoded = who

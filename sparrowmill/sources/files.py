@@ -155,6 +155,22 @@ def load_ensemble_json(spark: SparkSession, path: str) -> trees.Ensemble:
     return trees.Ensemble(nodes, spark.range(1).select(scalars.logit(F.lit(p))).first()[0])
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def committed_batches(spark: SparkSession, path: str) -> set[int]:
+    """Numbers of the batches (folders batch=K) whose write was committed."""
+    system, at = _file_system(spark, f"{path}/batch=*/_SUCCESS")
+    return {int(s.getPath().getParent().getName().removeprefix("batch=")) for s in system.globStatus(at) or []}
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    system, at = _file_system(spark, path)
+    system.delete(at, True)
+
+
 def log_attempts(attempts: DataFrame, path: str, restart: bool = False) -> None:
     """Attempts as JSON lines, added to those of earlier steps unless the run restarts."""
     attempts.write.mode("overwrite" if restart else "append").json(path)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparrowmill.operators import cohort, events, features, quantiles
+from sparrowmill.operators import cohort, events, features, quantiles, sampling
 
 T = dt.datetime(2020, 1, 1)
 H = dt.timedelta(hours=1)
@@ -24,7 +24,6 @@ def test_window_has_both_ends(spark, stays):
     times = [T, T + 48 * H, T - US, T + 48 * H + US, None]
     ev = frame(spark, [(1, k, t) for k, t in enumerate(times)], "stay long, k int, t timestamp_ntz")
     assert [r.k for r in events.in_window(ev, stays, "stay", "t").orderBy("k").collect()] == [0, 1]
-    assert [r.k for r in events.in_own_window(ev.where("k <> 2"), "stay", "t").orderBy("k").collect()] == [0, 1]
 
 
 def test_intervals(spark, stays):
@@ -137,3 +136,16 @@ def test_quantiles_are_those_of_all_values(spark):
         assert got.pop("none") is None and set(got) == set(groups)
         for k, own in groups.items():
             assert got[k] == pytest.approx(np.quantile(own, shares)), k
+
+
+def test_bottom_k_is_the_same_in_every_partitioning(spark):
+    """Hot, small and null keys; with no room above the share some keys fall short, and all their rows are ranked."""
+    import hashlib
+
+    rows = [("hot" if k % 10 else ("few" if k % 100 else None), k) for k in range(4000)]
+    df = frame(spark, rows, "c string, id long")
+    want = {c: set(sorted((k for d, k in rows if d == c), key=lambda k: hashlib.md5(f"5|{k}".encode()).hexdigest())[:60]) for c in ("hot", "few", None)}
+    for parts, room in ((1, sampling.ROOM), (7, sampling.ROOM), (3, -5.0)):
+        got = sampling.bottom_k(df.repartition(parts), "c", ["id"], 60, seed=5, room=room).collect()
+        assert {c: {r.id for r in got if r.c == c} for c in want} == want and len(got) == 60 + 60 + 40
+    assert sampling.bottom_k(df.limit(0), "c", ["id"], 5).count() == 0

@@ -202,6 +202,23 @@ def test_a_round_costs_the_same_late(spark, monkeypatch):
     assert max(t for t, _, _ in seen) == 3 and all(2 * asked <= max(values, 2) for _, asked, values in seen)
 
 
+def test_large_ensembles_are_scored_without_python(spark):
+    """A hundred trees of depth four, over columns and over a vector: the margins of plain arrays, and no Python in the plan."""
+    draw, nodes, names = np.random.default_rng(8), [], list("abcdef")
+    for t in range(100):
+        nodes += [ensemble.Node(t, k, 2 * k + 1, 2 * k + 2, str(draw.choice(names)), float(draw.normal()), bool(draw.integers(2)), None, 1.0) for k in range(15)]
+        nodes += [ensemble.Node(t, k, None, None, None, None, None, float(draw.normal())) for k in range(15, 31)]
+    model = ensemble.Ensemble(nodes, 0.2)
+    x = draw.normal(size=(50, 6))
+    x[draw.random(x.shape) < 0.2] = np.nan
+    df = frame(spark, x)
+    wide = df.select("row_id", *[F.col("vector")[k].alias(n) for k, n in enumerate(names)])
+    want = ensemble.margins(x, ensemble.arrays(model, names), 0.2)
+    for found in (ensemble.scored(wide, model).select("row_id", "margin"), df.select("row_id", ensemble.vector_margin_column(model, names).alias("margin"))):
+        assert [r.margin for r in found.orderBy("row_id").collect()] == pytest.approx(want)
+        assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_neighbours_against_brute_force(spark):
     draw = np.random.default_rng(4)
     x, q = draw.normal(size=(200, 3)), draw.normal(size=(9, 3))

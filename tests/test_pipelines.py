@@ -39,6 +39,7 @@ def raw(spark):
         outputs.append((k, 8, start + 2 * H, None if k % 5 == 0 else 3.0))
         procedures.append((k, 9 + k % 2, start, start + H))
         drugs.append((k, " aspirin " if k % 2 else None, "C/1" if k % 3 else "rare", start, None))
+        drugs += [(k, "c 1", None, start, None)] * (k % 3 == 0)  # another drug whose name becomes the same
     make = spark.createDataFrame
     return {
         "stays": make(stays, "stay_id long, hadm_id long, subject_id long, intime timestamp_ntz, outtime timestamp_ntz"),
@@ -67,6 +68,8 @@ def test_features_model_counterfactuals(spark, raw, folders):
     assert len(who) == 239 and all(r.age >= 18 for r in who)  # the child isn't in the cohort
     names = pipelines.write_features(made, folders["data"], config=config)
     assert {"chart_mean_item_1", "chart_first_item_2", "drug_cnt_ASPIRIN", "n_transfers_before_icu", "proc_cnt_DIALYSIS"} <= set(names)
+    drugs = {r.feature: r.n for r in made["long"].where("feature like 'drug_cnt_C%'").groupBy("feature").agg(F.sum("value").alias("n")).collect()}
+    assert drugs == {"drug_cnt_C_1": sum(k % 3 == 0 for k in range(1, 240)), "drug_cnt_C_1_1": sum(k % 2 == 0 and k % 3 > 0 for k in range(1, 240))}
     x = files.read_split(spark, folders["data"], "train")
     assert x.agg(F.max("chart_max_item_1")).first()[0] < 900
     subjects = [set(r.subject_id for r in files.read_table(spark, folders["data"], f"X_{s}").select("subject_id").collect()) for s in files.SPLITS]
@@ -120,6 +123,40 @@ def test_rows_without_a_feature_to_change_fail_with_a_reason(spark):
     assert len(got[1]) == 2 and got[2] == [] and got[3] == [FEATURES[1]]
 
 
+def test_a_killed_search_goes_on_from_its_log(spark, tmp_path, monkeypatch):
+    """A run that dies after two batches has committed them; the next one searches only the rest, with the same end as a run at once."""
+    draw = np.random.default_rng(4)
+    rows = spark.createDataFrame([(k, [float(round(v, 2)) for v in draw.uniform(0, 90, 10)], FEATURES[:5]) for k in range(12)], "row_id long, vector array<double>, search array<string>")
+    made = explanations.Artefacts(TOY, 0.45, FEATURES, {}, None, {})
+    space = search.Space(FEATURES, [0.0] * 10, [90.0] * 5 + [4.0] * 5, set(FEATURES[:5]))
+    config = explanations.ExplainConfig("exact", batch=3, options={"gap": 0.0})
+    order = lambda df: sorted(map(tuple, df.collect()), key=str)
+    want = order(explanations.attempted(made, rows, space, config, f"file://{tmp_path}/whole"))
+    assert len({r[0] for r in want}) == 12
+    plain, seen = explanations.searched, []
+
+    def dying(made, own, space, config):
+        if len(seen) == 2:
+            raise KeyboardInterrupt
+        seen.append({r.row_id for r in own.collect()})
+        return plain(made, own, space, config)
+
+    monkeypatch.setattr(explanations, "searched", dying)
+    out = f"file://{tmp_path}/killed"
+    with pytest.raises(KeyboardInterrupt):
+        explanations.attempted(made, rows, space, config, out)
+    assert len(files.committed_batches(spark, f"{out}/attempts")) == 2
+    later = []
+    monkeypatch.setattr(explanations, "searched", lambda made, own, space, config: later.append({r.row_id for r in own.collect()}) or plain(made, own, space, config))
+    again = explanations.ExplainConfig("exact", batch=3, resume=True, options={"gap": 0.0})
+    assert order(explanations.attempted(made, rows, space, again, out)) == want
+    assert set().union(*seen).isdisjoint(set().union(*later)) and len(set().union(*seen, *later)) == 12
+    # another search doesn't take these batches for its own
+    later.clear()
+    explanations.attempted(made, rows, space, explanations.ExplainConfig("exact", batch=3, resume=True, options={"gap": 0.5}), out)
+    assert len(set().union(*later)) == 12
+
+
 def test_audit_finds_a_margin_that_is_not_the_leaves(spark, monkeypatch):
     rows = spark.createDataFrame([(1, 1, [30.0] * 10), (2, 1, [None] * 10)], "row_id long, cf_rank int, counterfactual array<double>")
     assert all(r.error_type is None and r.n_leaves == 3 for r in search.audited(rows, TOY, FEATURES).collect())
