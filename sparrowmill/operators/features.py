@@ -93,6 +93,15 @@ def filled(feature: Column, value: Column) -> Column:
     return F.when(value.isNull() & is_exposure(feature), F.lit(0.0)).otherwise(value)
 
 
+# Columns that tell the outcome.
+LEAKS = ("discharge_location", "last_careunit", "outtime", "admittime", "dischtime", "deathtime")
+
+
+def static_columns(df: DataFrame, keys: Sequence[str], wanted: Sequence[str], leaks: Sequence[str] = LEAKS) -> DataFrame:
+    """The keys and those wanted columns that exist and don't tell the outcome, in the order they are wanted."""
+    return df.select(*keys, *[c for c in wanted if c in df.columns and c not in leaks and c not in keys])
+
+
 def levels(train: DataFrame, column: str, least: int = 1, most: int = LEVELS) -> DataFrame:
     """(level, n): at most `most` levels with `least` rows or more, the frequent ones first, then UNKNOWN and RARE."""
     counts = train.select(F.coalesce(F.col(column).cast("string"), F.lit(scalars.UNKNOWN)).alias("level")).groupBy("level").agg(F.count("*").alias("n"))

@@ -336,6 +336,39 @@ def knn_impute(spark, sf_dir):
     return found.select("id", F.inline(F.arrays_zip(names.alias("feature"), F.transform("vector", lambda x: F.round(x, 6)).alias("value"))))
 
 
+@query(f"""WITH {DENSE_SQL}, ranges AS (SELECT feature, min(value) AS least, max(value) AS most FROM dense GROUP BY feature),
+b AS (
+  SELECT user_id, d.feature, value, least, most, d.feature[:5] = 'chart' AS mutable, greatest(30.0::DOUBLE, least) AS floor, least(45.0::DOUBLE, most) AS ceiling FROM dense d JOIN ranges r ON d.feature = r.feature),
+f AS (SELECT *, CASE WHEN NOT mutable THEN CASE WHEN 30 <= value AND value <= 45 THEN value END WHEN floor <= ceiling THEN least(greatest(value, floor), ceiling) END AS moved FROM b)
+SELECT user_id, feature, CASE WHEN value IS NULL THEN feature <> 'chart_mean_item_view' ELSE moved IS NOT NULL END AS ok, CASE WHEN value IS NOT NULL THEN moved END AS value FROM f""")
+def projected_values(spark, sf_dir):
+    """Every value moved into [30, 45] and its feature's range: counts may not change, a missing mean view may not stay."""
+    rows = dense(spark, sf_dir)
+    ranges = evaluate.feature_ranges(rows).select("feature", "least", "most")
+    f = F.col("feature")
+    moved = scalars.projected(F.col("value"), F.lit(30.0), F.lit(45.0), F.col("least"), F.col("most"), f.startswith("chart"), F.lit(False), f != "chart_mean_item_view")
+    return rows.join(ranges, "feature").select("user_id", "feature", moved.alias("p")).select("user_id", "feature", "p.ok", "p.value")
+
+
+@query(f"""WITH {DENSE_SQL}, steps AS (SELECT user_id, feature, value / 60 AS x FROM dense WHERE value IS NOT NULL AND feature[:5] = 'chart'),
+near AS (SELECT *, CASE WHEN abs(x) <= abs(x - 1) THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS first FROM steps)
+SELECT user_id, feature, CASE WHEN 0.2::DOUBLE <= first AND first <= x + 0.5::DOUBLE THEN first WHEN 0.2::DOUBLE <= 1 - first AND 1 - first <= x + 0.5::DOUBLE THEN 1 - first END AS bit FROM near""")
+def binary_projection(spark, sf_dir):
+    """0 or 1, the one nearer to each measurement over 60 that lies between 0.2 and half above it."""
+    rows = dense(spark, sf_dir).where(F.col("value").isNotNull() & F.col("feature").startswith("chart")).withColumn("x", F.col("value") / 60)
+    return rows.select("user_id", "feature", scalars.nearest_binary(F.col("x"), F.lit(0.2), F.col("x") + 0.5).alias("bit"))
+
+
+@query(f"""WITH {DENSE_SQL}, fills AS (SELECT feature, coalesce(quantile_cont(value, 0.5), 0) AS fill FROM dense GROUP BY feature),
+new AS (SELECT user_id AS row_id, d.feature, coalesce(value, fill) AS value FROM dense d JOIN fills f ON d.feature = f.feature WHERE user_id % 2 = 0)
+SELECT d.user_id AS row_id, d.feature, coalesce(n.value, d.value) AS value FROM dense d LEFT JOIN new n ON d.user_id = n.row_id AND d.feature = n.feature""")
+def overlaid_factuals(spark, sf_dir):
+    """All rows' values with the imputed ones of the even rows laid over them, by row id and feature."""
+    rows = dense(spark, sf_dir).withColumnRenamed("user_id", "row_id")
+    filled = impute.imputed(rows.where("row_id % 2 = 0"), impute.fill_values(rows))
+    return impute.overlaid(rows, filled)
+
+
 def _search_rows(spark, sf_dir):
     """Predicted positives with their vectors, and the space to search in."""
     space = search.Space.learn(evaluate.feature_ranges(dense(spark, sf_dir)), FEATURES, set(MEANS))

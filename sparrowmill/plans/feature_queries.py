@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators import cohort, events, features
 from .registry import query
-from .tables import COUNTS, DENSE_SQL, FEATURES, HOURS, MEANS, STATS, TYPES, WINDOWED_SQL, dense, summaries, table, wide, windowed
+from .tables import COUNTS, DENSE_SQL, FEATURES, HOURS, MEANS, STATS, TOY, TYPES, WINDOWED_SQL, dense, summaries, table, wide, windowed
 
 SUMMARY_SQL = f"""{WINDOWED_SQL},
 summary AS (
@@ -262,6 +262,19 @@ def feature_catalog(spark, sf_dir):
     return features.catalogue(_more(spark, sf_dir))
 
 
+@query(f"WITH {CATALOGUE_SQL} SELECT * FROM catalogue WHERE feature IN ({', '.join(f"'{f}'" for f in TOY.features())})")
+def model_catalogue(spark, sf_dir):
+    """The catalogue's rows of the features that the model uses."""
+    own = TOY.table(spark).where("feature is not null").select("feature")
+    return features.catalogue(_more(spark, sf_dir)).join(own, "feature", "left_semi")
+
+
+@query("SELECT c_custkey, c_mktsegment, c_nationkey FROM customer")
+def static_frame(spark, sf_dir):
+    """Static columns of all customers: of those wanted one doesn't exist, and one counts as a leak."""
+    return features.static_columns(table(spark, sf_dir, "customer"), ["c_custkey"], ["c_mktsegment", "c_region", "c_acctbal", "c_nationkey"], leaks=("c_acctbal",))
+
+
 @query(f"WITH {CATALOGUE_SQL} SELECT feature, train_min AS low, train_max AS high FROM catalogue WHERE train_min < train_max AND mutability = 'mutable_with_clinical_constraints'")
 def permitted_ranges(spark, sf_dir):
     c = features.catalogue(_more(spark, sf_dir))

@@ -98,7 +98,7 @@ def build_features(tables: Mapping[str, DataFrame], config: FeatureConfig = Feat
         named = naming.safe_names(sorted((r["key"] for r in counts.select("key").distinct().collect()), key=lambda k: (k != config.rare, k)), lambda k: re.sub("[ /]", "_", k))
         named = counts.sparkSession.createDataFrame(list(named.items()), "key string, name string")
         longs.append(features.to_long(counts.join(named, "key"), "stay_id", "name", {"cnt": "drug_cnt"}, "_"))
-    static = [c for c in STATIC if c in who.columns]
+    static = features.static_columns(who, [], STATIC).columns
     encoded = who
     for column in static:
         encoded = cut(features.frequency_encoded(encoded, train, column, config.least_level, config.levels, f"_freq_{column}"))
