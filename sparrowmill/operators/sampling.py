@@ -8,17 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.staging import written
+from .cohort import hash_order
 
 #: Deviations of room above the wanted share, so that a key has too few rows in it about once in 10^9 times; then all its rows are ranked.
 ROOM = 6.0
 
 
-def place(ids: Sequence[str], seed: int = 0) -> Column:
-    """A row's place in a random order that depends on its ids alone: the md5 of seed and ids as text."""
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in ids]
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), *parts).cast("binary"))
-
-
 def _share(at: Column) -> Column:
     return F.conv(F.substring(at, 1, 13), 16, 10).cast("double") / float(16**13)
 
@@ -30,7 +25,7 @@ def bottom_k(df: DataFrame, key: str, ids: Sequence[str], k: int, seed: int = 0,
     a key with most of the rows costs no more than another. Should a share hold too few, that key's rows are all ranked.
     """
     columns = df.columns
-    rows = df.withColumn("_place", place(ids, seed))
+    rows = df.withColumn("_place", hash_order(*ids, seed=seed))
     counts = written(rows.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n")), "counts")
     order = F.row_number().over(Window.partitionBy(key).orderBy("_place", *ids))
     share = (k + room * F.sqrt(F.lit(float(k))) + room * room) / F.col("_n")

@@ -6,8 +6,11 @@ import math
 import numpy as np
 import pytest
 
-from sparrowmill.operators import search
+from pyspark.sql import functions as F
+
+from sparrowmill.operators import ensemble, search
 from sparrowmill.operators.ensemble import Ensemble, Node, regions
+from sparrowmill.plans.tables import FEATURES, TOY
 
 SIDE = 6.0
 
@@ -90,3 +93,61 @@ def test_diverse_sets_against_all_subsets(seed):
 def test_equal_candidates_come_last():
     x = np.array([[0.0], [0.0], [5.0]])
     assert search.diverse(x, np.array([0.0, 0.0, 0.4]), np.array([1.0]), 3, 1.0) == [0, 2, 1]
+
+
+def projected(value, low, high, least, most, may, allow):
+    """(ok, value): a missing value may only stay missing, a fixed one only where it fits, others go to the nearest end."""
+    if value is None:
+        return allow, None
+    if not may:
+        return low <= value <= high, value
+    floor, ceiling = max(low, least), min(high, most)
+    return floor <= ceiling, min(max(value, floor), ceiling)
+
+
+def plain_beam(x, may, facets, score, space, threshold, steps, width):
+    """One row's beam in plain lists: (found, proba, distance, facets used)."""
+    ranges = space.ranges()
+    start = ((), [-math.inf] * len(x), [math.inf] * len(x), [True] * len(x), x, score(x), 0.0)
+    states, best = [start], start
+    towards = lambda s: 1 - s[5]
+    for _ in range(steps):
+        tried = {}
+        for used, lower, upper, allow, *_ in states:
+            for tree, leaf, low, high, ok in facets:
+                if tree in {t for t, _ in used}:
+                    continue
+                a, b, m = [max(p) for p in zip(lower, low, strict=True)], [min(p) for p in zip(upper, high, strict=True)], [p and q for p, q in zip(allow, ok, strict=True)]
+                moved = [projected(x[j], a[j], b[j], space.least[j], space.most[j], may[j], m[j]) if a[j] > -math.inf or b[j] < math.inf or not m[j] else (True, x[j]) for j in range(len(x))]
+                if all(fits for fits, _ in moved):
+                    vector = [v for _, v in moved]
+                    d = sum(abs(v - w) / r for v, w, r in zip(vector, x, ranges, strict=True) if w is not None)
+                    tried[tuple(sorted((*used, (tree, leaf))))] = (tuple(sorted((*used, (tree, leaf)))), a, b, m, vector, score(vector), d)
+        flipped = [s for s in tried.values() if s[5] < threshold]
+        if flipped:
+            best = min(flipped, key=lambda s: (s[6], len(s[0]), s[0]))
+            return True, best[5], best[6], len(best[0])
+        states = sorted(tried.values(), key=lambda s: (-towards(s), s[6], len(s[0]), s[0]))[:width]
+        if not states:
+            break
+        top = max(states, key=lambda s: (towards(s), -s[6]))
+        best = top if (towards(top), -top[6]) > (towards(best), -best[6]) else best
+    return False, best[5], best[6], len(best[0])
+
+
+@pytest.mark.parametrize(("steps", "width", "threshold"), [(3, 4, 0.5), (2, 30, 0.42), (4, 2, 0.46)])
+def test_beam_against_a_plain_beam(spark, steps, width, threshold):
+    draw = np.random.default_rng(steps)
+    rows = [[None if draw.random() < 0.2 else float(round(v, 1)) for v in (*draw.uniform(0, 90, 5), *draw.integers(0, 5, 5))] for _ in range(14)]
+    names = [None if k % 2 else FEATURES[: 2 + k % 4] for k in range(14)]
+    space = search.Space(FEATURES, [0.0] * 10, [90.0] * 5 + [4.0] * 5, set(FEATURES[:5]))
+    df = spark.createDataFrame([(k, v, s) for k, (v, s) in enumerate(zip(rows, names, strict=True))], "row_id long, vector array<double>, search array<string>")
+    trees = ensemble.arrays(TOY, FEATURES)
+    score = lambda v: float(1 / (1 + np.exp(-ensemble.margins(np.array([v], float), trees, TOY.base_margin)[0])))
+    facets = [tuple(r) for r in search.facets(spark, TOY, FEATURES, 0).collect()]
+    got = {r.row_id: r for r in search.beam(df, TOY, space, threshold, steps=steps, width=width).select("row_id", "found", "proba", "distance", "n_facets", F.size("counterfactual").alias("n")).collect()}
+    for k, x in enumerate(rows):
+        may = [f in space.mutable and (names[k] is None or f in names[k]) for f in FEATURES]
+        found, proba, d, n = plain_beam(x, may, facets, score, space, threshold, steps, width)
+        assert (got[k].found, got[k].n_facets, got[k].n) == (found, n, 10)
+        assert (got[k].proba, got[k].distance) == pytest.approx((proba, d))
