@@ -86,12 +86,13 @@ def tree_sql(ensemble: Ensemble, tree: int, numbers: bool = False, column: Calla
     return text(ensemble.by_tree[tree][0])
 
 
-def margin_sql(ensemble: Ensemble) -> str:
-    return " + ".join([f"CAST({ensemble.base_margin!r} AS DOUBLE)", *(f"({tree_sql(ensemble, t)})" for t in ensemble.by_tree)])
+def margin_sql(ensemble: Ensemble, column: Callable[[str], str] = str) -> str:
+    return " + ".join([f"CAST({ensemble.base_margin!r} AS DOUBLE)", *(f"({tree_sql(ensemble, t, column=column)})" for t in ensemble.by_tree)])
 
 
-def margin(ensemble: Ensemble) -> Column:
-    return F.expr(margin_sql(ensemble)) if len(ensemble.nodes) <= MOST_CASE_NODES else chunked_margin(ensemble)
+def margin(ensemble: Ensemble, column: Callable[[str], str] = str) -> Column:
+    """The margin over columns; `column` gives a feature's SQL."""
+    return F.expr(margin_sql(ensemble, column)) if len(ensemble.nodes) <= MOST_CASE_NODES else chunked_margin(ensemble, column)
 
 
 def chunked_margin(ensemble: Ensemble, column: Callable[[str], str] = str) -> Column:

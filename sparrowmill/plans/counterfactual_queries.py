@@ -54,9 +54,11 @@ def _mutable(spark):
 
 def _rescored(spark, sf_dir):
     """(row_id, cf_rank, proba_factual, proba_counterfactual)."""
-    p = pairs(spark, sf_dir)
-    proba = lambda side, name: ensemble.scored(features.to_wide(p.select(*KEYS, "feature", F.col(side).alias("value")), KEYS, FEATURES), TOY).select(*KEYS, F.round("proba", 9).alias(name))
-    return proba("before", "proba_factual").join(proba("after", "proba_counterfactual"), KEYS)
+    sides = {"before": "proba_factual", "after": "proba_counterfactual"}
+    own = [F.max(F.when(F.col("feature") == f, F.col(side))).alias(f"{side}_{f}") for side in sides for f in FEATURES]
+    both = pairs(spark, sf_dir).groupBy(*KEYS).agg(*own)  # one row for both sides, one shuffle
+    proba = lambda side: F.round(scalars.sigmoid(ensemble.margin(TOY, lambda f: f"{side}_{f}")), 9)
+    return both.select(*KEYS, *[proba(side).alias(name) for side, name in sides.items()])
 
 
 @query(f"WITH {PAIRS_SQL} SELECT row_id, cf_rank, feature, before, CASE WHEN before IS NOT NULL THEN after END AS after, before IS NULL AND after IS NOT NULL AS was_restored FROM pairs")
