@@ -9,7 +9,9 @@ every choice of radius blocks at least one leaves all differing bits out, so equ
 
 Defined results: a null text counts as empty; a text without words has the zero fingerprint; equal texts have equal
 fingerprints; likeness is 1 - distance / 64, so 1 for two empty texts. In `edited`, rows with the same id follow in order of
-their text, and a null id comes first; a single row is its own next row; an empty table gives an empty result.
+their text, and a null id comes first; a single row is its own next row; an empty table gives an empty result. A text of any length is split
+into words whole, in one row, and its votes are sums; rows of one repeated id, or without id, are put in order in one task. Only the
+id and text columns are read, so others may have any name.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ nothing is read twice. Archives are uncompressed, or gzip with one member for ea
 
 Defined results for `archive`: a null payload counts as empty; among equal payloads the least page_id is the response and the
 others, also rows without id, revisit it; rows that repeat the least id are responses too; without any id all are
-responses; line breaks inside a URL are percent-encoded; a null URL has no header; an empty table writes no archive.
+responses; line breaks inside a URL are percent-encoded; a null URL has no header; an empty table writes no archive. A payload of any length is
+one value of bytes while it is written or read, and is never cut. Only the id, URL and payload columns are read, so others may have any name.
 """
 
 from __future__ import annotations

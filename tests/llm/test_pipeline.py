@@ -46,6 +46,23 @@ def test_no_rows(spark, folder):
     assert corpus_pipeline.run(spark, path).count() == 0
 
 
+def test_awkward_rows(spark, folder, awkward):
+    """Null ids, repeated rows, a very long text, and extra columns with the names that stages use inside."""
+    names = {"lang_pred": F.lit(1), "findings": F.lit("f"), "item_ids": F.lit("i"), "component_id": F.lit(2), "text_key": F.lit("k")}
+    items = spark.createDataFrame([(1, None), (2, ""), (3, "not in any of these texts at all")], "item_id long, text string")
+    path = folder(documents=awkward.withColumns(names), benchmark=items)
+    docs = first = spark.read.parquet(f"{path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, path)
+        assert docs.columns == first.columns
+    texts = {(r.doc_id, r.text) for r in first.collect()}
+    kept = [(r.doc_id, r.text) for r in docs.collect()]
+    assert set(kept) <= texts and sorted((i for i, _ in kept), key=str) == sorted([3, 4, 6, 7, 11, None], key=str)
+    run = corpus_pipeline.run(spark, path)
+    assert run.columns == [*[c for c in first.columns if c != "copies"], "copies"]
+    assert {(r.doc_id, r.text) for r in run.collect()} <= set(kept)
+
+
 def test_dedup_takes_five_words(spark):
     text = " ".join(f"w{k}" for k in range(30))
     df = spark.createDataFrame([(1, text, None, None, 1), (2, text + " x", None, None, 1)], SCHEMA)
