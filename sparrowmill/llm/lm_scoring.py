@@ -71,12 +71,6 @@ def grams(stream: np.ndarray, starts: np.ndarray, order: int) -> Iterator[tuple[
         yield key, np.flatnonzero(room >= max(n - 1, 1))
 
 
-def _shards(keys: np.ndarray, n_shards: int) -> np.ndarray:
-    """Where each shard, a range of hashes, begins in sorted keys."""
-    width = (1 << 64) // n_shards
-    return np.concatenate([np.searchsorted(keys, np.array([k * width for k in range(n_shards)], np.uint64)), [len(keys)]])
-
-
 def _lists(values: np.ndarray, cut: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(values))
 
@@ -103,10 +97,10 @@ def _unpacked(table: pa.Table) -> np.ndarray:
 
 def _asked(keys: np.ndarray, counts: np.ndarray, block: int, n_shards: int) -> pa.Table:
     """(shard, block, keys, counts): what a block asks each shard that has a key of it."""
-    cut = _shards(keys, n_shards)
-    some = np.flatnonzero(np.diff(cut))
-    edges = np.append(cut[some], len(keys))
-    return pa.table({"shard": some.astype(np.int32), "block": np.full(len(some), block, np.int32), "keys": _lists(keys.view(np.int64), edges), **_packed(counts.astype(np.int64), edges)})
+    shard = (keys >> np.uint64(65 - n_shards.bit_length())).astype(np.int32)  # a range of hashes; there are a power of two
+    first = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])[: len(keys)])
+    edges = np.append(first, len(keys))
+    return pa.table({"shard": shard[first], "block": np.full(len(first), block, np.int32), "keys": _lists(keys.view(np.int64), edges), **_packed(counts.astype(np.int64), edges)})
 
 
 ASKED = "shard int, block int, keys array<long>, counts array<tinyint>, large array<long>"
