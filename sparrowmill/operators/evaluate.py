@@ -112,6 +112,7 @@ def validity(scored: DataFrame, threshold: float, target: int = 0) -> DataFrame:
 
 def summary(evaluated: DataFrame, measures: Sequence[str] = MEASURES, row: str = "row_id") -> DataFrame:
     """One row: counterfactuals, rows, shares of valid counterfactuals, of rows with a valid one and of those that change what may not change, mean and median of each measure."""
+    evaluated = cut(evaluated.select(row, "valid", *measures))  # read by several steps
     by_row = evaluated.groupBy(row).agg(F.max("valid").alias("_any"))
     stats = [F.avg(c).alias(f"mean_{c}") for c in measures]
     if "n_violations" in measures:
