@@ -134,10 +134,15 @@ def save_model(spark: SparkSession, model: trees.Ensemble, metrics: Mapping[str,
     write_json(spark, dict(names), f"{folder}/feature_names.json")
 
 
+MODEL_JSON = "model.json"
+
+
 def load_model(spark: SparkSession, folder: str) -> tuple[trees.Ensemble, float]:
-    """The ensemble and its tuned threshold; the default where metrics have none."""
+    """The ensemble and its tuned threshold; the default where metrics have none. A model that other software trained is a file model.json."""
     metrics = read_json(spark, f"{folder}/metrics.json", {})
     threshold = metrics.get("threshold_selection", {}).get("best_threshold", DEFAULT_THRESHOLD)
+    if read_json(spark, f"{folder}/{MODEL_JSON}") is not None:
+        return load_ensemble_json(spark, f"{folder}/{MODEL_JSON}"), float(threshold)
     return trees.Ensemble.load(read_table(spark, folder, "nodes"), metrics.get("base_margin", 0.0)), float(threshold)
 
 

@@ -253,8 +253,9 @@ def test_batches_on_disk(spark, tmp_path):
 def test_model_json(spark, tmp_path):
     tree = {"left_children": [1, -1, -1], "right_children": [2, -1, -1], "split_indices": [0, 0, 0], "split_conditions": [2.0, 0.0, 0.0], "default_left": [1, 0, 0], "base_weights": [0.0, -1.0, 1.0]}
     learner = {"feature_names": ["a"], "gradient_booster": {"model": {"trees": [tree]}}, "learner_model_param": {"base_score": "[5E-1]"}}
-    (tmp_path / "m.json").write_text(json.dumps({"learner": learner}))
-    e = files.load_ensemble_json(spark, f"file://{tmp_path}/m.json")
+    (tmp_path / "model.json").write_text(json.dumps({"learner": learner}))
+    e, threshold = files.load_model(spark, f"file://{tmp_path}")
+    assert threshold == files.DEFAULT_THRESHOLD
     assert e.base_margin == pytest.approx(0.0) and [n.leaf for n in e.nodes] == [None, -1.0, 1.0] and e.features() == ["a"]
 
 
