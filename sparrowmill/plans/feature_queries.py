@@ -284,8 +284,9 @@ def permitted_ranges(spark, sf_dir):
 @query(f"WITH {DENSE_SQL} SELECT user_id, feature, value FROM dense")
 def zero_fill(spark, sf_dir):
     """Absent exposures are 0, absent measurements missing, from a long table that lacks both."""
-    have = dense(spark, sf_dir).where("value <> 0")
-    return features.densified(have, have.select("user_id"), spark.createDataFrame([(f,) for f in FEATURES], "feature string"), "user_id")
+    absent = F.col("value").isNull() | features.is_exposure(F.col("feature")) & (F.col("value") == 0)  # a mean of 0 is a measurement
+    have = dense(spark, sf_dir).where(~absent)
+    return features.densified(have, wide(spark, sf_dir), spark.createDataFrame([(f,) for f in FEATURES], "feature string"), "user_id")
 
 
 STAYS_SQL = """stays AS (SELECT l_orderkey * 10 + l_linenumber AS stay_id, l_orderkey AS hadm_id, o_custkey AS subject_id, l_shipdate AS intime, l_shipdate + INTERVAL 3 DAY AS outtime,
