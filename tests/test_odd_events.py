@@ -1,10 +1,14 @@
-"""Queries on events with odd values, against their SQL: means of exactly 0, users with other events only."""
+"""Queries on events with odd values, against their SQL: means of exactly 0, users with other events only, values on a model's thresholds."""
 
 from datetime import datetime, timedelta
 
 import duckdb
+import pytest
 
 from sparrowmill import queries
+from sparrowmill.plans.tables import TOY, TYPES
+
+CUTS = sorted({n.threshold for n in TOY.nodes if n.feature and n.feature.startswith("chart")})
 
 
 def same(spark, tmp_path, name, events):
@@ -28,3 +32,12 @@ def test_zero_fill_keeps_means_of_zero_and_every_user(spark, tmp_path):
     events = [(1, "click", 0.0), (1, "view", 3.5), (2, "error", 1.0), (2, "error", -1.0), (3, "other", 7.0), (4, "signup", None)]
     got = same(spark, tmp_path, "zero_fill", events)
     assert {(1, "chart_mean_item_click", 0.0), (2, "chart_mean_item_error", 0.0), (3, "chart_mean_item_click", None), (3, "input_cnt_item_click", 0.0)} <= set(got)
+
+
+@pytest.mark.parametrize("name", ["exact_search", "exact_apart"])
+def test_exact_search_crosses_thresholds_that_values_lie_on(spark, tmp_path, name):
+    """Every user has each value at a threshold; a step below it may be all that flips the prediction."""
+    n, kinds = len(CUTS), len(TYPES)
+    events = [(u, t, CUTS[(u // n**k + k) % n] if (u + k) % 4 else 10.0 * (u % 9)) for u in range(60) for k, t in enumerate(TYPES)]
+    events += [(u, TYPES[u % kinds], CUTS[u % n]) for u in range(0, 60, 3)]
+    assert same(spark, tmp_path, name, events)
