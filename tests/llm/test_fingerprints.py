@@ -82,3 +82,10 @@ def test_neighbours_query_against_all_pairs(spark):
     near = lambda a: sum(1 for b in others if a != b and ((a ^ b) & (1 << 64) - 1).bit_count() <= fingerprints.RADIUS)
     got = {r.doc_id: r.n_near for r in fingerprints.fingerprint_neighbours(spark, sf).collect()}
     assert got == {i: near(p) for i, p in prints.items() if i % 50 == 0}
+
+
+def test_neighbours_broadcast_no_exploded_side(spark):
+    """Twenty keys a fingerprint aren't counted in Spark's estimate, so a broadcast would take the whole index to the driver."""
+    df = spark.range(1000).select(F.xxhash64("id").alias("fingerprint"))
+    plan = fingerprints.neighbours(df, df)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
