@@ -35,6 +35,8 @@ SAMPLE = 4800
 SPARE = 4
 BINS = 1 << 13
 LONGEST = 4
+#: Columns of the training matrix that the driver works on at once.
+_COLUMNS = [slice(at, at + 512) for at in range(0, BINS, 512)]
 
 # Languages and their families.
 FAMILIES = {
@@ -181,6 +183,15 @@ def _machine(gram: np.ndarray, y: np.ndarray, steps: int = 150, penalty: float =
     return part, bias
 
 
+def _products(x: np.ndarray, use: np.ndarray) -> np.ndarray:
+    """Products of all pairs of the used rows; no copy of the whole matrix is made."""
+    out = np.zeros((len(use), len(use)))
+    for own in _COLUMNS:
+        part = x[use, own]
+        out += part @ part.T
+    return out
+
+
 def examples(rows: DataFrame) -> DataFrame:
     """(id, lang, script, bins, shares) from (id, lang, text): the n-gram frequencies above 0."""
 
@@ -234,7 +245,8 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, id_col: st
     x = np.zeros((len(langs), BINS), np.float32)
     for row, bins, shares in zip(x, rows["bins"], rows["shares"], strict=True):
         row[bins.values.to_numpy()] = shares.values.to_numpy()
-    mean, deviation = x.mean(0, dtype=np.float64), x.std(0, dtype=np.float64) + 1e-4
+    del rows
+    mean, deviation = x.mean(0, dtype=np.float64), np.concatenate([x[:, own].std(0, dtype=np.float64) for own in _COLUMNS]) + 1e-4
     x -= mean.astype(np.float32)
     x /= (deviation * np.sqrt(BINS)).astype(np.float32)
     family_of = np.array([next(f for f, own in families.items() if lang in own) for lang in langs], object)
@@ -242,8 +254,8 @@ def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, id_col: st
     for sides, group in [(sorted(families), family_of), *((own, langs) for _, own in sorted(families.items()))]:
         for a, b in combinations(sides, 2):
             use = np.flatnonzero((group == a) | (group == b))
-            part, c = _machine((x[use] @ x[use].T).astype(np.float64), np.where(group[use] == a, 1.0, -1.0))
-            w = part @ x[use] / deviation / np.sqrt(BINS)
+            part, c = _machine(_products(x, use), np.where(group[use] == a, 1.0, -1.0))
+            w = np.concatenate([part @ x[use, own] for own in _COLUMNS]) / deviation / np.sqrt(BINS)
             pairs.append((a, b))
             weights.append(np.append(w, 0).astype(np.float32))
             bias.append(c - float(w @ mean))
