@@ -1,13 +1,14 @@
 """Gradient-boosted trees for a label of 0 or 1, by histograms that Spark sums, with missing values routed by the data.
 
-Values are cut into bins once, at quantiles, and written as a binned matrix in blocks of rows, each with its rows' margins. A round costs the
-same however many came before: a task starts from the margins in its blocks and walks only the trees grown since these were written,
-at most CARRY, which then are written with the next version of the matrix. Rows aren't shuffled after that.
+Values are cut into bins once, at quantiles, and written as a binned matrix in blocks of rows, each with its rows' margins. Executors hold the
+blocks in memory, or on their disks. A round costs the same however many came before: a task starts from the margins in its blocks and walks
+only the trees grown since, at most STEP, which then go into the margins held; after CARRY trees the next version of the matrix is written,
+so that a lost executor's blocks are made from few steps. Rows aren't shuffled after that.
 
-For each level of a tree the tasks add up gradients and curvatures by node, feature and bin, and only those sums are shuffled; the
-driver picks each node's best split from one row a node, feature and bin, which doesn't grow with the rows. Of two sibling nodes
-only the lighter one is summed, the other is their parent less that one. The validation loss of a round comes with the next
-round's first level.
+For each level of a tree the tasks add up gradients and curvatures by node, sampled feature and bin, one array a task, and only those are sent: a
+level is one job of one stage, whose time is mostly Spark's own while the rows are few. The driver adds the arrays up, in groups of tasks first where they
+are large, and picks each node's best split, from numbers that don't grow with the rows. Of two sibling nodes only the lighter one is summed, the
+other is their parent less that one. The validation loss of a round comes with the next round's first level.
 
 Each split tries missing values on both sides. Rows and features are sampled by seeded hashes. Boosting stops when the validation
 loss hasn't improved for `patience` rounds, and the ensemble is cut back to its best round.
@@ -21,14 +22,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.staging import discard, written
 from .ensemble import Ensemble, Node
 
-#: Rows of a block, and trees after which margins are written.
-BLOCK, CARRY = 8192, 24
+#: Rows of a block, and trees after which margins are written, and after which they are brought up to date in memory.
+BLOCK, CARRY, STEP = 8192, 24, 4
+#: Most rows of a task, where the cores alone would ask for fewer tasks; bytes of sums that the driver takes from all tasks directly.
+TASK_ROWS, DIRECT = 1 << 19, 8 << 20
 
 
 @dataclass(frozen=True)
@@ -71,12 +75,16 @@ class Tree:
     values: dict[int, float]
 
     def nodes_of(self, bins: np.ndarray, missing: int) -> np.ndarray:
-        at = np.zeros(len(bins), np.int64)
-        for node, s in sorted(self.splits.items()):
-            own = np.flatnonzero(at == node)
-            value = bins[own, s.feature]
-            left = np.where(value == missing, s.default_left, value <= s.bin)
-            at[own] = np.where(left, s.left, s.right)
+        at, rows = np.zeros(len(bins), np.int64), {0: np.arange(len(bins))}
+        for node, s in sorted(self.splits.items()):  # a node's number is below its children's
+            own = rows.pop(node)
+            value = bins[:, s.feature].take(own)
+            left = value <= s.bin
+            if s.default_left:
+                left |= value == missing
+            rows[s.left], rows[s.right] = own[left], own[~left]
+        for node, own in rows.items():
+            at[own] = node
         return at
 
     def margins(self, bins: np.ndarray, missing: int) -> np.ndarray:
@@ -116,10 +124,22 @@ def binned(rows: DataFrame, cuts: list[np.ndarray], missing: int, block: int = B
     return chosen.mapInArrow(run, BLOCKS)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[bool, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    for batch in batches:
-        for training, ids, labels, bins, margins in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            yield training, np.frombuffer(ids, np.int64), np.frombuffer(labels), np.frombuffer(bins, np.uint16).reshape(-1, width), np.frombuffer(margins)
+#: A block in memory: training, ids, labels, bins, margins.
+Block = tuple[bool, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _block(training: bool, ids: bytes, labels: bytes, bins: bytes, margins: bytes, width: int) -> Block:
+    return training, np.frombuffer(ids, np.int64), np.frombuffer(labels), np.frombuffer(bins, np.uint16).reshape(-1, width), np.frombuffer(margins)
+
+
+def held(blocks: DataFrame, width: int, parts: int) -> RDD[Block]:
+    """The written matrix as executors hold it, in at most `parts` tasks; what is lost is read again."""
+    return blocks.coalesce(parts).rdd.map(lambda r: _block(*r, width)).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _stepped(blocks: RDD[Block], trees: list[Tree], missing: int) -> RDD[Block]:
+    """The held blocks with the margins that some more trees give."""
+    return blocks.map(lambda b: (*b[:4], b[4] + sum(t.margins(b[3], missing) for t in trees))).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _carried(blocks: DataFrame, trees: list[Tree], width: int, missing: int) -> DataFrame:
@@ -127,7 +147,8 @@ def _carried(blocks: DataFrame, trees: list[Tree], width: int, missing: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            margins = [m + sum(t.margins(bins, missing) for t in trees) for _, _, _, bins, m in _blocks([batch], width)]
+            own = [_block(*r, width) for r in zip(*[c.to_pylist() for c in batch.columns], strict=True)]
+            margins = [m + sum(t.margins(bins, missing) for t in trees) for _, _, _, bins, m in own]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([m.tobytes() for m in margins], pa.binary())], batch.schema.names)
 
     return blocks.mapInArrow(run, BLOCKS)
@@ -153,38 +174,42 @@ def loss_sums(labels: np.ndarray, margins: np.ndarray, weight: float) -> tuple[f
     return float((np.logaddexp(0, np.where(labels > 0.5, -margins, margins)) * w).sum()), float(w.sum())
 
 
-def _summed(blocks: DataFrame, trees: list[Tree], tree: Tree, asked: list[int], width: int, s: Settings, seed: int, weight: float, with_loss: bool) -> tuple[dict[int, np.ndarray], float]:
-    """Sums (width, bins + 1, 2) of gradient and curvature for each asked node of a growing tree; and the validation loss of `trees`."""
-    size = width * (s.bins + 1)
-    place = {node: k for k, node in enumerate(asked)}
+def _added(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return a[0] + b[0], a[1] + b[1]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, loss = np.zeros((len(asked) * size, 2)), np.zeros(2)
-        where = np.full(max([0, *asked, *tree.values, *tree.splits]) + 1, -1)
-        for node, k in place.items():
-            where[node] = k
-        columns = np.arange(width) * (s.bins + 1)
-        for training, ids, labels, bins, margins in _blocks(batches, width):
+
+def _summed(blocks: RDD[Block], trees: list[Tree], tree: Tree, asked: list[int], width: int, chosen: np.ndarray, s: Settings, seed: int, weight: float, with_loss: bool) -> tuple[dict[int, np.ndarray], float]:
+    """Sums (width, bins + 1, 2) of gradient and curvature for each asked node of a growing tree, 0 for features that aren't chosen; and the validation loss of `trees`."""
+    shape = (len(asked), len(chosen), s.bins + 1)
+    size = len(chosen) * (s.bins + 1)
+    where = np.full(max([0, *asked, *tree.values, *tree.splits]) + 1, -1)
+    where[asked] = np.arange(len(asked))
+    columns = np.arange(len(chosen)) * (s.bins + 1)
+
+    def run(own_blocks: Iterator[Block]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        sums, loss = np.zeros((2, len(asked) * size)), np.zeros(2)
+        for training, ids, labels, bins, margins in own_blocks:
+            if not (training or with_loss):
+                continue
+            if training:
+                at = where[tree.nodes_of(bins, s.bins)]
+                own = np.flatnonzero((hash_share(ids, seed) < s.rows) & (at >= 0))
+                at, bins, labels, margins = at[own], bins[own], labels[own], margins[own]
             margins = margins + sum(t.margins(bins, s.bins) for t in trees)
             if not training:
-                loss += loss_sums(labels, margins, weight) if with_loss else 0
+                loss += loss_sums(labels, margins, weight)
                 continue
-            at = where[tree.nodes_of(bins, s.bins)]
-            own = np.flatnonzero((hash_share(ids, seed) < s.rows) & (at >= 0))
-            g, h = gradients(labels[own], margins[own], weight)
-            cell = (at[own, None] * size + columns + bins[own]).ravel()
-            for k, x in enumerate((g, h)):
-                sums[:, k] += np.bincount(cell, np.repeat(x, width), len(sums))
-        some = np.flatnonzero(sums[:, 1])
-        cells = np.append(some, -1).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(cells), *[pa.array(np.append(sums[some, k], loss[k])) for k in range(2)]], ["cell", "g", "h"])
-
-    found = blocks.mapInArrow(run, "cell int, g double, h double").groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow()  # one row a node, feature and bin
-    cells, values = found["cell"].to_numpy(), np.stack([found["g"].to_numpy(), found["h"].to_numpy()], 1)
-    out = np.zeros((len(asked) * size, 2))
-    out[cells[cells >= 0]] = values[cells >= 0]
-    loss = values[cells < 0].sum(0)
-    return {node: out[k * size : (k + 1) * size].reshape(width, s.bins + 1, 2) for node, k in place.items()}, float(loss[0] / loss[1]) if loss[1] else 0.0
+            cell = (at[:, None] * size + columns + bins[:, chosen]).ravel()
+            for k, x in enumerate(gradients(labels, margins, weight)):
+                sums[k] += np.bincount(cell, np.repeat(x, len(chosen)), len(asked) * size)
+        yield sums, loss
+
+    parts = blocks.getNumPartitions()
+    depth = 1 if parts * len(asked) * size * 16 <= DIRECT else 2
+    found, loss = blocks.mapPartitions(run).treeReduce(_added, depth)  # one array a task
+    out = np.zeros((len(asked), width, s.bins + 1, 2))
+    out[:, chosen] = found.reshape(2, *shape).transpose(1, 2, 3, 0)
+    return dict(zip(asked, out, strict=True)), float(loss[0] / loss[1]) if loss[1] else 0.0
 
 
 def _thresholded(g: np.ndarray, l1: float) -> np.ndarray:
@@ -249,30 +274,35 @@ def _nodes(tree: Tree, number: int, features: Sequence[str], cuts: list[np.ndarr
 
 def fit(train: DataFrame, val: DataFrame, features: Sequence[str], settings: Settings = Settings(), carry: int = CARRY) -> Fitted:  # noqa: B008
     """Fit to (row_id, label, vector); `val` has the same columns. Without rows of both classes the ensemble has no trees."""
-    s, width = settings, len(features)
-    counts = train.agg(F.count_if(F.col("label") == 0).alias("n"), F.count_if(F.col("label") == 1).alias("p")).first()
+    s, width, spark = settings, len(features), train.sparkSession
+    counts = train.agg(F.count_if(F.col("label") == 0).alias("n"), F.count_if(F.col("label") == 1).alias("p"), F.count("*").alias("all")).first()
     if not counts["n"] or not counts["p"]:
         return Fitted(Ensemble([]), [])
     weight = s.positive_weight if s.positive_weight is not None else counts["n"] / counts["p"]
     cuts = cut_points(train, width, s.bins)
+    parts = max(-(-counts["all"] // TASK_ROWS), min(spark.sparkContext.defaultParallelism, -(-counts["all"] // BLOCK)))
     columns = lambda df, training: df.select("row_id", "label", "vector", F.lit(training).alias("training"))
-    blocks = written(binned(columns(train, True).unionByName(columns(val, False)), cuts, s.bins), "binned")
+    rows = columns(train, True).unionByName(columns(val, False)).repartition(parts, "row_id")
+    matrix = written(binned(rows, cuts, s.bins), "binned")
+    blocks, stale = held(matrix, width, parts), []
     draw = np.random.default_rng(s.seed)
     trees: list[Tree] = []
     losses: list[tuple[int, float]] = []
-    best, since = (np.inf, -1), 0
+    best, since, stepped = (np.inf, -1), 0, 0
     for round_ in range(s.rounds + 1):
-        own = trees[since:]
+        own = trees[stepped:]
+        chosen = np.sort(draw.permutation(width)[: max(1, int(width * s.columns))])
         lost = None
 
-        def sums_of(tree: Tree, nodes: list[int], blocks=blocks, own=own, round_=round_) -> dict[int, np.ndarray]:
+        def sums_of(tree: Tree, nodes: list[int], blocks=blocks, own=own, chosen=chosen, round_=round_) -> dict[int, np.ndarray]:
             nonlocal lost
-            sums, loss = _summed(blocks, own, tree, nodes, width, s, s.seed + round_, weight, nodes == [0])
+            sums, loss = _summed(blocks, own, tree, nodes, width, chosen, s, s.seed + round_, weight, nodes == [0])
             lost = loss if nodes == [0] else lost
             return sums
 
-        chosen = np.sort(draw.permutation(width)[: max(1, int(width * s.columns))])
         root = sums_of(Tree({}, {0: 0.0}), [0])
+        while stale:  # this round's blocks have been made from them
+            stale.pop().unpersist()
         if round_:
             losses.append((round_ - 1, lost))
             if lost < best[0] - 1e-12:
@@ -281,8 +311,14 @@ def fit(train: DataFrame, val: DataFrame, features: Sequence[str], settings: Set
                 break
         trees.append(grown(lambda tree, nodes, root=root, more=sums_of: {0: root[0]} if nodes == [0] else more(tree, nodes), [len(c) for c in cuts], chosen, s))
         if len(trees) - since >= carry:
-            newer = written(_carried(blocks, trees[since:], width, s.bins), "binned")
-            discard(blocks)
-            blocks, since = newer, len(trees)
-    discard(blocks)
+            newer = written(_carried(matrix, trees[since:], width, s.bins), "binned")
+            blocks.unpersist()
+            discard(matrix)
+            matrix, since, stepped = newer, len(trees), len(trees)
+            blocks = held(matrix, width, parts)
+        elif len(trees) - stepped >= STEP:
+            stale.append(blocks)
+            blocks, stepped = _stepped(blocks, trees[stepped:], s.bins), len(trees)
+    blocks.unpersist()
+    discard(matrix)
     return Fitted(Ensemble([n for k, t in enumerate(trees) for n in _nodes(t, k, features, cuts)]).truncated(best[1] + 1), losses)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import boosting, cohort, ensemble, features, metrics, selection
+from ..sources.staging import discard, written
 from .registry import query
 from .tables import COUNTS, DENSE_SQL, FEATURES, MEANS, SCORED_SQL, THRESHOLD, TOY, TYPES, WIDE_SQL, dense, scored, table, wide
 
@@ -267,8 +268,9 @@ def boost_fit(spark, sf_dir):
 
     All settings are the operator's defaults but for the least weight of a node, which few users don't reach.
     """
-    rows = labelled_vectors(spark, sf_dir)
+    rows = written(labelled_vectors(spark, sf_dir), "vectors")  # read for the labels, the bins and the matrix
     fitted = boosting.fit(rows.where("split = 'train'"), rows.where("split = 'val'"), FEATURES, boosting.Settings(least_weight=2.0))
+    discard(rows)
     return fitted.ensemble.table(spark)
 
 

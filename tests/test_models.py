@@ -202,6 +202,37 @@ def test_a_round_costs_the_same_late(spark, monkeypatch):
     assert max(t for t, _, _ in seen) == 3 and all(2 * asked <= max(values, 2) for _, asked, values in seen)
 
 
+def test_a_level_is_one_job_of_one_stage(spark):
+    """A round runs a job a level, each of one stage without a shuffle; only writing the matrix adds some."""
+    draw = np.random.default_rng(6)
+    x = draw.normal(size=(400, 3))
+    y = (x[:, 0] + draw.normal(size=400) > 0.1).astype(int)
+    df = frame(spark, x).join(spark.createDataFrame([(k, int(v)) for k, v in enumerate(y)], "row_id long, label int"), "row_id")
+    stages = []
+    for rounds in (2, 12):
+        spark.sparkContext.setJobGroup(f"boosting-{rounds}", "")
+        fitted = boosting.fit(df.where("row_id < 300"), df.where("row_id >= 300"), list("abc"), boosting.Settings(rounds=rounds, rate=0.1, depth=3, least_weight=1.0))
+        assert len(fitted.losses) == rounds
+        tracker = spark.sparkContext.statusTracker()
+        stages.append(sum(len(tracker.getJobInfo(j).stageIds) for j in tracker.getJobIdsForGroup(f"boosting-{rounds}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert stages[1] - stages[0] <= 10 * 3
+
+
+@pytest.mark.parametrize("direct", [0, 8 << 20])
+def test_sums_of_many_tasks(spark, monkeypatch, direct):
+    """The same losses from one task and from several, whose sums come to the driver directly or in groups."""
+    draw = np.random.default_rng(7)
+    x = draw.normal(size=(600, 3))
+    y = (x[:, 0] * x[:, 1] + draw.normal(size=600) > 0).astype(int)
+    df = frame(spark, x).join(spark.createDataFrame([(k, int(v)) for k, v in enumerate(y)], "row_id long, label int"), "row_id")
+    fit = lambda: [v for _, v in boosting.fit(df.where("row_id < 400"), df.where("row_id >= 400"), list("abc"), boosting.Settings(rounds=6, rate=0.2, depth=3, least_weight=1.0)).losses]
+    one = fit()
+    monkeypatch.setattr(boosting, "TASK_ROWS", 40)
+    monkeypatch.setattr(boosting, "DIRECT", direct)
+    assert fit() == pytest.approx(one, rel=1e-9)
+
+
 def test_large_ensembles_are_scored_without_python(spark):
     """A hundred trees of depth four, over columns and over a vector: the margins of plain arrays, and no Python in the plan."""
     draw, nodes, names = np.random.default_rng(8), [], list("abcdef")
