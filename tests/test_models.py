@@ -384,6 +384,18 @@ def test_exact_is_never_farther_than_the_others(spark, explained):
     assert len({(r.row_id, r.cf_rank) for r in genes}) == len(genes)
 
 
+def test_genetic_shuffles_rows_once(spark, explained):
+    """No join and one shuffle in all generations, also of rows that come grouped by id; and work for every core."""
+    _, df, _ = explained
+    spark.catalog.clearCache()
+    grouped = df.groupBy("row_id").agg(F.first("vector").alias("vector"), F.first("search").alias("search"))
+    found = search.genetic(grouped, TOY, SPACE, CUT, genes=search.Genes(generations=3, population=12))
+    assert found.count()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning(row_id") == 2, plan
+    assert found.rdd.getNumPartitions() >= 8
+
+
 def test_genetic_names_rows_without_a_counterfactual(spark, explained):
     _, df, keep = explained
     fixed = df.withColumn("search", F.when(F.col("row_id") == int(keep[0]), F.array().cast("array<string>")).otherwise(F.col("search")))
